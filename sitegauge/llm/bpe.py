@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ragged, steps, text_buffer
+from .common import STEP_BYTES, ragged, steps, text_buffer
 
 OTHER, LETTER, NUMBER, SPACE, BLANK, EDGE = 0, 1, 2, 3, 4, 255
 #: White space of the pattern's \s (fixed values: the Unicode property White_Space).
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Bytes of pre-tokens whose tokens a worker remembers; past that it begins anew.
+REMEMBERED = 6 << 20
 NO_RANK = np.int64(1 << 40)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -60,6 +62,8 @@ class ByteBpe:
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self._table(keys)
+        self._forget()
+        self.powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _table(self, keys: np.ndarray) -> None:
         """An open-addressing table of pair -> rank that whole arrays are looked up in."""
@@ -68,9 +72,8 @@ class ByteBpe:
             bits += 1
         self.shift, mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int64)
-        at, left, self.probes = self._slot(keys), np.arange(len(keys)), 0
+        at, left = self._slot(keys), np.arange(len(keys))
         while len(left):
-            self.probes += 1
             free = left[self.slots[at[left]] < 0]
             self.slots[at[free]] = keys[free]  # the last of equal slots wins, the others move on
             won = free[self.slots[at[free]] == keys[free]]
@@ -85,10 +88,15 @@ class ByteBpe:
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left * self.size + right
         at = self._slot(keys)
-        out = np.where(self.slots[at] == keys, self.ranks[at], NO_RANK)
-        for p in range(1, self.probes):
-            next_at = (at + p) & self.mask
-            out = np.where(self.slots[next_at] == keys, self.ranks[next_at], out)
+        there = self.slots[at]
+        out = np.where(there == keys, self.ranks[at], NO_RANK)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.slots[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.ranks[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
         return out
 
     def pretokens(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,23 +154,68 @@ class ByteBpe:
             ids[np.searchsorted(where, a)] = number
         return at[where], ids
 
-    def _distinct(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of one of each distinct pre-token, and for each pre-token the number of its like.
+    def _distinct(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of one of each distinct pre-token, for each pre-token the number of its like, and the distinct ones' hashes.
 
         Found by a 64-bit polynomial hash and then compared byte by byte; were two different ones to
         share a hash, none would be joined.
         """
-        powers = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(data), _P, np.uint64))))
-        inverse = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(data), _P_INV, np.uint64))))
+        powers, inverse = self._powers(len(data) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
         hashed = (sums[starts + lengths] - sums[starts]) * inverse[starts]
         hashed ^= lengths.astype(np.uint64) << np.uint64(40)
-        _, first, same = np.unique(hashed, return_index=True, return_inverse=True)
+        found, first, same = np.unique(hashed, return_index=True, return_inverse=True)
         model = first[same]
         if (lengths[model] == lengths).all():
             if (data[ragged(starts, lengths)] == data[ragged(starts[model], lengths)]).all():
-                return first, same
-        return np.arange(len(starts)), np.arange(len(starts))
+                return first, same, found
+        return np.arange(len(starts)), np.arange(len(starts)), hashed
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.powers[0]):
+            fresh = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n - 1, p, np.uint64)))) for p in (_P, _P_INV)]
+            if n > 2 * STEP_BYTES:  # one very long text: not kept
+                return fresh[0], fresh[1]
+            self.powers = fresh[0], fresh[1]
+        return self.powers[0][:n], self.powers[1][:n]
+
+    def tokens(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() with a bounded memory of what this worker has merged before, checked byte by byte."""
+        m = self.memory
+        at = np.minimum(np.searchsorted(m["hash"], hashed), max(0, len(m["hash"]) - 1))
+        known = m["hash"][at] == hashed if len(m["hash"]) else np.zeros(len(hashed), bool)
+        row = m["row"][at] if len(m["hash"]) else at
+        known[known] = m["length"][row[known]] == lengths[known]
+        k = np.flatnonzero(known)
+        if len(k):
+            equal = data[ragged(starts[k], lengths[k])] == m["bytes"][ragged(m["start"][row[k]], lengths[k])]
+            bad = np.repeat(k, lengths[k])[~equal]
+            known[bad] = False
+        new = np.flatnonzero(~known)
+        ids, counts = self.merge(data, starts[new], lengths[new])
+        base = len(m["ids"])
+        begin, count = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        old = np.flatnonzero(known)
+        begin[old], count[old] = m["begin"][row[old]], m["count"][row[old]]
+        begin[new], count[new] = base + np.cumsum(counts) - counts, counts
+        pool = np.concatenate((m["ids"], ids))
+        if len(m["bytes"]) + int(lengths[new].sum()) > REMEMBERED:
+            self._forget()
+        else:
+            m["row"] = np.concatenate((m["row"], len(m["length"]) + np.arange(len(new))))
+            joined = np.concatenate((m["hash"], hashed[new]))
+            order = np.argsort(joined, kind="stable")
+            m["hash"], m["row"] = joined[order], m["row"][order]
+            m["start"] = np.concatenate((m["start"], len(m["bytes"]) + np.cumsum(lengths[new]) - lengths[new]))
+            m["bytes"] = np.concatenate((m["bytes"], data[ragged(starts[new], lengths[new])]))
+            m["length"] = np.concatenate((m["length"], lengths[new]))
+            m["begin"], m["count"] = np.concatenate((m["begin"], begin[new])), np.concatenate((m["count"], counts))
+            m["ids"] = pool
+        return pool[ragged(begin, count)], count
+
+    def _forget(self) -> None:
+        self.memory = {k: np.zeros(0, np.int64) for k in ("row", "start", "length", "begin", "count", "ids")}
+        self.memory |= {"hash": np.zeros(0, np.uint64), "bytes": np.zeros(0, np.uint8)}
 
     def merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each pre-token: all ids end to end, and how many each has."""
@@ -170,27 +223,32 @@ class ByteBpe:
         counts = np.zeros(n, np.int64)
         symbols, owner = self.byte_ids[data[ragged(starts, lengths)]], np.repeat(np.arange(n), lengths)
         done_ids, done_owner = [], []
+        ranks = np.full(len(symbols), NO_RANK, np.int64)
+        stale = np.flatnonzero(owner[1:] == owner[:-1])
         while len(symbols):
+            ranks[stale] = self.pair_ranks(symbols[stale], symbols[stale + 1])
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            ranks = np.full(len(symbols), NO_RANK, np.int64)
-            inner = np.flatnonzero(owner[1:] == owner[:-1])
-            ranks[inner] = self.pair_ranks(symbols[inner], symbols[inner + 1])
             lowest = np.minimum.reduceat(ranks, first)
-            size = np.diff(np.concatenate((first, [len(symbols)])))
-            over = np.repeat(lowest == NO_RANK, size)
-            if over.any():
-                done_ids.append(symbols[over])
-                done_owner.append(owner[over])
-            chosen = (ranks == np.repeat(lowest, size)) & ~over
+            lowest = np.repeat(lowest, np.diff(np.concatenate((first, [len(symbols)]))))
+            over = lowest == NO_RANK
+            chosen = (ranks == lowest) & ~over
             if (chosen[1:] & chosen[:-1]).any():  # a pair overlapping itself: every other one, from the left
                 where = np.arange(len(chosen))
                 begin = np.maximum.accumulate(np.where(chosen & ~np.concatenate(([False], chosen[:-1])), where, 0))
                 chosen &= (where - begin) % 2 == 0
-            symbols = symbols.copy()
+            done_ids.append(symbols[over])
+            done_owner.append(owner[over])
             symbols[chosen] = self.merged[ranks[chosen]]
+            ranks[chosen] = NO_RANK
             keep = ~over
             keep[1:] &= ~chosen[:-1]
-            symbols, owner = symbols[keep], owner[keep]
+            keep = np.flatnonzero(keep)
+            symbols, owner, ranks = symbols[keep], owner[keep], ranks[keep]
+            changed = np.flatnonzero(chosen[keep])
+            stale = np.unique(np.concatenate((changed, changed[changed > 0] - 1)))
+            stale = stale[stale + 1 < len(symbols)]
+            inner = owner[stale] == owner[stale + 1]
+            stale = stale[inner]
         if not done_ids:
             return np.zeros(0, np.int64), counts
         ids, whose = np.concatenate(done_ids), np.concatenate(done_owner)
@@ -202,8 +260,8 @@ class ByteBpe:
         lengths = np.diff(np.concatenate((starts, [len(data)])))
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(bounds) - 1, np.int64)
-        first, same = self._distinct(data, starts, lengths)
-        ids, counts = self.merge(data, starts[first], lengths[first])
+        first, same, hashed = self._distinct(data, starts, lengths)
+        ids, counts = self.tokens(data, starts[first], lengths[first], hashed)
         begin = np.cumsum(counts) - counts
         each = np.where(special >= 0, 1, counts[same])
         total = np.concatenate(([0], np.cumsum(each)))
