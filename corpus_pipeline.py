@@ -1,8 +1,62 @@
-"""A corpus-cleaning pipeline over ``documents``."""
+"""A corpus-cleaning pipeline over ``documents``: language, near copies, repeated passages, benchmark leaks, packing.
 
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; each result is written
+as Parquet in the shared folder and read again as the next stage's ``docs``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from sitegauge.llm import decontam, langid, packing, passages, simhash
+from sitegauge.llm.common import prepare, table
+from sitegauge.runtime import shared_dir
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language the model knows; the others go."""
+    prepare(spark)
+    return langid.keep_identified(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least doc_id."""
+    prepare(spark)
+    return simhash.keep_one(docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat one of another document are cut out of all documents but one."""
+    prepare(spark)
+    return passages.drop_repeats(docs)
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    prepare(spark)
+    return decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, packed into sequences of 1024."""
+    prepare(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+
+
+STAGES = [("language_id", identified), ("simhash", distinct), ("substring_dedup", unrepeated), ("decontamination", untested), ("packing", packed)]
+
+#: No stage but the first few of its steps can be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the last stage's rows."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs
