@@ -62,24 +62,39 @@ def presence(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, letters
 
 
-def fit(rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray]:
-    """The languages and the matrix (presence columns x languages) of their regressions."""
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    """Scaled presence rows from their packed presence."""
+    out = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[: sum(BINS)] for b in bits]).astype(np.float32)
+    at = 0
+    for bins in BINS:
+        own = out[:, at : at + bins]
+        own /= np.sqrt(len(BINS) * np.maximum(1, own.sum(axis=1, keepdims=True)))
+        at += bins
+    return out
+
+
+def fit(bits: list[bytes], langs: list[str], landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray]:
+    """The languages and the matrix (presence columns x languages) of their regressions.
+
+    Only the landmarks' rows are held unpacked; the sample passes in blocks.
+    """
     names = sorted(set(langs))
     place = {name: 0 for name in names}
     turn = []  # the sample in turns of one document of each language, so that landmarks cover all
     for i, lang in enumerate(langs):
         turn.append((place[lang], lang, i))
         place[lang] += 1
-    chosen = rows[[i for _, _, i in sorted(turn)[:landmarks]]].astype(np.float64)
-    values, vectors = np.linalg.eigh(chosen @ chosen.T)
-    good = values > 1e-9 * values.max()
+    chosen = unpacked([bits[i] for _, _, i in sorted(turn)[:landmarks]])
+    values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
+    good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = rows.astype(np.float64) @ (chosen.T @ root)
+    kernel = np.concatenate([unpacked(bits[a : a + _ROWS]) @ chosen.T for a in range(0, len(bits), _ROWS)]).astype(np.float64)
+    mapped = kernel @ root
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    weight = 1 / np.array([langs.count(x) for x in langs], float)[:, None]
+    weight = 1 / np.array([place[x] for x in langs], float)[:, None]
     weight *= len(langs) / len(names)
     w = np.linalg.solve(mapped.T @ (mapped * weight) + RIDGE * np.eye(mapped.shape[1]), mapped.T @ (target * weight))
-    return names, (chosen.T @ (root @ w)).astype(np.float32)
+    return names, chosen.T @ (root @ w).astype(np.float32)
 
 
 def _held_out(id_col: str):
@@ -110,13 +125,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     found = sorted((r.lang, bytes(r.bits)) for r in chosen.select("lang", "text").mapInArrow(run, "lang string, bits binary").collect())
     if not found:
         return None
-    rows = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[: sum(BINS)] for _, b in found]).astype(np.float32)
-    at = 0
-    for bins in BINS:
-        own = rows[:, at : at + bins]
-        own /= np.sqrt(len(BINS) * np.maximum(1, own.sum(axis=1, keepdims=True)))
-        at += bins
-    return fit(rows, [x for x, _ in found], landmarks)
+    return fit([b for _, b in found], [x for x, _ in found], landmarks)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
