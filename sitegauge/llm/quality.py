@@ -113,3 +113,31 @@ def quality_rules(docs: DataFrame, max_loss: float = MAX_LOSS, with_text: bool =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {FIELDS}" + ", clean_text string" * with_text)
+
+
+def quality_sql(max_loss: float = MAX_LOSS) -> str:
+    """DuckDB SQL for the rows of quality_rules() over the table ``documents``."""
+    word, space = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
+    closing = "[.!?…:;\"'')»”][ \\t\\r\\x0b\\x0c]*$"
+    letters = "length(regexp_replace({0}, '" + space + "', '', 'g'))"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{word}') as words from documents),
+lines as (select rid, unnest(string_split(text, chr(10))) as line from d),
+worded as (
+  select rid, line, len(regexp_extract_all(line, '{word}')) as n, len(regexp_extract_all(line, '[#*$%&|<>]')) as symbols, len(regexp_extract_all(line, '!')) as marks,
+    len(regexp_extract_all(line, '{SEPARATORS.pattern}')) as separators, {letters.format('line')} as chars from lines where regexp_matches(line, '{word}')),
+judged as (
+  select *, 5 * symbols > n or n >= 3 and 2 * marks > n or n < 5 and not regexp_matches(line, '{closing}') or separators >= 2
+    or n <= 30 and regexp_matches(lower(line), '{BOILERPLATE.pattern}') as fails from worded),
+by_line as (select rid, count(*) - count(distinct line) as twice, count(*) filter (fails) as failed, coalesce(sum(chars) filter (fails), 0) as lost from judged group by 1),
+w as (select rid, unnest(words) as a, unnest(range(len(words))) as i from d),
+windows as (select rid, i, a, lead(a) over p as b, lead(a, 2) over p as c from w window p as (partition by rid order by i)),
+found as (select rid, i, c is not null and count(*) over (partition by rid, a, b, c) > 1 as r from windows),
+marked as (select rid, r or coalesce(lag(r) over p, false) or coalesce(lag(r, 2) over p, false) as m from found window p as (partition by rid order by i)),
+repeats as (select rid, count(*) filter (m) as n from marked group by 1),
+counts as (
+  select d.rid, doc_id, len(words)::bigint as n_words, {letters.format('text')}::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    coalesce(twice, 0)::bigint as n_dup_lines, coalesce(repeats.n, 0)::bigint as n_repeat_words, coalesce(failed, 0)::bigint as n_failed_lines, coalesce(lost, 0)::bigint as lost
+  from d left join by_line on by_line.rid = d.rid left join repeats on repeats.rid = d.rid),
+base as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words as base_failed from counts)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= {max_loss} * word_chars as kept, n_failed_lines, word_chars - lost as kept_chars from base"""

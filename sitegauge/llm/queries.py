@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urls.judge_sql()}
+    return {"op3_quality_rules": quality.quality_sql(), "op8_url_filter": urls.judge_sql()}

@@ -1,0 +1,73 @@
+"""The registered queries over the smallest tables: against their SQL, or against plain forms of the contract."""
+
+import math
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import duckdb
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from sitegauge.llm import queries
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not there")
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return duckdb.sql(f"select doc_id, text, lang from '{DATA}/documents.parquet'").fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, str(DATA))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_tokens_and_packing(spark, documents):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t, _ in documents}
+    got = queries.op1_token_counts(spark, str(DATA)).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {(i, len((t or "").encode()), len(ids[i]), len(ids[i]) > 1024) for i, t, _ in documents}
+    rows = queries.op2_best_fit_packing(spark, str(DATA)).collect()
+    held, length = defaultdict(list), Counter()
+    for r in rows:
+        own = ids[r.doc_id] + [2]
+        assert zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own[r.start : r.start + r.length])) == r.ids_crc32
+        held[r.sequence_id].append((r.offset, r.length))
+        length[r.doc_id] += r.length
+    assert all(length[i] == len(x) + 1 for i, x in ids.items())
+    for x in held.values():
+        assert [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 1024
+    assert len(held) <= math.ceil(1.02 * sum(length.values()) / 1024) + 1
+
+
+def test_language(spark, documents):
+    truth = {i: lang for i, _, lang in documents}
+    got = queries.op9_language_id(spark, str(DATA)).collect()
+    assert len(got) == len(documents)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_passages(spark, documents):
+    """Of every 50 words that stand in several documents, all but one document's are in a row."""
+    words = {i: (t or "").encode().lower().split() for i, t, _ in documents}
+    where = defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add((i, k))
+    covered = defaultdict(set)
+    for r in queries.op7_substring_dedup(spark, str(DATA)).collect():
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word + 1))
+    for places in where.values():
+        if len({i for i, _ in places}) > 1:
+            assert len({i for i, k in places if not covered[i] >= set(range(k, k + 50))}) <= 1
