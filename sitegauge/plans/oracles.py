@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sitegauge.functions.html import APP_SHELL, CHROME, ENTITIES, HIDDEN, LANDMARKS, MAIN
+from sitegauge.operators.markup import OCTET, PRIVATE, SOCIAL, TRUST
 from sitegauge.operators.robots import SIGNALS
 from sitegauge.operators.texts import BOILERPLATE, STOPWORDS
 from sitegauge.sources.fixtures import with_relations
@@ -186,7 +187,84 @@ EVIDENCE = """evidence as (
   from check_row join rubric using (check_name) where state <> 'locked' and evidence <> 'unknown' group by 1)"""
 PEER = """peers as (select name, grp, size, sum(score)::bigint as points, sum(max_score)::bigint as most, round_even(sum(score) / sum(max_score) * 100, 0)::bigint as percent from peer join rubric using (check_name) group by 1, 2, 3)"""
 EFFORT = "(case effort when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 2 end)"
+DIMS = ("protocols", "account_auth", "ecommerce")
+SCOPES = f"""
+with g as (select site_id, split_part(o, '=', 1) as key, split_part(o, '=', 2) = 'true' as on_ from (select site_id, unnest(string_split(overrides, ' ')) as o from scope_request where overrides <> '')),
+k as (select g.*, dimension, o.key is null as unknown from g left join override_key o on o.key = g.key),
+p as (
+  select site_id, bool_or(unknown) as bad, {', '.join(f"bool_or(on_) filter (key = '{d}') as set_{d}, coalesce(bool_or(on_) filter (dimension = '{d}' and key <> '{d}'), false) as by_{d}" for d in DIMS)},
+    coalesce(list(key) filter (on_ and key not in ('protocols', 'account_auth', 'ecommerce')), []) as plus, coalesce(list(key) filter (not on_), []) as minus from k group by 1)
+select r.site_id, r.preset, s.protocols is not null and not coalesce(bad, false) as valid, {', '.join(f"coalesce(set_{d}, s.{d} or coalesce(by_{d}, false)) as {d}" for d in DIMS)},
+  array_to_string(list_sort(list_filter(list_distinct(list_concat(string_split(s.families, ' '), coalesce(plus, []))), lambda f: f <> '' and not list_contains(coalesce(minus, []), f))), ' ') as families
+from scope_request r left join preset s using (preset) left join p using (site_id)"""
+LD = """
+with recursive j as (
+  select site_id, script_no, try_cast(body as json) as v, 0 as d from json_ld
+  union all
+  select site_id, script_no, unnest(case when json_type(v) = 'ARRAY' then json_extract(v, '$[*]') when json_type(v) = 'OBJECT' and json_extract(v, '$."@graph"') is not null then [json_extract(v, '$."@graph"')] else [] end), d + 1 from j where d < 6),
+node as (select row_number() over () as node, site_id, script_no, v, json_extract(v, '$."@type"') as t from j where json_type(v) = 'OBJECT' and json_extract(v, '$."@type"') is not null),
+typed as (select *, case when json_type(t) = 'ARRAY' then json_extract_string(t, '$[*]') else [json_extract_string(t, '$')] end as types from node)
+"""
+
+
+def _kinds(text: str, patterns: dict[str, str]) -> str:
+    each = " union all ".join(f"select site_id, '{k}' as kind from link where regexp_matches({text}, '{p}')" for k, p in patterns.items())
+    return f"select site_id, kind, count(*) as links from ({each}) group by 1, 2"
+
+
+def _amount(c: str) -> str:
+    t = f"regexp_replace({c}, '[^0-9.,]', '', 'g')"
+    return f"try_cast(case when regexp_matches({t}, '^[0-9.]*,[0-9]{{1,2}}$') then replace(replace({t}, '.', ''), ',', '.') else replace({t}, ',', '') end as decimal(18,4))"
+
+
+def _norm(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '[?#].*$', ''), '/+$', '')"
+
+
 ON_RELATIONS = {
+    "scope_resolution": (SCOPES, "scope_request", "preset", "override_key"),
+    "probe_scope_matrix": (
+        """with b as (select * from (values (false), (true)) v(x))
+select p.x as protocols, a.x as account_auth, c.x as commerce, category, count(*) filter (scope = 'core' or scope = 'protocols' and p.x or scope = 'account_auth' and a.x or scope = 'commerce' and c.x) as included, count(*) as all_probes
+from probe, b p, b a, b c group by 1, 2, 3, 4""",
+        "probe",
+    ),
+    "jsonld_types": (LD + "select site_id, script_no, array_to_string(types, ' ') as types, len(json_keys(v))::bigint as n_fields from typed", "json_ld"),
+    "jsonld_best_schema": (
+        LD + """, known as (select site_id, node, v, unnest(types) as type, unnest(range(len(types))) as k from typed),
+per as (
+  select site_id, node, k, type, count(*) filter (required and (x is null or x in ('', '[]', 'null'))) as req, count(*) filter (not required and (x is null or x in ('', '[]', 'null'))) as rec
+  from (select known.*, field, required, trim(json_extract_string(v, '$."' || field || '"')) as x from known join ld_field using (type)) group by 1, 2, 3, 4),
+one as (select * from (select *, row_number() over (partition by node order by k) as r from per) where r = 1),
+scored as (select t.site_id, coalesce(greatest(case when req > 0 then 1 else 3 end, 5 - 2 * req - least(rec, 2)), 2)::bigint as points, coalesce(type, 'other') as type from typed t left join one using (node)),
+best as (select site_id, points, type from (select *, row_number() over (partition by site_id order by points desc, type) as r from scored) where r = 1),
+tried as (select site_id, count(*) as scripts, count(*) filter (try_cast(body as json) is null) as invalid from json_ld group by 1)
+select site_id, scripts, invalid, coalesce(points, case when invalid > 0 then 1 else 0 end)::bigint as score, type from tried left join best using (site_id)""",
+        "json_ld", "ld_field",
+    ),
+    "sitemap_lastmod_quality": (
+        """with d as (select *, coalesce(trim(value), '') <> '' as filled, case when regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(value[1:10] as date) end as day from lastmod)
+select site_id, count(*) as entries, count(*) filter (not filled) as missing, count(*) filter (filled and day is null) as invalid, count(*) filter (day > date '2024-06-01') as future, max(day) filter (day <= date '2024-06-01') as latest from d group by 1""",
+        "lastmod",
+    ),
+    "viewport_tokens": (
+        """with t as (select *, list_transform(string_split(lower(content), ','), lambda x: trim(x)) as t, try_cast(nullif(regexp_extract(lower(content), 'maximum-scale\\s*=\\s*([0-9.]+)', 1), '') as double) as scale from viewport),
+z as (select *, len(list_filter(t, lambda x: regexp_matches(x, '^user-scalable\\s*=\\s*(no|0)$'))) > 0 or coalesce(scale <= 1, false) as zoom_limited, len(list_filter(t, lambda x: regexp_matches(x, '^width\\s*=\\s*device-width$'))) > 0 as wide from t)
+select site_id, (case when trim(content) = '' then 0 when not wide or zoom_limited then 2 else 4 end)::bigint as points, zoom_limited from z""",
+        "viewport",
+    ),
+    "canonical_check": (
+        f"""with c as (select site_id, not starts_with(http_final, 'https://') as plain_http, canonical is null or {_norm('canonical')} <> {_norm('final_url')} as bad_tag,
+  coalesce(other_host <> regexp_extract(final_url, '^[a-z]+://([^/?#]+)', 1), false) as two_hosts from canonical),
+n as (select *, (plain_http::int + bad_tag::int + two_hosts::int)::bigint as issues from c)
+select *, (case issues when 0 then 5 when 1 then 3 else 1 end)::bigint as score, case issues when 0 then 'pass' when 1 then 'partial' else 'fail' end as state from n""",
+        "canonical",
+    ),
+    "trust_surfaces": (_kinds("' ' || regexp_replace(lower(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1) || ' ' || label), '[^a-z0-9]+', ' ', 'g') || ' '", {k: f" ({p}) " for k, p in TRUST.items()}), "link"),
+    "social_profiles": (_kinds("lower(href)", {k: p.lower() for k, p in SOCIAL.items()}), "link"),
+    "price_normalise": (f"with a as (select site_id, {_amount('shown')} as shown, {_amount('declared')} as declared from price) select site_id, shown::double as shown, declared::double as declared, shown = declared as same from a", "price"),
+    "public_addresses": (f"select site_id, ip, regexp_matches(ip, '^{OCTET}\\.{OCTET}\\.{OCTET}\\.{OCTET}$') and not regexp_matches(ip, '{PRIVATE}') as public from address", "address"),
+
     "robots_groups": (GROUPS + "select site_id, group_id, array_to_string(agents, ' ') as agents, array_to_string(rules, ' ') as rules from grp", "robots"),
     "robots_access_matrix": (ACCESS + "select * from matrix", "robots", "crawler"),
     "robots_access_score": (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import crawl, pages, robots, scoring, texts
+from sitegauge.operators import crawl, markup, pages, robots, scope, scoring, texts
 from sitegauge.sources.fixtures import relation
 from sitegauge.streaming import limits
 
@@ -57,6 +57,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peer_essentials": _of(scoring.peer_scores, "peer", "rubric"),
     "peer_position": _peers(scoring.against_peers),
     "peer_nearest3": _peers(scoring.nearest_peers),
+    "scope_resolution": _of(scope.resolve, "scope_request", "preset", "override_key"),
+    "probe_scope_matrix": _of(scope.probe_scopes, "probe"),
+    "jsonld_types": _of(lambda j: markup.json_ld_nodes(j).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields"), "json_ld"),
+    "jsonld_best_schema": _of(markup.json_ld_best, "json_ld", "ld_field"),
+    "sitemap_lastmod_quality": _of(lambda r: markup.lastmod_quality(r, "2024-06-01"), "lastmod"),
+    "viewport_tokens": _of(markup.viewport, "viewport"),
+    "canonical_check": _of(markup.canonical, "canonical"),
+    "trust_surfaces": _of(markup.trust_surfaces, "link"),
+    "social_profiles": _of(markup.social_profiles, "link"),
+    "price_normalise": _of(markup.prices, "price"),
+    "public_addresses": _of(markup.public_addresses, "address"),
     "rate_window_admission": _on("events", limits.admissions),
     "rate_window_rows": _on("events", limits.admitted_rows),
     "entity_cache_upsert": _on("events", limits.latest),

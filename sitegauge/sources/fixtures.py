@@ -67,6 +67,67 @@ CHECK_ROWS = [
     )
 ]
 
+#: Probe label, category, scope.
+PROBES = [
+    ("robots.txt published", "Discoverability", "core"), ("valid sitemap discovery", "Discoverability", "core"), ("agent discovery Link headers", "Discoverability", "core"),
+    ("DNS-AID records", "Discoverability", "core"), ("llms.txt or Markdown negotiation", "Content Accessibility", "core"), ("AI-specific robots.txt rules", "Bot Access Control", "core"),
+    ("Content Signals in robots.txt", "Bot Access Control", "core"), ("Web Bot Auth directory", "Bot Access Control", "core"), ("auth.md", "Protocol Discovery", "account_auth"),
+    ("API Catalog", "Protocol Discovery", "protocols"), ("OAuth/OIDC discovery metadata", "Protocol Discovery", "account_auth"), ("OAuth Protected Resource metadata", "Protocol Discovery", "account_auth"),
+    ("MCP Server Card", "Protocol Discovery", "protocols"), ("A2A Agent Card", "Protocol Discovery", "protocols"), ("Agent Skills index", "Protocol Discovery", "protocols"),
+    ("WebMCP manifest", "Protocol Discovery", "protocols"), ("ARD static catalog", "Protocol Discovery", "protocols"), ("x402 payment metadata", "Commerce", "commerce"),
+    ("MPP commerce metadata", "Commerce", "commerce"), ("UCP commerce metadata", "Commerce", "commerce"), ("ACP commerce metadata", "Commerce", "commerce"),
+]
+#: Preset, protocols, account/auth, commerce, families that are on.
+PRESETS = [
+    ("blog", False, False, False, "feed_discovery article_schema"), ("corporate", False, False, False, ""), ("services", False, False, False, "localbusiness_schema"),
+    ("ecommerce", True, True, True, "feed_discovery product_offer_schema commerce_fields api_catalog mcp a2a agent_skills webmcp oauth_oidc ard_catalog auth_md"),
+    ("news", False, False, False, "feed_discovery article_schema news_article_schema claimreview_schema"), ("saas", True, True, False, "api_catalog mcp a2a agent_skills webmcp oauth_oidc ard_catalog auth_md"),
+]
+#: Override key, the dimension it implies (empty: none).
+OVERRIDE_KEYS = [
+    ("protocols", "protocols"), ("account_auth", "account_auth"), ("ecommerce", "ecommerce"), ("feed_discovery", ""), ("article_schema", ""), ("localbusiness_schema", ""), ("news_article_schema", ""),
+    ("claimreview_schema", ""), ("product_offer_schema", "ecommerce"), ("commerce_fields", "ecommerce"), ("api_catalog", "protocols"), ("mcp", "protocols"), ("a2a", "protocols"), ("agent_skills", "protocols"),
+    ("webmcp", "protocols"), ("oauth_oidc", "account_auth"), ("ard_catalog", ""), ("auth_md", "account_auth"),
+]
+SCOPE_REQUESTS = [
+    (1, "blog", ""), (2, "saas", "mcp=false"), (3, "corporate", "mcp=true"), (4, "ecommerce", "ecommerce=false"), (5, "news", "commerce_fields=true auth_md=true"), (6, "blog", "nonsense=true"),
+    (7, "services", "protocols=false webmcp=true"), (8, "saas", "ard_catalog=false feed_discovery=true"),
+]
+#: JSON-LD type, field, whether it is required.
+LD_FIELDS = [
+    ("Organization", "name", True), ("Organization", "url", True), ("Organization", "logo", False), ("Organization", "sameAs", False), ("LocalBusiness", "name", True), ("LocalBusiness", "address", True),
+    ("LocalBusiness", "telephone", True), ("LocalBusiness", "url", False), ("LocalBusiness", "sameAs", False), ("Product", "name", True), ("Product", "description", True), ("Product", "offers", True),
+    ("Product", "image", False), ("Product", "brand", False), ("Offer", "price", True), ("Offer", "priceCurrency", True), ("Offer", "availability", True), ("WebSite", "name", True), ("WebSite", "url", True),
+    ("WebSite", "description", False), ("SoftwareApplication", "name", True), ("SoftwareApplication", "applicationCategory", True), ("SoftwareApplication", "operatingSystem", True),
+    ("SoftwareApplication", "description", False), ("SoftwareApplication", "offers", False), ("Article", "headline", True), ("Article", "author", True), ("Article", "datePublished", True),
+    ("Article", "dateModified", False), ("Article", "image", False), ("BreadcrumbList", "itemListElement", True), ("FAQPage", "mainEntity", True), ("MerchantReturnPolicy", "applicableCountry", True),
+    ("MerchantReturnPolicy", "returnPolicyCategory", True),
+]
+JSON_LD = [
+    (1, 0, '{"@type": "Organization", "name": "A", "url": "https://a.example", "logo": "l.png", "sameAs": ["x"]}'), (1, 1, '{"@type": "WebSite", "name": " "}'), (2, 0, "{not json"),
+    (3, 0, '{"@graph": [{"@type": "Product", "name": "P", "description": "d", "offers": {"price": 1}}, {"@type": "Thing"}]}'), (3, 1, "[]"), (4, 0, '[{"@type": ["Thing", "Article"], "headline": "h"}]'),
+    (4, 1, "nope"), (5, 0, '{"@type": "Event", "name": "e"}'), (6, 0, '{"@type": "FAQPage", "mainEntity": []}'), (6, 1, '{"@type": "BreadcrumbList", "itemListElement": [1]}'),
+]
+LASTMODS = [(1, "2024-01-05"), (1, "2024-01-05T10:00:00Z"), (1, "2024-13-05"), (1, ""), (1, "2999-01-01"), (2, None), (2, "yesterday"), (2, "2023-06-30T23:30:00+00:00"), (3, "2022-02-29"), (3, "2022-02-28")]
+VIEWPORTS = [
+    (1, "width=device-width, initial-scale=1"), (2, "width=1024"), (3, "width=device-width, user-scalable=no"), (4, "width=device-width,maximum-scale=1.0"), (5, ""), (6, "WIDTH=Device-Width, maximum-scale=5"),
+    (7, "maximum-scale=abc, width=device-width"),
+]
+LINKS = [
+    (1, "https://a.example/about-us", "Our Story"), (1, "https://a.example/contact", "Contact"), (1, "https://a.example/legal/privacy", "Privacy"), (1, "https://www.instagram.com/acme", "Instagram"),
+    (1, "https://x.com/acme", "X"), (2, "https://b.example/help", "FAQ"), (2, "https://b.example/returns", "Return policy"), (2, "https://www.linkedin.com/company/b", ""), (2, "https://b.example/delivery", "Delivery"),
+    (3, "https://c.example/team", "Team"), (3, "https://medium.com/@c", "Blog"), (3, "https://c.substack.com", "News"), (3, "https://c.example/x", "Refunds"),
+]
+CANONICALS = [
+    (1, "https://a.example/", "https://a.example", "https://a.example/", None), (2, "https://b.example/p?q=1", "https://b.example/p", "http://b.example/p", None), (3, "https://c.example/", None, "https://c.example/", "www.c.example"),
+    (4, "https://www.d.example/", "https://d.example/", "http://www.d.example/", "d.example"), (5, "https://e.example/a/", "https://e.example/a#x", "https://e.example/a/", "e.example"),
+]
+PRICES = [(1, "$1,299.00", "1299"), (2, "1.299,00 EUR", "1299.00"), (3, "12,50", "12.5"), (4, "free", "0"), (5, "1 299", "1299"), (6, "99.9", "99.90"), (7, None, "5"), (8, "1,299", "1.299")]
+ADDRESSES = [
+    (1, "127.0.0.1"), (2, "10.1.2.3"), (3, "172.16.0.1"), (4, "172.32.0.1"), (5, "192.168.9.9"), (6, "169.254.1.1"), (7, "100.64.0.1"), (8, "100.128.0.1"), (9, "8.8.8.8"), (10, "0.0.0.0"), (11, "224.0.0.1"),
+    (12, "256.1.1.1"), (13, "198.18.0.1"), (14, "203.0.113.9"), (15, "240.0.0.1"), (16, "not an address"), (17, "1.2.3.4"),
+]
+
 RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "rubric": (RUBRIC, "pillar string, check_name string, max_score long"),
     "pillar_cap": (PILLAR_CAPS, "pillar string, cap long"),
@@ -78,6 +139,18 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "bot_fetch": (BOT_FETCHES, "site_id long, bot string, attempt long, status long, words long, title string"),
     "hreflang": (HREFLANG, "site_id long, src string, lang string, href string"),
     "peer": ([(n, g, s, RUBRIC[k][1], p) for n, g, s, points in PEERS for k, p in enumerate(points)], "name string, grp string, size string, check_name string, score long"),
+    "probe": ([(k, *r) for k, r in enumerate(PROBES)], "ordinal long, label string, category string, scope string"),
+    "preset": (PRESETS, "preset string, protocols boolean, account_auth boolean, ecommerce boolean, families string"),
+    "override_key": (OVERRIDE_KEYS, "key string, dimension string"),
+    "scope_request": (SCOPE_REQUESTS, "site_id long, preset string, overrides string"),
+    "ld_field": (LD_FIELDS, "type string, field string, required boolean"),
+    "json_ld": (JSON_LD, "site_id long, script_no long, body string"),
+    "lastmod": (LASTMODS, "site_id long, value string"),
+    "viewport": (VIEWPORTS, "site_id long, content string"),
+    "link": (LINKS, "site_id long, href string, label string"),
+    "canonical": (CANONICALS, "site_id long, final_url string, canonical string, http_final string, other_host string"),
+    "price": (PRICES, "site_id long, shown string, declared string"),
+    "address": (ADDRESSES, "site_id long, ip string"),
     "check_row": (CHECK_ROWS, "site_id long, check_name string, score long, state string, evidence string, effort string"),
 }
 
@@ -108,4 +181,6 @@ def with_relations(sql: str, *names: str) -> str:
         cast = ", ".join(f"{c}::{kinds[k]} as {c}" for c, k in columns)
         out.append(f"{name} as (select {cast} from (values {values}) v({', '.join(c for c, _ in columns)}))")
     sql = sql.strip()
-    return "with " + ",\n".join(out) + (",\n" + sql[5:] if sql.startswith("with ") else "\n" + sql)
+    recursive = sql.startswith("with recursive ")
+    sql = sql.replace("with recursive ", "with ", 1)
+    return "with " + "recursive " * recursive + ",\n".join(out) + (",\n" + sql[5:] if sql.startswith("with ") else "\n" + sql)
