@@ -91,3 +91,36 @@ def nearest_peers(sites: DataFrame, peers: DataFrame, top: int = 3) -> DataFrame
     )
     out = sites.join(F.broadcast(one)).select("site_id", F.posexplode(ranked).alias("k", "x"))
     return out.select("site_id", (F.col("k") + 1).cast("long").alias("place"), F.col("x.name").alias("name"), (-F.col("x.neg")).alias("percent"))
+
+
+def snapshot_faults(rows: DataFrame, rubric: DataFrame, expected: tuple[str, ...]) -> DataFrame:
+    """Peers whose snapshot rows are not valid, with the number of faults of each kind; valid ones have no row."""
+    r = rows.join(F.broadcast(rubric.select("check_name", "max_score")), "check_name", "left")
+    out = r.groupBy("name").agg(
+        F.count_if(~F.col("check_name").isin(*expected)).alias("unknown_checks"), (F.lit(len(expected)) - F.count_if(F.col("check_name").isin(*expected))).alias("missing_checks"),
+        F.count_if(F.col("max") != F.coalesce("max_score", F.col("max"))).alias("wrong_max"), F.count_if((F.col("score") < 0) | (F.col("score") > F.col("max"))).alias("score_out_of_range"),
+        F.count_if(~F.col("state").isin("pass", "partial", "fail", "warn", "locked")).alias("odd_states"), F.count_if(~F.col("evidence").isin("verified", "inferred", "unknown")).alias("odd_evidence"),
+    )
+    return out.where("unknown_checks + missing_checks + wrong_max + score_out_of_range + odd_states + odd_evidence > 0")
+
+
+def viewer(rows: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Per site and pillar as a reader sees it: points, most, half-up percentage, band, open rows."""
+    out = with_rubric(rows, rubric).where("state <> 'locked'").groupBy("site_id", "pillar").agg(F.sum("score").alias("points"), F.sum("max_score").alias("most"), F.count_if(F.col("state") != "pass").alias("open_rows"))
+    out = out.withColumn("percent", F.when(F.col("most") > 0, F.floor(F.col("points") * 100 / F.col("most") + 0.5)).otherwise(0).cast("long"))
+    return out.withColumn("band", F.when(F.col("percent") >= 85, "Elite").when(F.col("percent") >= 70, "Strong").when(F.col("percent") >= 50, "Developing").otherwise("At risk"))
+
+
+def viewer_order(rows: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Checks of each site by state (fail, partial, warn, locked, pass), then most points, then name."""
+    weight = _map({"fail": 0, "partial": 1, "warn": 2, "locked": 3, "pass": 4}, "state", 5)
+    w = Window.partitionBy("site_id").orderBy(weight, F.desc("max_score"), "check_name")
+    return with_rubric(rows, rubric).select("site_id", "check_name", "state", F.row_number().over(w).cast("long").alias("place"))
+
+
+def summary(rows: DataFrame, rubric: DataFrame, caps: DataFrame) -> DataFrame:
+    """One row per site: overall points, evidence percentage, open rows and the attention list as text."""
+    overall = pillar_scores(rows, rubric, caps).groupBy("site_id").agg(F.max("overall").alias("overall"))
+    first = attention(rows, rubric).groupBy("site_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "check_name"))), lambda x: x["check_name"]), ",").alias("attention"))
+    counts = rows.groupBy("site_id").agg(F.count_if(~F.col("state").isin("pass", "locked")).alias("open_rows"))
+    return overall.join(evidence_score(rows, rubric).select("site_id", "percent"), "site_id").join(first, "site_id", "left").join(counts, "site_id")

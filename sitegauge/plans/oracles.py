@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sitegauge.functions.html import APP_SHELL, CHROME, ENTITIES, HIDDEN, LANDMARKS, MAIN
+from sitegauge.operators.documents import SEMVER
 from sitegauge.operators.markup import OCTET, PRIVATE, SOCIAL, TRUST
 from sitegauge.operators.robots import SIGNALS
 from sitegauge.operators.texts import BOILERPLATE, STOPWORDS
@@ -221,7 +222,90 @@ def _norm(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '[?#].*$', ''), '/+$', '')"
 
 
+def _part(tag: str) -> str:
+    return f"(?is)<(?:[a-z]+:)?{tag}(?:\\s[^>]*)?>(.*?)</(?:[a-z]+:)?{tag}\\s*>"
+
+
+def _owned(d: str) -> str:
+    return f"({d} = host or ends_with({d}, '.' || host))"
+
+
 ON_RELATIONS = {
+    "llms_validity": (
+        """with t as (select site_id, regexp_replace(coalesce(body, ''), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') as t from llms),
+c as (select site_id, t, length(t) < 20 as short, starts_with(t, '#') as titled, regexp_matches(t, 'https?://[^ \\t\\r\\n)>"]+') or regexp_matches(t, '\\[[^\\]]+\\]\\([^)]+\\)') as linked from t)
+select site_id, short, titled, linked, (case when not short and titled and linked then 2 when t <> '' then 1 else 0 end)::bigint as points from c""",
+        "llms",
+    ),
+    "header_hints": (
+        """with h as (select site_id, lower(name) as n, lower(value) as v from header)
+select site_id, bool_or(n = 'vary' and len(list_filter(string_split(v, ','), lambda x: trim(x) in ('accept', '*'))) > 0) as vary_accept, bool_or(n = 'link' and contains(v, 'alternate') and regexp_matches(v, 'text/markdown|text/plain|\\.md|llms')) as link_hint,
+  bool_or(n = 'content-location' and regexp_matches(v, '\\.(md|markdown|txt)$')) as location_hint, bool_or(n in ('content-signal', 'content-signals')) as signal,
+  bool_or(n not in ('content-type', 'vary', 'link', 'content-location', 'content-signal', 'content-signals') and regexp_matches(n || ': ' || v, 'llms|markdown|agent|token')) as other_hint from h group by 1""",
+        "header",
+    ),
+    "sitemap_entries": (
+        f"""with s as (select site_id, regexp_matches(body, '(?i)<(?:[a-z]+:)?sitemapindex[\\s>]') as is_index, body from sitemap_body),
+p as (select site_id, is_index, case when is_index then regexp_extract_all(body, '{_part('sitemap')}', 1) else regexp_extract_all(body, '{_part('url')}', 1) end as parts from s),
+e as (select site_id, is_index, unnest(range(len(parts)))::bigint as ordinal, unnest(parts) as e from p)
+select site_id, is_index, ordinal, trim(regexp_extract(e, '{_part('loc')}', 1)) as loc, nullif(trim(regexp_extract(e, '{_part('lastmod')}', 1)), '') as lastmod from e""",
+        "sitemap_body",
+    ),
+    "feed_freshness": (
+        f"""with t as (select site_id, len(regexp_extract_all(body, '(?i)<(item|entry)[\\s>]'))::bigint as items, list_concat(list_concat({', '.join(f"regexp_extract_all(body, '{_part(t)}', 1)" for t in ('pubDate', 'updated'))}), regexp_extract_all(body, '{_part('published')}', 1)) as texts from feed),
+d as (select site_id, items, list_transform(texts, lambda x: case when regexp_matches(trim(x), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast(trim(x)[1:10] as date) else try_strptime(regexp_extract(x, '([0-9]{{1,2}} [A-Za-z]{{3}} [0-9]{{4}})', 1), '%d %b %Y')::date end) as d from t),
+g as (select site_id, items, d, list_filter(d, lambda x: x is not null and x <= date '2024-06-01') as good from d)
+select site_id, items, len(good)::bigint as dated, (len(d) - len(good))::bigint as faulty, list_max(good) as latest, coalesce(date_diff('day', list_max(good), date '2024-06-01') > 180, true) as stale from g""",
+        "feed",
+    ),
+    "catalog_quality": (
+        f"""with j as (select site_id, host, case when json_type(try_cast(body as json)) = 'OBJECT' then try_cast(body as json) end as j from catalog),
+f as (select site_id, host, j, trim(json_extract_string(j, '$.specVersion')) as version, lower(json_extract_string(j, '$.host.domain')) as domain, case when json_type(json_extract(j, '$.entries')) = 'ARRAY' then json_extract(j, '$.entries[*]') end as e from j)
+select site_id, j is not null as object, coalesce(regexp_matches(version, '{SEMVER}'), false) as version, coalesce({_owned('domain')}, false) as own_host, coalesce(len(e), -1)::bigint as entries,
+  coalesce(len(list_filter(e, lambda x: not coalesce(regexp_matches(json_extract_string(x, '$.identifier'), '^urn:air:[^:]+:.') and {_owned("split_part(json_extract_string(x, '$.identifier'), ':', 3)")}, false))), 0)::bigint as foreign_entries from f""",
+        "catalog",
+    ),
+    "orphan_surfaces": (
+        """select site_id, path from surface s where found and not exists (select 1 from surface_link l where l.site_id = s.site_id and regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) <> 'elsewhere.example'
+  and regexp_replace(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = s.path)""",
+        "surface", "surface_link",
+    ),
+    "agent_readiness": (
+        """with c as (select site_id, count(*) as earned, count(*) filter (scope = 'core') as core_earned from probe_pass join probe using (ordinal) group by 1),
+s as (select *, round_even(earned / (select count(*) from probe) * 100, 0)::bigint as score, round_even(core_earned / (select count(*) from probe where scope = 'core') * 100, 0)::bigint as core_score from c)
+select *, case when score >= 70 then 'strong' when score >= 40 then 'developing' else 'limited' end as label from s""",
+        "probe_pass", "probe",
+    ),
+    "peer_validation": (
+        """with f as (
+  select name, count(*) filter (s.check_name not in ('robots_txt', 'ssr')) as unknown_checks, 2 - count(*) filter (s.check_name in ('robots_txt', 'ssr')) as missing_checks, count(*) filter (max <> coalesce(max_score, max)) as wrong_max,
+    count(*) filter (score < 0 or score > max) as score_out_of_range, count(*) filter (state not in ('pass', 'partial', 'fail', 'warn', 'locked')) as odd_states, count(*) filter (evidence not in ('verified', 'inferred', 'unknown')) as odd_evidence
+  from snapshot s left join rubric r on r.check_name = s.check_name group by 1)
+select * from f where unknown_checks + missing_checks + wrong_max + score_out_of_range + odd_states + odd_evidence > 0""",
+        "snapshot", "rubric",
+    ),
+    "viewer_pillars": (
+        """with s as (select site_id, pillar, sum(score)::bigint as points, sum(max_score)::bigint as most, count(*) filter (state <> 'pass') as open_rows from check_row join rubric using (check_name) where state <> 'locked' group by 1, 2),
+p as (select *, floor(points * 100 / most + 0.5)::bigint as percent from s)
+select *, case when percent >= 85 then 'Elite' when percent >= 70 then 'Strong' when percent >= 50 then 'Developing' else 'At risk' end as band from p""",
+        "check_row", "rubric",
+    ),
+    "viewer_order": (
+        """select site_id, check_name, state, row_number() over (partition by site_id order by case state when 'fail' then 0 when 'partial' then 1 when 'warn' then 2 when 'locked' then 3 else 4 end, max_score desc, check_name) as place
+from check_row join rubric using (check_name)""",
+        "check_row", "rubric",
+    ),
+    "report_summary": (
+        "with " + EVIDENCE + """, pl as (select site_id, pillar, least(sum(score), any_value(cap)) as points from check_row join rubric using (check_name) join pillar_cap using (pillar) group by 1, 2),
+o as (select site_id, sum(points)::bigint as overall from pl group by 1),
+a as (
+  select site_id, string_agg(check_name, ',' order by place) as attention from (
+    select site_id, check_name, row_number() over (partition by site_id order by case state when 'fail' then 0 when 'partial' then 1 else 2 end, score / max_score, check_name) as place
+    from check_row join rubric using (check_name) where state in ('fail', 'partial', 'warn')) where place <= 5 group by 1),
+n as (select site_id, count(*) filter (state not in ('pass', 'locked')) as open_rows from check_row group by 1)
+select site_id, overall, percent, attention, open_rows from o join evidence using (site_id) left join a using (site_id) join n using (site_id)""",
+        "check_row", "rubric", "pillar_cap",
+    ),
     "scope_resolution": (SCOPES, "scope_request", "preset", "override_key"),
     "probe_scope_matrix": (
         """with b as (select * from (values (false), (true)) v(x))

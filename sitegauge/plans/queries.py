@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import crawl, markup, pages, robots, scope, scoring, texts
+from sitegauge.operators import crawl, documents, markup, pages, robots, scope, scoring, texts
 from sitegauge.sources.fixtures import relation
 from sitegauge.streaming import limits
 
@@ -68,6 +68,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "social_profiles": _of(markup.social_profiles, "link"),
     "price_normalise": _of(markup.prices, "price"),
     "public_addresses": _of(markup.public_addresses, "address"),
+    "llms_validity": _of(documents.llms, "llms"),
+    "header_hints": _of(documents.headers, "header"),
+    "sitemap_entries": _of(documents.sitemap_entries, "sitemap_body"),
+    "feed_freshness": _of(lambda f: documents.feed_freshness(f, "2024-06-01"), "feed"),
+    "catalog_quality": _of(documents.catalogs, "catalog"),
+    "orphan_surfaces": _of(documents.orphan_surfaces, "surface", "surface_link"),
+    "agent_readiness": _of(documents.readiness, "probe_pass", "probe"),
+    "peer_validation": _of(lambda s, r: scoring.snapshot_faults(s, r, ("robots_txt", "ssr")), "snapshot", "rubric"),
+    "viewer_pillars": _of(scoring.viewer, "check_row", "rubric"),
+    "viewer_order": _of(scoring.viewer_order, "check_row", "rubric"),
+    "report_summary": _of(scoring.summary, "check_row", "rubric", "pillar_cap"),
     "rate_window_admission": _on("events", limits.admissions),
     "rate_window_rows": _on("events", limits.admitted_rows),
     "entity_cache_upsert": _on("events", limits.latest),

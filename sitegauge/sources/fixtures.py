@@ -128,6 +128,36 @@ ADDRESSES = [
     (12, "256.1.1.1"), (13, "198.18.0.1"), (14, "203.0.113.9"), (15, "240.0.0.1"), (16, "not an address"), (17, "1.2.3.4"),
 ]
 
+LLMS = [
+    (1, "# Acme\n\n- [Docs](https://a.example/docs)"), (2, "Acme without a title https://b.example"), (3, "# Short"), (4, "   # Padded title of a site\nno address at all   "), (5, ""), (6, "# Site with a plain address http://c.example/x"),
+]
+HEADERS = [
+    (1, "vary", "Accept-Encoding, Accept"), (1, "link", '</index.md>; rel="alternate"; type="text/markdown"'), (2, "vary", "*"), (2, "content-location", "/page.MD"), (3, "vary", "Accept-Language"),
+    (3, "content-signal", "search=yes"), (4, "x-agent-hint", "see llms.txt"), (4, "link", "<https://x.example>; rel=canonical"), (5, "content-type", "text/markdown"), (6, "server", "token-ring"),
+]
+SITEMAPS = [
+    (1, '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/1</loc><lastmod>2024-01-02</lastmod></url><url><loc> https://a.example/2 </loc></url></urlset>'),
+    (2, "<sitemapindex><sitemap><loc>https://b.example/s1.xml</loc></sitemap></sitemapindex>"), (3, "<html><body>no</body></html>"), (4, "<urlset></urlset>"), (5, "<s:urlset xmlns:s='x'><s:url><s:loc>http://e.example/</s:loc></s:url></s:urlset>"),
+]
+FEEDS = [
+    (1, "<rss><channel><item><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>"),
+    (2, "<feed><entry><updated>2023-05-06T07:08:09Z</updated></entry></feed>"), (3, "<rss><channel><item><pubDate>soon</pubDate></item></channel></rss>"), (4, "<rss><channel></channel></rss>"),
+    (5, "<feed><entry><updated>2999-01-01T00:00:00Z</updated></entry><entry><updated>2024-03-01T00:00:00Z</updated></entry></feed>"),
+]
+SNAPSHOT = [
+    ("ok", "robots_txt", 4, 6, "partial", "inferred"), ("ok", "ssr", 4, 4, "pass", "verified"), ("too much", "robots_txt", 7, 6, "pass", "inferred"), ("too much", "ssr", 1, 4, "partial", "inferred"), ("wrong max", "robots_txt", 4, 5, "pass", "inferred"),
+    ("wrong max", "ssr", 4, 4, "pass", "verified"), ("odd state", "robots_txt", 4, 6, "great", "inferred"), ("odd state", "ssr", 4, 4, "pass", "guessed"), ("unknown check", "robots_txt", 4, 6, "partial", "inferred"), ("unknown check", "magic", 1, 1, "pass", "verified"),
+    ("one missing", "ssr", 2, 4, "partial", "inferred"),
+]
+CATALOGS = [
+    (1, "a.example", '{"specVersion": "1.0", "host": {"domain": "a.example"}, "entries": [{"identifier": "urn:air:a.example:agent:x"}]}'), (2, "b.example", '{"specVersion": "one", "host": {"domain": "other.example"}, "entries": []}'),
+    (3, "c.example", "[1]"), (4, "d.example", "{broken"), (5, "e.example", '{"specVersion": "2.1.0-beta", "host": {"domain": "www.e.example"}, "entries": [{"identifier": "urn:air:evil.example:a:b"}, {"identifier": "x"}]}'),
+    (6, "f.example", '{"entries": {"a": 1}}'), (7, "g.example", ""),
+]
+SURFACES = [(1, "/openapi.json", True), (1, "/llms.txt", True), (1, "/mcp.json", False), (2, "/feed.xml", True), (2, "/.well-known/agent.json", True), (3, "/openapi.json", True)]
+SURFACE_LINKS = [(1, "https://a.example/openapi.json?v=1"), (1, "https://a.example/other"), (2, "https://b.example/feed.xml#top"), (3, "https://elsewhere.example/openapi.json"), (2, "https://b.example/.well-known/agent.json/")]
+PROBE_PASSES = [(1, k) for k in (0, 1, 4, 9, 12)] + [(2, k) for k in range(0, 20, 3)] + [(3, k) for k in range(8)]
+
 RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "rubric": (RUBRIC, "pillar string, check_name string, max_score long"),
     "pillar_cap": (PILLAR_CAPS, "pillar string, cap long"),
@@ -151,6 +181,15 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "canonical": (CANONICALS, "site_id long, final_url string, canonical string, http_final string, other_host string"),
     "price": (PRICES, "site_id long, shown string, declared string"),
     "address": (ADDRESSES, "site_id long, ip string"),
+    "llms": (LLMS, "site_id long, body string"),
+    "header": (HEADERS, "site_id long, name string, value string"),
+    "sitemap_body": (SITEMAPS, "site_id long, body string"),
+    "feed": (FEEDS, "site_id long, body string"),
+    "snapshot": (SNAPSHOT, "name string, check_name string, score long, max long, state string, evidence string"),
+    "catalog": (CATALOGS, "site_id long, host string, body string"),
+    "surface": (SURFACES, "site_id long, path string, found boolean"),
+    "surface_link": (SURFACE_LINKS, "site_id long, href string"),
+    "probe_pass": (PROBE_PASSES, "site_id long, ordinal long"),
     "check_row": (CHECK_ROWS, "site_id long, check_name string, score long, state string, evidence string, effort string"),
 }
 
