@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sitegauge.functions.html import APP_SHELL, CHROME, ENTITIES, HIDDEN, LANDMARKS, MAIN
 from sitegauge.operators.documents import SEMVER
+from sitegauge.operators.forms import GENERIC_NAMES, NO_FIELD, PLACEHOLDERS, PURPOSES
 from sitegauge.operators.markup import OCTET, PRIVATE, SOCIAL, TRUST
 from sitegauge.operators.robots import SIGNALS
 from sitegauge.operators.texts import BOILERPLATE, STOPWORDS
@@ -230,7 +231,55 @@ def _owned(d: str) -> str:
     return f"({d} = host or ends_with({d}, '.' || host))"
 
 
+def _attr(tag: str, name: str) -> str:
+    return f"lower(trim(regexp_extract({tag}, '(?i)\\s{name}\\s*=\\s*[\"'']?([^\"''>]*)[\"'']?', 1)))"
+
+
+def _among(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 ON_RELATIONS = {
+    "form_affordances": (
+        f"""with f as (select site_id, unnest(regexp_extract_all(html, '(?is)<form(?:\\s[^>]*)?>.*?</form\\s*>')) as f from form_page),
+o as (select site_id, f, regexp_extract(f, '(?is)^<form(?:\\s[^>]*)?>') as o from f),
+a as (
+  select site_id, {_attr('o', 'action')} as action, {_attr('o', 'method')} as method, regexp_matches(f, '(?i)<button|<input[^>]*type=["'']?submit') as submits,
+    list_filter(regexp_extract_all(f, '(?is)<(?:input|select|textarea)(?:\\s[^>]*)?>'), lambda t: not regexp_matches(t, '(?i)^<input') or {_attr('t', 'type')} not in {_among(NO_FIELD)}) as fields from o)
+select site_id, count(*) as forms, count(*) filter (action = '') as no_action, count(*) filter (regexp_matches(action, '^(javascript:|#)')) as script_only, count(*) filter (method = '') as no_method,
+  count(*) filter (method not in ('', 'get', 'post', 'dialog')) as odd_method, sum(len(list_filter(fields, lambda t: {_attr('t', 'name')} in {_among(GENERIC_NAMES)})))::bigint as unnamed_fields,
+  sum(len(list_filter(fields, lambda t: regexp_matches(t, '(?i)^<input') and ({_attr('t', 'type')} in ('email', 'tel', 'url', 'password') or regexp_matches({_attr('t', 'name')} || ' ' || {_attr('t', 'id')} || ' ' || {_attr('t', 'placeholder')}, '{PURPOSES}'))
+    and {_attr('t', 'autocomplete')} in ('', 'off'))))::bigint as no_autocomplete, count(*) filter (not submits) as no_submit,
+  count(*) filter (action <> '' and not regexp_matches(action, '^(javascript:|#)') and method in ('get', 'post', 'dialog')) as usable from a group by 1""",
+        "form_page",
+    ),
+    "url_normalise": (
+        """with p as (
+  select site_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) as s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as h, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as p,
+    regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) as q from url),
+k as (select *, s in ('http', 'https') and h <> '' as ok, case when p = '' then '/' else p end as pp, case when s = 'http' then regexp_replace(h, ':80$', '') else regexp_replace(h, ':443$', '') end as hh from p)
+select site_id, case when ok then s || '://' || hh || pp end as page_key, case when ok then s || '://' || h || pp || q end as exact_key from k""",
+        "url",
+    ),
+    "entity_lookup_score": (
+        """with j as (select site_id, coalesce(status, 0) <> 200 as failed, coalesce(in_wikidata, false) as a, coalesce(in_wikipedia, false) as b from lookup left join entity using (name))
+select site_id, (case when failed then 2 when a and b then 4 when a then 3 when b then 2 else 0 end)::bigint as score, case when failed then 'warn' when a and b then 'pass' when a or b then 'partial' else 'fail' end as state,
+  case when failed then 'unknown' else 'verified' end as evidence from j""",
+        "lookup", "entity",
+    ),
+    "search_blurb_issues": (
+        f"""with s as (select site_id, sum(n)::bigint as shared from (select site_id, lower(description) as k, count(*) as n from blurb where description is not null group by 1, 2 having count(*) > 1) group by 1),
+c as (select site_id, count(*) as pages, count(*) filter (title is null) as no_title, count(*) filter (description is null) as no_description, count(*) filter (length(description) < 50) as short, count(*) filter (length(description) > 200) as long,
+  count(*) filter (regexp_matches(lower(description), '{PLACEHOLDERS}')) as placeholder from blurb group by 1)
+select c.*, coalesce(shared, 0) as shared from c left join s using (site_id)""",
+        "blurb",
+    ),
+    "locked_rows": (
+        """with s as (select site_id, pillar, sum(score)::bigint as points, sum(max_score)::bigint as open_most from check_row join rubric using (check_name) group by 1, 2),
+l as (select pillar, sum(max_score)::bigint as locked_most from locked group by 1)
+select site_id, pillar, points, open_most, coalesce(locked_most, 0) as locked_most, open_most + coalesce(locked_most, 0) as most from s left join l using (pillar)""",
+        "check_row", "rubric", "locked",
+    ),
     "llms_validity": (
         """with t as (select site_id, regexp_replace(coalesce(body, ''), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') as t from llms),
 c as (select site_id, t, length(t) < 20 as short, starts_with(t, '#') as titled, regexp_matches(t, 'https?://[^ \\t\\r\\n)>"]+') or regexp_matches(t, '\\[[^\\]]+\\]\\([^)]+\\)') as linked from t)

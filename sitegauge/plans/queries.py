@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import crawl, documents, markup, pages, robots, scope, scoring, texts
+from sitegauge.operators import crawl, documents, forms, markup, pages, robots, scope, scoring, texts
 from sitegauge.sources.fixtures import relation
 from sitegauge.streaming import limits
 
@@ -79,6 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "viewer_pillars": _of(scoring.viewer, "check_row", "rubric"),
     "viewer_order": _of(scoring.viewer_order, "check_row", "rubric"),
     "report_summary": _of(scoring.summary, "check_row", "rubric", "pillar_cap"),
+    "form_affordances": _of(forms.form_faults, "form_page"),
+    "url_normalise": _of(forms.normal_urls, "url"),
+    "entity_lookup_score": _of(forms.entity_score, "lookup", "entity"),
+    "search_blurb_issues": _of(forms.blurb_faults, "blurb"),
+    "locked_rows": _of(forms.with_locked, "check_row", "rubric", "locked"),
     "rate_window_admission": _on("events", limits.admissions),
     "rate_window_rows": _on("events", limits.admitted_rows),
     "entity_cache_upsert": _on("events", limits.latest),

@@ -158,6 +158,26 @@ SURFACES = [(1, "/openapi.json", True), (1, "/llms.txt", True), (1, "/mcp.json",
 SURFACE_LINKS = [(1, "https://a.example/openapi.json?v=1"), (1, "https://a.example/other"), (2, "https://b.example/feed.xml#top"), (3, "https://elsewhere.example/openapi.json"), (2, "https://b.example/.well-known/agent.json/")]
 PROBE_PASSES = [(1, k) for k in (0, 1, 4, 9, 12)] + [(2, k) for k in range(0, 20, 3)] + [(3, k) for k in range(8)]
 
+#: Rows that are not scored here (pillar, check, most points).
+LOCKED = [
+    ("off_site", "earned_mentions_backlinks", 8), ("off_site", "owned_social_presence", 6), ("off_site", "social_traction_reviews", 6), ("off_site", "ai_citation_share", 4), ("scrapability", "extraction_fidelity", 4),
+    ("scrapability", "agent_task_simulation", 3), ("seo", "multi_engine_index_coverage", 5), ("seo", "core_web_vitals", 5), ("seo", "keyword_competitor_gap", 3),
+]
+FORMS = [
+    (1, '<form action="/search" method="get"><input name="q"><button>Go</button></form>'), (2, '<form><input type="email" name="mail"><input type="hidden" name="t"></form>'),
+    (3, '<form action="javascript:send()" method="put"><textarea name="field1"></textarea><select name=""></select><input type="submit" value="Send"></form>'), (4, "<p>No form here</p>"),
+    (5, '<form action="#" method="post"><input type="tel" name="phone" autocomplete="tel"><input type="password" name="secret" autocomplete="off"></form><form action="/b" method="POST"><input name="input"></form>'),
+]
+URLS = [
+    (1, "HTTPS://A.Example:443/Path/?q=1#f"), (2, "http://b.example:8080"), (3, "http://b.example:80/"), (4, "ftp://c.example/x"), (5, "https://d.example//"), (6, "not a url"), (7, "https://e.example/a/b/?x"), (8, None), (9, "https://a.example/Path"),
+]
+ENTITIES = [("acme", True, True), ("bolt", True, False), ("corp", False, True), ("dome", False, False)]
+LOOKUPS = [(1, "acme", 200), (2, "bolt", 200), (3, "corp", 200), (4, "dome", 200), (5, "acme", 429), (6, "none", 200), (7, "bolt", None)]
+BLURBS = [
+    (1, 1, "Acme", "Buy the best anvils in town from Acme, since 1990, with free delivery to every canyon."), (1, 2, "Acme", "Short."), (1, 3, None, "Buy the best anvils in town from Acme, since 1990, with free delivery to every canyon."), (2, 1, "B", None),
+    (2, 2, "C", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt."), (3, 1, "D", "Coming soon" + " and more" * 30),
+]
+
 RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "rubric": (RUBRIC, "pillar string, check_name string, max_score long"),
     "pillar_cap": (PILLAR_CAPS, "pillar string, cap long"),
@@ -190,6 +210,12 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "surface": (SURFACES, "site_id long, path string, found boolean"),
     "surface_link": (SURFACE_LINKS, "site_id long, href string"),
     "probe_pass": (PROBE_PASSES, "site_id long, ordinal long"),
+    "locked": (LOCKED, "pillar string, check_name string, max_score long"),
+    "form_page": (FORMS, "site_id long, html string"),
+    "url": (URLS, "site_id long, url string"),
+    "entity": (ENTITIES, "name string, in_wikidata boolean, in_wikipedia boolean"),
+    "lookup": (LOOKUPS, "site_id long, name string, status long"),
+    "blurb": (BLURBS, "site_id long, page long, title string, description string"),
     "check_row": (CHECK_ROWS, "site_id long, check_name string, score long, state string, evidence string, effort string"),
 }
 
