@@ -1,11 +1,14 @@
 """Token ids as binary shards in training order.
 
-Method. Texts are encoded once, cut into sequences of at most ``stride`` ids, and written as a table in the shared folder; the
-sequences are numbered 0 .. N-1 by (partition, place in it). A Feistel network keyed by ``key`` permutes the
-numbers; as its domain is a power of four, results of N or more are sent through it again until they fall below N
-(cycle-walking), so it is a bijection on 0 .. N-1 and a sequence's slot needs no table. Slots are dealt in ranges: each
-task gets the whole of a shard, sorts it by slot and writes records of one fixed size, so slot s is at byte
-(s mod shard) * record of shard s // shard, and reading can go on from any slot.
+Method. Every sequence (at most ``stride`` ids of one text) has a number, its partition and its place there. A Feistel
+network keyed by ``key`` permutes the numbers; its own domain is a power of four, and results outside ``DOMAIN`` go through it again
+(cycle-walking), so the codes are a bijection of the numbers. The order of the codes is the training order: a
+sequence's global slot is the rank of its code. The codes are spread evenly, so equal ranges of them are equal shares: each task
+gets whole ranges, sorted by code, and writes one shard of records of fixed size for each. Slot s is record s - base of
+the shard whose base is the last not above s, and reading goes on from any slot.
+
+Slots are ranks, and not the codes of a dense numbering, because a dense number needs all counts before the
+shuffle: the ids would have to be made twice, or kept a second time (over three times the input on disk, with shuffle and shards).
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from sitegauge.runtime import shared_dir
 from .bpe import load
 from .common import text_buffer
 
-STRIDE, SHARD, ROUNDS = 512, 16384, 6
+STRIDE, ROUNDS = 256, 6
+#: Numbers are partition * PLACES + place, below DOMAIN.
+DOMAIN, PLACES = 10**18, 10**11
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -54,70 +59,53 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _sequences(docs: DataFrame, path: str, stride: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def _sequences(docs: DataFrame, path: str, stride: int, shards: int, key: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
+    width = -(-DOMAIN // shards)
 
     def run(batches):
         model, made, part = load(path), 0, TaskContext.get().partitionId()
         wide = "<u2" if model.size <= 1 << 16 else "<u4"
         for batch in batches:
             data, bounds = text_buffer(batch.column(1))
-            rows, piece, ids_ = [], [], []
             for first, ids, counts in model.encode(data, bounds):
-                at = 0
+                rows, piece, packed, at = [], [], [], 0
                 for k, n in enumerate(counts.tolist(), first):
                     own = np.append(ids[at : at + n], end_id).astype(wide)
                     at += n
                     for i, a in enumerate(range(0, len(own), stride)):
-                        rows.append(k), piece.append(i), ids_.append(zlib.compress(own[a : a + stride].tobytes(), 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array([part] * len(rows), pa.int32()), pa.array(range(made, made + len(rows)), pa.int64()), pa.array(ids_, pa.binary())],
-                names=[id_col, "piece", "part", "place", "packed"],
-            )
-            made += len(rows)
+                        rows.append(k), piece.append(i), packed.append(zlib.compress(own[a : a + stride].tobytes(), 1))
+                code = permute(part * PLACES + np.arange(made, made + len(rows)), DOMAIN, key)
+                made += len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(packed, pa.binary()), pa.array(code), pa.array((code // width).astype(np.int32))],
+                    names=[id_col, "piece", "packed", "code", "shard"],
+                )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, part int, place long, packed binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, packed binary, code long, shard int")
 
 
 def materialise(
-    docs: DataFrame, out: str, path: str, stride: int = STRIDE, shard: int = SHARD, key: int = 1, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, out: str, path: str, stride: int = STRIDE, shards: int | None = None, key: int = 1, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Write the shards to the folder ``out`` (shared, any store pyarrow reaches) and return a row for each sequence.
 
-    id, piece, slot, shard, place (in the shard), n_ids, ids_crc32 (little-endian unsigned 32-bit). The shards are written
-    whenever the result is computed; a file appears under its name only when whole, and a task that runs again writes the
+    id, piece, slot, shard, place (in the shard), n_ids, ids_crc32 (little-endian unsigned 32-bit). There are ``shards`` ranges, by
+    default as many as shuffle partitions. A file appears under its name only when whole, and a task that runs again writes the
     same bytes. A null or empty text is the one id ``end_id``; null ids and repeated rows are sequences like any other.
-    An empty table has no shard.
+    An empty table has no shard. Rows are written beside the shards, and read again once all counts are known.
     """
     spark = docs.sparkSession
-    store = f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
-    _sequences(docs, path, stride, end_id, id_col, text_col).write.option("compression", "none").parquet(store)
-    rows = spark.read.parquet(store)
-    counts = rows.groupBy("part").count()
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task that wrote
-    base = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    total = rows.count()
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     wide = 2 if load(path).size <= 1 << 16 else 4
     record = 4 + wide * stride
     where, folder = _filesystem(out)
     where.create_dir(folder, recursive=True)
-    with where.open_output_stream(f"{folder}/meta.json") as f:
-        f.write(json.dumps({"sequences": total, "stride": stride, "shard": shard, "id_bytes": wide, "record": record, "key": key}).encode())
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def place(batches):
-        for batch in batches:
-            slots = permute(np.asarray(batch.column(3)), total, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(slots), pa.array((slots // shard).astype(np.int32))], names=[*batch.schema.names[:3], "slot", "shard"])
-
-    numbered = rows.join(base, "part").select(id_col, "piece", "packed", (F.col("base") + F.col("place")).alias("number"))
-    placed = numbered.mapInArrow(place, f"`{id_col}` {kind}, piece int, packed binary, slot long, shard int")
-    shards = max(1, -(-total // shard))
-    dealt = placed.repartitionById(shards, "shard").sortWithinPartitions("slot")
-
     def write(batches):
         where, folder = _filesystem(out)
-        stream, current, own = None, None, uuid.uuid4().hex
+        stream, current, written, own = None, None, 0, uuid.uuid4().hex
 
         def finish():
             if stream is not None:
@@ -125,23 +113,34 @@ def materialise(
                 where.move(f"{folder}/.{own}-{current}", f"{folder}/{name(current)}")
 
         for batch in batches:
-            slots, numbers = np.asarray(batch.column(3)), np.asarray(batch.column(4))
-            sizes, crcs = [], []
-            for packed, number in zip(batch.column(2).to_pylist(), numbers.tolist()):
+            sizes, crcs, places = [], [], []
+            for packed, number in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 if number != current:
                     finish()
-                    stream, current = where.open_output_stream(f"{folder}/.{own}-{number}"), number
+                    stream, current, written = where.open_output_stream(f"{folder}/.{own}-{number}"), number, 0
                 raw = zlib.decompress(packed)
                 sizes.append(len(raw) // wide)
+                places.append(written)
+                written += 1
                 stream.write(np.uint32(sizes[-1]).tobytes() + raw.ljust(record - 4, b"\0"))
                 crcs.append(zlib.crc32(np.frombuffer(raw, f"<u{wide}").astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(slots % shard), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64())],
-                names=[id_col, "piece", "slot", "shard", "place", "n_ids", "ids_crc32"],
+                [batch.column(0), batch.column(1), batch.column(4), pa.array(places, pa.int64()), pa.array(sizes, pa.int32()), pa.array(crcs, pa.int64())],
+                names=[id_col, "piece", "shard", "place", "n_ids", "ids_crc32"],
             )
         finish()
 
-    return dealt.mapInArrow(write, f"`{id_col}` {kind}, piece int, slot long, shard int, place long, n_ids int, ids_crc32 long")
+    rows = _sequences(docs, path, stride, shards, key, end_id, id_col, text_col).repartitionById(shards, "shard").sortWithinPartitions("code")
+    index = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    rows.mapInArrow(write, f"`{id_col}` {kind}, piece int, shard int, place long, n_ids int, ids_crc32 long").write.parquet(index)
+    placed = spark.read.parquet(index)
+    counts = placed.groupBy("shard").count()
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
+    base = counts.select("shard", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    sizes = {r["shard"]: r["count"] for r in base.collect()}
+    with where.open_output_stream(f"{folder}/meta.json") as f:
+        f.write(json.dumps({"stride": stride, "id_bytes": wide, "record": record, "key": key, "shards": sorted(sizes.items())}).encode())
+    return placed.join(base, "shard").select(id_col, "piece", (F.col("base") + F.col("place")).alias("slot"), "shard", "place", "n_ids", "ids_crc32")
 
 
 def name(number: int) -> str:
@@ -153,16 +152,16 @@ def read(out: str, first: int = 0, many: int | None = None):
     where, folder = _filesystem(out)
     with where.open_input_stream(f"{folder}/meta.json") as f:
         meta = json.loads(f.read())
-    last = meta["sequences"] if many is None else min(meta["sequences"], first + many)
-    while first < last:
-        number, place = divmod(first, meta["shard"])
-        stop = min(last, (number + 1) * meta["shard"])
-        with where.open_input_file(f"{folder}/{name(number)}") as f:
-            f.seek(place * meta["record"])
-            for _ in range(first, stop):
-                raw = f.read(meta["record"])
-                yield np.frombuffer(raw, f"<u{meta['id_bytes']}", int.from_bytes(raw[:4], "little"), 4)
-        first = stop
+    base, record = 0, meta["record"]
+    last = sum(n for _, n in meta["shards"]) if many is None else first + many
+    for number, n in meta["shards"]:
+        if base + n > first and base < last:
+            with where.open_input_file(f"{folder}/{name(number)}") as f:
+                f.seek((max(first, base) - base) * record)
+                for _ in range(max(first, base), min(last, base + n)):
+                    raw = f.read(record)
+                    yield np.frombuffer(raw, f"<u{meta['id_bytes']}", int.from_bytes(raw[:4], "little"), 4)
+        base += n
 
 
 def default_folder(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sitegauge.llm.common import prepare
-from sitegauge.llm.shards import default_folder, materialise, permute, read
+from sitegauge.llm.shards import DOMAIN, default_folder, materialise, permute, read
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,6 +21,14 @@ def test_bijection(n):
         assert abs(np.corrcoef(np.arange(n), slots)[0, 1]) < 0.1
 
 
+def test_cycle_walking():
+    numbers = np.concatenate([np.arange(20000), 3 * 10**11 + np.arange(20000)])
+    codes = permute(numbers, DOMAIN, 3)
+    assert len(set(codes.tolist())) == len(codes) and codes.min() >= 0 and codes.max() < DOMAIN
+    share = np.bincount(codes // (DOMAIN // 10), minlength=10)
+    assert abs(share - 4000).max() < 400
+
+
 def test_round_trip(spark):
     prepare(spark)
     rng = random.Random(2)
@@ -28,12 +36,13 @@ def test_round_trip(spark):
     rows += [(60, None, 1), (61, "", 1), (None, "x", 1), (62, "word " * 3000, 1), (3, rows[3][1], 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, slot int")
     out = default_folder(spark)
-    got = materialise(docs, out, PATH, stride=16, shard=32).collect()
+    got = materialise(docs, out, PATH, stride=16, shards=5).collect()
     found = list(read(out))
     assert sorted(r.slot for r in got) == list(range(len(got))) and len(found) == len(got)
+    assert [(r.shard, r.place) for r in sorted(got, key=lambda r: r.slot)] == sorted((r.shard, r.place) for r in got) and len({r.shard for r in got}) == 5
     texts = {}
     for r in got:
-        assert r.shard == r.slot // 32 and r.place == r.slot % 32 and len(found[r.slot]) == r.n_ids <= 16
+        assert len(found[r.slot]) == r.n_ids <= 16
         texts.setdefault(r.doc_id, []).append((r.piece, found[r.slot].tolist()))
     library = Tokenizer.from_file(PATH)
     for i, t, _ in rows:
