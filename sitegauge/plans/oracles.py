@@ -134,6 +134,11 @@ with l as (select event_type, epoch_us(ts) - epoch_us(lag(ts) over (partition by
 select event_type, count(*) as lookups, count(*) filter (age < 30 * 86400000000) as hits from l group by 1""",
 }
 
+RAW["site_audit"] = f"""
+with home as ({RAW['homepages']}), ssr as ({RAW['ssr_readability']}), html as ({RAW['html_structure']}),
+p as (select host, ssr.score + html.score as overall, 11::bigint as unknown_checks, round_even((ssr.score + html.score) / 8 * 100, 0)::bigint as percent from home join ssr using (page_id) join html using (page_id))
+select host, overall, unknown_checks, percent, round_even((select count(*) from p q where q.percent <= p.percent) / (select count(*) from p) * 100, 0)::bigint as percentile from p"""
+
 LINES = """
 with split as (select site_id, regexp_split_to_array(body, '\\r\\n|\\n|\\r') as l from robots),
 raw as (select site_id, unnest(l) as raw, unnest(range(len(l))) as line_no from split),

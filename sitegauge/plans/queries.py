@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import crawl, documents, forms, markup, pages, robots, scope, scoring, texts
+from sitegauge.operators import audit, crawl, documents, forms, markup, pages, robots, scope, scoring, texts
 from sitegauge.sources.fixtures import relation
 from sitegauge.streaming import limits
 
@@ -28,6 +28,7 @@ def _peers(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "site_audit": lambda spark, sf_dir: audit.site_audit(spark.read.parquet(f"{sf_dir}/pages.parquet"), relation(spark, "rubric")),
     "ssr_readability": _on("pages", pages.readability),
     "extraction_efficiency": _on("pages", lambda p: pages.text_metrics(p).drop("app_shell", "boilerplate_ratio", "navigation_ratio", "script_style_ratio", "html_text_ratio")),
     "html_structure": _on("pages", pages.structure),
