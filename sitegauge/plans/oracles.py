@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sitegauge.functions.html import APP_SHELL, CHROME, ENTITIES, HIDDEN, LANDMARKS, MAIN
 from sitegauge.operators.documents import SEMVER
+from sitegauge.operators.evidence import COMPARED, DNS_TOKENS, JSON_SURFACES
 from sitegauge.operators.forms import GENERIC_NAMES, NO_FIELD, PLACEHOLDERS, PURPOSES
 from sitegauge.operators.markup import OCTET, PRIVATE, SOCIAL, TRUST
 from sitegauge.operators.robots import SIGNALS
@@ -245,6 +246,45 @@ def _among(values: tuple[str, ...]) -> str:
 
 
 ON_RELATIONS = {
+    "routing_differences": (
+        """with d as (
+  select r.site_id, r.bot, concat_ws(',', case when r.status is distinct from b.status then 'status' end, case when r.final_url is distinct from b.final_url then 'final_url' end, case when r.canonical is distinct from b.canonical then 'canonical' end,
+    case when b.bytes >= 1024 and (r.bytes < b.bytes * 0.6 or r.bytes > b.bytes * 1.6) then 'bytes' end, case when b.words >= 80 and (r.words < b.words * 0.6 or r.words > b.words * 1.6) then 'words' end) as differs
+  from route r join route b on b.site_id = r.site_id and b.bot = 'browser' where r.bot <> 'browser')
+select * from d where differs <> ''""",
+        "route",
+    ),
+    "dns_discovery": (
+        "with h as (select *, " + " or ".join(f"contains(lower(txt), '{t}')" for t in DNS_TOKENS) + " as hit from dns where rtype = 'TXT') select site_id, count(*) filter (hit) as hits, min(name) filter (hit) as first_name from h group by 1",
+        "dns",
+    ),
+    "surface_validity": (
+        f"""with t as (select *, regexp_replace(body, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') as t from surface_body)
+select site_id, kind, length(body)::bigint as chars, length(t) >= 20 and case when kind in {_among(JSON_SURFACES)} then coalesce(json_type(try_cast(t as json)) in ('ARRAY', 'OBJECT'), false)
+  when kind = 'content feed' then regexp_matches(t, '(?i)^(<\\?xml[^>]*>\\s*)?<(rss|feed|rdf:rdf)[\\s>]') when kind = 'auth.md' then starts_with(t, '#') or contains(lower(t), 'authorization') else true end as valid from t""",
+        "surface_body",
+    ),
+    "commerce_mismatch": (
+        f"""with n as (select site_id, side, field, nullif(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))), '') as value from commerce),
+f as (select site_id, field, v.value as v, s.value as s from (select * from n where side = 'visible') v full join (select * from n where side = 'schema') s using (site_id, field)),
+k as (select site_id, field, case when v is null and s is null then null when v is null then 'schema only' when s is null then 'visible only' when field in {_among(COMPARED)} and v <> s then 'different' end as mismatch from f)
+select * from k where mismatch is not null""",
+        "commerce",
+    ),
+    "cached_lookups": (
+        """with l as (select *, row_number() over (partition by cache_key order by checked desc) as k from cache)
+select cache_key, score, date_diff('day', checked::date, date '2024-06-01')::bigint as age_days, date_diff('day', checked::date, date '2024-06-01') < 30 as fresh from l where k = 1""",
+        "cache",
+    ),
+    "report_checks_json": (
+        """select site_id, to_json(list({'check_name': check_name, 'pillar': pillar, 'state': state, 'score': score, 'max_score': max_score} order by check_name))::varchar as checks from check_row join rubric using (check_name) group by 1""",
+        "check_row", "rubric",
+    ),
+    "top_gap_per_pillar": (
+        """select site_id, pillar, check_name, missing from (select site_id, pillar, check_name, max_score - score as missing, row_number() over (partition by site_id, pillar order by max_score - score desc, check_name) as k
+  from check_row join rubric using (check_name) where state <> 'pass') where k = 1""",
+        "check_row", "rubric",
+    ),
     "form_affordances": (
         f"""with f as (select site_id, unnest(regexp_extract_all(html, '(?is)<form(?:\\s[^>]*)?>.*?</form\\s*>')) as f from form_page),
 o as (select site_id, f, regexp_extract(f, '(?is)^<form(?:\\s[^>]*)?>') as o from f),

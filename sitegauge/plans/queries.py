@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import audit, crawl, documents, forms, markup, pages, robots, scope, scoring, texts
+from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, texts
 from sitegauge.sources.fixtures import relation
 from sitegauge.streaming import limits
 
@@ -85,6 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "entity_lookup_score": _of(forms.entity_score, "lookup", "entity"),
     "search_blurb_issues": _of(forms.blurb_faults, "blurb"),
     "locked_rows": _of(forms.with_locked, "check_row", "rubric", "locked"),
+    "routing_differences": _of(evidence.routing, "route"),
+    "dns_discovery": _of(evidence.dns_discovery, "dns"),
+    "surface_validity": _of(evidence.surface_validity, "surface_body"),
+    "commerce_mismatch": _of(evidence.commerce_mismatches, "commerce"),
+    "cached_lookups": _of(lambda c: evidence.cached(c, "2024-06-01"), "cache"),
+    "report_checks_json": _of(evidence.report_json, "check_row", "rubric"),
+    "top_gap_per_pillar": _of(evidence.best_per_pillar, "check_row", "rubric"),
     "rate_window_admission": _on("events", limits.admissions),
     "rate_window_rows": _on("events", limits.admitted_rows),
     "entity_cache_upsert": _on("events", limits.latest),

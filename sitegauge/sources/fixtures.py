@@ -178,6 +178,23 @@ BLURBS = [
     (2, 2, "C", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt."), (3, 1, "D", "Coming soon" + " and more" * 30),
 ]
 
+ROUTES = [
+    (1, "browser", 200, "https://a.example/", "https://a.example", 20000, 500), (1, "Googlebot", 200, "https://a.example/", "https://a.example", 21000, 480), (1, "GPTBot", 403, "https://a.example/", None, 900, 10),
+    (1, "CCBot", 200, "https://a.example/en", "https://a.example/en", 40000, 900), (2, "browser", 200, "https://b.example/", None, 800, 20), (2, "Googlebot", 200, "https://b.example/", "https://b.example", 100, 2), (2, "GPTBot", None, "https://b.example/", None, 0, 0),
+]
+DNS = [
+    (1, "a.example", "TXT", "v=spf1 -all"), (1, "_agent.a.example", "TXT", "agent=https://a.example/agent.json"), (2, "b.example", "TXT", "mcp endpoint"), (2, "b.example", "MX", "agent"), (3, "_dns-aid.c.example", "TXT", "AID=1"), (4, "d.example", "TXT", "nothing here"),
+]
+SURFACE_BODIES = [
+    (1, "MCP server card", '{"name": "server", "tools": []}'), (1, "auth.md", "# Authorization\nUse a key here."), (1, "content feed", "<rss><channel><title>x</title></channel></rss>"), (2, "MCP server card", "not json at all, sadly"),
+    (2, "content feed", "<html><body>nothing</body></html>"), (2, "auth.md", "no heading but Authorization is named"), (3, "llms.txt", "short"), (3, "llms.txt", "# A title and some more text"), (3, "API catalog", '[{"linkset": "1234567890"}]'), (4, "API catalog", ""),
+]
+COMMERCE = [
+    (1, "visible", "product_name", "Red Anvil"), (1, "schema", "product_name", "red  anvil"), (1, "visible", "price", "10.00"), (1, "schema", "price", "12.00"), (1, "visible", "shipping", "free"), (2, "schema", "availability", "InStock"),
+    (2, "visible", "returns", "30 days"), (2, "schema", "returns", "none"), (3, "visible", "sku_or_gtin", ""), (3, "schema", "sku_or_gtin", "A1"), (3, "visible", "availability", "in stock"), (3, "schema", "availability", "In Stock"),
+]
+CACHE = [("a", "2024-01-01", 4), ("a", "2024-03-01", 3), ("b", "2024-05-02", 2), ("c", "2024-05-31", 0), ("d", "2024-06-01", 4)]
+
 RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "rubric": (RUBRIC, "pillar string, check_name string, max_score long"),
     "pillar_cap": (PILLAR_CAPS, "pillar string, cap long"),
@@ -216,6 +233,11 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "entity": (ENTITIES, "name string, in_wikidata boolean, in_wikipedia boolean"),
     "lookup": (LOOKUPS, "site_id long, name string, status long"),
     "blurb": (BLURBS, "site_id long, page long, title string, description string"),
+    "route": (ROUTES, "site_id long, bot string, status long, final_url string, canonical string, bytes long, words long"),
+    "dns": (DNS, "site_id long, name string, rtype string, txt string"),
+    "surface_body": (SURFACE_BODIES, "site_id long, kind string, body string"),
+    "commerce": (COMMERCE, "site_id long, side string, field string, value string"),
+    "cache": (CACHE, "cache_key string, checked string, score long"),
     "check_row": (CHECK_ROWS, "site_id long, check_name string, score long, state string, evidence string, effort string"),
 }
 
