@@ -1,11 +1,11 @@
 """Main-text extraction by wrapper induction.
 
-Method: pages of a host are made from one template. A bounded set of pages of each host (that of least hash of each of
-``SAMPLE`` slots) is parsed into DOM trees, which are aligned one after another by simple tree matching; nodes that
-hold the same text in all aligned pages are template, nodes whose text varies are content slots. The
-wrapper of a host is the set of its constant (path, text) pairs. Every page is then read whole: its article (``article`` or
-``main``; else the body) without the parts that are never content (menus, forms, notices and so on, by tag,
-role, class and id) and, outside an article, without the host's template nodes.
+Method: pages of a host are made from a few templates. Every page is parsed into its DOM tree, whose blocks have a path of labels
+and a text (that of their inline nodes with it). Blocks align by path; over all pages of a host, of which those with equal
+blocks count once, a (path, text) pair that stands in ``SHARE`` of the pages with its path is template, the others are
+content slots. The share is taken over the host and over each of its layouts (pages with equal upper paths). Every page
+is then read whole: its article (``article`` or ``main``; else the body) without the parts that are never content (menus, forms,
+notices and so on, by tag, role, class and id) and without the host's template blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as _html
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from sitegauge.runtime import cut
 
-#: Pages of each host that are aligned, and how many must hold a text for it to be template.
-SAMPLE, LEAST_PAGES = 6, 3
-#: Bytes of all hosts' wrappers, or of the sampled pages' ids, up to which they are broadcast; beyond, they are joined by shuffles.
+#: How many pages, and what share of the pages with its path, must hold a text for it to be template.
+LEAST_PAGES, SHARE = 3, 0.5
+#: Bytes of all hosts' wrappers up to which they are broadcast; beyond, they are joined by shuffles.
 BROADCAST_BYTES = 4 << 20
 #: Cells of one alignment table of two nodes' children; longer lists are aligned by their equal ends only.
 _CELLS = 40_000
@@ -133,8 +134,21 @@ def parse(page: str) -> Node:
     return root
 
 
-def _own_text(node: Node) -> str:
-    return " ".join(_html.unescape("".join(k for k in node.kids if isinstance(k, str))).split())
+def _block(node: Node) -> tuple[str, list[Node]]:
+    """The text of a block with its inline nodes, and the blocks in it, in order."""
+    text, blocks, queue = [], [], node.kids[::-1]
+    while queue:
+        k = queue.pop()
+        if isinstance(k, str):
+            text.append(k)
+        elif k.dropped or k.tag not in INLINE:
+            blocks.append(k)
+            text.append(" ")
+        elif k.tag == "br":
+            text.append(" ")
+        else:
+            queue += k.kids[::-1]
+    return " ".join(_html.unescape("".join(text)).split()), blocks
 
 
 def matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
@@ -170,31 +184,47 @@ def matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, No
 
 
 def _key(path: str, text: str) -> int:
-    return zlib.crc32(text.encode(), zlib.crc32(path.encode())) | len(text) % (1 << 31) << 32
+    """The hash of the path above that of the text, as a signed number."""
+    key = zlib.crc32(path.encode()) << 32 | zlib.crc32(text.encode())
+    return key - (key >> 63 << 64)
 
 
-def induce(pages: list[str]) -> list[int]:
-    """The wrapper of some pages of one host: keys of the (path, text) pairs that are the same in every aligned page."""
-    if len(pages) < LEAST_PAGES:
-        return []
-    first, *rest = (parse(p) for p in pages)
-    texts = {}
-    queue = [first]
+def page_keys(page: str) -> tuple[list[int], int]:
+    """Keys of the (path, text) pairs of a page's blocks, sorted, and its layout: the hash of its upper paths."""
+    keys, upper, queue = set(), set(), [parse(page)]
     while queue:
         n = queue.pop()
-        texts[id(n)] = (n, _own_text(n))
-        queue += [k for k in n.kids if isinstance(k, Node)]
-    same = {k: 1 for k in texts}
-    for other in rest:
-        for a, b in matching(first, other)[1]:
-            if texts[id(a)][1] and _own_text(b) == texts[id(a)][1]:
-                same[id(a)] += 1
-    constant = {k: texts[k] for k, n in same.items() if n == len(pages)}
-    return sorted({_key(n.path, t) for n, t in constant.values() if t})
+        if n.path.count("/") <= 4:
+            upper.add(n.path)
+        if n.dropped and not (n.tag == "header" or n.tag in ("html", "")):
+            continue
+        text, blocks = _block(n)
+        if text:
+            keys.add(_key(n.path, text))
+        queue += blocks
+    return sorted(keys), zlib.crc32("\n".join(sorted(upper)).encode())
+
+
+def induce(pages: list[str]) -> list[int]:
+    """The wrapper of all pages of one host: what wrappers() finds, in plain Python."""
+    distinct = {tuple(k): layout for k, layout in map(page_keys, pages)}
+    counts, paths = Counter(), Counter()
+    for keys, layout in distinct.items():
+        for scope in (-1, layout):
+            counts.update((scope, k) for k in keys)
+            paths.update((scope, p) for p in {k >> 32 for k in keys})
+    return sorted({k for (scope, k), n in counts.items() if n >= LEAST_PAGES and n >= SHARE * paths[scope, k >> 32]})
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The main text of a whole page; its blocks in order, joined by one blank."""
+    """The main text of a whole page; its blocks in order, joined by one blank.
+
+    A page of template blocks only, as of a host whose pages are copies, is read as if there were no template.
+    """
+    return _main_text(page, template) or (_main_text(page, frozenset()) if template else "")
+
+
+def _main_text(page: str, template: frozenset[int]) -> str:
     root = parse(page)
     tops: list[Node] = []
     for wanted in ("article", "main", "body"):
@@ -227,14 +257,17 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
                 words.append(n)
             elif n is not top and n.dropped and not (n.tag == "header" and inside and n.path.endswith("/header")):
                 words.append(" ")
-            elif template and not inside and n is not top and (t := _own_text(n)) and _key(n.path, t) in template:
-                words.append(" ")
             elif n.tag == "br":
                 words.append(" ")
             else:
                 if n.tag not in INLINE:
                     end_block()
                     queue.append(None)
+                    if template and not inside:
+                        text, inner = _block(n)
+                        if text and _key(n.path, text) in template:
+                            queue += reversed(inner)
+                            continue
                 queue += reversed(n.kids)
         end_block()
     return " ".join(blocks)
@@ -245,31 +278,34 @@ def host_of(url):
     return F.coalesce(F.translate(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, keys): the template of every host of which enough pages are there."""
-    p = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null and id is not null and host <> ''")
-    h = F.xxhash64("id")
-    slots = p.groupBy("host", F.pmod(h, F.lit(SAMPLE)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("id"))).alias("x"))
-    picked = cut(slots.select("host", F.col("x.id").alias("id")))
-    if (picked.agg(F.sum(F.length("host") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
-        picked = F.broadcast(picked)
-    sample = p.join(picked, ["host", "id"], "left_semi")
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, keys): the template of every host of which enough pages are there. Pages with equal blocks count once."""
 
-    def run(group: pa.Table) -> pa.Table:
-        keys = induce(group.column("html").to_pylist()[: 2 * SAMPLE])
-        return pa.table({"host": group.column("host").slice(0, 1), "keys": pa.array([keys], pa.list_(pa.int64()))})
+    def run(batches):
+        for batch in batches:
+            found = [page_keys(h) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())], names=["host", "keys", "layout"])
 
-    return sample.groupBy("host").applyInArrow(run, "host string, keys array<long>").where(F.size("keys") > 0)
+    p = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null and host <> ''")
+    distinct = p.mapInArrow(run, "host string, keys array<long>, layout long").dropDuplicates(["host", "keys"])
+    path = F.expr("array_distinct(transform(keys, k -> shiftright(k, 32)))")
+    both = distinct.select("host", F.explode(F.array(F.lit(-1).cast("long"), "layout")).alias("scope"), "keys", path.alias("paths"))
+    # a row for each key and one for each path, which is its own key's null
+    rows = both.select("host", "scope", F.explode(F.expr("concat(transform(keys, k -> struct(shiftright(k, 32) as path, k as key)), transform(paths, p -> struct(p as path, cast(null as bigint) as key)))")).alias("x"))
+    counts = rows.groupBy("host", "scope", "x.path", "x.key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    of = counts.where("key is null").select("host", "scope", "path", F.col("n").alias("all"))
+    constant = counts.where("key is not null").join(of, ["host", "scope", "path"]).where(F.col("n") >= SHARE * F.col("all"))
+    return constant.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (empty if none), n_chars.
 
-    A null or empty html has the empty text. Null ids and urls stay null (such pages teach no wrapper); repeated rows
+    A null or empty html has the empty text. Null ids and urls stay null (a page without url teaches no wrapper); repeated rows
     give a row each; other columns play no part. The wrappers are broadcast while their checked size is within
     ``BROADCAST_BYTES`` and joined by host beyond that.
     """
-    found = cut(wrappers(pages, id_col, url_col, html_col))
+    found = cut(wrappers(pages, url_col, html_col))
     bytes_ = found.agg(F.sum(F.size("keys") * 8 + F.length("host") + 16)).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     if bytes_ <= BROADCAST_BYTES:

@@ -1,7 +1,7 @@
 import random
 
 from sitegauge.llm.common import prepare
-from sitegauge.llm.wrapper import Node, extract, induce, main_text, matching, parse
+from sitegauge.llm.wrapper import Node, extract, induce, main_text, matching, parse, wrappers
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- ad <p>no</p> --><div class="top ad-box">Buy</div>{body}<footer>&copy; x</footer></body></html>"""
@@ -71,3 +71,21 @@ def test_operator(spark):
     for r in got:
         assert r.text == want.get(r.page_id, f"own {r.page_id}") and r.n_chars == len(r.text)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_all_pages_of_a_host(spark):
+    """Error pages, several layouts and copies among a host's pages; the operator's wrappers are those of induce()."""
+    prepare(spark)
+    hosts = {
+        "errors.example": [page(f"<div><p>Same line</p><p>own {i}</p></div>") for i in range(6)] + [page(f"<h1>Error</h1><pre>no {i}</pre>") for i in range(3)],
+        "layouts.example": [page(f"<{t}><p>Line of {t}</p><p>own {t} {i}</p></{t}>") for t in ("section", "div", "center") for i in range(5)],
+        "copies.example": [page("<div><p>the only text</p></div>")] * 8,
+        "few.example": [page(f"<div><p>Same line</p><p>own {i}</p></div>") for i in range(2)],
+    }
+    rows = [(n, f"http://{h}/{n}", html) for h, pages in hosts.items() for n, html in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.host: r["keys"] for r in wrappers(df).collect()} == {h: k for h, p in hosts.items() if (k := induce(p))}
+    got = {r.url: r.text for r in extract(df).collect()}
+    assert got["http://errors.example/2"] == "own 2" and got["http://errors.example/7"] == "no 1"
+    assert got["http://layouts.example/7"] == "own div 2"
+    assert got["http://copies.example/7"] == "the only text" and got["http://few.example/1"] == "Same line own 1"
