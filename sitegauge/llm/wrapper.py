@@ -263,7 +263,7 @@ def _main_text(page: str, template: frozenset[int]) -> str:
                 if n.tag not in INLINE:
                     end_block()
                     queue.append(None)
-                    if template and not inside:
+                    if template:
                         text, inner = _block(n)
                         if text and _key(n.path, text) in template:
                             queue += reversed(inner)

@@ -73,6 +73,13 @@ def test_operator(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_template_inside_an_article():
+    pages = [page(f"<article><div class=x1><p>Offer of <b>the</b> week</p></div><p>story {i} <a>here</a></p><p>other {i}<div>By line<p>end {i}</p></div></article>") for i in range(5)]
+    keys = frozenset(induce(pages))
+    assert main_text(pages[1], keys) == "story 1 here other 1 end 1"
+    assert main_text(pages[1], frozenset(induce([pages[1]] * 9))) == main_text(pages[1])  # copies teach nothing
+
+
 def test_all_pages_of_a_host(spark):
     """Error pages, several layouts and copies among a host's pages; the operator's wrappers are those of induce()."""
     prepare(spark)
