@@ -9,6 +9,7 @@ from sitegauge.operators.forms import GENERIC_NAMES, NO_FIELD, PLACEHOLDERS, PUR
 from sitegauge.operators.markup import OCTET, PRIVATE, SOCIAL, TRUST
 from sitegauge.operators.robots import SIGNALS
 from sitegauge.operators.texts import BOILERPLATE, STOPWORDS
+from sitegauge.sources import page_relations
 from sitegauge.sources.fixtures import with_relations
 
 GAP = "[ \\t\\n\\r\\f]+"
@@ -518,3 +519,6 @@ select *, case when percent >= upper_quartile then 'top' when percent >= median
 }
 
 SQL: dict[str, str] = RAW | {name: with_relations(sql, *names) for name, (sql, *names) in ON_RELATIONS.items()}
+#: The SQL of operators on pages' evidence: that on literal rows, over the whole table.
+ON_PAGES = ("url_normalise", "trust_surfaces", "social_profiles", "form_affordances", "viewport_tokens", "jsonld_types")
+SQL |= {f"page_{name}": f"with {r} as ({page_relations.SQL[r]}) select * from ({sql})" for name in ON_PAGES for sql, r in [ON_RELATIONS[name]]}

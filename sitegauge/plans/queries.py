@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, texts
+from sitegauge.sources import page_relations as found
 from sitegauge.sources.fixtures import relation
 from sitegauge.streaming import limits
 
@@ -37,6 +38,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_titles": _on("pages", pages.duplicate_titles),
     "language_path_mismatch": _on("pages", pages.language_mismatch),
     "host_top_pages": _on("pages", pages.host_rank),
+    "page_url_normalise": _on("pages", lambda p: forms.normal_urls(found.urls(p))),
+    "page_trust_surfaces": _on("pages", lambda p: markup.trust_surfaces(found.links(p))),
+    "page_social_profiles": _on("pages", lambda p: markup.social_profiles(found.links(p))),
+    "page_form_affordances": _on("pages", lambda p: forms.form_faults(found.forms(p))),
+    "page_viewport_tokens": _on("pages", lambda p: markup.viewport(found.viewports(p))),
+    "page_jsonld_types": _on("pages", lambda p: markup.json_ld_nodes(found.scripts(p)).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields")),
     "markdown_body_quality": _on("documents", texts.markdown_quality),
     "opening_token_coverage": _on("documents", texts.opening_coverage),
     "text_flags_by_source": _on("documents", texts.flags_by_source),
