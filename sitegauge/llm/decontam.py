@@ -5,7 +5,8 @@ of which must then stand in the text unchanged. Pieces go in pairs (one more pie
 some pair has one unchanged piece and at most one edit in the other. An automaton finds all exact hits of
 all pieces in one pass over the whole text; a hit whose partner beside it has more than one edit ends there, and for the
 others Myers' bit-parallel distance decides on the stretch where the item could lie. Letters are compared
-lower-cased and any white space as a blank, both without changing positions.
+lower-cased and any white space as a blank, both without changing positions. Items under ``LEAST_CHARS`` characters are met
+only unchanged and as whole words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.1
-#: Items with fewer characters say nothing about a text and are not searched.
+#: Items with fewer characters are searched without edits, between word bounds.
 LEAST_CHARS = 25
 #: Bytes of items that are searched at once; more are taken in blocks of hash slots, each a pass over the documents.
 BLOCK_BYTES = 8 << 20
@@ -90,14 +91,20 @@ def one_edit_before(piece: str, text: str, at: int) -> bool:
     return one_edit_after(piece[::-1], text[max(0, at - n - 1) : at][::-1], 0)
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on over either end of a stretch."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST_CHARS):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE, least: int = LEAST_CHARS):
         import ahocorasick
 
-        self.items = [(i, fold(t)) for i, t in items if t is not None and len(t) >= least]
-        self.most = [budget(t, rate) for _, t in self.items]
+        self.items = [(i, fold(t)) for i, t in items if t and not t.isspace()]
+        self.short = [len(t) < least for _, t in self.items]
+        self.most = [0 if short else budget(t, rate) for (_, t), short in zip(self.items, self.short)]
         pieces: dict[str, list[tuple[int, int, str, bool]]] = {}
         for x, ((_, t), k) in enumerate(zip(self.items, self.most)):
             count = k + 1 + (k + 1) % 2 if k else 1
@@ -121,13 +128,15 @@ class Matcher:
             for x, a, partner, before in where:
                 if partner and not (one_edit_before(partner, text, end + 1 - size) if before else one_edit_after(partner, text, end + 1)):
                     continue
+                if self.short[x] and not whole_words(text, end + 1 - size, end + 1):
+                    continue
                 k = self.most[x]
                 begin = end + 1 - size - a
                 lo, hi = max(0, begin - k), min(len(text), begin + len(self.items[x][1]) + k)
                 if hi - lo < len(self.items[x][1]) - k:
                     continue
                 own = stretches.setdefault(x, [])
-                if own and lo <= own[-1][1]:
+                if own and lo <= own[-1][1] and not self.short[x]:
                     own[-1][0], own[-1][1] = min(lo, own[-1][0]), max(hi, own[-1][1])
                 else:
                     own.append([lo, hi])
@@ -147,7 +156,7 @@ class Matcher:
                     end += lo
                     size = next(n for n, s in distances(item[::-1], text[max(lo, end - len(item) - d) : end][::-1], d) if s == d)
                     out.append((number, end - size, end, d))
-        return sorted(set(out))
+        return sorted(set(out), key=lambda m: (m[0] is not None, m))
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
@@ -162,7 +171,7 @@ def _matcher(key: tuple, items: list[tuple[int, str]], rate: float, least: int)
 
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
     """The items in blocks of about ``most`` bytes; each block's bytes are checked before it is sent anywhere."""
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slots = 1 + total // most
     return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(slots)) == s).distinct().orderBy("i", "t").collect()] for s in range(slots)]
@@ -171,8 +180,8 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES, item_col: str = "
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every stretch of a document that is an item with at most floor(``rate`` x its characters) edits.
 
-    id, item_id, start and end (characters of the text), distance. Null and empty texts, null items and
-    items under ``least`` characters match nothing; documents without a match give no row; rows with a
+    id, item_id, start and end (characters of the text), distance. Null and empty texts and
+    items match nothing; items under ``least`` characters only as whole words without edits; a null item_id stays null; documents without a match give no row; rows with a
     null id and repeated rows give their matches like any other. Equal items each match. One narrow pass for each block
     of items; the documents are never shuffled.
     """

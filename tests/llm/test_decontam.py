@@ -67,3 +67,14 @@ def test_operator(spark):
     kept = drop_leaky(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not matcher.find(t or "") for _, t, _ in rows)
     assert leaks(docs.limit(0), bench).count() == leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_short_and_unnamed_items(spark):
+    """Items under 25 characters are met as whole words without edits; an item without an id is an item."""
+    prepare(spark)
+    texts = ["The answer is  Forty Two.", "forty twofold", "xforty two", "so forty too", "Forty\ttwo forty two", "an item without any name of its own, yet", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "forty two"), (2, " "), (3, ""), (None, "An item without any name of its own")], "item_id long, text string")
+    got = sorted(map(tuple, leaks(docs, bench).collect()), key=str)
+    assert got == [(0, 1, 15, 24, 0), (4, 1, 0, 9, 0), (4, 1, 10, 19, 0), (5, None, 0, 35, 0)]
+    assert sorted(r.doc_id for r in drop_leaky(docs, bench).collect()) == [1, 2, 3, 6]
