@@ -25,8 +25,6 @@ from sitegauge.runtime import cut
 LEAST_PAGES, SHARE = 3, 0.5
 #: Bytes of all hosts' wrappers up to which they are broadcast; beyond, they are joined by shuffles.
 BROADCAST_BYTES = 4 << 20
-#: Cells of one alignment table of two nodes' children; longer lists are aligned by their equal ends only.
-_CELLS = 40_000
 _DEPTH = 60
 
 # Fixed values of HTML: elements by kind.
@@ -158,9 +156,6 @@ def matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, No
     x, y = ([k for k in n.kids if isinstance(k, Node)] for n in (a, b))
     if depth >= _DEPTH:
         return 1, [(a, b)]
-    if len(x) * len(y) > _CELLS:
-        n = min(len(x), len(y), 100)
-        x, y = x[:n] + x[-n:], y[:n] + y[-n:]
     rows: list[list[int]] = [[0] * (len(y) + 1)]
     found: dict[tuple[int, int], tuple[int, list]] = {}
     for i, p in enumerate(x, 1):

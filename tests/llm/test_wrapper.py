@@ -96,3 +96,11 @@ def test_all_pages_of_a_host(spark):
     assert got["http://errors.example/2"] == "own 2" and got["http://errors.example/7"] == "no 1"
     assert got["http://layouts.example/7"] == "own div 2"
     assert got["http://copies.example/7"] == "the only text" and got["http://few.example/1"] == "Same line own 1"
+
+
+def test_long_lists():
+    """Template in the middle of a long list of blocks is found, and every child is aligned once."""
+    pages = ["<body>" + "".join(f"<p>own {i} {k}</p>" for k in range(150)) + "<p>Same line</p>" + "".join(f"<p>own {i} {k}</p>" for k in range(150, 300)) + "</body>" for i in range(3)]
+    assert "Same line" not in main_text(pages[0], frozenset(induce(pages)))
+    n, pairs = matching(*map(parse, pages[:2]))
+    assert n == len(pairs) == len({id(a) for a, _ in pairs}) == 303
