@@ -5,14 +5,12 @@ of which must then stand in the text unchanged. Pieces go in pairs (one more pie
 some pair has one unchanged piece and at most one edit in the other. An automaton finds all exact hits of
 all pieces in one pass over the whole text; a hit whose partner beside it has more than one edit ends there, and for the
 others Myers' bit-parallel distance decides on the stretch where the item could lie. Letters are compared
-lower-cased and any white space as a blank, both without changing positions. Items under ``LEAST_CHARS`` characters are met
+lower-cased and any white space as a blank, character by character (fold()). Items under ``LEAST_CHARS`` characters are met
 only unchanged and as whole words.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,22 +23,19 @@ BLOCK_BYTES = 8 << 20
 FIELDS = "item_id long, start long, end long, distance int"
 
 
-@lru_cache(maxsize=1)
-def _fold_table() -> dict[int, str]:
-    table = {c: " " for c in range(0x3001) if chr(c).isspace()}
-    for c in range(0x110000):
-        low = chr(c).lower()
-        if len(low) == 1 and ord(low) != c:
-            table[c] = low
-    return table
+_BLANKS = {c: " " for c in range(0x3001) if chr(c).isspace()}
 
 
 def fold(text: str) -> str:
-    """Lower-cased with blanks for white space, every character in its old place."""
-    low = text.lower()
-    if len(low) != len(text):
-        return text.translate(_fold_table())
-    return low.translate({c: " " for c in (9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x2007, 0x2028, 0x2029, 0x202F, 0x3000)})
+    """Lower-cased, either small sigma as the medial one, a blank for each white space; every character in its old place.
+
+    Each character folds by itself, so an item and a text fold alike whatever stands around. The one letter whose small form is two
+    characters (U+0130) stays as it is.
+    """
+    if not text.isascii():
+        text = "\u0130".join(part.replace("Σ", "σ").lower().replace("ς", "σ") for part in text.split("\u0130"))
+        return text.translate(_BLANKS)
+    return text.lower().translate(_BLANKS)
 
 
 def distances(pattern: str, text: str, most: int):
@@ -169,12 +164,22 @@ def _matcher(key: tuple, items: list[tuple[int, str]], rate: float, least: int)
     return _MATCHERS[key]
 
 
-def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``most`` bytes; each block's bytes are checked before it is sent anywhere."""
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    slots = 1 + total // most
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("t"), F.lit(slots)) == s).distinct().orderBy("i", "t").collect()] for s in range(slots)]
+def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text"):
+    """The items in blocks of hash slots, one after the other; the driver holds one block at a time.
+
+    The slots are made finer until the largest has at most ``most`` bytes (or is one item), by a count before any block is fetched.
+    """
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
+    slots = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // most
+    while True:
+        slot = F.pmod(F.xxhash64("i", "t"), F.lit(slots))
+        sizes = items.groupBy(slot.alias("slot")).agg(F.sum(F.octet_length("t")).alias("bytes"), F.count("*").alias("n"))
+        worst = sizes.where(F.col("n") > 1).agg(F.max("bytes")).first()[0] or 0
+        if worst <= 2 * most:
+            break
+        slots *= 2
+    for s in range(slots):
+        yield [tuple(r) for r in items.where(slot == s).orderBy("i", "t").collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +215,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
 
 
 def drop_leaky(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST_CHARS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose text no item is found."""
+    """The rows of ``docs`` in whose text no item is found.
+
+    Null and empty texts hold no item and stay, as do all rows when there is no item; ids play no part, repeated rows go or stay together,
+    and other columns are carried along.
+    """
     spark, place = docs.sparkSession, docs.columns.index(text_col)
     for n, items in enumerate(item_blocks(benchmark)):
         sent = spark.sparkContext.broadcast(items)

@@ -104,8 +104,9 @@ def _held_out(id_col: str):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray] | None:
     """Fit on at most ``per_language`` documents of each language, none of them held out; None without any.
 
-    The sample is one document (that of least hash) of each of ``per_language`` hash slots. Only its ids and
-    packed presence bits come to the driver, so the bound holds for any number and length of texts.
+    The sample is one document (that of least hash) of each of ``per_language`` hash slots; an id that stands for several rows
+    is one document, with the text of least hash. Only its ids and packed presence bits come to the driver, so the bound holds for any
+    number and length of texts and any repetition of rows.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     labelled = d.where(~_held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -121,7 +122,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
                 if letters[0]:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([np.packbits(row[0] > 0).tobytes()], pa.binary())], names=["lang", "bits"])
 
-    chosen = labelled.join(F.broadcast(picked), ["id", "lang"], "left_semi")  # per_language rows of each language
+    # per_language ids of each language; of an id with several rows the least text by hash, found by a partial aggregate
+    chosen = labelled.join(F.broadcast(picked), ["id", "lang"], "left_semi")
+    one = chosen.groupBy("id", "lang").agg(F.min(F.xxhash64("text")).alias("h"))
+    chosen = chosen.withColumn("h", F.xxhash64("text")).join(F.broadcast(one), ["id", "lang", "h"], "left_semi")
+    chosen = chosen.groupBy("id", "lang").agg(F.first("text").alias("text"))  # rows alike in all three
     found = sorted((r.lang, bytes(r.bits)) for r in chosen.select("lang", "text").mapInArrow(run, "lang string, bits binary").collect())
     if not found:
         return None
@@ -162,7 +167,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of at least ``least``; ``und`` goes."""
+    """The rows of ``docs`` whose language is found with a score of at least ``least``; ``und`` goes.
+
+    So rows with a null or empty text or one without letters go, and all rows go where nothing could be learned (no row, or none with
+    text, id and language). Null ids and languages stay if their text is identified; repeated rows go or stay together; other columns are
+    carried along.
+    """
     names, matrix = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col) or (None, None)
     if names is None:
         return docs.limit(0)

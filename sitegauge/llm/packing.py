@@ -109,7 +109,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> Dat
     pieces = cut(pieces)
     spark = pieces.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # dealt in turn, and the checkpoint fixes the turn: identical rows are dealt like any others
+    dealt = pieces.withColumn("bucket", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(buckets)).cast("int"))
     counts = cut(dealt.groupBy("length", "bucket").count())
     by_length = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
     plan = sweep(by_length, capacity)

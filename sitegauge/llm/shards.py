@@ -1,9 +1,11 @@
 """Token ids as binary shards in training order.
 
-Method. Every sequence (at most ``stride`` ids of one text) has a number, its partition and its place there. A Feistel
+Method. Every sequence (at most ``stride`` ids of one text) has a number: a hash of its document's id and text, and its place in the
+document. So the numbers do not depend on how the input is split into files or tasks. A Feistel
 network keyed by ``key`` permutes the numbers; its own domain is a power of four, and results outside ``DOMAIN`` go through it again
 (cycle-walking), so the codes are a bijection of the numbers. The order of the codes is the training order: a
-sequence's global slot is the rank of its code. The codes are spread evenly, so equal ranges of them are equal shares: each task
+sequence's global slot is the rank of its code (then of id and place, for the few documents whose hashes are equal; rows alike in
+id and text are alike in bytes, and so may change places). The codes are spread evenly, so equal ranges of them are equal shares: each task
 gets whole ranges, sorted by code, and writes one shard of records of fixed size for each. Slot s is record s - base of
 the shard whose base is the last not above s, and reading goes on from any slot.
 
@@ -20,7 +22,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ from .bpe import load
 from .common import text_buffer
 
 STRIDE, ROUNDS = 256, 6
-#: Numbers are partition * PLACES + place, below DOMAIN.
-DOMAIN, PLACES = 10**18, 10**11
+#: Numbers are hash * PLACES + place, below DOMAIN; a place beyond PLACES goes on with the next hash.
+DOMAIN, PLACES = 10**18, 10**5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,7 +65,7 @@ def _sequences(docs: DataFrame, path: str, stride: int, shards: int, key: int, e
     width = -(-DOMAIN // shards)
 
     def run(batches):
-        model, made, part = load(path), 0, TaskContext.get().partitionId()
+        model = load(path)
         wide = "<u2" if model.size <= 1 << 16 else "<u4"
         for batch in batches:
             data, bounds = text_buffer(batch.column(1))
@@ -75,14 +76,15 @@ def _sequences(docs: DataFrame, path: str, stride: int, shards: int, key: int, e
                     at += n
                     for i, a in enumerate(range(0, len(own), stride)):
                         rows.append(k), piece.append(i), packed.append(zlib.compress(own[a : a + stride].tobytes(), 1))
-                code = permute(part * PLACES + np.arange(made, made + len(rows)), DOMAIN, key)
-                made += len(rows)
+                number = np.asarray(batch.column(2))[rows] % (DOMAIN // PLACES) * PLACES + np.array(piece, np.int64)
+                code = permute(number % DOMAIN, DOMAIN, key)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(packed, pa.binary()), pa.array(code), pa.array((code // width).astype(np.int32))],
                     names=[id_col, "piece", "packed", "code", "shard"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, packed binary, code long, shard int")
+    hashed = F.xxhash64(F.col(id_col).cast("string"), text_col).alias("hash")
+    return docs.select(id_col, text_col, hashed).mapInArrow(run, f"`{id_col}` {kind}, piece int, packed binary, code long, shard int")
 
 
 def materialise(
@@ -130,7 +132,7 @@ def materialise(
             )
         finish()
 
-    rows = _sequences(docs, path, stride, shards, key, end_id, id_col, text_col).repartitionById(shards, "shard").sortWithinPartitions("code")
+    rows = _sequences(docs, path, stride, shards, key, end_id, id_col, text_col).repartitionById(shards, "shard").sortWithinPartitions("code", id_col, "piece")
     index = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     rows.mapInArrow(write, f"`{id_col}` {kind}, piece int, shard int, place long, n_ids int, ids_crc32 long").write.parquet(index)
     placed = spark.read.parquet(index)

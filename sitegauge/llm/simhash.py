@@ -188,12 +188,27 @@ def near_duplicates(docs: DataFrame, most: int = 3, width: int = 3, seed: int =
 
 
 def keep_one(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of one document of each component: the one with the least id.
+    """The rows of ``docs`` of one document of each component: that of the least id (null after all others), then of the least hash of its text.
 
-    Rows without an id cannot be told apart and are all kept; rows that repeat the kept id are kept once each.
+    A document is an id and a text, so an id that stands for several texts loses only those that another document of their
+    component answers for, and no component loses all rows. Rows that repeat the kept document in id and text are one document: one
+    row of them stays (any, where other columns differ). Null and empty texts are alike to each other; an empty table stays empty; other columns
+    are carried along, whatever their names.
     """
-    name = own_name(docs, "component_id")
-    # a group's other documents all differ from its least id
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), most, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    own, of = own_name(docs, "simhash_text"), own_name(docs, "simhash_id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = cut(fingerprints(texts.select(F.struct("id", F.xxhash64("text").alias("h")).alias("x"), "text"), id_col="x").select("x.id", "x.h", "fp").groupBy("id", "h", "fp").count())
+    roots = components(links(marked.select("fp").distinct(), most))
+    named = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("x"))
+    judged = cut(named.join(first, "root").select(F.col("id").alias(of), F.col("h").alias(own), "count", (F.col("id").eqNullSafe(F.col("x.id")) & (F.col("h") == F.col("x.h"))).alias("stays")))
+
+    def without(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        return rows.join(which.select(of, own), rows[id_col].eqNullSafe(which[of]) & (F.xxhash64(rows[text_col]) == which[own]), how)
+
+    kept = without(docs, judged.where("not stays"), "left_anti")
+    twice = judged.where("stays and count > 1")
+    if twice.isEmpty():
+        return kept
+    some = without(kept, twice, "left_semi").withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, own]).drop(own)
+    return without(kept, twice, "left_anti").unionByName(some)

@@ -1,31 +1,38 @@
 """Main-text extraction by wrapper induction.
 
-Method: pages of a host are made from a few templates. Every page is parsed into its DOM tree, whose blocks have a path of labels
-and a text (that of their inline nodes with it). Blocks align by path; over all pages of a host, of which those with equal
-blocks count once, a (path, text) pair that stands in ``SHARE`` of the pages with its path is template, the others are
-content slots. The share is taken over the host and over each of its layouts (pages with equal upper paths). Every page
-is then read whole: its article (``article`` or ``main``; else the body) without the parts that are never content (menus, forms,
-notices and so on, by tag, role, class and id) and without the host's template blocks.
+Method: pages of a host are made from a few templates. Every page is parsed into its DOM tree, whose blocks have a label (tag and
+class), a path of labels and a text (that of their inline nodes with it). For every host, and for each of its layouts (pages with equal
+upper paths), one page is the wrapper, and all other distinct pages are aligned with it by simple tree matching: the largest order-keeping
+top-down alignment of equal labels. A block of the wrapper whose text is the same in ``SHARE`` of the pages that have a partner for it is
+constant, so template; the others are slots. Every page is then read whole: its article (``article`` or ``main``; else the body)
+without the parts that are never content (menus, forms, notices and so on, by tag, role, class and id) and without the host's template blocks.
+Blocks that would take more than ``MOST`` of an article's characters are no template of it but what copies share, and stay.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge.runtime import cut
 
-#: How many pages, and what share of the pages with its path, must hold a text for it to be template.
+#: How many pages, and what share of the pages aligned with a block, must hold a text for it to be template.
 LEAST_PAGES, SHARE = 3, 0.5
+#: Share of an article's characters that template can be.
+MOST = 0.5
 #: Bytes of all hosts' wrappers up to which they are broadcast; beyond, they are joined by shuffles.
 BROADCAST_BYTES = 4 << 20
-_DEPTH = 60
+#: Cells of an alignment's table that are held at once; larger ones are halved (Hirschberg, 1975).
+_CELLS = 1 << 22
 
 # Fixed values of HTML: elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,11 +56,27 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
+#: Words that say no more than where a part stands or how it is laid out.
+PLACES = frozenset(
+    "area bar block bottom box button buttons container content desktop fixed global icon icons inner item items js large left link links list main mobile outer page panel primary right "
+    "row secondary section side site slot small sticky text title top unit widget wrap wrapper".split()
+)
+
+
 class Node:
-    __slots__ = ("tag", "path", "kids", "dropped", "whole")
+    __slots__ = ("tag", "label", "path", "depth", "kids", "dropped")
+
+    def __init__(self, tag: str, label: str, path: int, depth: int, dropped: bool):
+        self.tag, self.label, self.path, self.depth, self.kids, self.dropped = tag, label, path, depth, [], dropped
 
-    def __init__(self, tag: str, path: str, dropped: bool):
-        self.tag, self.path, self.kids, self.dropped, self.whole = tag, path, [], dropped, ""
+
+def marked(value: str) -> bool:
+    """Whether a name of a class or id list says no more than that its part is no content: ``ad-box``, not ``menu-of-the-day``."""
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in PLACES for w in words):
+            return True
+    return False
 
 
 def _dropped(tag: str, attrs: str) -> tuple[str, bool]:
@@ -70,20 +93,30 @@ def _dropped(tag: str, attrs: str) -> tuple[str, bool]:
                 out |= value == "true"
             else:
                 label += f".{value}" if name == "class" else ""
-                out |= any(m in MARKS for m in re.split(r"[\s_-]+", value)) and tag not in ("html", "body", "article", "main")
+                out |= tag not in ("html", "body", "article", "main") and marked(value)
     return label, out
 
 
 def parse(page: str) -> Node:
-    """The DOM tree; kids are nodes and texts in order. Open elements end where HTML ends them."""
-    root = Node("", "", False)
+    """The DOM tree; kids are nodes and texts in order. Open elements end where HTML ends them. Linear in the page."""
+    root = Node("", "", 0, 0, False)
     stack, at = [root], 0
+    open_: dict[str, list[int]] = defaultdict(list)  # where elements of a tag are open
+    blocks: list[int] = [0]  # where elements that are not inline are
     raw: str | None = None
     size = len(page)
+
+    def end(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            open_[tag].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+
     while at < size:
         if raw is not None:  # the content of a script and the like, up to its end tag
-            end = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(page, at)
-            stop = end.start() if end else size
+            found = re.compile(rf"</{raw}(?=[\s/>])", re.I).search(page, at)
+            stop = found.start() if found else size
             if raw in ("title", "textarea"):
                 stack[-1].kids.append(page[at:stop])
             at, raw = stop, None
@@ -100,32 +133,27 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break  # an inline end tag ends nothing beyond its block
+            # an inline end tag ends nothing beyond its block
+            if open_[tag] and not (tag in INLINE and blocks[-1] > open_[tag][-1]):
+                end(open_[tag][-1])
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+            if open_["p"] and blocks[-1] == open_["p"][-1]:
+                end(blocks[-1])
         elif tag in SIBLINGS:
             ends, within = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in within:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
+            bound = max((open_[w][-1] for w in within if open_[w]), default=0)
+            first = min((x[bisect_right(x, bound)] for x in (open_[e] for e in ends) if x and x[-1] > bound), default=0)
+            if first:
+                end(first)
         label, dropped = _dropped(tag, attrs)
         parent = stack[-1]
-        node = Node(tag, f"{parent.path}/{label}" if len(stack) < _DEPTH else parent.path, dropped)
+        node = Node(tag, label, zlib.crc32(label.encode(), parent.path), parent.depth + 1, dropped)
         parent.kids.append(node)
         if tag not in VOID and not attrs.endswith("/") or tag in RAW:
+            open_[tag].append(len(stack))
+            if tag not in INLINE:
+                blocks.append(len(stack))
             stack.append(node)
             if tag in RAW:
                 raw = tag
@@ -149,77 +177,171 @@ def _block(node: Node) -> tuple[str, list[Node]]:
     return " ".join(_html.unescape("".join(text)).split()), blocks
 
 
-def matching(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest order-keeping top-down alignment, and its pairs."""
-    if a.path.rpartition("/")[2] != b.path.rpartition("/")[2]:
-        return 0, []
-    x, y = ([k for k in n.kids if isinstance(k, Node)] for n in (a, b))
-    if depth >= _DEPTH:
-        return 1, [(a, b)]
-    rows: list[list[int]] = [[0] * (len(y) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i, p in enumerate(x, 1):
-        row = [0]
-        for j, q in enumerate(y, 1):
-            w = matching(p, q, depth + 1)
-            if w[0]:
-                found[i, j] = w
-            row.append(max(rows[-1][j], row[-1], rows[-1][j - 1] + w[0]))
-        rows.append(row)
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if (i, j) in found and rows[i][j] == rows[i - 1][j - 1] + found[i, j][0]:
-            pairs += found[i, j][1]
-            i, j = i - 1, j - 1
-        elif rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return rows[-1][-1] + 1, pairs
-
-
-def _key(path: str, text: str) -> int:
+class Tree:
+    """A page's blocks in document order: label, path and text as hashes, and how many blocks follow within each; as one array of 4 columns."""
+
+    def __init__(self, rows: np.ndarray):
+        self.label, self.path, self.text, self.size = rows.T.tolist()
+        n = len(self.label)
+        self.shape: list = [0] * n  # hash of a block's labels with all below it
+        self.kids: list[list[int]] = [[] for _ in range(n)]
+        for i in range(n - 1, -1, -1):
+            k, last = i + 1, i + self.size[i]
+            while k < last:
+                self.kids[i].append(k)
+                k += self.size[k]
+            self.shape[i] = hash((self.label[i], *(self.shape[k] for k in self.kids[i])))
+
+
+def tree_rows(page: str) -> tuple[np.ndarray, int]:
+    """The rows of a page's Tree, and its layout: the hash of its upper paths. Parts that are never content have no rows but those that can be headings."""
+    rows: list[list[int]] = []
+    upper: set[int] = set()
+    stack: list = [parse(page)]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, int):  # all below row n are there
+            rows[n][3] = len(rows) - n
+            continue
+        text, blocks = _block(n)
+        if n.depth <= 4:
+            upper.add(n.path)
+        stack.append(len(rows))
+        rows.append([zlib.crc32(n.label.encode()), n.path, zlib.crc32(text.encode()) if text else 0, 0])
+        stack += [b for b in reversed(blocks) if not b.dropped or b.tag == "header"]
+    return np.array(rows, np.int64), zlib.crc32(",".join(map(str, sorted(upper))).encode())
+
+
+class Matching:
+    """Simple tree matching of the trees a and b: the largest order-keeping top-down alignment of equal labels."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b = a, b
+        self.known: dict[tuple, int] = {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * (len(a.label) + len(b.label)) + 1000))
+
+    def weight(self, i: int, j: int) -> int:
+        """The size of the alignment of the blocks i of a and j of b with all below them."""
+        a, b = self.a, self.b
+        if a.label[i] != b.label[j]:
+            return 0
+        if a.shape[i] == b.shape[j]:
+            return a.size[i]
+        key = a.shape[i], b.shape[j]
+        if key not in self.known:
+            x, y, same = self._middle(a.kids[i], b.kids[j])
+            self.known[key] = 1 + sum(a.size[p] for p, _ in same) + (int(self._scores(x, y)[-1]) if x and y else 0)
+        return self.known[key]
+
+    def _middle(self, x: list[int], y: list[int]) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """The lists without what is alike at their begin and end, which some largest alignment pairs."""
+        p, q, same = self.a.shape, self.b.shape, []
+        n = min(len(x), len(y))
+        k = 0
+        while k < n and p[x[k]] == q[y[k]]:
+            k += 1
+        e = 0
+        while e < n - k and p[x[-1 - e]] == q[y[-1 - e]]:
+            e += 1
+        same = [*zip(x[:k], y[:k]), *zip(x[len(x) - e :], y[len(y) - e :])]
+        return x[k : len(x) - e], y[k : len(y) - e], same
+
+    def _weights(self, x: list[int], y: list[int]):
+        """A row of weights against y for each of x; equal shapes are asked once."""
+        q = [self.b.shape[j] for j in y]
+        one = dict(zip(q, y))
+        place = {h: k for k, h in enumerate(one)}
+        spread = np.array([place[h] for h in q])
+        rows: dict = {}
+        for i in x:
+            h = self.a.shape[i]
+            if h not in rows:
+                rows[h] = np.array([self.weight(i, j) for j in one.values()], np.int64)
+            yield rows[h][spread]
+
+    def _scores(self, x: list[int], y: list[int]) -> np.ndarray:
+        """The last row of the alignment's table."""
+        row = np.zeros(len(y) + 1, np.int64)
+        for w in self._weights(x, y):
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(w > 0, row[:-1] + w, 0)))
+        return row
+
+    def _aligned(self, x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        if not x or not y:
+            return []
+        if len(x) * len(y) > _CELLS and len(x) > 1:
+            half = len(x) // 2
+            k = int((self._scores(x[:half], y) + self._scores(x[half:][::-1], y[::-1])[::-1]).argmax())
+            return self._aligned(x[:half], y[:k]) + self._aligned(x[half:], y[k:])
+        weights = list(self._weights(x, y))
+        table = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        for i, w in enumerate(weights):
+            table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(w > 0, table[i, :-1] + w, 0)))
+        out, i, j = [], len(x), len(y)
+        while i and j:
+            if table[i, j] == table[i - 1, j]:
+                i -= 1
+            elif table[i, j] == table[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((x[i], y[j]))
+        return out
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """The pairs of blocks of one largest alignment of the whole trees."""
+        a, b, out, todo = self.a, self.b, [], [(0, 0)] if self.a.label[0] == self.b.label[0] else []
+        while todo:
+            i, j = todo.pop()
+            if a.shape[i] == b.shape[j]:
+                out += zip(range(i, i + a.size[i]), range(j, j + a.size[i]))
+                continue
+            out.append((i, j))
+            x, y, same = self._middle(a.kids[i], b.kids[j])
+            todo += same + self._aligned(x, y)
+        return out
+
+
+def _key(path: int, text: int) -> int:
     """The hash of the path above that of the text, as a signed number."""
-    key = zlib.crc32(path.encode()) << 32 | zlib.crc32(text.encode())
+    key = path << 32 | text
     return key - (key >> 63 << 64)
 
 
-def page_keys(page: str) -> tuple[list[int], int]:
-    """Keys of the (path, text) pairs of a page's blocks, sorted, and its layout: the hash of its upper paths."""
-    keys, upper, queue = set(), set(), [parse(page)]
-    while queue:
-        n = queue.pop()
-        if n.path.count("/") <= 4:
-            upper.add(n.path)
-        if n.dropped and not (n.tag == "header" or n.tag in ("html", "")):
-            continue
-        text, blocks = _block(n)
-        if text:
-            keys.add(_key(n.path, text))
-        queue += blocks
-    return sorted(keys), zlib.crc32("\n".join(sorted(upper)).encode())
+def block_key(node: Node, text: str) -> int:
+    return _key(node.path, zlib.crc32(text.encode()))
 
 
 def induce(pages: list[str]) -> list[int]:
-    """The wrapper of all pages of one host: what wrappers() finds, in plain Python."""
-    distinct = {tuple(k): layout for k, layout in map(page_keys, pages)}
-    counts, paths = Counter(), Counter()
-    for keys, layout in distinct.items():
-        for scope in (-1, layout):
-            counts.update((scope, k) for k in keys)
-            paths.update((scope, p) for p in {k >> 32 for k in keys})
-    return sorted({k for (scope, k), n in counts.items() if n >= LEAST_PAGES and n >= SHARE * paths[scope, k >> 32]})
+    """The template of all pages of one host: what wrappers() finds, in plain Python."""
+    distinct = {}
+    for rows, layout in map(tree_rows, pages):
+        distinct[rows.astype("<i8").tobytes()] = layout
+    out = set()
+    for scope in {-1, *distinct.values()}:
+        own = [x for x, layout in distinct.items() if scope in (-1, layout)]
+        if len(own) < LEAST_PAGES:
+            continue
+        wrapper = Tree(_rows(min(own, key=lambda x: (zlib.crc32(x), x))))
+        texts: dict[int, Counter] = defaultdict(Counter)
+        for x in own:
+            page = Tree(_rows(x))
+            for i, j in Matching(wrapper, page).pairs():
+                texts[i][page.text[j]] += 1
+        for i, counts in texts.items():
+            out |= {_key(wrapper.path[i], t) for t, n in counts.items() if t and n >= LEAST_PAGES and n >= SHARE * counts.total()}
+    return sorted(out)
+
+
+def _rows(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i8").reshape(-1, 4)
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The main text of a whole page; its blocks in order, joined by one blank.
 
-    A page of template blocks only, as of a host whose pages are copies, is read as if there were no template.
+    Where template blocks would be over ``MOST`` of it, as of a host whose pages are copies, it is read as if there were no template.
     """
-    return _main_text(page, template) or (_main_text(page, frozenset()) if template else "")
-
-
-def _main_text(page: str, template: frozenset[int]) -> str:
     root = parse(page)
     tops: list[Node] = []
     for wanted in ("article", "main", "body"):
@@ -233,39 +355,43 @@ def _main_text(page: str, template: frozenset[int]) -> str:
         if tops:
             break
     inside = bool(tops) and tops[0].tag in ("article", "main")
-    blocks: list[str] = []
+    blocks: list[tuple[str, bool]] = []  # text, and whether it is template
     words: list[str] = []
+    constant: set[int] = set()  # of what blocks the own text is template
 
-    def end_block() -> None:
+    def end_block(owner: Node) -> None:
         text = " ".join(_html.unescape("".join(words)).split())
         if text:
-            blocks.append(text)
+            blocks.append((text, id(owner) in constant))
         words.clear()
 
     for top in tops or [root]:
-        queue: list = [top]
+        queue: list = [(top, top)]
         while queue:
-            n = queue.pop()
+            n, owner = queue.pop()
             if n is None:
-                end_block()
+                end_block(owner)
             elif isinstance(n, str):
                 words.append(n)
-            elif n is not top and n.dropped and not (n.tag == "header" and inside and n.path.endswith("/header")):
+            elif n is not top and n.dropped and not (inside and n.label == "header"):
                 words.append(" ")
             elif n.tag == "br":
                 words.append(" ")
+            elif n.tag in INLINE:
+                queue += [(k, owner) for k in reversed(n.kids)]
             else:
-                if n.tag not in INLINE:
-                    end_block()
-                    queue.append(None)
-                    if template:
-                        text, inner = _block(n)
-                        if text and _key(n.path, text) in template:
-                            queue += reversed(inner)
-                            continue
-                queue += reversed(n.kids)
-        end_block()
-    return " ".join(blocks)
+                end_block(owner)
+                if template:
+                    text, _ = _block(n)
+                    if text and block_key(n, text) in template:
+                        constant.add(id(n))
+                queue.append((None, n))
+                queue += [(k, n) for k in reversed(n.kids)]
+        end_block(top)
+    lost = sum(len(t) for t, out in blocks if out)
+    if lost > (MOST if inside else 1 - 1e-9) * sum(len(t) for t, _ in blocks):
+        lost = 0
+    return " ".join(t for t, out in blocks if not (out and lost))
 
 
 def host_of(url):
@@ -274,23 +400,43 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, keys): the template of every host of which enough pages are there. Pages with equal blocks count once."""
+    """(host, keys): the template of every host of which enough pages are there. Pages with equal blocks count once.
 
-    def run(batches):
+    A page goes on as its tree, some numbers for each block. The wrapper pages are broadcast while their checked size is within
+    ``BROADCAST_BYTES`` and joined by host and scope beyond that; what the pages' blocks hold is counted before any shuffle.
+    """
+
+    def trees(batches):
+        for batch in batches:
+            found = [tree_rows(h) for h in batch.column(1).to_pylist()]
+            raw = [rows.astype("<i8").tobytes() for rows, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["host", "tree", "layout"])
+
+    def aligned(batches):
         for batch in batches:
-            found = [page_keys(h) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())], names=["host", "keys", "layout"])
+            counts: Counter = Counter()
+            held: dict[bytes, Tree] = {}
+            for host, scope, wrapper, tree in zip(*(c.to_pylist() for c in batch.columns)):
+                if wrapper not in held:
+                    held[wrapper] = Tree(_rows(wrapper))
+                a, b = held[wrapper], Tree(_rows(tree))
+                counts.update((host, scope, i, a.path[i], b.text[j]) for i, j in Matching(a, b).pairs())
+            columns = [list(c) for c in zip(*counts)] or [[]] * 5
+            kinds = (pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(counts.values()), pa.int64())], names=["host", "scope", "block", "path", "text", "n"])
 
     p = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where("html is not null and host <> ''")
-    distinct = p.mapInArrow(run, "host string, keys array<long>, layout long").dropDuplicates(["host", "keys"])
-    path = F.expr("array_distinct(transform(keys, k -> shiftright(k, 32)))")
-    both = distinct.select("host", F.explode(F.array(F.lit(-1).cast("long"), "layout")).alias("scope"), "keys", path.alias("paths"))
-    # a row for each key and one for each path, which is its own key's null
-    rows = both.select("host", "scope", F.explode(F.expr("concat(transform(keys, k -> struct(shiftright(k, 32) as path, k as key)), transform(paths, p -> struct(p as path, cast(null as bigint) as key)))")).alias("x"))
-    counts = rows.groupBy("host", "scope", "x.path", "x.key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    of = counts.where("key is null").select("host", "scope", "path", F.col("n").alias("all"))
-    constant = counts.where("key is not null").join(of, ["host", "scope", "path"]).where(F.col("n") >= SHARE * F.col("all"))
-    return constant.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    distinct = cut(p.mapInArrow(trees, "host string, tree binary, layout long").dropDuplicates(["host", "tree"]))
+    both = distinct.select("host", F.explode(F.array(F.lit(-1).cast("long"), "layout")).alias("scope"), "tree")
+    first = both.groupBy("host", "scope").agg(F.count("*").alias("n"), F.min(F.struct(F.crc32("tree").alias("h"), "tree")).alias("x"))
+    chosen = cut(first.where(F.col("n") >= LEAST_PAGES).select("host", "scope", F.col("x.tree").alias("wrapper")))
+    size = chosen.agg(F.sum(F.octet_length("wrapper") + F.length("host") + 16)).first()[0] or 0
+    met = both.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, ["host", "scope"]).select("host", "scope", "wrapper", "tree")
+    rows = met.mapInArrow(aligned, "host string, scope long, block long, path long, text long, n long")
+    texts = rows.groupBy("host", "scope", "block", "path", "text").agg(F.sum("n").alias("n"))
+    of = F.sum("n").over(Window.partitionBy("host", "scope", "block"))
+    constant = texts.withColumn("all", of).where((F.col("text") != 0) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("all")))
+    return constant.groupBy("host").agg(F.sort_array(F.collect_set(F.expr("shiftleft(path, 32) | text"))).alias("keys"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 
 from sitegauge.llm.common import prepare
-from sitegauge.llm.decontam import Matcher, budget, distances, drop_leaky, fold, leaks
+from sitegauge.llm.decontam import Matcher, budget, distances, drop_leaky, fold, item_blocks, leaks
 
 
 def plain_ends(pattern, text, most):
@@ -78,3 +78,24 @@ def test_short_and_unnamed_items(spark):
     got = sorted(map(tuple, leaks(docs, bench).collect()), key=str)
     assert got == [(0, 1, 15, 24, 0), (4, 1, 0, 9, 0), (4, 1, 10, 19, 0), (5, None, 0, 35, 0)]
     assert sorted(r.doc_id for r in drop_leaky(docs, bench).collect()) == [1, 2, 3, 6]
+
+
+def test_fold_by_character():
+    import unicodedata
+
+    for c in map(chr, [*range(0x3100), 0x1E9E, 0x10400]):
+        assert len(fold(c)) == 1 and (c.isspace() <= (fold(c) == " "))
+        for around in ("", "İ", "Σ", "a", "ς"):
+            assert fold(around + c + around) == fold(around) + fold(c) + fold(around), (c, around)
+        if not c.isspace() and c not in "İςΣ":
+            assert fold(c) == c.lower()
+    assert fold("ΟΔΟΣ ΟΔΟΣ") == fold("οδος οδοσ") == fold("ΟΔΟΣ οδος") and unicodedata.name(fold("Σ")).endswith("SIGMA")
+
+
+def test_item_blocks_are_bounded(spark):
+    rows = [(i, f"item {i} " * 20) for i in range(200)] + [(None, "x" * 5000), (1, None), (3, "item 3 " * 20)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(item_blocks(bench, 4000))
+    assert all(len(b) == 1 or sum(len(t) for _, t in b) <= 8000 for b in blocks)
+    assert sorted((x for b in blocks for x in b), key=str) == sorted({(i, t) for i, t in rows if t}, key=str)
+    assert list(item_blocks(bench.limit(0))) == [[]]

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from sitegauge.llm.common import prepare, text_buffer
+from sitegauge.llm import langid
 from sitegauge.llm.langid import identify, keep_identified, presence
 
 WORDS = {"en": "the and of with that there house which".split(), "de": "der und mit das nicht eine häuser straße".split(), "fr": "le les avec être pour élan maison où".split()}
@@ -41,3 +42,13 @@ def test_operator(spark):
     kept = keep_identified(df)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
     assert identify(df.limit(0)).count() == 0 and identify(df.where("lang is null")).first().lang_pred == "und"
+
+
+def test_sample_is_bounded_when_rows_repeat(spark, monkeypatch):
+    """One id that stands for thousands of rows is one document of the sample."""
+    prepare(spark)
+    rows = [(1, f"the cat sat on the mat number {i % 7}", "en") for i in range(3000)] + [(2, "der Hund und die Katze", "de")]
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda bits, langs, landmarks: seen.append(langs))
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(seen[0]) == ["de", "en"]

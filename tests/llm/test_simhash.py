@@ -104,3 +104,15 @@ def test_components(spark):
     assert all(group[k] == v for k, v in got.items())
     assert set(got) == {x for a, b in edges if a is not None and a != b for x in (a, b)}
     assert np.array_equal(sorted(got), sorted(set(got)))
+
+
+def test_keep_one_loses_no_text(spark):
+    """Ids that stand for several texts, rows without an id, repeated rows."""
+    prepare(spark)
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(rng.choice("abcdefghij") * rng.randrange(1, 5) for _ in range(60)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, c), (None, d), (None, d), (None, c), (8, None), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, count int")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (7, c), (None, d), (8, None)], key=str)
+    assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.keep_one(docs).columns == docs.columns
