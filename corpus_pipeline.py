@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; each result is written
 as Parquet in the shared folder and read again as the next stage's ``docs``.
+
+All stages take empty tables (and return none or no rows), null ids, null and empty texts, texts of any length, repeated rows and further
+columns; what they make of them is said below and, in full, at the operators.
 """
 
 from __future__ import annotations
@@ -17,31 +20,31 @@ from sitegauge.runtime import shared_dir
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the model knows; the others go."""
+    """Documents in a language the model knows; the others go, and so do null and empty texts and those without letters."""
     prepare(spark)
     return langid.keep_identified(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
+    """One document of each group of near copies: that of the least doc_id, a null id last. An id that stands for several texts is several documents; rows alike in both are one."""
     prepare(spark)
     return simhash.keep_one(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat one of another document are cut out of all documents but one."""
+    """Passages that repeat one of another document are cut out of all documents but one; null, empty and short texts have none. A text of which no word is left goes."""
     prepare(spark)
     return passages.drop_repeats(docs)
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none; items without an id count, without a text they do not."""
     prepare(spark)
     return decontam.drop_leaky(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, packed into sequences of 1024."""
+    """Token pieces of what is left, packed into sequences of 1024. A null or empty text is its end token alone; repeated rows give their pieces each."""
     prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 

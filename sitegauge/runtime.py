@@ -29,14 +29,21 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in local tests, a temporary folder stands in for it.
+    Only on a local master, as in tests, a temporary folder stands in for it where it is unset; elsewhere that is an error, for
+    executors would not see the driver's folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = os.path.dirname(current) if current else tempfile.mkdtemp(prefix="sitegauge-shared-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+        current = context.getCheckpointDir()
+        if current:
+            found = os.path.dirname(current)
+        elif context.master.startswith("local[") or context.master == "local":
+            found = tempfile.mkdtemp(prefix="sitegauge-shared-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
     return found
 
 
