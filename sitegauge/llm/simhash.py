@@ -191,8 +191,8 @@ def keep_one(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: s
     """The rows of ``docs`` of one document of each component: that of the least id (null after all others), then of the least hash of its text.
 
     A document is an id and a text, so an id that stands for several texts loses only those that another document of their
-    component answers for, and no component loses all rows. Rows that repeat the kept document in id and text are one document: one
-    row of them stays (any, where other columns differ). Null and empty texts are alike to each other; an empty table stays empty; other columns
+    component answers for, and no component loses all rows. Rows that repeat the kept document in id and text stay once each; of kept
+    rows without an id that are alike in text one stays (any, where other columns differ). Null and empty texts are alike to each other; an empty table stays empty; other columns
     are carried along, whatever their names.
     """
     own, of = own_name(docs, "simhash_text"), own_name(docs, "simhash_id")
@@ -207,7 +207,7 @@ def keep_one(docs: DataFrame, most: int = 3, id_col: str = "doc_id", text_col: s
         return rows.join(which.select(of, own), rows[id_col].eqNullSafe(which[of]) & (F.xxhash64(rows[text_col]) == which[own]), how)
 
     kept = without(docs, judged.where("not stays"), "left_anti")
-    twice = judged.where("stays and count > 1")
+    twice = judged.where("stays and count > 1").where(F.col(of).isNull())
     if twice.isEmpty():
         return kept
     some = without(kept, twice, "left_semi").withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, own]).drop(own)
