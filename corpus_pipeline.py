@@ -26,7 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id, a null id last. An id that stands for several texts is several documents; rows alike in both are one."""
+    """One document of each group of near copies: that of the least doc_id, a null id last. An id that stands for several texts is several documents; rows alike in both stay together."""
     prepare(spark)
     return simhash.keep_one(docs)
 
