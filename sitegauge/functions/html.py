@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values.
 #: Elements whose content is never visible text.
 HIDDEN = ("script", "style", "head", "noscript", "template", "svg")
 CHROME = ("nav", "header", "footer", "aside")

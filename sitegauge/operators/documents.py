@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.urls import hostname
+
 LEAST_LLMS, STALE_DAYS, CATALOG_BYTES = 20, 180, 500 * 1024
 SEMVER = r"^[0-9]+\.[0-9]+(\.[0-9]+)?([\-+][0-9A-Za-z.\-]+)?$"
 
@@ -74,18 +76,18 @@ def catalogs(rows: DataFrame) -> DataFrame:
     return rows.select("site_id", "object", "version", "own_host", F.coalesce(F.size("e"), F.lit(-1)).cast("long").alias("entries"), F.coalesce(F.size(F.filter("e", lambda x: ~urn(x))), F.lit(0)).cast("long").alias("foreign_entries"))
 
 
-def orphan_surfaces(surfaces: DataFrame, links: DataFrame, hosts: str = "example") -> DataFrame:
-    """Surfaces that were found but that no link of the site's own leads to (compared by path)."""
-    path = F.regexp_replace(F.regexp_extract("href", r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
-    host = F.regexp_extract("href", r"^[a-z]+://([^/?#]*)", 1)
-    linked = links.where(host != f"elsewhere.{hosts}").select("site_id", path.alias("path")).distinct()
-    return surfaces.where("found").select("site_id", "path").join(linked, ["site_id", "path"], "left_anti")
+def orphan_surfaces(surfaces: DataFrame, links: DataFrame) -> DataFrame:
+    """Surfaces (site_id, host, path) that were found but that no link to the site's own host leads to (but for ``www.``; compared by path)."""
+    bare = lambda c: F.regexp_replace(c, r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract("href", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    linked = links.select("site_id", bare(hostname(F.col("href"))).alias("own"), path.alias("path")).distinct()
+    return surfaces.where("found").withColumn("own", bare(F.lower("host"))).join(linked, ["site_id", "own", "path"], "left_anti").select("site_id", "path")
 
 
 def readiness(passes: DataFrame, probes: DataFrame) -> DataFrame:
     """Half-even percentage of the passed probes of each site in the widest and in the core scope, with its label."""
     rows = passes.join(F.broadcast(probes), "ordinal")
-    totals = probes.agg(F.count("*").alias("n"), F.count_if(F.col("scope") == "core").alias("c")).first()  # a fixed dimension
-    out = rows.groupBy("site_id").agg(F.count("*").alias("earned"), F.count_if(F.col("scope") == "core").alias("core_earned"))
-    out = out.select("site_id", "earned", "core_earned", F.bround(F.col("earned") / totals.n * 100, 0).cast("long").alias("score"), F.bround(F.col("core_earned") / totals.c * 100, 0).cast("long").alias("core_score"))
+    totals = F.broadcast(probes.agg(F.count("*").alias("n"), F.count_if(F.col("scope") == "core").alias("c")))  # one row
+    out = rows.groupBy("site_id").agg(F.count("*").alias("earned"), F.count_if(F.col("scope") == "core").alias("core_earned")).join(totals)
+    out = out.select("site_id", "earned", "core_earned", F.bround(F.col("earned") / F.col("n") * 100, 0).cast("long").alias("score"), F.bround(F.col("core_earned") / F.col("c") * 100, 0).cast("long").alias("core_score"))
     return out.withColumn("label", F.when(F.col("score") >= 70, "strong").when(F.col("score") >= 40, "developing").otherwise("limited"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .site_search import placeholder
+
 #: Fixed values.
 NO_FIELD = ("hidden", "submit", "button", "reset", "image")
-GENERIC_NAMES = ("", "field", "field1", "field2", "input", "input1", "text", "value", "data")
-PURPOSES = "address|city|company|country|email|family-name|first-name|given-name|last-name|name|organization|phone|postal|tel|username|zip"
-PLACEHOLDERS = "lorem ipsum|coming soon|description (goes|comes) here|all rights reserved|we use cookies"
+GENERIC_NAMES = ("", "field", "input", "value", "data", "form", "formfield", "form_field")
+PURPOSES = ("address", "city", "company", "country", "email", "family-name", "first-name", "given-name", "last-name", "name", "organization", "phone", "postal", "tel", "username", "zip")
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -25,7 +26,7 @@ def form_faults(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("f", F.lit(r"(?is)<(?:input|select|textarea)(?:\s[^>]*)?>"), F.lit(0)), lambda t: ~t.rlike("(?i)^<input") | ~attribute(t, "type").isin(*NO_FIELD)
     )
     rows = rows.select("site_id", attribute(F.col("open"), "action").alias("action"), attribute(F.col("open"), "method").alias("method"), fields.alias("fields"), F.col("f").rlike(r"(?i)<button|<input[^>]*type=[\"']?submit").alias("submits"))
-    needs = F.filter("fields", lambda t: t.rlike("(?i)^<input") & (attribute(t, "type").isin("email", "tel", "url", "password") | F.concat_ws(" ", attribute(t, "name"), attribute(t, "id"), attribute(t, "placeholder")).rlike(PURPOSES)))
+    needs = F.filter("fields", lambda t: t.rlike("(?i)^<input") & (attribute(t, "type").isin("email", "tel", "url", "password") | F.concat_ws(" ", attribute(t, "name"), attribute(t, "id"), attribute(t, "placeholder")).rlike("|".join(PURPOSES))))
     scripted = F.col("action").rlike("^(javascript:|#)")
     method = F.col("method").isin("get", "post", "dialog")
     return rows.groupBy("site_id").agg(
@@ -63,7 +64,7 @@ def blurb_faults(rows: DataFrame) -> DataFrame:
     shared = rows.where(d.isNotNull()).groupBy("site_id", F.lower("description").alias("k")).agg(F.count("*").alias("n")).where("n > 1").groupBy("site_id").agg(F.sum("n").alias("shared"))
     out = rows.groupBy("site_id").agg(
         F.count("*").alias("pages"), F.count_if(F.col("title").isNull()).alias("no_title"), F.count_if(d.isNull()).alias("no_description"), F.count_if(F.length(d) < 50).alias("short"), F.count_if(F.length(d) > 200).alias("long"),
-        F.count_if(F.lower(d).rlike(PLACEHOLDERS)).alias("placeholder"),
+        F.count_if(placeholder(d)).alias("placeholder"),
     )
     return out.join(shared, "site_id", "left").fillna(0, ["shared"])
 

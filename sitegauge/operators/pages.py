@@ -11,9 +11,12 @@ READABLE_WORDS, MAIN_WORDS = 50, 80
 HIGH_BOILERPLATE, HIGH_NAVIGATION, HIGH_SCRIPT, HIGH_RATIO = 0.65, 0.45, 0.5, 40.0
 
 
-def text_metrics(pages: DataFrame) -> DataFrame:
-    """Words and byte ratios of every page's raw HTML, and its rendering state. One pass, no shuffle."""
-    text = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).withColumn("text", H.visible_text(F.col("html")))
+def text_metrics(pages: DataFrame, *keep: str) -> DataFrame:
+    """Words and byte ratios of every page's raw HTML, and its rendering state; columns of ``keep`` go along. One pass, no shuffle.
+
+    A null html is empty; null ids and repeated rows are rows like any other.
+    """
+    text = pages.select("page_id", *keep, F.coalesce("html", F.lit("")).alias("html")).withColumn("text", H.visible_text(F.col("html")))
     body = F.regexp_replace(F.col("html"), "(?s)<!--.*?-->", " ")
     chrome_free = body
     for tag in H.CHROME:
@@ -23,6 +26,7 @@ def text_metrics(pages: DataFrame) -> DataFrame:
         shell = shell | F.contains(F.substring("html", 1, 20000), F.lit(mark))
     m = text.select(
         "page_id",
+        *keep,
         H.words(F.col("text")).alias("visible_words"),
         F.octet_length("html").cast("long").alias("html_bytes"),
         F.octet_length("text").cast("long").alias("text_bytes"),
@@ -47,9 +51,9 @@ def text_metrics(pages: DataFrame) -> DataFrame:
     )
 
 
-def readability(pages: DataFrame) -> DataFrame:
-    """The raw-HTML readability check: issues, state and score (0 to 4) of every page."""
-    m = text_metrics(pages)
+def readability(pages: DataFrame, *keep: str) -> DataFrame:
+    """The raw-HTML readability check: issues, state and score (0 to 4) of every page; columns of ``keep`` go along."""
+    m = text_metrics(pages, *keep)
     issues = (
         F.when(F.col("main_words") < MAIN_WORDS, 1).otherwise(0)
         + F.when(F.col("boilerplate_ratio") > HIGH_BOILERPLATE, 1).otherwise(0)
@@ -65,32 +69,7 @@ def readability(pages: DataFrame) -> DataFrame:
     )
     m = m.withColumn("score", score.cast("long"))
     state = F.when(F.col("score") == 4, "pass").when(F.col("score") == 0, "fail").otherwise("partial")
-    return m.select("page_id", "rendering", "visible_words", "main_words", "issues", state.alias("state"), "score")
-
-
-def structure(pages: DataFrame) -> DataFrame:
-    """Headings, landmarks, title, description and links of every page, with the semantic-HTML score (1 to 4)."""
-    body = F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<!--.*?-->", " ")
-    p = pages.select("page_id", body.alias("html"))
-    landmarks = sum((F.when(H.count_tags(F.col("html"), t) > 0, 1).otherwise(0) for t in H.LANDMARKS), F.lit(0))
-    title = F.trim(F.regexp_replace(F.regexp_extract("html", H.content_of("title"), 1), H.WORD_GAP, " "))
-    described = F.regexp_extract("html", r"""(?i)<meta\s[^>]*name=["']?description["']?[^>]*>""", 0)
-    links = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*href=["']([^"']*)["']"""), F.lit(1))
-    p = p.select(
-        "page_id", *[H.count_tags(F.col("html"), t).alias(t) for t in ("h1", "h2", "h3")], landmarks.cast("long").alias("landmarks"),
-        F.length(title).cast("long").alias("title_chars"), (described == "").alias("no_description"), F.size(links).cast("long").alias("links"),
-        F.size(F.filter(links, lambda u: F.lower(F.trim(u)).rlike("^(javascript:|#)"))).cast("long").alias("dead_links"),
-    )
-    issues = (
-        F.when(F.col("h1") != 1, 1).otherwise(0)
-        + F.when((F.col("h3") > 0) & (F.col("h2") == 0), 1).otherwise(0)
-        + F.when(F.col("landmarks") < 3, 1).otherwise(0)
-        + F.when((F.col("title_chars") == 0) | (F.col("title_chars") > 70), 1).otherwise(0)
-        + F.when(F.col("no_description"), 1).otherwise(0)
-        + F.when((F.col("links") >= 8) & (F.col("dead_links") * 4 > F.col("links")), 1).otherwise(0)
-    )
-    p = p.withColumn("issues", issues.cast("long"))
-    return p.withColumn("score", F.when(F.col("issues") == 0, 4).otherwise(F.greatest(4 - F.col("issues"), F.lit(1))).cast("long"))
+    return m.select("page_id", *keep, "rendering", "visible_words", "main_words", "issues", state.alias("state"), "score")
 
 
 def homepages(pages: DataFrame) -> DataFrame:
@@ -124,6 +103,6 @@ def language_mismatch(pages: DataFrame) -> DataFrame:
 
 def host_rank(pages: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` pages of each host by readable words (ties by page_id)."""
-    m = text_metrics(pages).join(pages.select("page_id", H.host(F.col("url")).alias("host")), "page_id")
+    m = text_metrics(pages.withColumn("host", H.host(F.col("url"))), "host")
     w = Window.partitionBy("host").orderBy(F.desc("main_words"), "page_id")
     return m.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= top).select("host", "place", "page_id", "main_words")

@@ -57,8 +57,7 @@ def _entries(robots: DataFrame) -> DataFrame:
 
 def access(robots: DataFrame, crawlers: DataFrame) -> DataFrame:
     """(site_id, bot, purpose, access) of every scored crawler for the root of every site with a robots body."""
-    bots = F.array(*[F.struct(F.lit(r.bot).alias("bot"), F.lit(r.purpose).alias("purpose")) for r in crawlers.where("scored").orderBy("ordinal").collect()])  # a fixed dimension
-    sites = robots.where(F.trim(F.coalesce("body", F.lit(""))) != "").select("site_id", F.explode(bots).alias("b")).select("site_id", "b.bot", "b.purpose")
+    sites = robots.where(F.trim(F.coalesce("body", F.lit(""))) != "").select("site_id").join(F.broadcast(crawlers.where("scored").select("bot", "purpose")))  # a fixed dimension
     named = groups(robots).groupBy("site_id").agg(F.array_distinct(F.flatten(F.collect_list("agents"))).alias("named"))
     star = F.array_contains("agents", "*")
     ruled = _entries(robots).groupBy("site_id").agg(

@@ -37,9 +37,9 @@ def evidence_score(rows: DataFrame, rubric: DataFrame) -> DataFrame:
 
 
 def action_order(rows: DataFrame, rubric: DataFrame) -> DataFrame:
-    """Checks of each site by missing points per effort, the largest first; ties by name."""
+    """Checks of each site by missing points per effort, the largest first; ties in the report's own order (ordinal)."""
     gap = (F.col("max_score") - F.col("score")) / _map(EFFORT, "effort", 2)
-    w = Window.partitionBy("site_id").orderBy(F.desc("gap"), "check_name")
+    w = Window.partitionBy("site_id").orderBy(F.desc("gap"), "ordinal")
     return with_rubric(rows, rubric).withColumn("gap", gap).select("site_id", "check_name", F.round("gap", 6).alias("gap"), F.row_number().over(w).cast("long").alias("place"))
 
 
@@ -93,11 +93,13 @@ def nearest_peers(sites: DataFrame, peers: DataFrame, top: int = 3) -> DataFrame
     return out.select("site_id", (F.col("k") + 1).cast("long").alias("place"), F.col("x.name").alias("name"), (-F.col("x.neg")).alias("percent"))
 
 
-def snapshot_faults(rows: DataFrame, rubric: DataFrame, expected: tuple[str, ...]) -> DataFrame:
-    """Peers whose snapshot rows are not valid, with the number of faults of each kind; valid ones have no row."""
-    r = rows.join(F.broadcast(rubric.select("check_name", "max_score")), "check_name", "left")
+def snapshot_faults(rows: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Peers whose snapshot rows are not valid, with the number of faults of each kind; valid ones have no row. Every check of the rubric is expected."""
+    expected = F.broadcast(rubric.agg(F.count("*").alias("expected")))  # one row
+    r = rows.join(F.broadcast(rubric.select("check_name", "max_score")), "check_name", "left").join(expected)
+    known = F.col("max_score").isNotNull()
     out = r.groupBy("name").agg(
-        F.count_if(~F.col("check_name").isin(*expected)).alias("unknown_checks"), (F.lit(len(expected)) - F.count_if(F.col("check_name").isin(*expected))).alias("missing_checks"),
+        F.count_if(~known).alias("unknown_checks"), (F.max("expected") - F.count_if(known)).alias("missing_checks"),
         F.count_if(F.col("max") != F.coalesce("max_score", F.col("max"))).alias("wrong_max"), F.count_if((F.col("score") < 0) | (F.col("score") > F.col("max"))).alias("score_out_of_range"),
         F.count_if(~F.col("state").isin("pass", "partial", "fail", "warn", "locked")).alias("odd_states"), F.count_if(~F.col("evidence").isin("verified", "inferred", "unknown")).alias("odd_evidence"),
     )

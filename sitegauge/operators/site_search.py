@@ -331,7 +331,7 @@ def extraction_readiness(d: DataFrame, ecommerce: bool = False) -> DataFrame:
         (F.col("html_ratio") > HIGH_RATIO, "html_ratio"), (F.col("rendering") != "readable", "rendering"), ((F.size("schema_types") == 0) & (F.col("invalid") == 0), "no_schema"), (F.col("invalid") > 0, "bad_schema"),
     )
     caveats = codes((F.col("hidden_nodes") > 0, "hidden_nodes"), (F.col("cut"), "schema_cut"), (F.col("ignored") > 0, "schema_ignored"))
-    keep = ["page_id", "hidden_nodes", "words", "main_words", *[F.round(c, 6).alias(c) for c in ("boilerplate", "navigation", "script_share", "html_ratio")], "rendering", F.array_join("schema_types", " ").alias("schema_types")]
+    keep = ["page_id", "hidden_nodes", "words", "main_words", *[F.round(c, 6).alias(c) for c in ("boilerplate", "navigation", "script_share", "html_ratio")], "rendering", F.array_join(F.array_sort("schema_types"), " ").alias("schema_types")]
     if not ecommerce:
         return d.select(*keep, joined(found).alias("codes"), joined(caveats).alias("caveats"))
     d = _schema_commerce(_visible_commerce(d))

@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values.
-STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "our", "you", "your")
-BOILERPLATE = ("all rights reserved", "we use cookies", "lorem ipsum", "coming soon")
-LEAST_LEFT, LEAST_RIGHT, LOW = 5, 12, 0.2
+from sitegauge.functions.urls import tokens
 
+from .site_search import LEAST_LEFT, LEAST_RIGHT, LOW_OVERLAP, STOPWORDS, WORD
 
-def tokens(text: Column) -> Column:
-    """Distinct tokens [a-z0-9]+ of at least two characters that are no stop words, in a set."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_except(F.array_distinct(F.filter(found, lambda t: F.length(t) > 1)), F.array(*map(F.lit, STOPWORDS)))
+#: Fixed values.
+BOILERPLATE = ("all rights reserved", "we use cookies", "lorem ipsum", "coming soon")
+SAMPLE, SHORT, LEAST_WORDS, LEAST_CHARS = 6000, 80, 30, 200
 
 
 def markdown_quality(docs: DataFrame) -> DataFrame:
-    """Words, headings, list items, links and code fences of every text, and whether it would do as a Markdown body."""
-    t = F.coalesce("text", F.lit(""))
-    words = F.size(F.filter(F.split(F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " ")), " "), lambda w: w != "")).cast("long")
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    out = docs.select(
-        "doc_id", words.alias("words"), count(r"(?m)^#{1,6} ").alias("headings"), count(r"(?m)^[-*+] ").alias("items"), count(r"\[[^\]]+\]\([^)]+\)").alias("links"), count(r"(?m)^```").alias("fences"),
-        t.rlike(r"(?i)<(html|body|div|script)[ >]").alias("is_html"),
-    )
-    return out.withColumn("usable", (F.col("words") >= 40) & ~F.col("is_html"))
+    """Whether each text would do as a Markdown body, judged on its first ``SAMPLE`` characters without outer white space: words or
+    characters enough, no HTML, and marks of structure (title, link, list, code fence, table). A null text is empty; repeated rows give a row each."""
+    t = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""), 1, SAMPLE)
+    words = F.size(F.regexp_extract_all(t, F.lit("[A-Za-z0-9][A-Za-z0-9'_-]*"), F.lit(0)))
+    html = F.lower(t).rlike("^(<!doctype html|<html)")
+    marks = F.startswith(t, F.lit("#")) | t.rlike(r"\[[^\]]+\]\([^)]+\)") | t.rlike(r"(?dm)^[-*]\s+\S") | t.rlike(r"(?dm)^```") | t.rlike(r"(?dm)^\|.+\|$")
+    meaningful = ~html & ((words >= LEAST_WORDS) | (F.length(t) >= LEAST_CHARS))
+    return docs.select("doc_id", words.cast("long").alias("words"), F.length(t).cast("long").alias("chars"), html.alias("is_html"), (marks & ~html).alias("structured"), meaningful.alias("meaningful"), ((F.length(t) < SHORT) | (~meaningful & ~html)).alias("too_short"))
 
 
 def opening_coverage(docs: DataFrame) -> DataFrame:
-    """The share of the first line's tokens that the rest of the text has; null where either has too few."""
+    """The share of the first line's tokens that the rest of the text has; null where either has too few. Texts of one line have no row."""
     t = F.coalesce("text", F.lit(""))
     first, rest = F.substring_index(t, "\n", 1), F.expr("substring(coalesce(text, ''), instr(coalesce(text, ''), '\n') + 1)")
-    d = docs.where(F.instr(t, "\n") > 0).select("doc_id", tokens(first).alias("l"), tokens(rest).alias("r"))
+    d = docs.where(F.instr(t, "\n") > 0).select("doc_id", *[tokens(c, WORD, 2, STOPWORDS).alias(n) for c, n in ((first, "l"), (rest, "r"))])
     enough = (F.size("l") >= LEAST_LEFT) & (F.size("r") >= LEAST_RIGHT)
     coverage = F.when(enough, F.round(F.size(F.array_intersect("l", "r")) / F.size("l"), 6))
-    return d.select("doc_id", F.size("l").cast("long").alias("left_tokens"), F.size("r").cast("long").alias("right_tokens"), coverage.alias("coverage"), (coverage < LOW).alias("low"))
+    return d.select("doc_id", F.size("l").cast("long").alias("left_tokens"), F.size("r").cast("long").alias("right_tokens"), coverage.alias("coverage"), (coverage < LOW_OVERLAP).alias("low"))
 
 
 def flags_by_source(docs: DataFrame) -> DataFrame:

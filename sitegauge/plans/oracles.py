@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from sitegauge.functions.html import APP_SHELL, CHROME, ENTITIES, HIDDEN, LANDMARKS, MAIN
-from sitegauge.operators.documents import SEMVER
-from sitegauge.operators.evidence import COMPARED, DNS_TOKENS, JSON_SURFACES
-from sitegauge.operators.forms import GENERIC_NAMES, NO_FIELD, PLACEHOLDERS, PURPOSES
-from sitegauge.operators.markup import OCTET, PRIVATE, SOCIAL, TRUST
-from sitegauge.operators.robots import SIGNALS
-from sitegauge.operators.texts import BOILERPLATE, STOPWORDS
 from sitegauge.sources import page_relations
+from sitegauge.sources.evidence import PAGES_SQL
 from sitegauge.sources.fixtures import with_relations
 
+from . import evidence_oracles, page_oracles
+
+# Fixed values, said here again so that the SQL does not lean on the operators.
+APP_SHELL = ('__NEXT_DATA__', 'data-reactroot', 'ng-version', '/@vite/', '__NUXT__')
+CHROME = ('nav', 'header', 'footer', 'aside')
+ENTITIES = (('&nbsp;', ' '), ('&copy;', '©'), ('&middot;', '·'), ('&lt;', '<'), ('&gt;', '>'), ('&quot;', '"'), ('&#39;', "'"), ('&amp;', '&'))
+HIDDEN = ('script', 'style', 'head', 'noscript', 'template', 'svg')
+MAIN = ('main', 'article')
+SEMVER = '^[0-9]+\\.[0-9]+(\\.[0-9]+)?([\\-+][0-9A-Za-z.\\-]+)?$'
+COMPARED = ('product_name', 'price', 'availability', 'sku_or_gtin')
+DNS_TOKENS = ('agent', 'mcp', 'a2a', 'aid')
+JSON_SURFACES = ('API description', 'API catalog', 'ARD catalog', 'OAuth authorization metadata', 'OAuth protected resource metadata', 'Web Bot Auth directory', 'MCP server card', 'A2A agent card', 'Agent skills', 'WebMCP manifest', 'catalog JSON')
+OCTET = '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])'
+PRIVATE = '^(0|10|127)\\.|^100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.|^169\\.254\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.|^192\\.168\\.|^192\\.0\\.[02]\\.|^198\\.(1[89]|51\\.100)\\.|^203\\.0\\.113\\.|^(22[4-9]|2[34][0-9]|25[0-5])\\.'
+SOCIAL = {'Instagram': 'instagram\\.com/[\\w.\\-]+', 'TikTok': 'tiktok\\.com/@[\\w.\\-]+', 'Facebook': 'facebook\\.com/[\\w.\\-]+', 'X/Twitter': '(twitter\\.com|x\\.com)/[\\w.\\-]+', 'YouTube': 'youtube\\.com/(channel/|c/|user/|@)[\\w.\\-]+', 'LinkedIn': 'linkedin\\.com/company/', 'Pinterest': 'pinterest\\.com/[\\w.\\-]+', 'Reddit': 'reddit\\.com/(r|user)/', 'Medium': 'medium\\.com/@?[\\w\\-]+', 'Substack': '[\\w\\-]+\\.substack\\.com'}
+TRUST = {'about': 'about|company|mission|team|our story|who we are', 'contact': 'contact|contact us|get in touch|locations?', 'privacy': 'privacy', 'terms': 'terms|terms of service|terms and conditions|legal', 'support': 'support|help center|customer service|faqs?', 'returns': 'returns?|return policy|refunds?|exchanges?', 'shipping': 'shipping|delivery|fulfillment'}
+SIGNALS = ('ai-input', 'ai-train', 'search', 'tdm-reservation')
+NO_FIELD = ("hidden", "submit", "button", "reset", "image")
+GENERIC_NAMES = ("", "field", "input", "value", "data", "form", "formfield", "form_field")
+PURPOSES = "address|city|company|country|email|family-name|first-name|given-name|last-name|name|organization|phone|postal|tel|username|zip"
+PLACEHOLDERS = "\\blorem ipsum\\b|\\b(?:meta )?description (?:goes|comes) here\\b|\\b(?:insert|add|write) (?:a |your )?description\\b|\\bcoming soon\\b|^welcome to (?:our|my|the) (?:website|site)[.!]?$|\\ball rights reserved\\b|\\bwe use cookies\\b"
+BOILERPLATE = ("all rights reserved", "we use cookies", "lorem ipsum", "coming soon")
+STOPWORDS = "a an and are as at be by for from in is it of on or our that the this to we with you your".split()
+
 GAP = "[ \\t\\n\\r\\f]+"
 
 
@@ -83,18 +101,6 @@ s as (
   select *, (case rendering when 'readable' then case when issues = 0 then 4 when issues < 3 then 3 else 2 end when 'thin' then case when issues < 3 then 2 else 1 end else 0 end)::bigint as score from i)
 select page_id, rendering, visible_words, main_words, issues, case score when 4 then 'pass' when 0 then 'fail' else 'partial' end as state, score from s""",
     "extraction_efficiency": METRICS + "select page_id, visible_words, html_bytes, text_bytes, chrome_words, script_style_bytes, main_words, rendering from r",
-    "html_structure": f"""
-with b as (select page_id, {BODY} as html from pages),
-c as (
-  select page_id, {', '.join(f"len(regexp_extract_all(html, '(?i)<{t}(?:\\s[^>]*)?>'))::bigint as {t}" for t in ('h1', 'h2', 'h3'))},
-    ({' + '.join(f"regexp_matches(html, '(?i)<{t}(?:\\s[^>]*)?>')::int" for t in LANDMARKS)})::bigint as landmarks,
-    length(trim(regexp_replace(regexp_extract(html, '{_element('title', True)}', 1), '{GAP}', ' ', 'g')))::bigint as title_chars,
-    not regexp_matches(html, '(?i)<meta\\s[^>]*name=["'']?description["'']?[^>]*>') as no_description,
-    regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"'']*)["'']', 1) as urls from b),
-d as (select page_id, h1, h2, h3, landmarks, title_chars, no_description, len(urls)::bigint as links, len(list_filter(urls, lambda u: regexp_matches(lower(trim(u)), '^(javascript:|#)')))::bigint as dead_links from c),
-i as (
-  select *, ((h1 <> 1)::int + (h3 > 0 and h2 = 0)::int + (landmarks < 3)::int + (title_chars = 0 or title_chars > 70)::int + no_description::int + (links >= 8 and dead_links * 4 > links)::int)::bigint as issues from d)
-select *, (case when issues = 0 then 4 else greatest(4 - issues, 1) end)::bigint as score from i""",
     "homepages": f"select {HOST} as host, min(page_id) as page_id, arg_min(url, page_id) as url, count(*) as pages from pages where page_id is not null and {HOST} <> '' group by 1",
     "sitemap_hygiene": f"""
 with k as (select {HOST} as host, {_key('url')} as key, count(*) as n, count(*) filter (lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) <> 'https') as plain from pages where {HOST} <> '' group by 1, 2)
@@ -109,15 +115,15 @@ select declared, in_path, count(*) as pages, (declared <> in_path)::bigint as mi
     + f""", h as (select {HOST} as host, page_id, main_words, row_number() over (partition by {HOST} order by main_words desc, page_id) as place from r join pages using (page_id))
 select host, place, page_id, main_words from h where place <= 3""",
     "markdown_body_quality": """
-with t as (select doc_id, coalesce(text, '') as t from documents),
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')[1:6000] as t from documents),
 c as (
-  select doc_id, len(list_filter(string_split(trim(regexp_replace(t, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' '), lambda w: w <> ''))::bigint as words, len(regexp_extract_all(t, '(?m)^#{1,6} '))::bigint as headings,
-    len(regexp_extract_all(t, '(?m)^[-*+] '))::bigint as items, len(regexp_extract_all(t, '\\[[^\\]]+\\]\\([^)]+\\)'))::bigint as links, len(regexp_extract_all(t, '(?m)^```'))::bigint as fences,
-    regexp_matches(t, '(?i)<(html|body|div|script)[ >]') as is_html from t)
-select *, words >= 40 and not is_html as usable from c""",
+  select doc_id, t, len(regexp_extract_all(t, '[A-Za-z0-9][A-Za-z0-9''_-]*'))::bigint as words, length(t)::bigint as chars, regexp_matches(lower(t), '^(<!doctype html|<html)') as is_html,
+    starts_with(t, '#') or regexp_matches(t, '\\[[^\\]]+\\]\\([^)]+\\)') or regexp_matches(t, '(?m)^[-*]\\s+\\S') or regexp_matches(t, '(?m)^```') or regexp_matches(t, '(?m)^\\|.+\\|$') as marks from t),
+m as (select *, not is_html and (words >= 30 or chars >= 200) as meaningful from c)
+select doc_id, words, chars, is_html, marks and not is_html as structured, meaningful, chars < 80 or not meaningful and not is_html as too_short from m""",
     "opening_token_coverage": f"""
 with t as (select doc_id, split_part(text, chr(10), 1) as l, substr(text, instr(text, chr(10)) + 1) as r from documents where contains(text, chr(10))),
-k as (select doc_id, {', '.join(f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) > 1 and t not in ({', '.join(f'{chr(39)}{w}{chr(39)}' for w in STOPWORDS)}))) as {c}" for c in ('l', 'r'))} from t),
+k as (select doc_id, {', '.join(f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+(?:[''-][a-z0-9]+)?'), lambda t: length(t) > 1 and t not in ({', '.join(f'{chr(39)}{w}{chr(39)}' for w in STOPWORDS)}))) as {c}" for c in ('l', 'r'))} from t),
 c as (select doc_id, len(l)::bigint as left_tokens, len(r)::bigint as right_tokens, case when len(l) >= 5 and len(r) >= 12 then round(len(list_intersect(l, r)) / len(l), 6) end as coverage from k)
 select *, coverage < 0.2 as low from c""",
     "text_flags_by_source": f"""
@@ -132,13 +138,28 @@ select event_id, user_id, k from (select event_id, user_id, row_number() over (p
 select user_id, event_type, event_id, round(value, 6) as value, writes from (
   select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k, count(*) over (partition by user_id, event_type) as writes from events) where k = 1""",
     "ttl_cache_hits": """
-with l as (select event_type, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, event_type order by ts, event_id)) as age from events)
-select event_type, count(*) as lookups, count(*) filter (age < 30 * 86400000000) as hits from l group by 1""",
+with recursive e as (select user_id, event_type, epoch_us(ts) as t from events where ts is not null),
+w as (
+  select user_id, event_type, min(t) as t from e group by 1, 2
+  union all
+  select user_id, event_type, (select min(e.t) from e where e.user_id = w.user_id and e.event_type = w.event_type and e.t >= w.t + 30 * 86400000000) from w where t is not null)
+select event_type, count(*) as lookups, count(*) - (select count(*) from w where w.event_type = e.event_type and t is not null) as hits from e group by 1""",
 }
 
+_HOME = "home as (select min(page_id) as page_id, arg_min(url, page_id) as url, arg_min(coalesce(html, ''), page_id) as html from pages where page_id is not null and " + HOST + " <> '' group by " + HOST + ")"
+
+
+def _at_home(sql: str) -> str:
+    """SQL of a page check over each host's homepage, without a response."""
+    return sql.replace(PAGES_SQL, _HOME + ", evidence as (select page_id, url, html, 0::bigint as elapsed_ms, map([]::varchar[], []::varchar[]) as headers from home)")
+
+
 RAW["site_audit"] = f"""
-with home as ({RAW['homepages']}), ssr as ({RAW['ssr_readability']}), html as ({RAW['html_structure']}),
-p as (select host, ssr.score + html.score as overall, 11::bigint as unknown_checks, round_even((ssr.score + html.score) / 8 * 100, 0)::bigint as percent from home join ssr using (page_id) join html using (page_id))
+with home as ({RAW['homepages']}), ssr as ({RAW['ssr_readability']}), html as ({_at_home(page_oracles.SQL['html_structure'])}), ld as ({_at_home(page_oracles.SQL['structured_data'])}), ix as ({_at_home(page_oracles.SQL['indexing_directives'])}),
+so as ({_at_home(page_oracles.SQL['entity_coherence'])}),
+p as (
+  select host, ssr.score + html.score + ld.score + ix.score + so.score as overall, 8::bigint as unknown_checks, round_even((ssr.score + html.score + ld.score + ix.score + so.score) / 20 * 100, 0)::bigint as percent
+  from home join ssr using (page_id) join html using (page_id) join ld using (page_id) join ix using (page_id) join so using (page_id))
 select host, overall, unknown_checks, percent, round_even((select count(*) from p q where q.percent <= p.percent) / (select count(*) from p) * 100, 0)::bigint as percentile from p"""
 
 LINES = """
@@ -316,7 +337,7 @@ select site_id, (case when failed then 2 when a and b then 4 when a then 3 when
     "search_blurb_issues": (
         f"""with s as (select site_id, sum(n)::bigint as shared from (select site_id, lower(description) as k, count(*) as n from blurb where description is not null group by 1, 2 having count(*) > 1) group by 1),
 c as (select site_id, count(*) as pages, count(*) filter (title is null) as no_title, count(*) filter (description is null) as no_description, count(*) filter (length(description) < 50) as short, count(*) filter (length(description) > 200) as long,
-  count(*) filter (regexp_matches(lower(description), '{PLACEHOLDERS}')) as placeholder from blurb group by 1)
+  count(*) filter (regexp_matches(description, '(?i){PLACEHOLDERS}')) as placeholder from blurb group by 1)
 select c.*, coalesce(shared, 0) as shared from c left join s using (site_id)""",
         "blurb",
     ),
@@ -361,8 +382,8 @@ select site_id, j is not null as object, coalesce(regexp_matches(version, '{SEMV
         "catalog",
     ),
     "orphan_surfaces": (
-        """select site_id, path from surface s where found and not exists (select 1 from surface_link l where l.site_id = s.site_id and regexp_extract(href, '^[a-z]+://([^/?#]*)', 1) <> 'elsewhere.example'
-  and regexp_replace(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = s.path)""",
+        """select site_id, path from surface s where found and not exists (select 1 from surface_link l where l.site_id = s.site_id
+  and regexp_replace(lower(regexp_extract(href, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') = regexp_replace(host, '^www\\.', '') and regexp_replace(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') = s.path)""",
         "surface", "surface_link",
     ),
     "agent_readiness": (
@@ -373,7 +394,7 @@ select *, case when score >= 70 then 'strong' when score >= 40 then 'developing'
     ),
     "peer_validation": (
         """with f as (
-  select name, count(*) filter (s.check_name not in ('robots_txt', 'ssr')) as unknown_checks, 2 - count(*) filter (s.check_name in ('robots_txt', 'ssr')) as missing_checks, count(*) filter (max <> coalesce(max_score, max)) as wrong_max,
+  select name, count(*) filter (r.check_name is null) as unknown_checks, 13 - count(*) filter (r.check_name is not null) as missing_checks, count(*) filter (max <> coalesce(max_score, max)) as wrong_max,
     count(*) filter (score < 0 or score > max) as score_out_of_range, count(*) filter (state not in ('pass', 'partial', 'fail', 'warn', 'locked')) as odd_states, count(*) filter (evidence not in ('verified', 'inferred', 'unknown')) as odd_evidence
   from snapshot s left join rubric r on r.check_name = s.check_name group by 1)
 select * from f where unknown_checks + missing_checks + wrong_max + score_out_of_range + odd_states + odd_evidence > 0""",
@@ -492,7 +513,7 @@ select c.*, no_self, (select count(*) from j where j.site_id = c.site_id and kno
     ),
     "evidence_score": ("with " + EVIDENCE + " select * from evidence", "check_row", "rubric"),
     "action_order": (
-        f"select site_id, check_name, round((max_score - score) / {EFFORT}, 6) as gap, row_number() over (partition by site_id order by (max_score - score) / {EFFORT} desc, check_name) as place from check_row join rubric using (check_name)",
+        f"select site_id, check_name, round((max_score - score) / {EFFORT}, 6) as gap, row_number() over (partition by site_id order by (max_score - score) / {EFFORT} desc, ordinal) as place from check_row join rubric using (check_name)",
         "check_row", "rubric",
     ),
     "attention_top5": (
@@ -518,7 +539,11 @@ select *, case when percent >= upper_quartile then 'top' when percent >= median
     ),
 }
 
-SQL: dict[str, str] = RAW | {name: with_relations(sql, *names) for name, (sql, *names) in ON_RELATIONS.items()}
-#: The SQL of operators on pages' evidence: that on literal rows, over the whole table.
-ON_PAGES = ("url_normalise", "trust_surfaces", "social_profiles", "form_affordances", "viewport_tokens", "jsonld_types")
-SQL |= {f"page_{name}": f"with {r} as ({page_relations.SQL[r]}) select * from ({sql})" for name in ON_PAGES for sql, r in [ON_RELATIONS[name]]}
+_LINES_SQL = LINES + "select * from lines"
+ON_RELATIONS |= evidence_oracles.sql(ACCESS + " select * from matrix", ON_RELATIONS["robots_access_score"][0], ON_RELATIONS["robots_quality"][0], ON_RELATIONS["content_signals"][0], _LINES_SQL)
+
+SQL: dict[str, str] = RAW | page_oracles.SQL | {name: with_relations(sql, *names) for name, (sql, *names) in ON_RELATIONS.items()}
+#: The SQL of operators on pages' evidence: that on literal rows, over the whole table with its planted markup.
+ON_PAGES = ("trust_surfaces", "social_profiles", "form_affordances", "viewport_tokens", "jsonld_types")
+SQL |= {f"page_{name}": f"with {PAGES_SQL}, {r} as ({page_relations.SQL[r].replace('from pages', 'from evidence')}) select * from ({sql})" for name in ON_PAGES for sql, r in [ON_RELATIONS[name]]}
+SQL["page_url_normalise"] = f"with url as ({page_relations.SQL['url']}) select * from ({ON_RELATIONS['url_normalise'][0]})"

@@ -6,44 +6,72 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, texts
+from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, texts
 from sitegauge.sources import page_relations as found
-from sitegauge.sources.fixtures import relation
+from sitegauge.sources.dom import dom
+from sitegauge.sources.evidence import dealt, evidence_pages
+from sitegauge.sources.fixtures import relation, sites_of
 from sitegauge.streaming import limits
 
+AS_OF = "2024-06-01"
+
 
 def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _of(f: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(*(relation(spark, n) for n in names))
+    """An operator over literal relations, those of sites dealt over all pages."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+        return f(*(dealt(spark, ids, n, sites_of(*names)) for n in names))
+
+    return run
+
 
+def _page(f: Callable[[DataFrame], DataFrame], ld: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """An operator over the DOM relation of all pages with their planted markup and response (``ld``: with the JSON-LD objects)."""
 
-def _peers(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rubric = relation(spark, "rubric")
-        return f(scoring.evidence_score(relation(spark, "check_row"), rubric).select("site_id", "percent"), scoring.peer_scores(relation(spark, "peer"), rubric))
+        d = dom(evidence_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+        return f(site_checks.with_json_ld(d) if ld else d)
 
     return run
 
 
+def _against(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return _of(lambda rows, rubric, peers: f(scoring.evidence_score(rows, rubric).select("site_id", "percent"), scoring.peer_scores(peers, rubric)), "check_row", "rubric", "peer")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_audit": lambda spark, sf_dir: audit.site_audit(spark.read.parquet(f"{sf_dir}/pages.parquet"), relation(spark, "rubric")),
     "ssr_readability": _on("pages", pages.readability),
     "extraction_efficiency": _on("pages", lambda p: pages.text_metrics(p).drop("app_shell", "boilerplate_ratio", "navigation_ratio", "script_style_ratio", "html_text_ratio")),
-    "html_structure": _on("pages", pages.structure),
+    "html_structure": _page(site_checks.html_structure),
+    "crawl_efficiency": _page(site_checks.crawl_efficiency),
+    "indexing_directives": _page(site_checks.indexing),
+    "structured_data": _page(site_checks.structured_data, True),
+    "structured_data_shop": _page(lambda d: site_checks.structured_data(d, True), True),
+    "entity_coherence": _page(site_checks.entity_coherence, True),
+    "canonical_links": _page(site_checks.canonical_link),
+    "blurb_issues": _page(site_search.blurb_issues),
+    "sampled_metadata": _page(site_search.sampled_metadata, True),
+    "trust_pages": _page(site_search.trust_pages),
+    "freshness_signals": _page(site_search.freshness),
+    "text_alternates": _page(site_search.text_alternate),
+    "extraction_readiness": _page(site_search.extraction_readiness, True),
     "homepages": _on("pages", pages.homepages),
     "sitemap_hygiene": _on("pages", pages.sitemap_hygiene),
     "duplicate_titles": _on("pages", pages.duplicate_titles),
     "language_path_mismatch": _on("pages", pages.language_mismatch),
     "host_top_pages": _on("pages", pages.host_rank),
     "page_url_normalise": _on("pages", lambda p: forms.normal_urls(found.urls(p))),
-    "page_trust_surfaces": _on("pages", lambda p: markup.trust_surfaces(found.links(p))),
-    "page_social_profiles": _on("pages", lambda p: markup.social_profiles(found.links(p))),
-    "page_form_affordances": _on("pages", lambda p: forms.form_faults(found.forms(p))),
-    "page_viewport_tokens": _on("pages", lambda p: markup.viewport(found.viewports(p))),
-    "page_jsonld_types": _on("pages", lambda p: markup.json_ld_nodes(found.scripts(p)).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields")),
+    "page_trust_surfaces": _on("pages", lambda p: markup.trust_surfaces(found.links(evidence_pages(p)))),
+    "page_social_profiles": _on("pages", lambda p: markup.social_profiles(found.links(evidence_pages(p)))),
+    "page_form_affordances": _on("pages", lambda p: forms.form_faults(found.forms(evidence_pages(p)))),
+    "page_viewport_tokens": _on("pages", lambda p: markup.viewport(found.viewports(evidence_pages(p)))),
+    "page_jsonld_types": _on("pages", lambda p: markup.json_ld_nodes(found.scripts(evidence_pages(p))).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields")),
     "markdown_body_quality": _on("documents", texts.markdown_quality),
     "opening_token_coverage": _on("documents", texts.opening_coverage),
     "text_flags_by_source": _on("documents", texts.flags_by_source),
@@ -63,13 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attention_top5": _of(scoring.attention, "check_row", "rubric"),
     "check_counts": _of(scoring.check_counts, "check_row"),
     "peer_essentials": _of(scoring.peer_scores, "peer", "rubric"),
-    "peer_position": _peers(scoring.against_peers),
-    "peer_nearest3": _peers(scoring.nearest_peers),
+    "peer_position": _against(scoring.against_peers),
+    "peer_nearest3": _against(scoring.nearest_peers),
     "scope_resolution": _of(scope.resolve, "scope_request", "preset", "override_key"),
     "probe_scope_matrix": _of(scope.probe_scopes, "probe"),
     "jsonld_types": _of(lambda j: markup.json_ld_nodes(j).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields"), "json_ld"),
     "jsonld_best_schema": _of(markup.json_ld_best, "json_ld", "ld_field"),
-    "sitemap_lastmod_quality": _of(lambda r: markup.lastmod_quality(r, "2024-06-01"), "lastmod"),
+    "sitemap_lastmod_quality": _of(lambda r: markup.lastmod_quality(r, AS_OF), "lastmod"),
     "viewport_tokens": _of(markup.viewport, "viewport"),
     "canonical_check": _of(markup.canonical, "canonical"),
     "trust_surfaces": _of(markup.trust_surfaces, "link"),
@@ -79,11 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "llms_validity": _of(documents.llms, "llms"),
     "header_hints": _of(documents.headers, "header"),
     "sitemap_entries": _of(documents.sitemap_entries, "sitemap_body"),
-    "feed_freshness": _of(lambda f: documents.feed_freshness(f, "2024-06-01"), "feed"),
+    "feed_freshness": _of(lambda f: documents.feed_freshness(f, AS_OF), "feed"),
     "catalog_quality": _of(documents.catalogs, "catalog"),
     "orphan_surfaces": _of(documents.orphan_surfaces, "surface", "surface_link"),
     "agent_readiness": _of(documents.readiness, "probe_pass", "probe"),
-    "peer_validation": _of(lambda s, r: scoring.snapshot_faults(s, r, ("robots_txt", "ssr")), "snapshot", "rubric"),
+    "peer_validation": _of(scoring.snapshot_faults, "snapshot", "rubric"),
     "viewer_pillars": _of(scoring.viewer, "check_row", "rubric"),
     "viewer_order": _of(scoring.viewer_order, "check_row", "rubric"),
     "report_summary": _of(scoring.summary, "check_row", "rubric", "pillar_cap"),
@@ -96,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dns_discovery": _of(evidence.dns_discovery, "dns"),
     "surface_validity": _of(evidence.surface_validity, "surface_body"),
     "commerce_mismatch": _of(evidence.commerce_mismatches, "commerce"),
-    "cached_lookups": _of(lambda c: evidence.cached(c, "2024-06-01"), "cache"),
+    "cached_lookups": _of(lambda c: evidence.cached(c, AS_OF), "cache"),
     "report_checks_json": _of(evidence.report_json, "check_row", "rubric"),
     "top_gap_per_pillar": _of(evidence.best_per_pillar, "check_row", "rubric"),
     "rate_window_admission": _on("events", limits.admissions),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import RELATIONS, relation
+from .fixtures import relation
 
 _ABOUT = "A plain page about the shop and its many goods for people who like to read."
 _ORG = '{"@context": "https://schema.org", "@type": "Organization", "name": "Corner Shop", "url": "https://shop.example/", "logo": {"@type": "ImageObject", "url": "/logo.png"}, "sameAs": ["https://www.instagram.com/corner.shop", "https://www.youtube.com/@cornershop", "https://www.linkedin.com/company/corner"]}'
@@ -52,13 +52,14 @@ ELAPSED = (200, 700)  # least, and step for each of five kinds
 
 
 def evidence_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, elapsed_ms, headers) of every page with a number."""
-    k = F.pmod("page_id", F.lit(len(HEADS))).cast("int")
+    """(page_id, url, html, elapsed_ms, headers) of every page; one without a number counts as 0."""
+    number = F.coalesce("page_id", F.lit(0))
+    k = F.pmod(number, F.lit(len(HEADS))).cast("int")
     literal = lambda parts: F.replace(F.element_at(F.array(*map(F.lit, parts)), k + 1), F.lit("@URL@"), F.coalesce("url", F.lit("")))
     html = F.replace(F.replace(F.coalesce("html", F.lit("")), F.lit("<head>"), F.concat(F.lit("<head>"), literal(HEADS))), F.lit("<footer>"), F.concat(literal(BODIES), F.lit("<footer>")))
     maps = F.array(*[F.create_map(*[F.lit(x) for kv in h.items() for x in kv]) if h else F.create_map().cast("map<string,string>") for h in HEADERS])
-    headers = F.element_at(maps, F.pmod("page_id", F.lit(len(HEADERS))).cast("int") + 1)
-    return pages.where("page_id is not null").select("page_id", "url", html.alias("html"), (ELAPSED[0] + ELAPSED[1] * F.pmod("page_id", F.lit(5))).cast("long").alias("elapsed_ms"), headers.alias("headers"))
+    headers = F.element_at(maps, F.pmod(number, F.lit(len(HEADERS))).cast("int") + 1)
+    return pages.select("page_id", "url", html.alias("html"), (ELAPSED[0] + ELAPSED[1] * F.pmod(number, F.lit(5))).cast("long").alias("elapsed_ms"), headers.alias("headers"))
 
 
 def _q(s: str) -> str:
@@ -66,20 +67,15 @@ def _q(s: str) -> str:
 
 
 def _pick(parts: list[str]) -> str:
-    return f"replace([{', '.join(map(_q, parts))}][page_id % {len(parts)} + 1], '@URL@', coalesce(url, ''))"
+    return f"replace([{', '.join(map(_q, parts))}][coalesce(page_id, 0) % {len(parts)} + 1], '@URL@', coalesce(url, ''))"
 
 
 _MAPS = "[" + ", ".join("map {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in h.items()) + "}" if h else "map([]::varchar[], []::varchar[])" for h in HEADERS) + "]"
 #: The same in SQL, as a common table expression.
 PAGES_SQL = f"""evidence as (
   select page_id, url, replace(replace(coalesce(html, ''), '<head>', '<head>' || {_pick(HEADS)}), '<footer>', {_pick(BODIES)} || '<footer>') as html,
-    ({ELAPSED[0]} + {ELAPSED[1]} * (page_id % 5))::bigint as elapsed_ms, {_MAPS}[page_id % {len(HEADERS)} + 1] as headers
-  from pages where page_id is not null)"""
-
-
-def sites_of(name: str) -> int:
-    """How many sites a literal relation with site_id tells of: the least number over all ids."""
-    return max(r[0] for r in RELATIONS[name][0])
+    ({ELAPSED[0]} + {ELAPSED[1]} * (coalesce(page_id, 0) % 5))::bigint as elapsed_ms, {_MAPS}[coalesce(page_id, 0) % {len(HEADERS)} + 1] as headers
+  from pages)"""
 
 
 def dealt(spark: SparkSession, pages: DataFrame, name: str, sites: int) -> DataFrame:
@@ -92,8 +88,3 @@ def dealt(spark: SparkSession, pages: DataFrame, name: str, sites: int) -> DataF
         return rows
     ids = pages.where("page_id is not null").select(F.col("page_id").alias("own_site"), (F.pmod("page_id", F.lit(sites)) + 1).cast("long").alias("site_id"))
     return ids.join(F.broadcast(rows), "site_id").select(F.col("own_site").alias("site_id"), *[c for c in rows.columns if c != "site_id"])
-
-
-def dealt_sql(name: str, sites: int) -> str:
-    """SQL that takes the literal rows of ``name`` (as ``literal_<name>``) to all pages."""
-    return f"{name} as (select p.page_id as site_id, l.* exclude (site_id) from pages p join literal_{name} l on l.site_id = p.page_id % {sites} + 1 where p.page_id is not null)"

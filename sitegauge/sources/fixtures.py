@@ -46,17 +46,18 @@ HREFLANG = [
     (2, "https://b.example/", "en", "https://b.example/"), (2, "https://b.example/", "xx-toolong-q", "https://b.example/q"), (2, "https://b.example/", "x-default", "https://b.example/"),
     (2, "https://b.example/", "en", "/relative"), (2, "https://b.example/q", "es", "https://b.example/"),
 ]
+#: Invented peers: name, group, size, points of each check in the rubric's order.
 PEERS = [
-    ("Example Retail Enterprise", "ecommerce", "enterprise", [1, 4, 6, 6, 4, 5, 0, 2, 2, 2, 5, 4, 3]), ("Example Consumer Brand", "ecommerce", "enterprise", [2, 3, 5, 5, 3, 4, 0, 3, 2, 2, 5, 4, 3]),
-    ("Example Commerce Platform", "ecommerce", "enterprise", [2, 4, 6, 6, 4, 5, 0, 3, 2, 3, 5, 5, 3]), ("Example Product Studio", "ecommerce", "specialty", [1, 3, 5, 5, 4, 4, 0, 4, 2, 3, 5, 4, 3]),
-    ("Example Beauty Brand", "ecommerce", "specialty", [1, 3, 5, 5, 4, 4, 0, 4, 2, 3, 5, 4, 2]), ("Example Outdoor Shop", "ecommerce", "specialty", [1, 1, 3, 3, 2, 2, 0, 2, 2, 1, 3, 2, 2]),
-    ("Example Paper Goods", "ecommerce", "boutique", [2, 2, 4, 4, 2, 3, 0, 3, 2, 3, 5, 5, 3]), ("Example Desk Goods", "ecommerce", "boutique", [1, 1, 2, 2, 1, 1, 0, 1, 1, 1, 2, 1, 0]),
-    ("Example Technology Company", "corporate", "enterprise", [1, 3, 6, 6, 4, 4, 0, 3, 2, 2, 5, 4, 3]), ("Example Developer Platform", "corporate", "specialty", [2, 4, 6, 6, 4, 5, 0, 3, 2, 3, 5, 5, 3]),
-    ("Example Software Studio", "corporate", "boutique", [2, 2, 5, 5, 3, 3, 0, 3, 2, 2, 3, 4, 2]), ("Example Scheduling Service", "services", "specialty", [2, 4, 6, 6, 4, 5, 0, 3, 2, 3, 5, 5, 3]),
-]
-#: (site, check, points, state, evidence, effort)
+    ("Harbour Lamps", "ecommerce", "boutique", [0, 1, 3, 5, 3, 2, 1, 4, 1, 2, 4, 5, 1]), ("Kestrel Bikes", "ecommerce", "specialty", [2, 2, 6, 4, 2, 4, 3, 3, 0, 1, 5, 4, 2]),
+    ("Marble and Oak", "ecommerce", "boutique", [1, 0, 2, 6, 3, 1, 0, 2, 1, 3, 1, 5, 2]), ("Northwind Tea", "ecommerce", "enterprise", [2, 4, 5, 6, 4, 5, 4, 4, 2, 3, 5, 5, 4]),
+    ("Quill Office", "ecommerce", "enterprise", [1, 3, 4, 3, 3, 3, 2, 3, 1, 2, 3, 2, 3]), ("Ridge Outfitters", "ecommerce", "specialty", [0, 2, 1, 2, 1, 0, 1, 1, 0, 0, 3, 3, 0]),
+    ("Alder Insurance", "corporate", "enterprise", [2, 4, 6, 5, 4, 3, 2, 4, 0, 3, 5, 5, 3]), ("Beacon Systems", "corporate", "enterprise", [1, 4, 3, 6, 4, 5, 5, 4, 3, 2, 5, 4, 4]),
+    ("Civic Works", "corporate", "specialty", [0, 3, 5, 5, 3, 2, 0, 3, 0, 2, 3, 5, 1]), ("Delta Freight", "corporate", "boutique", [1, 1, 4, 1, 2, 1, 1, 2, 0, 1, 1, 0, 1]),
+    ("Evergreen Clinic", "services", "specialty", [2, 0, 6, 6, 3, 4, 1, 4, 1, 3, 5, 3, 3]), ("Foxglove Studio", "services", "boutique", [2, 2, 5, 3, 4, 4, 3, 3, 2, 2, 3, 5, 4]),
+]
+#: (site, check, points, state, evidence, effort, place in the report)
 CHECK_ROWS = [
-    (s, check, max(0, points - (s - 1) * k % 3), state if s == 1 or (k + s) % 4 else "warn", "unknown" if s > 1 and not (k + s) % 4 else "inferred", effort)
+    (s, check, max(0, points - (s - 1) * k % 3), state if s == 1 or (k + s) % 4 else "warn", "unknown" if s > 1 and not (k + s) % 4 else "inferred", effort, k)
     for s in (1, 2, 3)
     for k, (check, points, state, effort) in enumerate(
         [
@@ -144,18 +145,27 @@ FEEDS = [
     (2, "<feed><entry><updated>2023-05-06T07:08:09Z</updated></entry></feed>"), (3, "<rss><channel><item><pubDate>soon</pubDate></item></channel></rss>"), (4, "<rss><channel></channel></rss>"),
     (5, "<feed><entry><updated>2999-01-01T00:00:00Z</updated></entry><entry><updated>2024-03-01T00:00:00Z</updated></entry></feed>"),
 ]
+#: What is wrong with each peer of a snapshot: the check it is in and the row there (None: no row).
+SNAPSHOT_FAULTS = {
+    "ok": {}, "too much": {"robots_txt": (7, 6, "pass", "inferred")}, "wrong max": {"robots_txt": (4, 5, "pass", "inferred")}, "odd state": {"robots_txt": (4, 6, "great", "inferred"), "ssr": (4, 4, "pass", "guessed")},
+    "unknown check": {"magic": (1, 1, "pass", "verified"), "ssr": None}, "one missing": {"wikipedia": None}, "below zero": {"social": (-1, 2, "fail", "verified")},
+}
 SNAPSHOT = [
-    ("ok", "robots_txt", 4, 6, "partial", "inferred"), ("ok", "ssr", 4, 4, "pass", "verified"), ("too much", "robots_txt", 7, 6, "pass", "inferred"), ("too much", "ssr", 1, 4, "partial", "inferred"), ("wrong max", "robots_txt", 4, 5, "pass", "inferred"),
-    ("wrong max", "ssr", 4, 4, "pass", "verified"), ("odd state", "robots_txt", 4, 6, "great", "inferred"), ("odd state", "ssr", 4, 4, "pass", "guessed"), ("unknown check", "robots_txt", 4, 6, "partial", "inferred"), ("unknown check", "magic", 1, 1, "pass", "verified"),
-    ("one missing", "ssr", 2, 4, "partial", "inferred"),
-]
+    (name, check, *row) for name, faults in SNAPSHOT_FAULTS.items() for check, row in ({c: (m - 1, m, "partial", "inferred") for _, c, m in RUBRIC} | faults).items() if row is not None
+]
 CATALOGS = [
     (1, "a.example", '{"specVersion": "1.0", "host": {"domain": "a.example"}, "entries": [{"identifier": "urn:air:a.example:agent:x"}]}'), (2, "b.example", '{"specVersion": "one", "host": {"domain": "other.example"}, "entries": []}'),
     (3, "c.example", "[1]"), (4, "d.example", "{broken"), (5, "e.example", '{"specVersion": "2.1.0-beta", "host": {"domain": "www.e.example"}, "entries": [{"identifier": "urn:air:evil.example:a:b"}, {"identifier": "x"}]}'),
     (6, "f.example", '{"entries": {"a": 1}}'), (7, "g.example", ""),
 ]
-SURFACES = [(1, "/openapi.json", True), (1, "/llms.txt", True), (1, "/mcp.json", False), (2, "/feed.xml", True), (2, "/.well-known/agent.json", True), (3, "/openapi.json", True)]
-SURFACE_LINKS = [(1, "https://a.example/openapi.json?v=1"), (1, "https://a.example/other"), (2, "https://b.example/feed.xml#top"), (3, "https://elsewhere.example/openapi.json"), (2, "https://b.example/.well-known/agent.json/")]
+SURFACES = [
+    (1, "a.example", "/openapi.json", True), (1, "a.example", "/llms.txt", True), (1, "a.example", "/mcp.json", False), (2, "www.b.example", "/feed.xml", True), (2, "www.b.example", "/.well-known/agent.json", True), (3, "c.example", "/openapi.json", True),
+    (4, "elsewhere.example", "/openapi.json", True),
+]
+SURFACE_LINKS = [
+    (1, "https://a.example/openapi.json?v=1"), (1, "https://a.example/other"), (2, "https://b.example/feed.xml#top"), (3, "https://elsewhere.example/openapi.json"), (2, "https://b.example/.well-known/agent.json/"), (4, "https://elsewhere.example/openapi.json"),
+    (1, "https://notes.example/llms.txt"),
+]
 PROBE_PASSES = [(1, k) for k in (0, 1, 4, 9, 12)] + [(2, k) for k in range(0, 20, 3)] + [(3, k) for k in range(8)]
 
 #: Rows that are not scored here (pillar, check, most points).
@@ -195,7 +205,74 @@ COMMERCE = [
 ]
 CACHE = [("a", "2024-01-01", 4), ("a", "2024-03-01", 3), ("b", "2024-05-02", 2), ("c", "2024-05-31", 0), ("d", "2024-06-01", 4)]
 
+_LONG = "<p>" + "word " * 100 + "</p>"
+BOT_PAGES = [
+    (1, "browser", 200, None, "<title>Shop</title>" + _LONG, ""), (1, "Googlebot", 200, None, "<title>Just a moment...</title><p>Checking your browser</p>", "server: x"), (1, "GPTBot", 200, None, "<title>reCAPTCHA</title>" + _LONG, ""),
+    (1, "CCBot", 403, None, "", ""), (1, "Bingbot", None, "timeout", None, None), (1, "ClaudeBot", 200, None, "<title>Shop</title>" + _LONG, "cf-chl-bypass: 1"), (1, "OAI-SearchBot", 200, None, "<p>few words here</p>", ""), (1, "PerplexityBot", 200, None, _LONG, ""),
+    (2, "browser", 200, None, "<title>Captcha art</title><p>Access denied is our new song</p>", ""), (2, "Googlebot", 200, None, "<title>Captcha art</title><p>Access denied is our new song</p>", ""), (2, "GPTBot", 429, None, "", ""),
+    (3, "Googlebot", 200, None, "<p>DataDome</p>", ""), (4, "browser", 200, None, None, None), (4, "CCBot", 200, None, None, None),
+]
+SIGNAL_HEADERS = [(1, "search=yes, ai-train=no"), (2, "nothing"), (6, "AI-Input=yes"), (3, None)]
+JSON_DOCUMENTS = [
+    (1, "API Catalog", 404, "application/json", "{}", "linkset api-catalog"), (1, "API Catalog", 200, "application/linkset+json", '{"linkset": []}', "linkset api-catalog"), (1, "MCP Server Card", 200, "application/json", '{"error": "not found", "code": 404}', "name"),
+    (2, "MCP Server Card", 200, "text/html", '{"name": "x"}', "name"), (2, "MCP Server Card", 200, "application/json; charset=utf-8", ' {"name": "x"} ', "name"), (2, "Agent Skills index", 200, "application/json", "[1, 2]", "skills"),
+    (3, "WebMCP manifest", 200, "application/json", "not json", "name tools"), (3, "catalog", 200, "application/json", "[]", ""), (3, "other", 200, "application/json", '{"a": 1}', ""), (3, "API Catalog", None, None, None, "linkset"),
+]
+AUTH_TEXTS = [(1, 200, "# Authentication\nAsk for a key."), (1, 404, "# Authentication for all agents"), (2, 200, "Agents authenticate with a key of theirs"), (3, 200, "# short"), (4, 500, "# Authentication\nAsk for a key."), (5, 200, "Nothing of the sort is told here.")]
+DNS_SITES = [(1, "https://www.a.example/x"), (2, "https://b.example:8443"), (3, "not a url"), (4, "https://WWW.Long.Name.example")]
+_PROSE = "Plain words of some length that tell of the shop and its goods, of the people in it and of the days on which it is open to all who like to come and see what there is to be had. "
+TEXT_FETCHES = [
+    (1, "negotiated", 200, "text/markdown; charset=utf-8", "Accept-Encoding, ACCEPT", "# Shop\n\n" + _PROSE * 2), (2, "negotiated", 200, "text/html", "", "<!DOCTYPE html><p>no</p>"), (3, "negotiated", 200, "", "*", "- one\n- two\n\n" + _PROSE * 2),
+    (4, "negotiated", 200, "", None, _PROSE * 2), (5, "negotiated", 200, "text/plain", "Accept", "Short."), (6, "negotiated", 404, "text/plain", "Accept", _PROSE * 2), (7, "negotiated", 200, "application/json", "Accept", _PROSE * 2), (8, "negotiated", None, None, None, None),
+    (1, "/index.md", 200, "text/x-markdown", "", "| a | b |\n|---|---|\n" + _PROSE), (2, "/index.md", 200, "text/plain", "", "   " + _PROSE + "  "),
+]
+TEXT_SITES = [
+    (1, "# Acme\n\n- [Docs](https://a.example/docs)", True, True, True, True, True), (2, None, True, True, True, False, True), (3, "too short", False, False, False, False, True), (4, None, False, False, False, False, True), (5, None, False, False, False, False, False),
+    (6, "Acme without a title https://b.example", True, False, True, True, True),
+]
+
+
+def _urlset(*entries: tuple[str, str]) -> str:
+    return "<urlset>" + "".join(f"<url><loc>{loc}</loc>" + (f"<lastmod>{mod}</lastmod>" if mod else "") + "</url>" for loc, mod in entries) + "</urlset>"
+
+
+SITEMAP_FILES = [
+    (1, "a.example", 0, 200, "<sitemapindex><sitemap><loc>https://a.example/1.xml</loc></sitemap></sitemapindex>"), (1, "a.example", 1, 200, _urlset(*((f"https://www.a.example/{k}", "2024-01-01") for k in range(20)))), (1, "a.example", 2, 404, _urlset(("https://a.example/lost", ""))),
+    (1, "a.example", 3, 200, _urlset(*((f"https://a.example/b/{k}", "") for k in range(20)))), (1, "a.example", 4, 200, "<html></html>"), (1, "a.example", 5, 200, _urlset(("https://a.example/c", "2024-02-30"))), (1, "a.example", 6, 200, _urlset(("https://a.example/d", ""))),
+    (2, "b.example", 0, 200, _urlset(("https://b.example/", "2024-05-01"), ("https://b.example/", "2999-01-01"), ("http://b.example/x", "soon"), ("https://other.example/", ""))), (3, "c.example", 0, 500, "<urlset></urlset>"), (4, "d.example", 0, 200, "<urlset><url><loc> </loc></url></urlset>"),
+    (5, "e.example", 0, 200, _urlset(("https://e.example/1", "2024-05-01"))), (5, "e.example", 1, 200, None),
+]
+JSON_FEEDS = [
+    (1, '{"items": [{"date_published": "2024-05-01T10:00:00Z"}, {"date_modified": "2024-05-03", "date_published": "2024-04-01"}, {"title": "no date"}]}'), (2, '{"items": [{"date_published": "soon"}, {"updated": "2999-01-01"}]}'), (3, '{"items": []}'),
+    (4, '{"title": "no items"}'), (5, "not json"), (6, None),
+]
+SITE_SCOPES = [(k + 1, bool(k & 1), bool(k & 2), bool(k & 4)) for k in range(8)]
+#: Which probes each peer passed: every n-th from the k-th, and one label that is no probe.
+PEER_PROBES = [(name, PROBES[i][0]) for n, (name, *_) in enumerate(PEERS) for i in range(n % 3, len(PROBES), n % 5 + 1)] + [("Harbour Lamps", "a probe of old")]
+SCOPE_FAULTS = [
+    (1, None, "mcp=true"), (2, "nonsense", "mcp=true"), (3, "blog", "magic=true"), (4, "blog", "protocols=true"), (5, "saas", "account_auth=true oauth_oidc=false auth_md=false"), (6, "ecommerce", "ecommerce=true product_offer_schema=false commerce_fields=false"),
+    (7, "saas", "protocols=true"), (8, "blog", ""), (9, None, ""), (10, "blog", "protocols=true ecommerce=true nothing=false"),
+]
+TARGETS = [
+    (1, "::1"), (2, "::"), (3, "fe80::1"), (4, "fc00::1"), (5, "fd12:3456::1"), (6, "ff02::1"), (7, "2001:db8::1"), (8, "::ffff:127.0.0.1"), (9, "::ffff:8.8.8.8"), (10, "2606:4700:4700::1111"), (11, "2a00:1450:4001:81b::200e"), (12, "8.8.4.4"), (13, "10.0.0.1"), (14, "x"), (15, None),
+]
+BODIES = [(1, "abcdefgh"), (2, "abcdefghij"), (3, "abcdefghä"), (4, "abcdefg€"), (5, "abcdef😀"), (6, "ääääää"), (7, ""), (8, None), (9, "abcdefg😀x")]
+
 RELATIONS: dict[str, tuple[list[tuple], str]] = {
+    "bot_page": (BOT_PAGES, "site_id long, bot string, status long, error string, html string, headers string"),
+    "signal_header": (SIGNAL_HEADERS, "site_id long, value string"),
+    "json_document": (JSON_DOCUMENTS, "site_id long, label string, status long, content_type string, body string, keys string"),
+    "auth_text": (AUTH_TEXTS, "site_id long, status long, body string"),
+    "dns_site": (DNS_SITES, "site_id long, url string"),
+    "text_fetch": (TEXT_FETCHES, "site_id long, label string, status long, content_type string, vary string, body string"),
+    "text_site": (TEXT_SITES, "site_id long, llms string, sitemap_valid boolean, has_lastmod boolean, in_robots boolean, markdown boolean, reached boolean"),
+    "sitemap_file": (SITEMAP_FILES, "site_id long, host string, ordinal long, status long, body string"),
+    "json_feed": (JSON_FEEDS, "site_id long, body string"),
+    "site_scope": (SITE_SCOPES, "site_id long, protocols boolean, account_auth boolean, commerce boolean"),
+    "peer_probe": (PEER_PROBES, "name string, label string"),
+    "scope_fault": (SCOPE_FAULTS, "site_id long, preset string, overrides string"),
+    "target": (TARGETS, "site_id long, ip string"),
+    "body": (BODIES, "site_id long, body string"),
     "rubric": (RUBRIC, "pillar string, check_name string, max_score long"),
     "pillar_cap": (PILLAR_CAPS, "pillar string, cap long"),
     "crawler": ([(k, *r) for k, r in enumerate(CRAWLERS)], "ordinal long, bot string, purpose string, scored boolean, probed boolean"),
@@ -224,7 +301,7 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "feed": (FEEDS, "site_id long, body string"),
     "snapshot": (SNAPSHOT, "name string, check_name string, score long, max long, state string, evidence string"),
     "catalog": (CATALOGS, "site_id long, host string, body string"),
-    "surface": (SURFACES, "site_id long, path string, found boolean"),
+    "surface": (SURFACES, "site_id long, host string, path string, found boolean"),
     "surface_link": (SURFACE_LINKS, "site_id long, href string"),
     "probe_pass": (PROBE_PASSES, "site_id long, ordinal long"),
     "locked": (LOCKED, "pillar string, check_name string, max_score long"),
@@ -238,7 +315,7 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "surface_body": (SURFACE_BODIES, "site_id long, kind string, body string"),
     "commerce": (COMMERCE, "site_id long, side string, field string, value string"),
     "cache": (CACHE, "cache_key string, checked string, score long"),
-    "check_row": (CHECK_ROWS, "site_id long, check_name string, score long, state string, evidence string, effort string"),
+    "check_row": (CHECK_ROWS, "site_id long, check_name string, score long, state string, evidence string, effort string, ordinal long"),
 }
 
 
@@ -257,8 +334,13 @@ def _literal(value) -> str:
     return f"{value}::double" if isinstance(value, float) else str(value)
 
 
+def sites_of(*names: str) -> int:
+    """How many sites the literal relations with site_id tell of; none if there is no such."""
+    return max((r[0] for n in names if RELATIONS[n][1].startswith("site_id ") for r in RELATIONS[n][0]), default=0)
+
+
 def with_relations(sql: str, *names: str) -> str:
-    """DuckDB SQL with the named relations as common table expressions before it."""
+    """DuckDB SQL with the named relations as common table expressions before it, those with site_id dealt over all pages (see evidence.dealt)."""
     kinds = {"string": "varchar", "long": "bigint", "double": "double", "boolean": "boolean"}
     out = []
     for name in names:
@@ -266,7 +348,10 @@ def with_relations(sql: str, *names: str) -> str:
         columns = [c.split() for c in schema.split(", ")]
         values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
         cast = ", ".join(f"{c}::{kinds[k]} as {c}" for c, k in columns)
-        out.append(f"{name} as (select {cast} from (values {values}) v({', '.join(c for c, _ in columns)}))")
+        sites = sites_of(name) and sites_of(*names)
+        out.append(f"{'literal_' * bool(sites)}{name} as (select {cast} from (values {values}) v({', '.join(c for c, _ in columns)}))")
+        if sites:
+            out.append(f"{name} as (select p.page_id as site_id, l.* exclude (site_id) from pages p join literal_{name} l on l.site_id = p.page_id % {sites} + 1 where p.page_id is not null)")
     sql = sql.strip()
     recursive = sql.startswith("with recursive ")
     sql = sql.replace("with recursive ", "with ", 1)

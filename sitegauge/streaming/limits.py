@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,26 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 def fresh_lookups(events: DataFrame, days: int = 30) -> DataFrame:
-    """Lookups of each (user_id, event_type) whose predecessor is younger than ``days`` (hits); an age of just that is a miss."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    before = F.lag("ts").over(w)
-    rows = events.select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp")) < days * 86_400_000_000).alias("hit"))
-    return rows.groupBy("event_type").agg(F.count("*").alias("lookups"), F.count_if(F.coalesce("hit", F.lit(False))).alias("hits"))
+    """Lookups of each event_type that its cache answers: each (user_id, event_type) is written by a lookup that finds no entry younger than ``days``,
+    and a hit leaves the entry as it is; an entry of just that age is none.
+
+    Rows without a time say nothing. The state of a key is its last write, so a sorted pass over each partition holds one number a key, however many lookups it has.
+    """
+    ttl = days * 86_400_000_000
+
+    def run(batches):
+        key, written = None, 0
+        for batch in batches:
+            hits = []
+            for k in zip(*(c.to_pylist() for c in batch.columns)):
+                if k[:2] == key and k[2] - written < ttl:
+                    hits.append(True)
+                else:
+                    key, written = k[:2], k[2]
+                    hits.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(hits, pa.bool_())], names=["event_type", "hit"])
+
+    kind = events.schema["event_type"].dataType.simpleString()
+    rows = events.where("ts is not null").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    rows = rows.repartition("user_id", "event_type").sortWithinPartitions("user_id", "event_type", "at", "event_id").select("user_id", "event_type", "at")
+    return rows.mapInArrow(run, f"event_type {kind}, hit boolean").groupBy("event_type").agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits"))

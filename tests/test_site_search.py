@@ -81,7 +81,7 @@ def test_extraction(relation):
     got = by(search.extraction_readiness(relation), "page_id")
     assert got[0].codes == "no_schema" and got[2].codes == "" and got[5].codes == "bad_schema" and got[5].caveats == "hidden_nodes"
     assert got[5].hidden_nodes == 2 and got[5].words == 1 + 1 + 90 + 12 + 1 and got[5].rendering == "readable"
-    assert got[6].schema_types == "Article Thing Person" and got[8].codes.split()[:2] == ["no_text", "boilerplate"] and got[8].rendering == "blocked_or_empty"
+    assert got[6].schema_types == "Article Person Thing" and got[8].codes.split()[:2] == ["no_text", "boilerplate"] and got[8].rendering == "blocked_or_empty"
     shop = by(search.extraction_readiness(relation, ecommerce=True), "page_id")
     assert shop[4].schema_missing == "brand gtin aggregateRating|review offers.shippingDetails offers.hasMerchantReturnPolicy"
     assert shop[4].visible_missing == "image shipping_details" and shop[4].mismatches == "image return_details"
