@@ -14,6 +14,7 @@ def _codes(*rules: tuple[str, str]) -> str:
 
 
 _TEXT = "trim(regexp_replace(regexp_replace({0}, '(?s)<title>.*?</title>|<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_JSON_KINDS = "'API description', 'API catalog', 'ARD catalog', 'OAuth authorization metadata', 'OAuth protected resource metadata', 'Web Bot Auth directory', 'MCP server card', 'A2A agent card', 'Agent skills', 'WebMCP manifest', 'agentic commerce metadata', 'catalog JSON'"
 _IN = "(scope = 'core' or scope = 'protocols' and protocols or scope = 'account_auth' and account_auth or scope = 'commerce' and commerce)"
 _KNOWN = "'protocols', 'account_auth', 'ecommerce', 'feed_discovery', 'article_schema', 'localbusiness_schema', 'news_article_schema', 'claimreview_schema', 'product_offer_schema', 'commerce_fields', 'api_catalog', 'mcp', 'a2a', 'agent_skills', 'webmcp', 'oauth_oidc', 'ard_catalog', 'auth_md'"
 
@@ -21,6 +22,70 @@ _KNOWN = "'protocols', 'account_auth', 'ecommerce', 'feed_discovery', 'article_s
 def sql(access: str, score: str, quality: str, signals: str, lines: str) -> dict[str, tuple[str, ...]]:
     """``access`` and so on are the SQL of the robots queries that robots_check is made of."""
     return {
+        "surface_check": (
+            f"""with f as (select site_id, surface, {_trim('body')} as t, try_cast({_trim('body')} as json) as v from surface_fetch where status between 200 and 399),
+g as (
+  select distinct site_id, surface from f where surface = 'NLWeb /ask endpoint' or length(t) >= 20 and coalesce(case when surface in ({_JSON_KINDS}) then json_type(v) in ('ARRAY', 'OBJECT')
+    when surface = 'legacy ai-plugin.json' then json_type(v) = 'OBJECT' and (len(list_intersect(json_keys(v), ['schema_version', 'name_for_model', 'name_for_human', 'description_for_model'])) > 0 or json_extract(v, '$.api.url') is not null)
+    when surface = 'content feed' then regexp_matches(t, '^<(rss|feed)') when surface = 'auth.md' then starts_with(t, '#') or contains(lower(t), 'authorization') else true end, false)),
+a as (select s.site_id, k.surface from site_scope s cross join (select distinct surface, scope from surface_kind) k where {_IN}),
+n as (select a.site_id, count(*) as n, list(a.surface order by a.surface) filter (g.surface is not null) as found from a left join g on g.site_id = a.site_id and g.surface = a.surface group by 1),
+h as (select site_id, list(distinct hint order by hint) as hints from hint group by 1),
+r as (select n.site_id, (n + 2)::bigint as families, list_concat(coalesce(hints, []), coalesce(found, [])) as f from n left join h using (site_id))
+select site_id, families, array_to_string(f, '; ') as found, least(len(f), 3)::bigint as score, case when len(f) >= 3 then 'pass' when len(f) > 0 then 'partial' else 'warn' end as state from r""",
+            "site_scope", "surface_fetch", "hint", "surface_kind",
+        ),
+        "conventional_paths": (
+            f"""with r as (select s.site_id, p.path, {_IN} as i, exists (select 1 from surface_fetch f where f.site_id = s.site_id and f.path = p.path and status between 200 and 399 and trim(coalesce(body, '')) <> '') as hit from site_scope s cross join usual_path p)
+select site_id, coalesce(string_agg(path, ' ' order by path) filter (hit), '') as found, coalesce(string_agg(path, ' ' order by path) filter (not hit and i), '') as missing, coalesce(string_agg(path, ' ' order by path) filter (not hit and not i), '') as not_asked from r group by 1""",
+            "site_scope", "surface_fetch", "usual_path",
+        ),
+        "website_variants": (
+            """with h as (select site_id, regexp_extract(url, '^([A-Za-z]+)://', 1) as s, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as h, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) as n from dns_site),
+v as (select site_id, s || '://' || h as own, s || '://' || case when starts_with(n, 'www.') then substr(n, 5) else 'www.' || n end as alt from h where n <> '')
+select site_id, unnest(range(4))::bigint as ordinal, unnest([own || '/', own, alt || '/', alt]) as variant from v""",
+            "dns_site",
+        ),
+        "scope_labels": (
+            """select site_id, case when commerce then 'Commerce storefront' else 'General website' end || case when protocols then ' + API/protocol' else '' end || case when account_auth then ' + account/auth' else '' end as label,
+  concat_ws('; ', case when protocols then 'API and protocol discovery' end, case when account_auth then 'Account/auth discovery' end, case when commerce then 'Commerce protocol metadata; Catalog JSON' end) as included,
+  concat_ws('; ', case when not protocols then 'API and protocol discovery' end, case when not account_auth then 'Account/auth discovery' end, case when not commerce then 'Commerce protocol metadata; Catalog JSON' end) as excluded,
+  case when protocols or account_auth or commerce then 'full' else 'common-contextual' end as surfaces from site_scope""",
+            "site_scope",
+        ),
+        "nested_report": (
+            """with r as (select *, (max_score - score) / (case effort when 'low' then 1 when 'medium' then 2 when 'high' then 3 else 2 end) as gap from check_row join rubric using (check_name)),
+p as (select site_id, pillar, least(sum(score), any_value(cap))::bigint as points from r join pillar_cap using (pillar) group by 1, 2),
+s as (select site_id, sum(points)::bigint as overall, to_json(list({'pillar': pillar, 'points': points} order by pillar))::varchar as pillars from p group by 1),
+c as (select site_id, to_json(list({'check_name': check_name, 'state': state, 'score': score, 'max_score': max_score} order by round(gap, 9) desc, ordinal))::varchar as checks from r group by 1),
+l as (select site_id, case when commerce then 'Commerce storefront' else 'General website' end || case when protocols then ' + API/protocol' else '' end || case when account_auth then ' + account/auth' else '' end as label from site_scope)
+select site_id, label, overall, pillars, checks from s join c using (site_id) left join l using (site_id)""",
+            "check_row", "rubric", "pillar_cap", "site_scope",
+        ),
+        "catalog_issues": (
+            f"""with t as (select site_id, regexp_replace(lower(host), '^www\\.', '') as host, {_trim('body')} as t from full_catalog),
+j as (select *, case when starts_with(t, '{{') and json_type(try_cast(t as json)) = 'OBJECT' then try_cast(t as json) end as v from t),
+k as (
+  select *, trim(coalesce(json_extract_string(v, '$.specVersion'), '')) as ver, json_type(json_extract(v, '$.host')) = 'OBJECT' as hosted, coalesce(json_extract_string(v, '$.host.domain'), json_extract_string(v, '$.host.hostname'), json_extract_string(v, '$.host.url')) as dom,
+    case when json_type(json_extract(v, '$.entries')) = 'ARRAY' then json_extract(v, '$.entries[*]') end as es from j),
+u as (select site_id, host, unnest(es) as e, unnest(range(len(es))) as i from k),
+w as (
+  select site_id, i, json_type(e) = 'OBJECT' as ok, trim(coalesce(json_extract_string(e, '$.identifier'), '')) as id, host, json_extract(e, '$.url') is not null as hu, json_extract(e, '$.data') is not null as hd, e,
+    list_filter(coalesce(json_extract_string(e, '$.capabilities[*]'), []), lambda x: trim(x) <> '') as caps, list_filter(coalesce(json_extract_string(e, '$.tags[*]'), []), lambda x: trim(x) <> '') as tags, coalesce(json_extract_string(e, '$.representativeQueries[*]'), []) as qs,
+    coalesce(json_extract_string(e, '$.updated'), json_extract_string(e, '$.updatedAt'), json_extract_string(e, '$.lastUpdated'), '') as upd, regexp_replace(lower(split_part(json_extract_string(e, '$.identifier'), ':', 3)), '^www\\.', '') as pub from u),
+x as (
+  select site_id, i, case when not coalesce(ok, false) then i || '.object' else array_to_string(list_transform(list_filter([case when id = '' then 'identifier' end, case when id <> '' and not (regexp_matches(id, '^urn:air:[^:]+:.+') and (pub = host or ends_with(pub, '.' || host))) then 'foreign_identifier' end,
+    case when coalesce(json_extract_string(e, '$.displayName'), '') = '' then 'display_name' end, case when coalesce(json_extract_string(e, '$.mediaType'), json_extract_string(e, '$.type'), '') = '' then 'media_type' end, case when hu = hd then 'url_or_data' end,
+    case when hu and not hd and not regexp_matches(json_extract_string(e, '$.url'), '^https?://[^/?#]') then 'url' end, case when hd and not hu and json_type(json_extract(e, '$.data')) <> 'OBJECT' then 'data' end, case when coalesce(json_extract_string(e, '$.description'), '') = '' then 'description' end,
+    case when len(caps) = 0 and len(tags) = 0 then 'capabilities' end, case when len(qs) = 0 or len(list_filter(qs, lambda q: trim(q) = '')) > 0 then 'queries' end, case when not regexp_matches(upd, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then 'updated' end], lambda c: c is not null), lambda c: i || '.' || c), ' ') end as c from w),
+y as (select site_id, string_agg(c, ' ' order by i) filter (c <> '') as ec from x group by 1),
+z as (
+  select k.site_id, case when t = '' then 'empty' when v is null then 'no_object' else concat_ws(' ', case when ver = '' then 'version' end, case when ver <> '' and not regexp_matches(ver, '^[0-9]+\\.[0-9]+(\\.[0-9]+)?([-+][0-9A-Za-z.-]+)?$') then 'version_shape' end, case when not coalesce(hosted, false) then 'host' end,
+    case when hosted and dom is null then 'host_domain' end, case when dom is not null and not (regexp_replace(lower(dom), '^www\\.', '') = host or ends_with(regexp_replace(lower(dom), '^www\\.', ''), '.' || host)) then 'other_host' end, case when es is null then 'entries' end, nullif(ec, '')) end as codes,
+    nullif(ver, '') as version, coalesce(len(es), 0)::bigint as entries, coalesce(json_extract(v, '$.trustManifest') is not null or json_extract(v, '$.host.trustManifest') is not null or len(list_filter(es, lambda e: json_extract(e, '$.trustManifest') is not null)) > 0, false) as trusted from k left join y using (site_id))
+select site_id, codes = '' as valid, version, entries, trusted, codes from z""",
+            "full_catalog",
+        ),
         "bot_challenges": (
             f"""with s as (
   select site_id, bot, status, error, regexp_matches(lower(coalesce(html, '')[1:20000] || ' ' || coalesce(headers, '')), 'just a moment|checking your browser|cf-chl|cloudflare ray id|verify you are human|access denied|datadome|perimeterx|akamai bot manager') as marked,
@@ -36,7 +101,7 @@ select w.site_id, w.bot, words, case when error is not null then 'fetch error' w
 per as (select site_id, count(*) as tracked, count(*) filter (access like '%blocked') as nb, count(*) filter (access like 'explicit%') as named, count(*) filter (access = 'explicit_allowed') as ne from m group by 1),
 g as (select site_id, string_agg(purpose || ': ' || bots, '; ' order by purpose) as blocked from (select site_id, purpose, string_agg(bot, ', ' order by bot) as bots from m where access like '%blocked' group by 1, 2) group by 1),
 j as (
-  select r.site_id, trim(coalesce(r.body, '')) <> '' as there, coalesce(pts.score, 0) as points, coalesce(penalty, 0) as penalty, coalesce(tracked, 0) as tracked, coalesce(nb, 0) as nb, coalesce(ne, 0) as ne, coalesce(named, 0) as named, coalesce(blocked, '') as blocked,
+  select r.site_id, trim(coalesce(r.body, '')) <> '' as there, coalesce(pts.score, 0) as points, coalesce(penalty, 0) as penalty, coalesce(tracked, 0) as tracked, coalesce(nb, 0) as nb, coalesce(ne, 0) as ne, coalesce(named, 0) as named, coalesce(g.blocked, '') as blocked,
     exists (select 1 from c where c.site_id = r.site_id) as a, exists (select 1 from signal_header h where h.site_id = r.site_id and regexp_matches(lower(coalesce(h.value, '')), 'search|ai-input|ai-train|tdm-reservation')) as b,
     exists (select 1 from l where l.site_id = r.site_id and l.key = 'schemamap') as schema_map
   from robots r left join pts on pts.site_id = r.site_id left join q on q.site_id = r.site_id left join per on per.site_id = r.site_id left join g on g.site_id = r.site_id)

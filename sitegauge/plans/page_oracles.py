@@ -301,7 +301,23 @@ g as (
 h as (select *, (case when len(platforms) >= 3 and codes = '' then 2 when len(platforms) > 0 or len(string_split(positives, ' ')) >= 3 and positives <> '' then 1 else 0 end)::bigint as score from g)
 select page_id, array_to_string(platforms, ', ') as platforms, score, case score when 2 then 'pass' when 1 then 'partial' else 'warn' end as state, codes, positives from h"""
 
+_brands = f"""{OBJECTS},
+n as (select page_id, list(json_extract_string(v, '$.name') order by k) filter (json_type(json_extract(v, '$."@type"')) = 'VARCHAR' and types[1] in ('Organization', 'LocalBusiness', 'WebSite')) as named from o group by 1),
+c as (
+  select d.page_id, list_concat([{meta('property', 'og:site_name')}], coalesce(named, []), [nullif(trim(split_part(split_part(title, '|', 1), ' - ', 1)), ''), nullif(coalesce(list_filter(string_split({host('url')}, '.'), lambda p: p not in ('www', 'com', 'net', 'org', 'io', 'co'))[1], {host('url')}), '')]) as names
+  from d left join n using (page_id)),
+f as (select page_id, list_filter(names, lambda x: coalesce(trim(x) <> '', false)) as names from c),
+g as (select page_id, list_filter(names, lambda x, i: list_position(list_transform(names, lambda y: lower(y)), lower(x)) = i) as names from f)
+select page_id, array_to_string(names[1:4], ' | ') as names from g"""
+_hints = f"""{PAGE} select page_id, {codes(("contains(head, 'type=\"application/rss+xml\"')", "content_feed"))} as hints from d"""
+_reach = f"""{PAGE},
+a as (select page_id, url, unnest(list_concat({LINKS}, regexp_extract_all(head, '<link [^>]*href="[^"]*"[^>]*>'))) as a from d),
+h as (select page_id, url, {absolute(attr('a', 'href'))} as href from a where {attr('a', 'href')} <> ''),
+q as (select page_id, regexp_replace(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as path from h where {host('href')} = {host('url')})
+select distinct page_id, path from q where path in ('/blog', '/about', '/contact', '/privacy', '/returns', '/feed.xml', '/a.css')"""
+
 SQL = {
+    "brand_names": _brands, "surface_hints": _hints, "surface_reach": _reach,
     "blurb_issues": _blurbs, "entity_coherence": _entities,
     "html_structure": _structure, "crawl_efficiency": _efficiency, "indexing_directives": _indexing, "structured_data": _structured(False), "structured_data_shop": _structured(True), "canonical_links": _canonical, "freshness_signals": _freshness,
     "text_alternates": _alternates, "trust_pages": _trust, "sampled_metadata": _metadata, "extraction_readiness": _extraction,

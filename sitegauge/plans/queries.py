@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, texts
+from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, site_surfaces, texts
 from sitegauge.sources import page_relations as found
 from sitegauge.sources.dom import dom
 from sitegauge.sources.evidence import dealt, evidence_pages
@@ -85,6 +85,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "indexing_precedence": _of(crawl.indexing, "x_robots"),
     "x_robots_scopes": _of(crawl.directives, "x_robots"),
     "hreflang_reciprocity": _of(crawl.hreflang, "hreflang"),
+    "brand_names": _page(site_surfaces.brand_names, True),
+    "surface_hints": _page(site_surfaces.page_hints),
+    "surface_reach": _page(lambda d: site_surfaces.page_reach(d, ("/blog", "/about", "/contact", "/privacy", "/returns", "/feed.xml", "/a.css"))),
+    "surface_check": _of(site_surfaces.surface_check, "site_scope", "surface_fetch", "hint", "surface_kind"),
+    "conventional_paths": _of(site_surfaces.conventional_paths, "site_scope", "surface_fetch", "usual_path"),
+    "catalog_issues": _of(site_surfaces.catalog_issues, "full_catalog"),
+    "website_variants": _of(site_surfaces.website_variants, "dns_site"),
+    "scope_labels": _of(site_surfaces.scope_labels, "site_scope"),
+    "nested_report": _of(site_surfaces.report, "check_row", "rubric", "pillar_cap", "site_scope"),
+    "bot_challenges": _of(site_evidence.bot_challenges, "bot_page"),
+    "robots_check": _of(site_evidence.robots_check, "robots", "signal_header", "crawler", "purpose", "access"),
+    "sitemap_references": _of(site_evidence.sitemap_references, "robots"),
+    "text_responses": _of(site_evidence.text_response, "text_fetch"),
+    "llms_check": _of(site_evidence.llms_check, "text_site"),
+    "json_documents": _of(site_evidence.json_documents, "json_document"),
+    "auth_texts": _of(site_evidence.auth_texts, "auth_text"),
+    "agent_links": _of(site_evidence.agent_links, "header"),
+    "dns_names": _of(site_evidence.dns_names, "dns_site"),
+    "sitemap_sample": _of(lambda f: site_evidence.sitemap_sample(f, AS_OF), "sitemap_file"),
+    "json_feeds": _of(lambda f: site_evidence.json_feed(f, AS_OF), "json_feed"),
+    "readiness_categories": _of(site_evidence.readiness_categories, "site_scope", "probe_pass", "probe"),
+    "scope_keys": _of(site_evidence.scope_key, "site_scope"),
+    "agent_peers": _of(site_evidence.agent_peers, "peer_probe", "probe", "site_scope"),
+    "agent_peer_position": _of(site_evidence.agent_position, "site_scope", "probe_pass", "probe", "peer_probe"),
+    "scope_faults": _of(site_evidence.scope_faults, "scope_fault", "preset", "override_key"),
+    "public_targets": _of(site_evidence.public_targets, "target"),
+    "bounded_bodies": _of(lambda b: site_evidence.bounded(b, 9), "body"),
     "pillar_scores": _of(scoring.pillar_scores, "check_row", "rubric", "pillar_cap"),
     "evidence_score": _of(scoring.evidence_score, "check_row", "rubric"),
     "action_order": _of(scoring.action_order, "check_row", "rubric"),
