@@ -126,3 +126,18 @@ def summary(rows: DataFrame, rubric: DataFrame, caps: DataFrame) -> DataFrame:
     first = attention(rows, rubric).groupBy("site_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "check_name"))), lambda x: x["check_name"]), ",").alias("attention"))
     counts = rows.groupBy("site_id").agg(F.count_if(~F.col("state").isin("pass", "locked")).alias("open_rows"))
     return overall.join(evidence_score(rows, rubric).select("site_id", "percent"), "site_id").join(first, "site_id", "left").join(counts, "site_id")
+
+
+def viewer_filter(rows: DataFrame, rubric: DataFrame, status: str = "open", text: str = "") -> DataFrame:
+    """The checks of each site that a reader asks for: of a status (``open`` is all that is neither passed nor locked, ``all`` any), whose name holds a text; in the viewer's order."""
+    state = F.col("state")
+    wanted = F.lit(True) if status == "all" else ~state.isin("pass", "locked") if status == "open" else state == status
+    kept = rows.where(wanted & F.contains(F.lower("check_name"), F.lit(text.lower())))
+    return viewer_order(kept, rubric)
+
+
+def peer_bars(peers: DataFrame, group: str) -> DataFrame:
+    """The peers of a group as bars: share, and width in percent (two at least), by share and name."""
+    w = Window.orderBy(F.desc("percent"), "name")  # a snapshot of some dozens of peers
+    out = peers.where(F.col("grp") == group).select("name", "percent", F.greatest(F.least("percent", F.lit(100)), F.lit(2)).alias("width"))
+    return out.withColumn("place", F.row_number().over(w).cast("long"))

@@ -311,3 +311,58 @@ def bounded(rows: DataFrame, most_bytes: int) -> DataFrame:
 def hreflang_targets(links: DataFrame) -> DataFrame:
     """Same-site alternates (of hreflang links: site_id, src, lang, href) made absolute against their page."""
     return links.select("site_id", "src", "lang", urljoin(F.col("src"), F.col("href")).alias("target"))
+
+
+def best_sitemap(files: DataFrame, references: DataFrame) -> DataFrame:
+    """Per site the fetched sitemap file with the most locations (the first of equals): valid, locations, dated, index; and whether robots.txt names one."""
+    ok = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False))
+    loc = F.size(F.regexp_extract_all(_blank("body"), F.lit(r"(?is)<(?:[a-z]+:)?loc(?:\s[^>]*)?>\s*[^<\s]"), F.lit(0))).cast("long")
+    index = _blank("body").rlike(r"(?i)<(?:[a-z]+:)?sitemapindex[\s>]")
+    dated = ~index & _blank("body").rlike(r"(?is)<(?:[a-z]+:)?lastmod(?:\s[^>]*)?>\s*[^<\s]")
+    shaped = _blank("body").rlike(r"(?i)<(?:[a-z]+:)?(urlset|sitemapindex)[\s>]")
+    count = F.when(ok & shaped, loc).otherwise(F.lit(0).cast("long"))
+    best = files.groupBy("site_id").agg(F.max(F.struct(count.alias("urls"), (-F.col("ordinal")).alias("o"), dated.alias("dated"), index.alias("is_index"))).alias("x"))
+    named = references.select("site_id").distinct().withColumn("in_robots", F.lit(True))
+    out = best.select("site_id", (F.col("x.urls") > 0).alias("valid"), F.col("x.urls").alias("urls"), ((F.col("x.urls") > 0) & F.col("x.dated")).alias("dated"), ((F.col("x.urls") > 0) & F.col("x.is_index")).alias("is_index"))
+    return out.join(named, "site_id", "left").fillna(False, ["in_robots"])
+
+
+def text_access(rows: DataFrame) -> DataFrame:
+    """Per site the first of its text fetches (negotiated, then by label) that would do, else the codes of the negotiated one."""
+    order = F.struct((F.col("label") != "negotiated").cast("int"), F.col("label"))
+    r = text_response(rows)
+    return r.groupBy("site_id").agg(F.bool_or("available").alias("available"), F.min_by("label", F.when(F.col("available"), order)).alias("label"), F.coalesce(F.min_by("codes", order), F.lit("")).alias("codes"))
+
+
+def readiness_summary(scopes: DataFrame, passes: DataFrame, probes: DataFrame) -> DataFrame:
+    """Per site the probes of its scope: passed, most, half-even share, label, and the names passed and missing in the probes' order. A site without any passed probe is a row like any other."""
+    rows = scopes.join(F.broadcast(probes)).join(passes.withColumn("passed", F.lit(True)), ["site_id", "ordinal"], "left")
+    rows = rows.withColumns({"in": included(rows), "passed": F.coalesce("passed", F.lit(False))}).where("in")
+    names = lambda test: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(test, F.struct("ordinal", "label")))), lambda x: x["label"]), "; ")
+    out = rows.groupBy("site_id").agg(F.count_if("passed").alias("earned"), F.count("*").alias("most"), names(F.col("passed")).alias("passed"), names(~F.col("passed")).alias("missing"))
+    out = out.withColumn("score", F.bround(F.col("earned") / F.col("most") * 100, 0).cast("long"))
+    return out.withColumn("label", F.when(F.col("score") >= 70, "strong").when(F.col("score") >= 40, "developing").otherwise("limited"))
+
+
+def agent_nearest(scopes: DataFrame, passes: DataFrame, probes: DataFrame, peers: DataFrame, top: int = 3) -> DataFrame:
+    """The ``top`` peers nearest to each site's share in its scope; ties by the higher share, then by name. The peers of a scope are one array."""
+    flags = ["protocols", "account_auth", "commerce"]
+    own = readiness_summary(scopes, passes, probes).select("site_id", "score").join(scopes, "site_id")
+    near = agent_peers(peers, probes, scopes).groupBy(*flags).agg(F.collect_list(F.struct("percent", "name")).alias("p"))
+    ranked = F.slice(F.array_sort(F.transform("p", lambda x: F.struct(F.abs(x["percent"] - F.col("score")).alias("away"), (-x["percent"]).alias("neg"), x["name"].alias("name")))), 1, top)
+    out = own.join(F.broadcast(near), flags).select("site_id", F.posexplode(ranked).alias("k", "x"))
+    return out.select("site_id", (F.col("k") + 1).cast("long").alias("place"), F.col("x.name").alias("name"), (-F.col("x.neg")).alias("percent"))
+
+
+def resolved_targets(rows: DataFrame) -> DataFrame:
+    """Per host of a site (site_id, host, ordinal, ip) the address to fetch: the first IPv4 one, else the first; none where any address is not public."""
+    r = rows.withColumns({"public": is_public(F.coalesce("ip", F.lit(""))), "later": F.contains("ip", F.lit(":"))})
+    out = r.groupBy("site_id", "host").agg(F.bool_and(F.coalesce("public", F.lit(False))).alias("public"), F.min_by("ip", F.struct("later", "ordinal")).alias("ip"))
+    return out.select("site_id", "host", F.when(F.col("public"), F.col("ip")).alias("ip"))
+
+
+def robots_codes(robots: DataFrame) -> DataFrame:
+    """The codes of the faults of each robots body, in the order of their weight."""
+    q = R.quality(robots)
+    found = codes((F.col("bytes") > R.OVERSIZE, "oversized"), (F.col("malformed") > 0, "malformed_lines"), (F.col("empty_groups") > 0, "empty_groups"), (F.col("bad_sitemaps") > 0, "bad_sitemaps"), (F.col("bad_delays") > 0, "bad_delays"))
+    return q.select("site_id", joined(found).alias("codes"), (F.col("delays") > 0).alias("paced"))

@@ -21,7 +21,55 @@ _KNOWN = "'protocols', 'account_auth', 'ecommerce', 'feed_discovery', 'article_s
 
 def sql(access: str, score: str, quality: str, signals: str, lines: str) -> dict[str, tuple[str, ...]]:
     """``access`` and so on are the SQL of the robots queries that robots_check is made of."""
-    return {
+    out = {
+        "best_sitemap": (
+            f"""with f as (select *, case when status between 200 and 399 and regexp_matches(coalesce(body, ''), '<(urlset|sitemapindex)') then len(regexp_extract_all(body, '<loc>\\s*[^<\\s]')) else 0 end as n from sitemap_file),
+b as (select * from (select *, row_number() over (partition by site_id order by n desc, ordinal) as k from f) where k = 1),
+r as (select distinct site_id from robots where regexp_matches(lower(coalesce(body, '')), '(^|\\n)\\s*sitemap\\s*:'))
+select b.site_id, n > 0 as valid, n::bigint as urls, n > 0 and not contains(body, '<sitemapindex') and regexp_matches(body, '<lastmod>\\s*[^<\\s]') as dated, n > 0 and contains(body, '<sitemapindex') as is_index, r.site_id is not null as in_robots from b left join r using (site_id)""",
+            "sitemap_file", "robots",
+        ),
+        "readiness_summary": (
+            f"""with r as (select s.site_id, label, p.ordinal, pp.ordinal is not null as ok from site_scope s cross join probe p left join probe_pass pp on pp.site_id = s.site_id and pp.ordinal = p.ordinal where {_IN}),
+c as (select site_id, count(*) filter (ok) as earned, count(*) as most, coalesce(string_agg(label, '; ' order by ordinal) filter (ok), '') as passed, coalesce(string_agg(label, '; ' order by ordinal) filter (not ok), '') as missing from r group by 1),
+s as (select *, round_even(earned / most * 100, 0)::bigint as score from c)
+select *, case when score >= 70 then 'strong' when score >= 40 then 'developing' else 'limited' end as label from s""",
+            "site_scope", "probe_pass", "probe",
+        ),
+        "agent_nearest3": (
+            f"""with o as (select s.site_id, protocols, account_auth, commerce, round_even(count(pp.ordinal) / count(*) * 100, 0)::bigint as score from site_scope s cross join probe p left join probe_pass pp on pp.site_id = s.site_id and pp.ordinal = p.ordinal where {_IN} group by 1, 2, 3, 4),
+k as (select distinct protocols, account_auth, commerce from site_scope), l as (select k.*, label from k cross join probe where {_IN}), n as (select distinct name from peer_probe),
+r as (select l.protocols, l.account_auth, l.commerce, n.name, round_even(count(*) filter (exists (select 1 from peer_probe x where x.name = n.name and x.label = l.label)) / count(*) * 100, 0)::bigint as percent from l cross join n group by 1, 2, 3, 4),
+j as (select site_id, name, percent, row_number() over (partition by site_id order by abs(percent - score), percent desc, name) as place from o join r using (protocols, account_auth, commerce))
+select site_id, place, name, percent from j where place <= 3""",
+            "site_scope", "probe_pass", "probe", "peer_probe",
+        ),
+        "resolved_targets": (
+            """with p as (select *, coalesce(not regexp_matches(ip, '^(0|10|127)\\.|^::1?$'), false) as public, contains(ip, ':') as later from resolved),
+g as (select site_id, host, bool_and(public) as ok, arg_min(ip, later::int * 1000 + ordinal) as ip from p group by 1, 2)
+select site_id, host, case when ok then ip end as ip from g""",
+            "resolved",
+        ),
+        "robots_codes": (
+            f"""with q as ({quality}) select site_id, {_codes(("bytes > 512000", "oversized"), ("malformed > 0", "malformed_lines"), ("empty_groups > 0", "empty_groups"), ("bad_sitemaps > 0", "bad_sitemaps"), ("bad_delays > 0", "bad_delays"))} as codes, delays > 0 as paced from q""",
+            "robots",
+        ),
+        "discovery_score": (
+            """with p as (select *, crawlers_allowed::int + sitemap_valid::int + (sitemap_valid and lastmod_good or freshness)::int + (sitemap_valid and sitemap_clean and metadata_ok and blurbs_ok)::int as n from discovery),
+s as (select site_id, (case when hreflang_ok and trust_ok then n else least(n, 3) end)::bigint as score from p)
+select site_id, score, case when score = 4 then 'pass' when score > 0 then 'partial' else 'warn' end as state from s""",
+            "discovery",
+        ),
+        "viewer_open_rows": (
+            """with o as (select site_id, check_name, state, max_score from check_row join rubric using (check_name) where state not in ('pass', 'locked'))
+select site_id, check_name, state, row_number() over (partition by site_id order by case state when 'fail' then 0 when 'partial' then 1 when 'warn' then 2 else 5 end, max_score desc, check_name) as place from o""",
+            "check_row", "rubric",
+        ),
+        "peer_bars": (
+            """with p as (select name, round_even(sum(score) / sum(max_score) * 100, 0)::bigint as percent from peer join rubric using (check_name) where grp = 'corporate' group by 1)
+select name, percent, greatest(least(percent, 100), 2) as width, row_number() over (order by percent desc, name) as place from p""",
+            "peer", "rubric",
+        ),
         "surface_check": (
             f"""with f as (select site_id, surface, {_trim('body')} as t, try_cast({_trim('body')} as json) as v from surface_fetch where status between 200 and 399),
 g as (
@@ -223,3 +271,10 @@ select site_id, case when strlen(body) > 9 then body[1:coalesce(list_max(list_fi
             "body",
         ),
     }
+    texts = out["text_responses"][0]
+    out["text_access"] = (
+        f"""with r as ({texts}), k as (select *, case when label = 'negotiated' then '' else label end as o from r)
+select site_id, bool_or(available) as available, arg_min(label, o) filter (available) as label, coalesce(arg_min(codes, o), '') as codes from k group by 1""",
+        "text_fetch",
+    )
+    return out

@@ -162,6 +162,14 @@ p as (
   from home join ssr using (page_id) join html using (page_id) join ld using (page_id) join ix using (page_id) join so using (page_id))
 select host, overall, unknown_checks, percent, round_even((select count(*) from p q where q.percent <= p.percent) / (select count(*) from p) * 100, 0)::bigint as percentile from p"""
 
+_SHORT = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(url, '^[^?#]*([?][^#]+)', 1)"
+RAW["metric_labels"] = (
+    METRICS
+    + f""", z as (select page_id, url, html_bytes, case when visible_words = 0 then 1 else (visible_words - main_words) / visible_words end as b, html_bytes / greatest(text_bytes, 1) as h from r join pages using (page_id))
+select page_id, round_even(b * 100, 0)::bigint || '%' as boilerplate, round_even(h, 0)::bigint || ':1' as html_text, case when html_bytes >= 1048576 then printf('%.1f MB', html_bytes / 1048576) when html_bytes >= 1024 then printf('%.1f KB', html_bytes / 1024) else html_bytes || ' B' end as bytes,
+  case when regexp_matches(url, '^[A-Za-z]+://[^/?#]') then {_SHORT} else url end as shown, case when regexp_matches(url, '^[A-Za-z]+://[^/?#]') then regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/robots.txt' end as robots from z"""
+)
+
 LINES = """
 with split as (select site_id, regexp_split_to_array(body, '\\r\\n|\\n|\\r') as l from robots),
 raw as (select site_id, unnest(l) as raw, unnest(range(len(l))) as line_no from split),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sitegauge.functions import labels
 from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, site_surfaces, texts
 from sitegauge.sources import page_relations as found
 from sitegauge.sources.dom import dom
@@ -112,6 +114,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scope_faults": _of(site_evidence.scope_faults, "scope_fault", "preset", "override_key"),
     "public_targets": _of(site_evidence.public_targets, "target"),
     "bounded_bodies": _of(lambda b: site_evidence.bounded(b, 9), "body"),
+    "best_sitemap": _of(lambda f, r: site_evidence.best_sitemap(f, site_evidence.sitemap_references(r)), "sitemap_file", "robots"),
+    "text_access": _of(site_evidence.text_access, "text_fetch"),
+    "readiness_summary": _of(site_evidence.readiness_summary, "site_scope", "probe_pass", "probe"),
+    "agent_nearest3": _of(site_evidence.agent_nearest, "site_scope", "probe_pass", "probe", "peer_probe"),
+    "resolved_targets": _of(site_evidence.resolved_targets, "resolved"),
+    "robots_codes": _of(site_evidence.robots_codes, "robots"),
+    "discovery_score": _of(site_search.discovery_score, "discovery"),
+    "viewer_open_rows": _of(scoring.viewer_filter, "check_row", "rubric"),
+    "peer_bars": _of(lambda p, r: scoring.peer_bars(scoring.peer_scores(p, r), "corporate"), "peer", "rubric"),
+    "metric_labels": _on("pages", lambda p: pages.text_metrics(p, "url").select("page_id", labels.percent(F.col("boilerplate_ratio")).alias("boilerplate"), labels.ratio(F.col("html_text_ratio")).alias("html_text"), labels.size(F.col("html_bytes")).alias("bytes"), labels.short_url(F.col("url")).alias("shown"), labels.root_url(F.col("url"), F.lit("robots.txt")).alias("robots"))),
     "pillar_scores": _of(scoring.pillar_scores, "check_row", "rubric", "pillar_cap"),
     "evidence_score": _of(scoring.evidence_score, "check_row", "rubric"),
     "action_order": _of(scoring.action_order, "check_row", "rubric"),

@@ -257,6 +257,11 @@ SCOPE_FAULTS = [
 TARGETS = [
     (1, "::1"), (2, "::"), (3, "fe80::1"), (4, "fc00::1"), (5, "fd12:3456::1"), (6, "ff02::1"), (7, "2001:db8::1"), (8, "::ffff:127.0.0.1"), (9, "::ffff:8.8.8.8"), (10, "2606:4700:4700::1111"), (11, "2a00:1450:4001:81b::200e"), (12, "8.8.4.4"), (13, "10.0.0.1"), (14, "x"), (15, None),
 ]
+RESOLVED = [
+    (1, "a.example", 0, "2606:4700:4700::1111"), (1, "a.example", 1, "8.8.8.8"), (1, "a.example", 2, "8.8.4.4"), (2, "b.example", 0, "9.9.9.9"), (2, "b.example", 1, "127.0.0.1"), (3, "c.example", 0, "2a00:1450:4001:81b::200e"), (3, "d.example", 0, "::1"), (4, "e.example", 0, None),
+]
+#: Every combination of the nine findings.
+DISCOVERIES = [(k + 1, *(bool(k & 1 << b) for b in range(9))) for k in range(512)]
 BODIES = [(1, "abcdefgh"), (2, "abcdefghij"), (3, "abcdefghä"), (4, "abcdefg€"), (5, "abcdef😀"), (6, "ääääää"), (7, ""), (8, None), (9, "abcdefg😀x")]
 
 #: Discovery surface, its usual paths, scope.
@@ -309,6 +314,8 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "peer_probe": (PEER_PROBES, "name string, label string"),
     "scope_fault": (SCOPE_FAULTS, "site_id long, preset string, overrides string"),
     "target": (TARGETS, "site_id long, ip string"),
+    "resolved": (RESOLVED, "site_id long, host string, ordinal long, ip string"),
+    "discovery": (DISCOVERIES, "site_id long, crawlers_allowed boolean, sitemap_valid boolean, lastmod_good boolean, freshness boolean, sitemap_clean boolean, metadata_ok boolean, blurbs_ok boolean, hreflang_ok boolean, trust_ok boolean"),
     "body": (BODIES, "site_id long, body string"),
     "rubric": (RUBRIC, "pillar string, check_name string, max_score long"),
     "pillar_cap": (PILLAR_CAPS, "pillar string, cap long"),
