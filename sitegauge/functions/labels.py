@@ -19,7 +19,7 @@ def size(count: Column) -> Column:
     """Bytes with one decimal from a kilobyte on."""
     mega, kilo = 1024 * 1024, 1024
     return (
-        F.when(count >= mega, F.format_string("%.1f MB", count / mega)).when(count >= kilo, F.format_string("%.1f KB", count / kilo)).otherwise(F.concat(count.cast("string"), F.lit(" B")))
+        F.when(count >= mega, F.format_string("%.1f MB", F.bround(count / mega, 1))).when(count >= kilo, F.format_string("%.1f KB", F.bround(count / kilo, 1))).otherwise(F.concat(count.cast("string"), F.lit(" B")))
     )
 
 

@@ -1,4 +1,8 @@
-"""Operators over crawl evidence: crawler fetches, indexing directives, hreflang links."""
+"""Operators over crawl evidence: crawler fetches, indexing directives, hreflang links.
+
+Null statuses are failed fetches, null titles and values say nothing. Repeated rows of a key count once where the last attempt or distinct pairs decide, else each; sites with
+a null id are told of in sums but meet no other row in joins. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Operators over fetched side documents: llms.txt, response headers, sitemap and feed bodies, agent catalogs, discovered surfaces."""
+"""Operators over fetched side documents: llms.txt, response headers, sitemap and feed bodies, agent catalogs, discovered surfaces.
+
+Null bodies count as empty and null headers say nothing. Repeated rows give a row each, or count each in sums; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

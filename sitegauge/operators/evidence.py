@@ -1,4 +1,8 @@
-"""Operators over side evidence: routing of crawler fetches, DNS answers, surface bodies, commerce fields, cached lookups, reports."""
+"""Operators over side evidence: routing of crawler fetches, DNS answers, surface bodies, commerce fields, cached lookups, reports.
+
+Null fields differ from all others but null; null bodies are not valid. Repeated rows give a row each, or one where the last or greatest is taken; empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Operators over forms, urls, entity lookups and page blurbs."""
+"""Operators over forms, urls, entity lookups and page blurbs.
+
+Null markup, urls and texts say nothing (no form, null forms of urls, a missing title or description). Repeated rows count each; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

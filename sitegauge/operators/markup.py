@@ -1,4 +1,8 @@
-"""Operators over declared metadata: JSON-LD, lastmod dates, viewports, canonical links, trust and social links, prices, addresses."""
+"""Operators over declared metadata: JSON-LD, lastmod dates, viewports, canonical links, trust and social links, prices, addresses.
+
+Null values are missing ones. Repeated rows give a row each, or count each in sums; a null site is a site of its own in sums and meets nothing in joins. Empty tables
+give empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Operators over tables of raw pages (page_id, url, html)."""
+"""Operators over tables of raw pages (page_id, url, html).
+
+Null html counts as empty and null urls have no host; pages without a host or an id take no part in what is told of hosts. Repeated rows count each, and an
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

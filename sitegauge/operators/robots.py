@@ -1,4 +1,8 @@
-"""robots.txt policy over a table (site_id, body): groups, crawler access, weighted score, quality, content signals."""
+"""robots.txt policy over a table (site_id, body): groups, crawler access, weighted score, quality, content signals.
+
+Null and empty bodies have no lines, no groups and no access rows; sites without an id meet nothing in joins. Repeated sites are read as one in what is told of groups. Empty
+tables give empty results.
+"""
 
 from __future__ import annotations
 

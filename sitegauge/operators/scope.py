@@ -1,4 +1,7 @@
-"""Scopes: presets with overrides, and the probes that a scope includes."""
+"""Scopes: presets with overrides, and the probes that a scope includes.
+
+Requests with an unknown or null preset are not valid and have null dimensions; empty overrides change nothing. Repeated requests give a row each.
+"""
 
 from __future__ import annotations
 

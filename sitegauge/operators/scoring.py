@@ -1,4 +1,8 @@
-"""Scores of sites from check rows (site_id, check_name, score, state, evidence, effort)."""
+"""Scores of sites from check rows (site_id, check_name, score, state, evidence, effort).
+
+Rows of checks that the rubric does not have, or without a name, are left out by the join with it; null points count for nothing in sums. Repeated rows count each. A site without
+rows has no row, and empty tables give empty results.
+"""
 
 from __future__ import annotations
 

@@ -97,3 +97,22 @@ def test_time_to_live(spark):
     frame = spark.createDataFrame(events, "event_id long, user_id long, event_type string, day double").withColumn("ts", F.timestamp_seconds((F.col("day") * 86400).cast("long")))
     r = fresh_lookups(frame.unionByName(frame.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))).first()
     assert (r.lookups, r.hits) == (10, 1 + 1 + 0 + 0 + 1)
+
+
+def test_summaries(spark):
+    files, robots = relation(spark, "sitemap_file"), relation(spark, "robots")
+    got = {r.site_id: r for r in evidence.best_sitemap(files, evidence.sitemap_references(robots)).collect()}
+    assert (got[1].urls, got[1].dated, got[1].is_index, got[1].in_robots) == (20, True, False, True) and (got[3].valid, got[3].in_robots) == (False, True) and (got[2].urls, got[2].in_robots) == (4, False)
+    text = {r.site_id: r for r in evidence.text_access(relation(spark, "text_fetch")).collect()}
+    assert (text[1].available, text[1].label) == (True, "negotiated") and (text[2].available, text[2].label) == (True, "/index.md") and (text[8].available, text[8].label, text[8].codes) == (False, None, "not_ok")
+    assert rows(evidence.resolved_targets(relation(spark, "resolved")), "site_id", "host", "ip") == [(1, "a.example", "8.8.8.8"), (2, "b.example", None), (3, "c.example", "2a00:1450:4001:81b::200e"), (3, "d.example", None), (4, "e.example", None)]
+    codes_ = dict(rows(evidence.robots_codes(robots), "site_id", "codes"))
+    assert codes_[1] == "" and codes_[3] == "malformed_lines empty_groups bad_sitemaps bad_delays"
+
+
+def test_labels(spark):
+    from sitegauge.functions import labels
+
+    one = spark.createDataFrame([(0.125, 12.5, 3328, 5 * 1024 * 1024 + 60000, "https://A.example/x//?q=1#f")], "p double, r double, k long, m long, u string")
+    got = one.select(labels.percent(F.col("p")), labels.ratio(F.col("r")), labels.size(F.col("k")), labels.size(F.col("m")), labels.size(F.lit(12)), labels.short_url(F.col("u")), labels.root_url(F.col("u"), F.lit("/llms.txt"))).first()
+    assert tuple(got) == ("12%", "12:1", "3.2 KB", "5.1 MB", "12 B", "A.example/x?q=1", "https://A.example/llms.txt")
