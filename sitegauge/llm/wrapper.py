@@ -20,7 +20,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.runtime import cut
@@ -420,7 +420,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
                 if wrapper not in held:
                     held[wrapper] = Tree(_rows(wrapper))
                 a, b = held[wrapper], Tree(_rows(tree))
-                counts.update((host, scope, i, a.path[i], b.text[j]) for i, j in Matching(a, b).pairs())
+                for i, j in Matching(a, b).pairs():
+                    counts[host, scope, i, a.path[i], b.text[j]] += 1
+                    counts[host, scope, i, a.path[i], -1] += 1  # all pages that have a partner for the block
             columns = [list(c) for c in zip(*counts)] or [[]] * 5
             kinds = (pa.string(), *[pa.int64()] * 4)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(list(counts.values()), pa.int64())], names=["host", "scope", "block", "path", "text", "n"])
@@ -433,9 +435,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     size = chosen.agg(F.sum(F.octet_length("wrapper") + F.length("host") + 16)).first()[0] or 0
     met = both.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, ["host", "scope"]).select("host", "scope", "wrapper", "tree")
     rows = met.mapInArrow(aligned, "host string, scope long, block long, path long, text long, n long")
-    texts = rows.groupBy("host", "scope", "block", "path", "text").agg(F.sum("n").alias("n"))
-    of = F.sum("n").over(Window.partitionBy("host", "scope", "block"))
-    constant = texts.withColumn("all", of).where((F.col("text") != 0) & (F.col("n") >= LEAST_PAGES) & (F.col("n") >= SHARE * F.col("all")))
+    often = cut(rows.groupBy("host", "scope", "block", "path", "text").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES))
+    every = often.where("text = -1").select("host", "scope", "block", F.col("n").alias("all"))
+    constant = often.where("text > 0").join(every, ["host", "scope", "block"]).where(F.col("n") >= SHARE * F.col("all"))
     return constant.groupBy("host").agg(F.sort_array(F.collect_set(F.expr("shiftleft(path, 32) | text"))).alias("keys"))
 
 
