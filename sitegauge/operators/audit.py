@@ -36,7 +36,7 @@ def page_checks(pages: DataFrame) -> DataFrame:
     home = cut(home_rows(pages))  # one page a host; read by each check
     ssr = readability(home, "host").select("host", F.lit("ssr").alias("check_name"), "score", "state", F.when(F.col("state") == "pass", "verified").otherwise("inferred").alias("evidence"))
     # hosts stand in for ids: one row a host
-    d = with_json_ld(dom(home.select(F.col("host").alias("page_id"), "url", "html", F.create_map().cast("map<string,string>").alias("headers"))))
+    d = cut(with_json_ld(dom(home.select(F.col("host").alias("page_id"), "url", "html", F.create_map().cast("map<string,string>").alias("headers")))))
     out = ssr
     for name, check in (("html_structure", html_structure), ("schema_ld", structured_data), ("indexing", indexing), ("social", entity_coherence)):
         out = out.unionByName(check(d).select(F.col("page_id").alias("host"), F.lit(name).alias("check_name"), "score", "state", F.lit(ON_PAGE[name]).alias("evidence")))

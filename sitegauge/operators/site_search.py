@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.urls import clean, codes, hostname, is_http, joined, plain_url, same_site, tokens, urljoin
+from sitegauge.runtime import cut
 from sitegauge.sources.dom import attr, first, inside, rel_has, said, tags
 
 from .markup import TRUST
@@ -94,21 +95,21 @@ def blurb_issues(d: DataFrame) -> DataFrame:
         return F.coalesce(differ, F.lit(False)).cast("long")
 
     target, own = plain_url(F.col("canonical")), plain_url(F.col("url"))
-    near = target.isNotNull() & (hostname(F.col("canonical")) == F.col("host"))
-    b = b.withColumns({"target": target, "own": own})
-    one = b.groupBy("host").agg(
-        F.count("*").alias("pages"), *[F.count_if(F.col(c).isNull()).alias(f"no_{c}") for c in ("title", "description", "h1", "canonical")], F.count_if(F.col("main") == "").alias("no_main"),
-        F.count_if(F.length("description") < SHORTEST).alias("short"), F.count_if(F.length("description") > LONGEST).alias("long"), F.count_if(placeholder(F.col("description"))).alias("placeholder"),
-        F.count_if(F.col("canonical").isNotNull() & F.col("target").isNull()).alias("bad_canonical"), F.count_if(F.col("target").isNotNull() & (hostname(F.col("canonical")) != F.col("host"))).alias("off_host"),
-        F.count_if(near & (F.col("target") != F.col("own"))).alias("not_self"), F.count_if(coverage < LOW_OVERLAP).alias("low_overlap"), F.count_if(stale).alias("stale_year"), F.sum(astray("og") + astray("twitter")).alias("social_differs"),
-    )
-
-    def shared(key: Column, name: str) -> DataFrame:
-        groups = b.select("host", key.alias("k")).where("k <> ''").groupBy("host", "k").agg(F.count("*").alias("n")).where("n > 1")
+    near = F.coalesce(hostname(F.col("canonical")) == F.col("host"), F.lit(False))
+    flags = {
+        **{f"no_{c}": F.col(c).isNull() for c in ("title", "description", "h1", "canonical")}, "no_main": F.col("main") == "", "short": F.length("description") < SHORTEST, "long": F.length("description") > LONGEST, "placeholder": placeholder(F.col("description")),
+        "bad_canonical": F.col("canonical").isNotNull() & target.isNull(), "off_host": target.isNotNull() & ~near, "not_self": target.isNotNull() & near & (target != own), "low_overlap": coverage < LOW_OVERLAP, "stale_year": stale,
+    }
+    # the pages are read once: what is counted of them, and the keys they may share
+    b = cut(b.select("host", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()], (astray("og") + astray("twitter")).alias("social"), normal(F.col("description")).alias("d"), normal(F.col("title")).alias("t"), target.alias("target"), own.alias("own")))
+    one = b.groupBy("host").agg(F.count("*").alias("pages"), *[F.count_if(n).alias(n) for n in flags], F.sum("social").alias("social_differs"))
+
+    def shared(key: str, name: str) -> DataFrame:
+        groups = b.where(F.col(key) != "").groupBy("host", key).agg(F.count("*").alias("n")).where("n > 1")
         return groups.groupBy("host").agg(F.sum("n").alias(name))
 
     hit = b.where("target is not null and own is not null").select("host", "target", "own").distinct().groupBy("host", "target").agg(F.count("*").alias("n")).where("n > 1").groupBy("host").agg(F.sum("n").alias("collisions"))
-    out = one.join(shared(normal(F.col("description")), "same_description"), "host", "left").join(shared(normal(F.col("title")), "same_title"), "host", "left").join(hit, "host", "left")
+    out = one.join(shared("d", "same_description"), "host", "left").join(shared("t", "same_title"), "host", "left").join(hit, "host", "left")
     return out.fillna(0, ["same_description", "same_title", "collisions"])
 
 
@@ -137,21 +138,21 @@ def sampled_metadata(d: DataFrame) -> DataFrame:
 
 
 def page_links(d: DataFrame) -> DataFrame:
-    """Every link of every page to its own site, absolute, with the label a reader gets."""
+    """Every link of every page, absolute, with the label a reader gets, and whether it stays on its site; a page without links has one row without any."""
     a = F.filter(tags("a"), lambda n: F.map_contains_key(n["attrs"], "href"))
-    rows = d.select(hostname(F.col("url")).alias("host"), "url", F.explode(a).alias("a"))
+    rows = d.select(hostname(F.col("url")).alias("host"), "url", F.explode_outer(a).alias("a"))
     href = urljoin(F.col("url"), F.coalesce(attr(F.col("a"), "href"), F.lit("")))
     label = F.concat_ws(" ", *[F.when(c != "", c) for c in (F.col("a.text"), attr(F.col("a"), "aria-label"), attr(F.col("a"), "title"))])
-    return rows.select("host", "url", href.alias("href"), label.alias("label")).where(is_http(F.col("href")) & same_site(F.col("href"), F.col("url")))
+    rows = rows.select("host", "url", F.when(F.col("a").isNotNull(), href).alias("href"), label.alias("label"))
+    return rows.withColumn("own", is_http(F.col("href")) & F.coalesce(same_site(F.col("href"), F.col("url")), F.lit(False)))
 
 
 def trust_pages(d: DataFrame, ecommerce: bool = False) -> DataFrame:
-    """Per host: which pages about the publisher its links lead to, and which are missed (core, recommended, and for shops)."""
+    """Per host: which pages about the publisher its links lead to, and which are missed (core, recommended, and for shops). One pass over the pages."""
     path = F.url_decode(F.regexp_replace(F.regexp_replace(F.regexp_extract("href", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), "%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B"))
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", path, "label")), "[^a-z0-9]+", " ")), F.lit(" "))
-    kinds = codes(*[(F.col("t").rlike(f" ({p}) "), k) for k, p in TRUST.items()])
-    found = page_links(d).select("host", text.alias("t")).select("host", F.explode(kinds).alias("k")).groupBy("host").agg(F.sort_array(F.collect_set("k")).alias("found"))
-    hosts = d.select(hostname(F.col("url")).alias("host")).where("host <> ''").distinct().join(found, "host", "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
+    kinds = codes(*[(F.col("own") & text.rlike(f" ({p}) "), k) for k, p in TRUST.items()])
+    hosts = page_links(d).where("host <> ''").select("host", F.explode_outer(kinds).alias("k")).groupBy("host").agg(F.sort_array(F.collect_set("k")).alias("found"))
     lack = lambda names: F.array_join(F.array_except(F.array(*map(F.lit, names)), "found"), " ")
     out = hosts.select("host", joined(F.col("found")).alias("found"), lack(CORE_TRUST).alias("missing_core"), lack(MORE_TRUST).alias("missing_more"), lack(SHOP_TRUST).alias("missing_shop"))
     return out.withColumn("ok", (F.col("missing_core") == "") & (F.lit(not ecommerce) | (F.col("missing_shop") == "")))

@@ -30,7 +30,7 @@ def test_structure(relation):
         0: ["no_description"], 1: [], 2: [],
         3: ["no_description", "fields_without_label", "form_script_action", "form_without_method", "fields_without_name", "fields_without_autocomplete", "form_without_named_submit", "no_plain_form", "images_without_alt", "controls_without_name"],
         4: ["no_description"], 5: ["long_description", "vague_links", "dead_links"], 6: ["no_description"], 7: ["fields_without_label"],
-        8: ["no_h1", "few_landmarks", "no_title", "no_description"],
+        8: ["no_h1", "few_landmarks", "no_title", "no_description"], None: ["no_description"],
     }
     assert [got[k].score for k in range(9)] == [3, 4, 4, 1, 3, 1, 3, 3, 1]
     assert [got[k].state for k in (0, 1, 3)] == ["partial", "pass", "fail"]
@@ -41,7 +41,7 @@ def test_crawl_efficiency(relation):
     assert {k: r.codes.split() for k, r in got.items()} == {
         0: ["no_validator", "no_viewport"], 1: ["slow_response"], 2: ["slow_response", "no_validator", "no_viewport"],
         3: ["slow_response", "blocking_stylesheets", "unsized_media", "sync_scripts", "zoom_limited"], 4: ["slow_response", "no_validator", "no_viewport"], 5: ["no_viewport"],
-        6: ["slow_response", "no_validator", "no_viewport"], 7: ["slow_response", "many_viewports", "viewport_width"], 8: ["slow_response", "no_validator", "no_viewport"],
+        6: ["slow_response", "no_validator", "no_viewport"], 7: ["slow_response", "many_viewports", "viewport_width"], 8: ["slow_response", "no_validator", "no_viewport"], None: ["no_validator", "no_viewport"],
     }
     # response, validators, sheets, media, scripts, body, viewport
     assert [got[k].points for k in range(8)] == [4 + 0 + 16 + 0, 2 + 4 + 16 + 4, 2 + 2 + 16 + 0, 2 + 4 + 0 + 2 + 2 + 4 + 2, 0 + 0 + 16 + 0, 4 + 4 + 16 + 0, 2 + 2 + 16 + 0, 2 + 4 + 16 + 2]
