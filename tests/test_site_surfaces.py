@@ -19,7 +19,7 @@ def test_surface_check(spark):
     # site 2: protocols only, so its auth.md does not count
     assert got[2].found == "API description; NLWeb /ask endpoint; legacy ai-plugin.json" and got[2].families == 14
     assert got[3].found == "auth.md" and got[3].state == "partial" and got[5].found == "catalog JSON" and got[6].state == "warn"
-    assert got[8].found == "A2A agent card; MCP server card; llms-full text export" and got[8].families == 19
+    assert got[8].found == "MCP server card; llms-full text export" and got[8].families == 19
 
 
 def test_usual_paths(spark):
