@@ -45,7 +45,7 @@ def page_checks(pages: DataFrame) -> DataFrame:
 
 def site_audit(pages: DataFrame, rubric: DataFrame) -> DataFrame:
     """Points, evidence percentage and inclusive percentile of every host; the percentiles come from at most 101 counts."""
-    rows = with_fallbacks(page_checks(pages), rubric)
+    rows = with_fallbacks(cut(page_checks(pages)), rubric)  # read twice there
     known = F.col("evidence") != "unknown"
     sites = rows.groupBy("host").agg(
         F.sum("score").alias("overall"), F.count_if(~known).alias("unknown_checks"), F.bround(F.sum(F.when(known, F.col("score"))) / F.sum(F.when(known, F.col("max_score"))) * 100, 0).cast("long").alias("percent")
