@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, packing, passages, quality, shards, simhash, urls, wrapper
+from . import bpe, decontam, langid, packing, passages, quality, runs, shards, simhash, urls, wrapper
 from .common import prepare, table
 
 BPE = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(prepare(spark), sf_dir, "pages"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.periodic_runs(runs.with_periodic_tail(table(prepare(spark), sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
