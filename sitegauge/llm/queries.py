@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, packing, passages, quality, runs, shards, simhash, urls, wrapper
+from . import bpe, decontam, langid, packing, passages, quality, runs, shards, simhash, urls, vectors, whitening, wrapper
 from .common import prepare, table
 
 BPE = "byte_bpe_50k.json"
@@ -55,6 +56,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(prepare(spark), sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(prepare(spark), sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.periodic_runs(runs.with_periodic_tail(table(prepare(spark), sf_dir, "documents"))))
 
