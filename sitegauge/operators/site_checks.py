@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.urls import clean, codes, joined, page_url, same_site, tokens, urljoin
-from sitegauge.sources.dom import attr, first, inside, json_ld, rel_has, said, tags
+from sitegauge.sources.dom import around, attr, first, json_ld, rel_has, said, tags
 
 from .markup import SOCIAL
 
@@ -61,7 +61,7 @@ def form_codes() -> Column:
     action = lambda f: F.coalesce(F.trim(attr(f, "action")), F.lit(""))
     scripted = lambda f: F.lower(action(f)).rlike("^(javascript:|#)")
     method = lambda f: _lower(f, "method")
-    fields = F.filter("field_nodes", lambda n: F.exists(forms, lambda f: inside(n, f)))
+    fields = F.filter("field_nodes", lambda n: n["form"] >= 0)
     hay = lambda n: F.concat_ws(" ", *[F.lower(F.coalesce(attr(n, a), F.lit(""))) for a in ("name", "id", "aria-label", "placeholder")])
     needs = lambda n: (n["tag"] == "input") & (F.lower(F.coalesce(attr(n, "type"), F.lit("text"))).isin(*FILLED_TYPES) | hay(n).rlike("|".join(PURPOSES)))
     kind = lambda c: F.lower(F.coalesce(attr(c, "type"), F.when(c["tag"] == "button", "submit").otherwise("text")))
@@ -71,7 +71,7 @@ def form_codes() -> Column:
         (F.exists(forms, lambda f: action(f) == ""), "form_without_action"), (F.exists(forms, lambda f: (action(f) != "") & scripted(f)), "form_script_action"),
         (F.exists(forms, lambda f: ~said(f, "method")), "form_without_method"), (F.exists(forms, lambda f: said(f, "method") & ~method(f).isin(*METHODS)), "form_odd_method"),
         (F.exists(fields, lambda n: _lower(n, "name").isin(*GENERIC_NAMES)), "fields_without_name"), (F.exists(fields, lambda n: needs(n) & _lower(n, "autocomplete").isin("", "off")), "fields_without_autocomplete"),
-        (F.exists(forms, lambda f: ~F.exists(submits, lambda c: inside(c, f) & label(c))), "form_without_named_submit"),
+        (F.size(F.array_except(F.transform(forms, lambda f: f["pre"]), F.transform(F.filter(submits, label), lambda c: c["form"]))) > 0, "form_without_named_submit"),
         ((F.size(forms) > 0) & ~F.exists(forms, lambda f: (action(f) != "") & ~scripted(f) & method(f).isin(*METHODS)), "no_plain_form"),
     )
 
@@ -88,7 +88,7 @@ def html_structure(d: DataFrame) -> DataFrame:
     )
     targets = F.transform(F.filter("label_nodes", lambda n: said(n, "for")), lambda n: attr(n, "for"))
     labelled = lambda n: (
-        (said(n, "id") & F.coalesce(F.array_contains(targets, F.coalesce(attr(n, "id"), F.lit(""))), F.lit(False))) | F.exists("label_nodes", lambda x: inside(n, x)) | said(n, "aria-label") | said(n, "aria-labelledby") | said(n, "placeholder")
+        (said(n, "id") & F.coalesce(F.array_contains(targets, F.coalesce(attr(n, "id"), F.lit(""))), F.lit(False))) | around(n, "label") | said(n, "aria-label") | said(n, "aria-labelledby") | said(n, "placeholder")
     )
     vague = F.size(F.filter("link_nodes", lambda a: ~_named(a) | F.lower(F.coalesce(a["text"], F.lit(""))).isin(*VAGUE)))
     dead = F.size(F.filter("link_nodes", lambda a: _lower(a, "href").rlike("^(javascript:|#)")))
@@ -119,8 +119,7 @@ def crawl_efficiency(d: DataFrame) -> DataFrame:
 
     Takes elapsed_ms and headers (lower-cased names) of the response with the page.
     """
-    head = first(tags("head"))
-    within = lambda *names: F.filter(tags(*names), lambda n: F.coalesce(inside(n, head), F.lit(False)))
+    within = lambda *names: F.filter(tags(*names), lambda n: around(n, "head"))
     sheets = F.size(F.filter(within("link"), lambda k: rel_has(k, "stylesheet") & F.coalesce(attr(k, "media"), F.lit("all")).isin("all", "")))
     sized = lambda n, side: said(n, side) | F.contains(F.coalesce(attr(n, "style"), F.lit("")), F.lit(side))
     unsized = F.size(F.filter(tags("img", "video"), lambda n: ~(sized(n, "width") & sized(n, "height"))))

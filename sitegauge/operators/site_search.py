@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.urls import clean, codes, hostname, is_http, joined, plain_url, same_site, tokens, urljoin
 from sitegauge.runtime import cut
-from sitegauge.sources.dom import attr, first, inside, rel_has, said, tags
+from sitegauge.sources.dom import around, attr, first, inside, rel_has, said, tags
 
 from .markup import TRUST
 from .pages import HIGH_BOILERPLATE, HIGH_NAVIGATION, HIGH_RATIO, HIGH_SCRIPT, MAIN_WORDS, READABLE_WORDS
@@ -221,7 +221,6 @@ def _visible_commerce(d: DataFrame) -> DataFrame:
     has = lambda n, a: F.map_contains_key(n["attrs"], a)
     text = F.substring("shown", 1, 200_000)
     match = lambda p, g: F.when(text.rlike(p), F.regexp_extract(text, p, g))
-    within = lambda n, *outer: F.exists(F.filter(shown, lambda o: o["tag"].isin(*outer)), lambda o: inside(n, o))
     like = lambda n, a, *words: F.lower(F.coalesce(attr(n, a), F.lit(""))).rlike("|".join(words))
     choices = F.filter(shown, lambda n: ((n["tag"] == "select") & (like(n, "name", "variant", "size", "color") | like(n, "id", "variant", "size", "color"))) | has(n, "data-variant"))
     options = F.filter(shown, lambda n: (n["tag"] == "option") & F.coalesce(inside(n, first(choices)), F.lit(False)))
@@ -231,12 +230,12 @@ def _visible_commerce(d: DataFrame) -> DataFrame:
     return d.withColumn(
         "seen",
         F.struct(
-            F.coalesce(one(lambda n: prop(n, "name")), one(lambda n: has(n, "data-product-name")), pick(lambda n: (n["tag"] == "h1") & within(n, "main")), pick(lambda n: (n["tag"] == "h1") & within(n, "article")), pick(lambda n: n["tag"] == "h1")).alias("product_name"),
+            F.coalesce(one(lambda n: prop(n, "name")), one(lambda n: has(n, "data-product-name")), pick(lambda n: (n["tag"] == "h1") & around(n, "main")), pick(lambda n: (n["tag"] == "h1") & around(n, "article")), pick(lambda n: n["tag"] == "h1")).alias("product_name"),
             F.coalesce(one(lambda n: prop(n, "price")), one(lambda n: has(n, "data-price")), match(price, 1)).alias("price"),
             F.coalesce(one(lambda n: prop(n, "availability")), one(lambda n: has(n, "data-availability")), match(r"(?i)\b(in stock|out of stock|sold out|available|pre-?order)\b", 1)).alias("availability"),
             present((F.size(choices) > 0) & (F.size(options) != 1)).alias("variants"),
             F.coalesce(one(lambda n: prop(n, "sku")), one(lambda n: F.startswith(F.coalesce(attr(n, "itemprop"), F.lit("")), F.lit("gtin"))), one(lambda n: has(n, "data-sku")), one(lambda n: has(n, "data-gtin")), match(r"(?i)\b(?:SKU|GTIN|UPC|EAN)\s*[:#-]?\s*([A-Za-z0-9._-]{3,32})\b", 1)).alias("sku_or_gtin"),
-            present(F.exists(shown, lambda n: prop(n, "image") | has(n, "data-product-image") | ((n["tag"] == "img") & has(n, "src") & within(n, "main", "article")))).alias("image"),
+            present(F.exists(shown, lambda n: prop(n, "image") | has(n, "data-product-image") | ((n["tag"] == "img") & has(n, "src") & around(n, "main", "article")))).alias("image"),
             present(linked("return", "refund") | text.rlike(r"(?i)\b(returns?|refunds?|exchanges?)\b")).alias("return_details"), present(linked("shipping", "delivery") | text.rlike(r"(?i)\b(shipping|delivery)\b")).alias("shipping_details"),
         ),
     )
@@ -307,7 +306,7 @@ def extraction_readiness(d: DataFrame, ecommerce: bool = False) -> DataFrame:
     """
     mains = F.filter("nodes", lambda n: n["tag"].isin("main", "article") | (attr(n, "role") == "main"))
     chrome = F.filter("nodes", lambda n: n["tag"].isin("nav", "header", "footer", "aside"))
-    outer = F.filter(chrome, lambda n: ~F.exists(chrome, lambda o: inside(n, o)))
+    outer = F.filter(chrome, lambda n: ~around(n, "nav"))
     total = lambda nodes, field: F.aggregate(nodes, F.lit(0), lambda acc, n: acc + n[field])
     words = F.when(F.trim("shown") == "", F.lit(0)).otherwise(F.size(F.split("shown", " ")))
     shell = (F.size(F.filter(tags("script"), lambda s: F.map_contains_key(s["attrs"], "src"))) >= 5) | F.exists("nodes", lambda n: ~n["hidden"] & attr(n, "id").isin(*APP_ROOTS))

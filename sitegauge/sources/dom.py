@@ -1,10 +1,15 @@
 """The DOM relation: raw HTML as arrays of element nodes, one narrow Arrow pass; all rules over it are built-in functions.
 
 A node has its place in document order (``pre``), the place of the last node inside it (``last``; so b is within a where
-``a.pre < b.pre <= a.last``), its parent's place (-1 at the top), its tag, its attributes (names lower-cased, the first of a name), its text (only
+``a.pre < b.pre <= a.last``), its parent's place (-1 at the top), the place of the form around it (the nearest; -1 without), the kinds of elements around it
+(``around``, a sum of ``AROUND``), its tag, its attributes (names lower-cased, the first of a name), its text (only
 of the tags in ``TEXTED`` and of elements with ``itemprop`` or a ``data-`` attribute; white space as one blank), the number of visible words in it
 and of those that no hidden element covers, the bytes of its markup (scripts and styles), whether an image with a
 described ``alt`` is inside it, and whether it or an element around it is hidden.
+
+What stands around a node is known from the stack of open elements when it begins, so containment needs no search over pairs of nodes. The pass takes
+time in proportion to the page: open elements are found by stacks of their tag. Kept texts of elements within each other overlap: an element that has ``NESTED`` or
+more such elements open around it keeps none of its own (it is empty), so texts have at most ``NESTED`` times the page's size together.
 """
 
 from __future__ import annotations
@@ -26,16 +31,22 @@ MAINS = ("main", "article", "body")
 # Fixed values of HTML: elements without an end tag, and what an opening tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {
+    "a": ({"a"}, {"button", "td", "th", "caption", "object"}), "button": ({"button"}, {"td", "th", "caption", "object"}),
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements within which an open paragraph is out of reach.
 SCOPES = frozenset(("table", "td", "th", "button", "object", "caption"))
+_STOPS = BLOCKS | SCOPES
+#: Kinds of elements that others ask to be within, as bits; and how deep texts are kept.
+AROUND = {"label": 1, "head": 2, "main": 4, "article": 8, "nav": 16, "header": 16, "footer": 16, "aside": 16}
+NESTED = 100
+# Fixed value: styles that hide an element.
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?:\s*!important)?\s*(?:;|$)", re.I)
-NODE = "struct<pre:int,last:int,parent:int,tag:string,attrs:map<string,string>,text:string,words:int,shown:int,bytes:int,pictured:boolean,hidden:boolean>"
+NODE = "struct<pre:int,last:int,parent:int,form:int,around:int,tag:string,attrs:map<string,string>,text:string,words:int,shown:int,bytes:int,pictured:boolean,hidden:boolean>"
 _NODE = pa.struct(
-    [("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("words", pa.int32()), ("shown", pa.int32()), ("bytes", pa.int32()),
+    [("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("form", pa.int32()), ("around", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("words", pa.int32()), ("shown", pa.int32()), ("bytes", pa.int32()),
      ("pictured", pa.bool_()), ("hidden", pa.bool_())]
 )
 
@@ -47,6 +58,11 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.at: dict[str, list[int]] = {}  # depths of the open elements of each tag
+        self.stops: list[int] = []  # those of ``_STOPS``
+        self.forms: list[int] = []
+        self.kinds: list[int] = [0]  # what stands around, by depth
+        self.deep = self.pictures = 0  # open elements whose text is kept; described images so far
         self.unseen = self.covered = self.aside = 0  # open elements that are unseen, hidden, or beside the main text
         self.plain: list[str] = []  # texts that are not beside the main text
         self.mains: dict[str, list[tuple[int, int, int]]] = {}
@@ -72,54 +88,57 @@ class Dom(HTMLParser):
     def _end(self, depth: int, upto: int) -> None:
         while len(self.open) > depth:
             n = self.nodes[self.open.pop()]
+            tag = n["tag"]
+            self.at[tag].pop()
+            self.kinds.pop()
+            if tag in _STOPS:
+                self.stops.pop()
+            if tag == "form":
+                self.forms.pop()
             n["last"] = len(self.nodes) - 1
             n["words"] = len(self.words) - n["words"]
-            if n["tag"] in ("script", "style"):
-                n["bytes"] = len(self.source[n["bytes"] : upto].encode("utf-8", "ignore"))
-            else:
-                n["bytes"] = 0
+            n["bytes"] = len(self.source[n["bytes"] : upto].encode("utf-8", "ignore")) if tag in ("script", "style") else 0
             n["shown"] = len(self.shown) - n["shown"]
-            if n["tag"] in TEXTED or n["kept"]:
-                n["text"] = " ".join(" ".join(self.pieces[n["text"] :]).split())
-            else:
-                n["text"] = None
-            n["pictured"] = any(m["tag"] == "img" and "alt" in dict(m["attrs"]) for m in self.nodes[n["pre"] + 1 : n["last"] + 1]) if n["tag"] in ("a", "button", "summary") else False
-            self.unseen -= n["tag"] in UNSEEN
+            begins, kept = n["text"], n.pop("kept")
+            self.deep -= kept
+            n["text"] = (" ".join(" ".join(self.pieces[begins:]).split()) if self.deep < NESTED else "") if kept else None
+            n["pictured"] = tag in ("a", "button", "summary") and self.pictures > n["pictured"]
+            self.unseen -= tag in UNSEEN
             self.covered -= n.pop("covers")
-            self.aside -= n["tag"] in ASIDE
-            del n["kept"]
-            if n["tag"] in MAINS:
-                self.mains.setdefault(n["tag"], []).append((n["pre"], self.began.pop(n["pre"]), len(self.plain)))
+            self.aside -= tag in ASIDE
+            if tag in MAINS:
+                self.mains.setdefault(tag, []).append((n["pre"], self.began.pop(n["pre"]), len(self.plain)))
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
-            for k in range(len(self.open) - 1, -1, -1):
-                t = self.nodes[self.open[k]]["tag"]
-                if t == "p":
-                    self._end(k, self._at())
-                    break
-                if t in BLOCKS or t in SCOPES:
-                    break
+        if tag in BLOCKS and self.stops and self.nodes[self.open[self.stops[-1]]]["tag"] == "p":
+            self._end(self.stops[-1], self._at())
         if tag in ENDS:
             ends, within = ENDS[tag]
-            for k in range(len(self.open) - 1, -1, -1):
-                t = self.nodes[self.open[k]]["tag"]
-                if t in within:
+            while True:
+                depth, nearest = max(((self.at[t][-1], t) for t in ends | within if self.at.get(t)), default=(-1, ""))
+                if nearest not in ends:
                     break
-                if t in ends:
-                    self._end(k, self._at())
+                self._end(depth, self._at())
         named: dict[str, str] = {}
         for name, value in attrs:
             named.setdefault(name, value or "")
         hides = "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or bool(_HIDDEN.search(named.get("style", "")))
         kept = "itemprop" in named or any(name.startswith("data-") for name in named)
-        node = {"pre": len(self.nodes), "last": len(self.nodes), "parent": self.open[-1] if self.open else -1, "tag": tag, "attrs": list(named.items()), "words": len(self.words), "shown": len(self.shown), "kept": kept, "bytes": self._at(), "text": len(self.pieces),
-                "pictured": False, "hidden": hides or self.covered > 0, "covers": int(hides)}
+        node = {"pre": len(self.nodes), "last": len(self.nodes), "parent": self.open[-1] if self.open else -1, "form": self.forms[-1] if self.forms else -1, "around": self.kinds[-1], "tag": tag, "attrs": list(named.items()), "words": len(self.words), "shown": len(self.shown), "kept": kept or tag in TEXTED, "bytes": self._at(), "text": len(self.pieces),
+                "pictured": self.pictures, "hidden": hides or self.covered > 0, "covers": int(hides)}
         self.nodes.append(node)
         if tag in VOID:
-            node |= {"words": 0, "shown": 0, "bytes": 0, "text": "" if kept else None}
+            self.pictures += tag == "img" and "alt" in named
+            node |= {"words": 0, "shown": 0, "bytes": 0, "text": "" if kept else None, "pictured": False}
             del node["covers"], node["kept"]
             return
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in _STOPS:
+            self.stops.append(len(self.open))
+        if tag == "form":
+            self.forms.append(node["pre"])
+        self.kinds.append(self.kinds[-1] | AROUND.get(tag, 0))
+        self.deep += node["kept"]
         self.open.append(node["pre"])
         self.unseen += tag in UNSEEN
         self.covered += hides
@@ -133,11 +152,9 @@ class Dom(HTMLParser):
             self._end(len(self.open) - 1, self._at())
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[k]]["tag"] == tag:
-                end = self.source.find(">", self._at())
-                self._end(k, len(self.source) if end < 0 else end + 1)
-                break
+        if self.at.get(tag):
+            end = self.source.find(">", self._at())
+            self._end(self.at[tag][-1], len(self.source) if end < 0 else end + 1)
 
     def handle_data(self, data):
         self.pieces.append(data)
@@ -194,6 +211,11 @@ def inside(node: Column, outer: Column) -> Column:
     return (node["pre"] > outer["pre"]) & (node["pre"] <= outer["last"])
 
 
+def around(node: Column, *names: str) -> Column:
+    """Whether the node is within an element of one of the tags (those of ``AROUND``)."""
+    return node["around"].bitwiseAND(F.lit(sum({AROUND[n] for n in names}))) != 0
+
+
 def rel_has(node: Column, value: str) -> Column:
     return F.array_contains(F.split(F.lower(F.coalesce(attr(node, "rel"), F.lit(""))), r"\s+"), value)
 
