@@ -39,15 +39,6 @@ def _part(tag: str) -> str:
     return rf"(?is)<(?:[a-z]+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:[a-z]+:)?{tag}\s*>"
 
 
-def sitemap_entries(rows: DataFrame) -> DataFrame:
-    """(site_id, is_index, ordinal, loc, lastmod) of all entries of sitemaps and indexes, with or without a namespace prefix."""
-    index = F.col("body").rlike(r"(?i)<(?:[a-z]+:)?sitemapindex[\s>]")
-    parts = F.when(index, F.regexp_extract_all("body", F.lit(_part("sitemap")), F.lit(1))).otherwise(F.regexp_extract_all("body", F.lit(_part("url")), F.lit(1)))
-    rows = rows.select("site_id", index.alias("is_index"), F.posexplode(parts).alias("ordinal", "e"))
-    loc, mod = F.trim(F.regexp_extract("e", _part("loc"), 1)), F.trim(F.regexp_extract("e", _part("lastmod"), 1))
-    return rows.select("site_id", "is_index", F.col("ordinal").cast("long").alias("ordinal"), loc.alias("loc"), F.nullif(mod, F.lit("")).alias("lastmod"))
-
-
 def feed_freshness(rows: DataFrame, as_of: str) -> DataFrame:
     """Items, dated items, faulty dates and the latest date of every feed, and whether it is stale on a given day."""
     today = F.to_date(F.lit(as_of))

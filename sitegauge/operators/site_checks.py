@@ -273,19 +273,35 @@ def structured_data(d: DataFrame, ecommerce: bool = False) -> DataFrame:
     return d.select("page_id", "scripts", "invalid", F.col("x.type").alias("type"), F.array_join("x.missing", ", ").alias("missing"), "speakable", "score", state.alias("state"), joined(found).alias("codes"))
 
 
+def spoken(text: Column) -> Column:
+    """A text as ``aligned`` compares it: cleaned and lower-cased, with its tokens. Null and blank texts have neither."""
+    t = F.lower(F.coalesce(clean(text), F.lit("")))
+    return F.struct(t.alias("text"), tokens(t, "[a-z0-9]+", 3, STOP).alias("tokens"))
+
+
 def texts_align(a: Column, b: Column) -> Column:
-    """Whether two texts say the same: equal, one within the other, or half of the tokens of the shorter one shared."""
-    a, b = (F.lower(F.coalesce(clean(x), F.lit(""))) for x in (a, b))
-    x, y = (tokens(t, "[a-z0-9]+", 3, STOP) for t in (a, b))
-    within = (F.least(F.length(a), F.length(b)) >= 4) & (F.contains(a, b) | F.contains(b, a))
+    """Whether two texts say the same."""
+    return aligned(spoken(a), spoken(b))
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """Whether two ``spoken`` texts say the same: equal, one within the other, or half of the tokens of the shorter one shared."""
+    t, u, x, y = a["text"], b["text"], a["tokens"], b["tokens"]
+    within = (F.least(F.length(t), F.length(u)) >= 4) & (F.contains(t, u) | F.contains(u, t))
     shared = (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y)) >= 0.5)
-    return (a != "") & (b != "") & ((a == b) | within | shared)
+    return (t != "") & (u != "") & ((t == u) | within | shared)
+
+
+def _metas() -> Column:
+    """The metas that have a content: (name, property, content), names lower-cased."""
+    low = lambda m, a: F.lower(F.coalesce(attr(m, a), F.lit("")))
+    told = F.transform(tags("meta"), lambda m: F.struct(low(m, "name").alias("name"), low(m, "property").alias("property"), clean(attr(m, "content")).alias("content")))
+    return F.filter(told, lambda m: F.coalesce(m["content"] != "", F.lit(False)))
 
 
 def _meta(name: str, key: str) -> Column:
-    """The content of the first meta of that name that has one; null without."""
-    found = F.transform(F.filter(tags("meta"), lambda m: F.lower(F.coalesce(attr(m, name), F.lit(""))) == key), lambda m: clean(attr(m, "content")))
-    return first(F.filter(found, lambda c: F.coalesce(c != "", F.lit(False))))
+    """The content of the first of the column ``metas`` of that name; null without."""
+    return first(F.filter("metas", lambda m: m[name] == key))["content"]
 
 
 def _urls(value: Column) -> Column:
@@ -309,42 +325,54 @@ def entity_coherence(d: DataFrame) -> DataFrame:
     Takes with_json_ld(); the page's url is the base of its links.
     """
     none = F.array().cast("array<string>")
+    at = lambda f, k: F.element_at(f, F.lit(k))
     canonical = first(F.filter(tags("link"), lambda k: F.map_contains_key(k["attrs"], "href") & rel_has(k, "canonical")))
-    absolute = lambda u: page_url(urljoin(F.col("url"), u))
     entities = F.filter("objects", lambda o: o["top"] & F.arrays_overlap(o["raw_types"], F.array(*map(F.lit, ENTITY_TYPES))))
-    named = lambda o: clean(F.coalesce(F.when(F.element_at(o["fields"], F.lit("name")) != "", F.element_at(o["fields"], F.lit("name"))), F.element_at(o["fields"], F.lit("headline"))))
-    same = lambda o: F.when(F.startswith(F.trim(F.element_at(o["fields"], F.lit("sameAs"))), F.lit("[")), F.from_json(F.element_at(o["fields"], F.lit("sameAs")), "array<string>")).otherwise(F.array(F.element_at(o["fields"], F.lit("sameAs"))))
+    # what the rules ask of the page more than once has a column of its own, step by step
     d = d.select(
-        "page_id", "url", clean(first(tags("title"))["text"]).alias("title"), _meta("name", "description").alias("description"), absolute(F.when(clean(attr(canonical, "href")) != "", clean(attr(canonical, "href")))).alias("canonical"),
-        _meta("property", "og:title").alias("og_title"), _meta("property", "og:description").alias("og_description"), absolute(_meta("property", "og:url")).alias("og_url"), _meta("property", "og:site_name").alias("og_site"),
-        absolute(_meta("property", "og:image")).alias("og_image"), _meta("name", "twitter:title").alias("t_title"), _meta("name", "twitter:description").alias("t_description"), absolute(_meta("name", "twitter:image")).alias("t_image"),
-        _meta("name", "twitter:card").alias("t_card"), F.filter(F.transform(entities, named), lambda x: F.coalesce((x != "") & ~F.startswith(x, F.lit("{")), F.lit(False))).alias("names"),
-        F.filter(F.coalesce(F.flatten(F.transform(entities, same)), none), lambda x: x.isNotNull()).alias("same_as"), F.flatten(F.transform(entities, lambda o: F.concat(_urls(F.element_at(o["fields"], F.lit("logo"))), _urls(F.element_at(o["fields"], F.lit("image")))))).alias("images"),
+        "page_id", "url", _metas().alias("metas"), F.transform(entities, lambda o: o["fields"]).alias("entities"), clean(first(tags("title"))["text"]).alias("title"), clean(attr(canonical, "href")).alias("href"),
         F.transform(F.filter(tags("a"), lambda a: F.map_contains_key(a["attrs"], "href")), lambda a: F.coalesce(attr(a, "href"), F.lit(""))).alias("links"),
     )
-    d = d.withColumns({"title": F.when(F.col("title") != "", F.col("title")), "linked": _platforms(F.col("links")), "mirrored": _platforms(F.col("same_as"))})
+    texts = {"description": ("name", "description"), "og_title": ("property", "og:title"), "og_description": ("property", "og:description"), "og_site": ("property", "og:site_name"), "t_title": ("name", "twitter:title"),
+             "t_description": ("name", "twitter:description"), "t_card": ("name", "twitter:card")}
+    places = ("canonical", "og_url", "og_image", "t_image")
+    found = F.array(F.when(F.col("href") != "", F.col("href")), _meta("property", "og:url"), _meta("property", "og:image"), _meta("name", "twitter:image"))
+    same = lambda f: F.when(F.startswith(F.trim(at(f, "sameAs")), F.lit("[")), F.from_json(at(f, "sameAs"), "array<string>")).otherwise(F.array(at(f, "sameAs")))
+    named = lambda f: clean(F.coalesce(F.when(at(f, "name") != "", at(f, "name")), at(f, "headline")))
+    d = d.select(
+        "page_id", "links", F.when(F.col("title") != "", F.col("title")).alias("title"), *[_meta(*k).alias(c) for c, k in texts.items()], F.transform(found, lambda u: page_url(urljoin(F.col("url"), u))).alias("places"),
+        F.transform(F.filter(F.transform("entities", named), lambda x: F.coalesce((x != "") & ~F.startswith(x, F.lit("{")), F.lit(False))), spoken).alias("names"), F.filter(F.coalesce(F.flatten(F.transform("entities", same)), none), lambda x: x.isNotNull()).alias("same_as"),
+        F.size(F.flatten(F.transform("entities", lambda f: F.flatten(F.transform(F.array(at(f, "logo"), at(f, "image")), _urls))))).alias("images"),
+    )
+    compared = ("title", "description", "og_title", "og_description", "og_site", "t_title", "t_description")
+    spoke = F.transform(F.array(*[F.col(c) for c in compared]), spoken)
+    d = d.select("*", spoke.alias("spoke"), *[F.get("places", F.lit(k)).alias(c) for k, c in enumerate(places)], _platforms(F.col("links")).alias("linked"), _platforms(F.col("same_as")).alias("mirrored"))
+    said_as = {c: F.get("spoke", F.lit(k)) for k, c in enumerate(compared)}
+    agree = lambda a, b: aligned(said_as[a], said_as[b])
+    told = F.filter(F.array(*[F.when(F.col(c).isNotNull(), said_as[c]) for c in ("og_site", "og_title", "title")]), lambda x: x.isNotNull())
+    d = d.select("*", told.alias("told")).select(
+        "*", agree("og_title", "title").alias("titles"), agree("og_description", "description").alias("descriptions"), agree("t_title", "og_title").alias("shares"),
+        F.when(F.col("og_description").isNotNull(), agree("t_description", "og_description")).otherwise(agree("t_description", "description")).alias("summaries"), F.exists("names", lambda x: F.exists("told", lambda y: aligned(x, y))).alias("entity"),
+        F.arrays_overlap("linked", "mirrored").alias("overlap"),
+    )
     has = lambda *c: F.coalesce(*[F.col(x) for x in c]).isNotNull()
     both = lambda a, b: has(a) & has(b)
-    agree = lambda a, b: texts_align(F.col(a), F.col(b))
-    card = has("t_card", "t_title", "t_description", "t_image")
-    told = F.filter(F.array("og_site", "og_title", "title"), lambda x: x.isNotNull())
-    entity = F.exists("names", lambda x: F.exists(told, lambda y: texts_align(x, y)))
-    a, b = F.size("linked") > 0, F.size("mirrored") > 0
-    overlap = F.arrays_overlap("linked", "mirrored")
-    shared = F.coalesce("og_description", "description")
+    card, entity, overlap = has("t_card", "t_title", "t_description", "t_image"), F.col("entity"), F.col("overlap")
+    a, b, images, names = F.size("linked") > 0, F.size("mirrored") > 0, F.col("images") > 0, F.size("names") > 0
     issues = codes(
-        (both("og_title", "title") & ~agree("og_title", "title"), "og_title_differs"), (~both("og_title", "title"), "no_og_title"), (both("og_description", "description") & ~agree("og_description", "description"), "og_description_differs"),
+        (both("og_title", "title") & ~F.col("titles"), "og_title_differs"), (~both("og_title", "title"), "no_og_title"), (both("og_description", "description") & ~F.col("descriptions"), "og_description_differs"),
         (~both("og_description", "description"), "no_og_description"), (both("og_url", "canonical") & (F.col("og_url") != F.col("canonical")), "og_url_differs"), (~has("og_url"), "no_og_url"),
-        (both("t_title", "og_title") & ~agree("t_title", "og_title"), "twitter_title_differs"), (has("t_description") & shared.isNotNull() & ~texts_align(F.col("t_description"), shared), "twitter_description_differs"), (~card, "no_twitter_card"),
-        (~has("og_image", "t_image"), "no_social_image"), (F.size("images") == 0, "no_schema_image"), ((F.size("names") > 0) & ~entity, "schema_name_differs"), (F.size("names") == 0, "no_schema_name"),
+        (both("t_title", "og_title") & ~F.col("shares"), "twitter_title_differs"), (has("t_description") & has("og_description", "description") & ~F.col("summaries"), "twitter_description_differs"), (~card, "no_twitter_card"),
+        (~has("og_image", "t_image"), "no_social_image"), (~images, "no_schema_image"), (names & ~entity, "schema_name_differs"), (~names, "no_schema_name"),
         (a & b & ~overlap, "profiles_differ"), (a & ~b, "profiles_not_in_schema"), (~a & ~b, "no_profiles"),
     )
     good = codes(
-        (both("og_title", "title") & agree("og_title", "title"), "og_title"), (both("og_description", "description") & agree("og_description", "description"), "og_description"),
-        (has("og_url") & (~has("canonical") | (F.col("og_url") == F.col("canonical"))), "og_url"), (card, "twitter_card"), (has("og_image", "t_image"), "social_image"), (F.size("images") > 0, "schema_image"),
+        (both("og_title", "title") & F.col("titles"), "og_title"), (both("og_description", "description") & F.col("descriptions"), "og_description"),
+        (has("og_url") & (~has("canonical") | (F.col("og_url") == F.col("canonical"))), "og_url"), (card, "twitter_card"), (has("og_image", "t_image"), "social_image"), (images, "schema_image"),
         (F.coalesce(entity, F.lit(False)), "schema_name"), (a & b & overlap, "profiles_match"), (~a & b, "profiles_in_schema"),
     )
-    d = d.select("page_id", _platforms(F.concat("links", "same_as")).alias("p"), issues.alias("i"), good.alias("g"))
+    either = F.filter(F.array(*map(F.lit, SOCIAL)), lambda x: F.array_contains("linked", x) | F.array_contains("mirrored", x))
+    d = d.select("page_id", either.alias("p"), issues.alias("i"), good.alias("g"))
     score = F.when((F.size("p") >= 3) & (F.size("i") == 0), 2).when((F.size("p") > 0) | (F.size("g") >= 3), 1).otherwise(0)
     d = d.withColumn("score", score.cast("long"))
     state = F.when(F.col("score") == 2, "pass").when(F.col("score") == 1, "partial").otherwise("warn")

@@ -1,4 +1,4 @@
-"""Operators over fetched evidence of sites: crawler challenges, robots and text checks in full, discovery documents, sitemap samples, readiness by scope.
+"""Operators over fetched evidence of sites: crawler challenges, robots and text checks in full, discovery documents, readiness by scope.
 
 Null bodies count as empty and null headers as absent. Rows that repeat count as often as they stand there, but where a site has one row
 by contract (robots, text access) it gives one row each.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -25,7 +25,6 @@ SCANNED = 20_000
 LINK_TOKENS = ("api-catalog", "oauth-authorization-server", "oauth-protected-resource", "mcp", "agent", "webmcp", "auth.md")
 ERROR_KEYS = ("error", "message", "status", "code")
 DNS_PREFIXES = ("_index._agents", "_a2a._agents", "_mcp._agents")
-SITEMAP_FILES, SITEMAP_URLS = 4, 25
 PROTOCOL_FAMILIES, AUTH_FAMILIES, SHOP_FAMILIES = ("api_catalog", "mcp", "a2a", "agent_skills", "webmcp"), ("oauth_oidc", "auth_md"), ("product_offer_schema", "commerce_fields")
 CATEGORIES = ("Discoverability", "Content Accessibility", "Bot Access Control", "Protocol Discovery", "Commerce")
 
@@ -168,32 +167,6 @@ def alternate_host(url: Column) -> Column:
     return F.when(hostname(url) != "", F.regexp_replace(F.regexp_replace(url, r"(?i)^([a-z][a-z0-9+.\-]*://)", "$1www."), r"(?i)^([a-z][a-z0-9+.\-]*://)www\.www\.", "$1"))
 
 
-def sitemap_sample(files: DataFrame, as_of: str, most_files: int = SITEMAP_FILES, most_urls: int = SITEMAP_URLS) -> DataFrame:
-    """Per site the sample of its sitemap files (site_id, host, ordinal, status, body) in their order: the first valid files up to ``most_files``, of
-    which the first urls up to ``most_urls``, and what is wrong with them. A running cap over file and place, not a collected list."""
-    ok = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False))
-    part = lambda t: rf"(?is)<(?:[a-z]+:)?{t}(?:\s[^>]*)?>(.*?)</(?:[a-z]+:)?{t}\s*>"
-    index = F.col("body").rlike(r"(?i)<(?:[a-z]+:)?sitemapindex[\s>]")
-    entries = F.when(index, F.regexp_extract_all("body", F.lit(part("sitemap")), F.lit(1))).otherwise(F.regexp_extract_all("body", F.lit(part("url")), F.lit(1)))
-    r = files.where(ok & F.col("body").isNotNull()).select("site_id", "host", "ordinal", index.alias("is_index"), F.filter(entries, lambda e: F.trim(F.regexp_extract(e, part("loc"), 1)) != "").alias("e")).where(F.size("e") > 0)
-    order = Window.partitionBy("site_id").orderBy("ordinal")
-    r = r.withColumn("file", F.row_number().over(order)).where(F.col("file") <= most_files)
-    rows = r.select("site_id", "host", "file", "is_index", F.posexplode("e").alias("place", "e"))
-    loc, mod = F.trim(F.regexp_extract("e", part("loc"), 1)), F.trim(F.regexp_extract("e", part("lastmod"), 1))
-    rows = rows.select("site_id", "host", "file", "place", "is_index", loc.alias("loc"), mod.alias("mod"))
-    capped = rows.where("not is_index").withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("file", "place"))).where(F.col("k") <= most_urls)
-    day = F.when(F.col("mod").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_date(F.substring("mod", 1, 10), "yyyy-MM-dd"))
-    today = F.to_date(F.lit(as_of))
-    bare = lambda c: F.regexp_replace(c, r"^www\.", "")
-    urls = capped.groupBy("site_id").agg(
-        F.count("*").alias("urls"), (F.count("*") - F.count_distinct("loc")).alias("duplicates"), F.count_if(bare(hostname(F.col("loc"))) == bare(F.col("host"))).alias("same_site"), F.count_if(~F.lower("loc").startswith("https://")).alias("non_https"),
-        F.count_if(F.col("mod") == "").alias("undated"), F.count_if((F.col("mod") != "") & day.isNull()).alias("bad_dates"), F.count_if(day > today).alias("future_dates"),
-    )
-    seen = rows.groupBy("site_id").agg(F.count_distinct("file").alias("files"), F.bool_or("is_index").alias("is_index"))
-    out = files.select("site_id").distinct().join(seen, "site_id", "left").join(urls, "site_id", "left")
-    return out.fillna(0).fillna(False, ["is_index"]).withColumn("clean", (F.col("urls") > 0) & (F.col("same_site") == F.col("urls")) & (F.col("non_https") == 0) & (F.col("duplicates") == 0))
-
-
 def json_feed(rows: DataFrame, as_of: str) -> DataFrame:
     """Items, dated items, faulty dates and the latest date of every JSON Feed body; null items where it is none."""
     feed = F.from_json(_blank("body"), "struct<items:array<struct<date_modified:string,date_published:string,updated:string,published:string>>>")
@@ -313,20 +286,6 @@ def hreflang_targets(links: DataFrame) -> DataFrame:
     return links.select("site_id", "src", "lang", urljoin(F.col("src"), F.col("href")).alias("target"))
 
 
-def best_sitemap(files: DataFrame, references: DataFrame) -> DataFrame:
-    """Per site the fetched sitemap file with the most locations (the first of equals): valid, locations, dated, index; and whether robots.txt names one."""
-    ok = F.coalesce((F.col("status") >= 200) & (F.col("status") < 400), F.lit(False))
-    loc = F.size(F.regexp_extract_all(_blank("body"), F.lit(r"(?is)<(?:[a-z]+:)?loc(?:\s[^>]*)?>\s*[^<\s]"), F.lit(0))).cast("long")
-    index = _blank("body").rlike(r"(?i)<(?:[a-z]+:)?sitemapindex[\s>]")
-    dated = ~index & _blank("body").rlike(r"(?is)<(?:[a-z]+:)?lastmod(?:\s[^>]*)?>\s*[^<\s]")
-    shaped = _blank("body").rlike(r"(?i)<(?:[a-z]+:)?(urlset|sitemapindex)[\s>]")
-    count = F.when(ok & shaped, loc).otherwise(F.lit(0).cast("long"))
-    best = files.groupBy("site_id").agg(F.max(F.struct(count.alias("urls"), (-F.col("ordinal")).alias("o"), dated.alias("dated"), index.alias("is_index"))).alias("x"))
-    named = references.select("site_id").distinct().withColumn("in_robots", F.lit(True))
-    out = best.select("site_id", (F.col("x.urls") > 0).alias("valid"), F.col("x.urls").alias("urls"), ((F.col("x.urls") > 0) & F.col("x.dated")).alias("dated"), ((F.col("x.urls") > 0) & F.col("x.is_index")).alias("is_index"))
-    return out.join(named, "site_id", "left").fillna(False, ["in_robots"])
-
-
 def text_access(rows: DataFrame) -> DataFrame:
     """Per site the first of its text fetches (negotiated, then by label) that would do, else the codes of the negotiated one."""
     order = F.struct((F.col("label") != "negotiated").cast("int"), F.col("label"))

@@ -22,13 +22,6 @@ _KNOWN = "'protocols', 'account_auth', 'ecommerce', 'feed_discovery', 'article_s
 def sql(access: str, score: str, quality: str, signals: str, lines: str) -> dict[str, tuple[str, ...]]:
     """``access`` and so on are the SQL of the robots queries that robots_check is made of."""
     out = {
-        "best_sitemap": (
-            f"""with f as (select *, case when status between 200 and 399 and regexp_matches(coalesce(body, ''), '<(urlset|sitemapindex)') then len(regexp_extract_all(body, '<loc>\\s*[^<\\s]')) else 0 end as n from sitemap_file),
-b as (select * from (select *, row_number() over (partition by site_id order by n desc, ordinal) as k from f) where k = 1),
-r as (select distinct site_id from robots where regexp_matches(lower(coalesce(body, '')), '(^|\\n)\\s*sitemap\\s*:'))
-select b.site_id, n > 0 as valid, n::bigint as urls, n > 0 and not contains(body, '<sitemapindex') and regexp_matches(body, '<lastmod>\\s*[^<\\s]') as dated, n > 0 and contains(body, '<sitemapindex') as is_index, r.site_id is not null as in_robots from b left join r using (site_id)""",
-            "sitemap_file", "robots",
-        ),
         "readiness_summary": (
             f"""with r as (select s.site_id, label, p.ordinal, pp.ordinal is not null as ok from site_scope s cross join probe p left join probe_pass pp on pp.site_id = s.site_id and pp.ordinal = p.ordinal where {_IN}),
 c as (select site_id, count(*) filter (ok) as earned, count(*) as most, coalesce(string_agg(label, '; ' order by ordinal) filter (ok), '') as passed, coalesce(string_agg(label, '; ' order by ordinal) filter (not ok), '') as missing from r group by 1),
@@ -203,23 +196,6 @@ n as (select site_id, i, r, unnest(['_index._agents', '_a2a._agents', '_mcp._age
 select site_id, (3 * i + k)::bigint as ordinal, p || '.' || r as name from n""",
             "dns_site",
         ),
-        "sitemap_sample": (
-            """with f as (select site_id, host, ordinal, body, regexp_matches(body, '<sitemapindex') as is_index from sitemap_file where status between 200 and 399 and body is not null),
-p as (select *, list_filter(regexp_extract_all(body, case when is_index then '(?s)<sitemap>(.*?)</sitemap>' else '(?s)<url>(.*?)</url>' end, 1), lambda e: trim(regexp_extract(e, '<loc>(.*?)</loc>', 1)) <> '') as e from f),
-v as (select *, row_number() over (partition by site_id order by ordinal) as file from p where len(e) > 0),
-w as (select site_id, host, file, is_index, unnest(e) as e, unnest(range(len(e))) as place from v where file <= 4),
-x as (select *, trim(regexp_extract(e, '<loc>(.*?)</loc>', 1)) as loc, trim(regexp_extract(e, '<lastmod>(.*?)</lastmod>', 1)) as mod from w),
-c as (select * from (select *, row_number() over (partition by site_id order by file, place) as k from x where not is_index) where k <= 25),
-d as (select *, case when regexp_matches(mod, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(mod[1:10] as date) end as day, regexp_replace(lower(regexp_extract(loc, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') as own from c),
-u as (
-  select site_id, count(*) as urls, count(*) - count(distinct loc) as duplicates, count(*) filter (own = regexp_replace(host, '^www\\.', '')) as same_site, count(*) filter (not starts_with(lower(loc), 'https://')) as non_https, count(*) filter (mod = '') as undated,
-    count(*) filter (mod <> '' and day is null) as bad_dates, count(*) filter (day > date '2024-06-01') as future_dates from d group by 1),
-s as (select site_id, count(distinct file) as files, bool_or(is_index) as is_index from x group by 1)
-select a.site_id, coalesce(files, 0) as files, coalesce(is_index, false) as is_index, """
-            + ", ".join(f"coalesce({c}, 0) as {c}" for c in ("urls", "duplicates", "same_site", "non_https", "undated", "bad_dates", "future_dates"))
-            + """, coalesce(urls > 0 and same_site = urls and non_https = 0 and duplicates = 0, false) as clean from (select distinct site_id from sitemap_file) a left join s using (site_id) left join u using (site_id)""",
-            "sitemap_file",
-        ),
         "json_feeds": (
             """with j as (select site_id, try_cast(body as json) as v from json_feed),
 i as (select site_id, case when json_type(json_extract(v, '$.items')) = 'ARRAY' then json_extract(v, '$.items[*]') end as items from j),

@@ -6,7 +6,7 @@ from sitegauge.sources import page_relations
 from sitegauge.sources.evidence import PAGES_SQL
 from sitegauge.sources.fixtures import with_relations
 
-from . import evidence_oracles, page_oracles
+from . import evidence_oracles, fetch_oracles, page_oracles
 
 # Fixed values, said here again so that the SQL does not lean on the operators.
 APP_SHELL = ('__NEXT_DATA__', 'data-reactroot', 'ng-version', '/@vite/', '__NUXT__')
@@ -368,13 +368,6 @@ select site_id, bool_or(n = 'vary' and len(list_filter(string_split(v, ','), lam
   bool_or(n not in ('content-type', 'vary', 'link', 'content-location', 'content-signal', 'content-signals') and regexp_matches(n || ': ' || v, 'llms|markdown|agent|token')) as other_hint from h group by 1""",
         "header",
     ),
-    "sitemap_entries": (
-        f"""with s as (select site_id, regexp_matches(body, '(?i)<(?:[a-z]+:)?sitemapindex[\\s>]') as is_index, body from sitemap_body),
-p as (select site_id, is_index, case when is_index then regexp_extract_all(body, '{_part('sitemap')}', 1) else regexp_extract_all(body, '{_part('url')}', 1) end as parts from s),
-e as (select site_id, is_index, unnest(range(len(parts)))::bigint as ordinal, unnest(parts) as e from p)
-select site_id, is_index, ordinal, trim(regexp_extract(e, '{_part('loc')}', 1)) as loc, nullif(trim(regexp_extract(e, '{_part('lastmod')}', 1)), '') as lastmod from e""",
-        "sitemap_body",
-    ),
     "feed_freshness": (
         f"""with t as (select site_id, len(regexp_extract_all(body, '(?i)<(item|entry)[\\s>]'))::bigint as items, list_concat(list_concat({', '.join(f"regexp_extract_all(body, '{_part(t)}', 1)" for t in ('pubDate', 'updated'))}), regexp_extract_all(body, '{_part('published')}', 1)) as texts from feed),
 d as (select site_id, items, list_transform(texts, lambda x: case when regexp_matches(trim(x), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast(trim(x)[1:10] as date) else try_strptime(regexp_extract(x, '([0-9]{{1,2}} [A-Za-z]{{3}} [0-9]{{4}})', 1), '%d %b %Y')::date end) as d from t),
@@ -550,7 +543,7 @@ select *, case when percent >= upper_quartile then 'top' when percent >= median
 _LINES_SQL = LINES + "select * from lines"
 ON_RELATIONS |= evidence_oracles.sql(ACCESS + " select * from matrix", ON_RELATIONS["robots_access_score"][0], ON_RELATIONS["robots_quality"][0], ON_RELATIONS["content_signals"][0], _LINES_SQL)
 
-SQL: dict[str, str] = RAW | page_oracles.SQL | {name: with_relations(sql, *names) for name, (sql, *names) in ON_RELATIONS.items()}
+SQL: dict[str, str] = RAW | page_oracles.SQL | fetch_oracles.SQL | {name: with_relations(sql, *names) for name, (sql, *names) in ON_RELATIONS.items()}
 #: The SQL of operators on pages' evidence: that on literal rows, over the whole table with its planted markup.
 ON_PAGES = ("trust_surfaces", "social_profiles", "form_affordances", "viewport_tokens", "jsonld_types")
 SQL |= {f"page_{name}": f"with {PAGES_SQL}, {r} as ({page_relations.SQL[r].replace('from pages', 'from evidence')}) select * from ({sql})" for name in ON_PAGES for sql, r in [ON_RELATIONS[name]]}

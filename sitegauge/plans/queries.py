@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.functions import labels
-from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, site_surfaces, texts
+from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, site_surfaces, sitemaps, texts
+from sitegauge.sources import fetches
 from sitegauge.sources import page_relations as found
 from sitegauge.sources.dom import dom
 from sitegauge.sources.evidence import dealt, evidence_pages
@@ -42,6 +43,16 @@ def _page(f: Callable[[DataFrame], DataFrame], ld: bool = False) -> Callable[[Sp
     return run
 
 
+def _maps(f: Callable[[sitemaps.Maps], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """An operator over the sitemap files and robots names of all sites that ``pages`` makes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = fetches.sites(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+        return f(sitemaps.Maps(s.select("site_id", "root"), fetches.robots_bodies(s), fetches.sitemap_responses(s), AS_OF))
+
+    return run
+
+
 def _against(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return _of(lambda rows, rubric, peers: f(scoring.evidence_score(rows, rubric).select("site_id", "percent"), scoring.peer_scores(peers, rubric)), "check_row", "rubric", "peer")
 
@@ -105,7 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "auth_texts": _of(site_evidence.auth_texts, "auth_text"),
     "agent_links": _of(site_evidence.agent_links, "header"),
     "dns_names": _of(site_evidence.dns_names, "dns_site"),
-    "sitemap_sample": _of(lambda f: site_evidence.sitemap_sample(f, AS_OF), "sitemap_file"),
     "json_feeds": _of(lambda f: site_evidence.json_feed(f, AS_OF), "json_feed"),
     "readiness_categories": _of(site_evidence.readiness_categories, "site_scope", "probe_pass", "probe"),
     "scope_keys": _of(site_evidence.scope_key, "site_scope"),
@@ -114,7 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scope_faults": _of(site_evidence.scope_faults, "scope_fault", "preset", "override_key"),
     "public_targets": _of(site_evidence.public_targets, "target"),
     "bounded_bodies": _of(lambda b: site_evidence.bounded(b, 9), "body"),
-    "best_sitemap": _of(lambda f, r: site_evidence.best_sitemap(f, site_evidence.sitemap_references(r)), "sitemap_file", "robots"),
     "text_access": _of(site_evidence.text_access, "text_fetch"),
     "readiness_summary": _of(site_evidence.readiness_summary, "site_scope", "probe_pass", "probe"),
     "agent_nearest3": _of(site_evidence.agent_nearest, "site_scope", "probe_pass", "probe", "peer_probe"),
@@ -145,7 +154,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "public_addresses": _of(markup.public_addresses, "address"),
     "llms_validity": _of(documents.llms, "llms"),
     "header_hints": _of(documents.headers, "header"),
-    "sitemap_entries": _of(documents.sitemap_entries, "sitemap_body"),
+    "sitemap_sample": _maps(lambda m: sitemaps.sitemap_sample(m.crawled())),
+    "sitemap_pages": _maps(lambda m: sitemaps.sampled_pages(m.crawled())),
+    "best_sitemap": _maps(lambda m: sitemaps.best_sitemap(m.candidates())),
+    "sitemap_entries": _maps(lambda m: sitemaps.sitemap_entries(m.fetches)),
     "feed_freshness": _of(lambda f: documents.feed_freshness(f, AS_OF), "feed"),
     "catalog_quality": _of(documents.catalogs, "catalog"),
     "orphan_surfaces": _of(documents.orphan_surfaces, "surface", "surface_link"),

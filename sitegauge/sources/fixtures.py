@@ -137,10 +137,6 @@ HEADERS = [
     (3, "content-signal", "search=yes"), (4, "x-agent-hint", "see llms.txt"), (4, "link", "<https://x.example>; rel=canonical"), (5, "content-type", "text/markdown"), (6, "server", "token-ring"),
     (5, "link", '</.well-known/api-catalog>; rel="api-catalog", </auth.md>; rel="describedby"'), (6, "LINK", "</.well-known/agent.json>; rel=agent"),
 ]
-SITEMAPS = [
-    (1, '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>https://a.example/1</loc><lastmod>2024-01-02</lastmod></url><url><loc> https://a.example/2 </loc></url></urlset>'),
-    (2, "<sitemapindex><sitemap><loc>https://b.example/s1.xml</loc></sitemap></sitemapindex>"), (3, "<html><body>no</body></html>"), (4, "<urlset></urlset>"), (5, "<s:urlset xmlns:s='x'><s:url><s:loc>http://e.example/</s:loc></s:url></s:urlset>"),
-]
 FEEDS = [
     (1, "<rss><channel><item><pubDate>Tue, 02 Jan 2024 10:00:00 GMT</pubDate></item><item><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>"),
     (2, "<feed><entry><updated>2023-05-06T07:08:09Z</updated></entry></feed>"), (3, "<rss><channel><item><pubDate>soon</pubDate></item></channel></rss>"), (4, "<rss><channel></channel></rss>"),
@@ -233,16 +229,6 @@ TEXT_SITES = [
 ]
 
 
-def _urlset(*entries: tuple[str, str]) -> str:
-    return "<urlset>" + "".join(f"<url><loc>{loc}</loc>" + (f"<lastmod>{mod}</lastmod>" if mod else "") + "</url>" for loc, mod in entries) + "</urlset>"
-
-
-SITEMAP_FILES = [
-    (1, "a.example", 0, 200, "<sitemapindex><sitemap><loc>https://a.example/1.xml</loc></sitemap></sitemapindex>"), (1, "a.example", 1, 200, _urlset(*((f"https://www.a.example/{k}", "2024-01-01") for k in range(20)))), (1, "a.example", 2, 404, _urlset(("https://a.example/lost", ""))),
-    (1, "a.example", 3, 200, _urlset(*((f"https://a.example/b/{k}", "") for k in range(20)))), (1, "a.example", 4, 200, "<html></html>"), (1, "a.example", 5, 200, _urlset(("https://a.example/c", "2024-02-30"))), (1, "a.example", 6, 200, _urlset(("https://a.example/d", ""))),
-    (2, "b.example", 0, 200, _urlset(("https://b.example/", "2024-05-01"), ("https://b.example/", "2999-01-01"), ("http://b.example/x", "soon"), ("https://other.example/", ""))), (3, "c.example", 0, 500, "<urlset></urlset>"), (4, "d.example", 0, 200, "<urlset><url><loc> </loc></url></urlset>"),
-    (5, "e.example", 0, 200, _urlset(("https://e.example/1", "2024-05-01"))), (5, "e.example", 1, 200, None),
-]
 JSON_FEEDS = [
     (1, '{"items": [{"date_published": "2024-05-01T10:00:00Z"}, {"date_modified": "2024-05-03", "date_published": "2024-04-01"}, {"title": "no date"}]}'), (2, '{"items": [{"date_published": "soon"}, {"updated": "2999-01-01"}]}'), (3, '{"items": []}'),
     (4, '{"title": "no items"}'), (5, "not json"), (6, None),
@@ -308,7 +294,6 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "dns_site": (DNS_SITES, "site_id long, url string"),
     "text_fetch": (TEXT_FETCHES, "site_id long, label string, status long, content_type string, vary string, body string"),
     "text_site": (TEXT_SITES, "site_id long, llms string, sitemap_valid boolean, has_lastmod boolean, in_robots boolean, markdown boolean, reached boolean"),
-    "sitemap_file": (SITEMAP_FILES, "site_id long, host string, ordinal long, status long, body string"),
     "json_feed": (JSON_FEEDS, "site_id long, body string"),
     "site_scope": (SITE_SCOPES, "site_id long, protocols boolean, account_auth boolean, commerce boolean"),
     "peer_probe": (PEER_PROBES, "name string, label string"),
@@ -341,7 +326,6 @@ RELATIONS: dict[str, tuple[list[tuple], str]] = {
     "address": (ADDRESSES, "site_id long, ip string"),
     "llms": (LLMS, "site_id long, body string"),
     "header": (HEADERS, "site_id long, name string, value string"),
-    "sitemap_body": (SITEMAPS, "site_id long, body string"),
     "feed": (FEEDS, "site_id long, body string"),
     "snapshot": (SNAPSHOT, "name string, check_name string, score long, max long, state string, evidence string"),
     "catalog": (CATALOGS, "site_id long, host string, body string"),

@@ -44,12 +44,7 @@ def test_documents(spark):
     assert rows(evidence.dns_names(relation(spark, "dns_site")).where("site_id = 1"), "ordinal", "name")[3] == (3, "_index._agents.a.example")
 
 
-def test_sitemaps(spark):
-    got = {r.site_id: r for r in evidence.sitemap_sample(relation(spark, "sitemap_file"), "2024-06-01").collect()}
-    # file 0 is an index, 2 is not there and 4 is none, so 1, 3 and 5 are the others; 20 urls and 5 more
-    assert (got[1].files, got[1].is_index, got[1].urls, got[1].undated, got[1].duplicates, got[1].same_site, got[1].clean) == (4, True, 25, 5, 0, 25, True)
-    assert (got[2].urls, got[2].duplicates, got[2].non_https, got[2].bad_dates, got[2].future_dates, got[2].undated, got[2].same_site) == (4, 1, 1, 1, 1, 1, 3)
-    assert not got[3].urls and not got[4].files and got[5].clean
+def test_json_feeds(spark):
     feeds = {r.site_id: r for r in evidence.json_feed(relation(spark, "json_feed"), "2024-06-01").collect()}
     assert (feeds[1].items, feeds[1].dated, feeds[1].faulty, str(feeds[1].latest)) == (3, 2, 0, "2024-05-03") and (feeds[2].items, feeds[2].faulty) == (2, 2) and feeds[3].items == 0 and feeds[4].items is None
 
@@ -100,9 +95,7 @@ def test_time_to_live(spark):
 
 
 def test_summaries(spark):
-    files, robots = relation(spark, "sitemap_file"), relation(spark, "robots")
-    got = {r.site_id: r for r in evidence.best_sitemap(files, evidence.sitemap_references(robots)).collect()}
-    assert (got[1].urls, got[1].dated, got[1].is_index, got[1].in_robots) == (20, True, False, True) and (got[3].valid, got[3].in_robots) == (False, True) and (got[2].urls, got[2].in_robots) == (4, False)
+    robots = relation(spark, "robots")
     text = {r.site_id: r for r in evidence.text_access(relation(spark, "text_fetch")).collect()}
     assert (text[1].available, text[1].label) == (True, "negotiated") and (text[2].available, text[2].label) == (True, "/index.md") and (text[8].available, text[8].label, text[8].codes) == (False, None, "not_ok")
     assert rows(evidence.resolved_targets(relation(spark, "resolved")), "site_id", "host", "ip") == [(1, "a.example", "8.8.8.8"), (2, "b.example", None), (3, "c.example", "2a00:1450:4001:81b::200e"), (3, "d.example", None), (4, "e.example", None)]
