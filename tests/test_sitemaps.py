@@ -179,7 +179,7 @@ def test_against_a_plain_crawl(spark):
             if rng.random() < 0.85:
                 kind = rng.choice(["urls", "urls", "urls", "index", "index", "broken", "empty"])
                 if kind == "urls":
-                    content = [(f"{top}{path}/{k}", rng.choice([None, "2024-01-01"])) for k in range(rng.randrange(1, 16))]
+                    content = [(f"{top}{path}/{k}", rng.choice([None, "2024-01-01"])) for k in range(rng.randrange(1, 31))]
                 elif kind == "index":
                     content = [rng.choice([p, p.lstrip("/"), top + p, "nowhere.xml"]) for p in rng.choices(paths, k=rng.randrange(1, 6))]
                 else:
