@@ -548,3 +548,5 @@ SQL: dict[str, str] = RAW | page_oracles.SQL | fetch_oracles.SQL | {name: with_r
 ON_PAGES = ("trust_surfaces", "social_profiles", "form_affordances", "viewport_tokens", "jsonld_types")
 SQL |= {f"page_{name}": f"with {PAGES_SQL}, {r} as ({page_relations.SQL[r].replace('from pages', 'from evidence')}) select * from ({sql})" for name in ON_PAGES for sql, r in [ON_RELATIONS[name]]}
 SQL["page_url_normalise"] = f"with url as ({page_relations.SQL['url']}) select * from ({ON_RELATIONS['url_normalise'][0]})"
+_CHECKS = ("robots_check", "bot_challenges", "entity_lookup_score", "surface_check", "text_access", "robots_access_matrix")
+SQL |= fetch_oracles.audit(RAW, page_oracles.SQL, {name: ON_RELATIONS[name] for name in _CHECKS})

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.functions import labels
-from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_search, site_surfaces, sitemaps, texts
+from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_report, site_search, site_surfaces, sitemaps, texts
+from sitegauge.runtime import cut
 from sitegauge.sources import fetches
 from sitegauge.sources import page_relations as found
 from sitegauge.sources.dom import dom
@@ -53,12 +54,27 @@ def _maps(f: Callable[[sitemaps.Maps], DataFrame]) -> Callable[[SparkSession, st
     return run
 
 
+def _report(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """An operator over the rows of all thirteen checks of all sites, from the fetch relation that ``pages`` makes."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages_ = spark.read.parquet(f"{sf_dir}/pages.parquet")
+        sites = cut(fetches.sites(pages_).select("site_id", "root"))
+        fixed = {n: relation(spark, n) for n in ("crawler", "purpose", "access", "entity", "surface_kind")}
+        own = {k: dealt(spark, pages_.select("page_id"), n, sites_of(n)).distinct() for k, n in (("scope", "site_scope"), ("hint", "hint"))}
+        return f(site_report.audit_rows(site_report.Evidence(sites, cut(fetches.responses(spark, pages_)), fixed | own, AS_OF), relation(spark, "rubric")))
+
+    return run
+
+
 def _against(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return _of(lambda rows, rubric, peers: f(scoring.evidence_score(rows, rubric).select("site_id", "percent"), scoring.peer_scores(peers, rubric)), "check_row", "rubric", "peer")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "site_audit": lambda spark, sf_dir: audit.site_audit(spark.read.parquet(f"{sf_dir}/pages.parquet"), relation(spark, "rubric")),
+    "audit_rows": _report(lambda rows: rows),
+    "fetched_audit": _report(site_report.site_scores),
     "ssr_readability": _on("pages", pages.readability),
     "extraction_efficiency": _on("pages", lambda p: pages.text_metrics(p).drop("app_shell", "boilerplate_ratio", "navigation_ratio", "script_style_ratio", "html_text_ratio")),
     "html_structure": _page(site_checks.html_structure),

@@ -167,25 +167,35 @@ class Dom(HTMLParser):
                 self.shown += own
 
 
+def _read(html: str | None) -> tuple[Dom, str | None]:
+    """A page's DOM, or an empty one with the name of what the parser raised."""
+    try:
+        return Dom(html or ""), None
+    except (AssertionError, ValueError, RecursionError) as e:
+        return Dom(""), type(e).__name__
+
+
 def dom(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with nodes (array of ``NODE``), visible (its visible text), shown (that without hidden elements),
-    main (the text of its first main, else article, else body, without menus and the like) and html_bytes in place of the HTML.
+    main (the text of its first main, else article, else body, without menus and the like), html_bytes, and fault in place of the HTML.
 
-    A null or empty html has no node and empty texts. Repeated rows give a row each.
+    A null or empty html has no node and empty texts, and so has one that the parser refuses, with the refusal's name as its ``fault`` (null for all
+    others): it harms no other row. Repeated rows give a row each.
     """
     others = [c for c in pages.columns if c != html_col]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*others).schema.fields)
 
     def run(batches):
         for batch in batches:
-            found = [Dom(h or "") for h in batch.column(len(others)).to_pylist()]
+            raw = batch.column(len(others)).to_pylist()
+            found, faults = zip(*map(_read, raw), strict=True) if raw else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([d.nodes for d in found], pa.list_(_NODE)), pa.array([" ".join(d.words) for d in found], pa.string()), pa.array([" ".join(d.shown) for d in found], pa.string()),
-                 pa.array([d.main for d in found], pa.string()), pa.array([len(d.source.encode("utf-8", "ignore")) for d in found], pa.int64())],
-                names=[*others, "nodes", "visible", "shown", "main", "html_bytes"],
+                 pa.array([d.main for d in found], pa.string()), pa.array([len((h or "").encode("utf-8", "ignore")) for h in raw], pa.int64()), pa.array(faults, pa.string())],
+                names=[*others, "nodes", "visible", "shown", "main", "html_bytes", "fault"],
             )
 
-    return pages.select(*others, html_col).mapInArrow(run, f"{fields}, nodes array<{NODE}>, visible string, shown string, main string, html_bytes long")
+    return pages.select(*others, html_col).mapInArrow(run, f"{fields}, nodes array<{NODE}>, visible string, shown string, main string, html_bytes long, fault string")
 
 
 def tags(*names: str, nodes: str | Column = "nodes") -> Column:
@@ -270,10 +280,11 @@ def ld_walk(bodies: list[str]) -> dict:
     roots, invalid = [], 0
     for body in bodies:
         try:
-            roots.append(json.loads(body))
+            root = json.loads(body)
+            json.dumps(root)  # what is nested too deep to be written is invalid, too
         except (ValueError, RecursionError):
-            invalid += 1
-            roots.append(None)
+            root, invalid = None, invalid + 1
+        roots.append(root)
     nodes, known = [], []
     for no, root in enumerate(roots):
         nodes += [_row(no, x, True, []) for x in _tops(root)]

@@ -4,16 +4,20 @@ Every page is a site of its own, ``https://p<page_id>.<host>``, whose homepage i
 page's number, each trait with its own modulus, so the mixtures do not repeat within the tables' sizes. The bodies are whole documents (XML with namespaces,
 comments, CDATA and images, or broken); the SQL beside them has the same facts as rows, without any document, so a parser is compared with what was meant.
 
-Columns: site_id, agent (``auditor``, ``markdown`` for requests that ask for text, ``browser`` or a crawler), url, final_url, status (null: failed), headers, body, error.
+Columns: site_id, agent (``auditor``, ``markdown`` for requests that ask for text, ``lookup`` for those to an entity source, ``browser`` or a crawler), url, final_url, status (null:
+failed), headers (lower-cased names), body, error, elapsed_ms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.functions.html import host
 
+from .evidence import dealt, evidence_pages
+from .fixtures import sites_of
+
 SPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 MAPS = ("/sitemap.xml", "/maps/a.xml", "/b.xml", "/index.xml", "/c1.xml", "/c2.xml", "/deep/c3.xml")
 # What a file is, how many entries it has and what stands in them, for site k, file f (from 1), contents of file g, entry j (from 0); the same words in both dialects.
@@ -71,7 +75,7 @@ def sitemap_responses(of: DataFrame) -> DataFrame:
         F.when(F.col("kind").isin("urls", "moved"), whole).when(F.col("kind") == "broken", F.expr("substring(urls, 1, length(urls) - 3)")).when(F.col("kind") == "index", index).when(F.col("kind") == "empty", "<urlset></urlset>").otherwise("<html><body>not here</body></html>")
     )
     status = F.when(F.col("kind") == "missing", 404).when(F.col("kind") == "down", 503).otherwise(200)
-    return d.select("site_id", F.lit("auditor").alias("agent"), F.concat("root", "path").alias("url"), "final_url", status.alias("status"), F.create_map(F.lit("content-type"), F.lit("application/xml")).alias("headers"), body.alias("body"), F.lit(None).cast("string").alias("error"))
+    return _row(d, "auditor", F.concat("root", "path"), status, body, F.create_map(F.lit("content-type"), F.lit("application/xml")), F.col("final_url"))
 
 
 def robots_names(of: DataFrame) -> DataFrame:
@@ -79,6 +83,51 @@ def robots_names(of: DataFrame) -> DataFrame:
     return of.where("k % 12 <> 7").select("site_id", F.expr(f"slice({_turned(_NAMED, '(k * 5) % 6')}, 1, cast(k % 7 as int))").alias("names"))
 
 
+#: Of so many sites one has no homepage; the literal relations that other responses are dealt from, each by its own number of sites.
+DOWN, DOWN_AT = 23, 5
+LITERAL = ("robots", "signal_header", "bot_page", "text_fetch", "text_site", "surface_fetch", "lookup")
+_NO_HEADERS = "map<string,string>"
+
+
+def _row(d: DataFrame, agent: str | Column, url: Column, status: Column, body: Column, headers: Column | None = None, final_url: Column | None = None, error: Column | None = None, elapsed: Column | None = None) -> DataFrame:
+    """Rows of the relation from rows with site_id."""
+    return d.select(
+        "site_id", (F.lit(agent) if isinstance(agent, str) else agent).alias("agent"), url.alias("url"), (url if final_url is None else final_url).alias("final_url"), status.cast("int").alias("status"),
+        (F.create_map().cast(_NO_HEADERS) if headers is None else headers).alias("headers"), body.alias("body"), (F.lit(None).cast("string") if error is None else error).alias("error"), (F.lit(100) if elapsed is None else elapsed).cast("long").alias("elapsed_ms"),
+    )
+
+
+def responses(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The whole ``fetch`` relation of the sites of ``pages``."""
+    of = sites(pages)
+    ids = of.select(F.col("site_id").alias("page_id"))
+    root = of.select("site_id", "k", "h", "root")
+    lit = {name: dealt(spark, ids, name, sites_of(name)) for name in LITERAL}
+    at = lambda name: lit[name].join(root, "site_id")
+    made = evidence_pages(of.select(F.col("site_id").alias("page_id"), "url", "html")).withColumnRenamed("page_id", "site_id")
+    signals = lit["signal_header"].where("value is not null").select("site_id", "value")
+    home = made.drop("url").join(root.join(of.select("site_id", F.col("url").alias("page")), "site_id"), "site_id").join(signals, "site_id", "left")
+    down = F.col("k") % DOWN == DOWN_AT
+    headers = F.when(F.col("value").isNotNull(), F.map_concat("headers", F.create_map(F.lit("content-signal"), F.col("value")))).otherwise(F.col("headers"))
+    out = [_row(home, "auditor", F.concat("root", F.lit("/")), F.when(~down, 200), F.when(~down, F.col("html")), headers, F.coalesce("page", F.concat("root", F.lit("/"))), F.when(down, "timeout"), F.col("elapsed_ms"))]
+    named = at("robots").join(robots_names(of), "site_id", "left")
+    lines = F.concat(F.regexp_replace("body", "Sitemap:[^\n]*", ""), F.lit("\n"), F.array_join(F.transform("names", lambda n: F.concat(F.lit("Sitemap: "), n)), "\n"))
+    out.append(_row(named, "auditor", F.concat("root", F.lit("/robots.txt")), F.when(F.col("names").isNull(), 404).otherwise(200), F.when(F.col("names").isNull(), "gone").otherwise(lines)))
+    out.append(sitemap_responses(of))
+    out.append(_row(at("text_site"), "auditor", F.concat("root", F.lit("/llms.txt")), F.when(F.col("llms").isNull(), 404).otherwise(200), F.col("llms")))
+    told = F.map_filter(F.create_map(F.lit("content-type"), F.col("content_type"), F.lit("vary"), F.col("vary")), lambda _, v: v.isNotNull())
+    out.append(_row(at("text_fetch"), "markdown", F.concat("root", F.when(F.col("label") == "negotiated", "/").otherwise(F.col("label"))), F.col("status"), F.col("body"), told))
+    out.append(_row(at("bot_page"), F.col("bot"), F.concat("root", F.lit("/")), F.col("status"), F.col("html"), F.when(F.col("headers") != "", F.str_to_map("headers", F.lit(";"), F.lit(": "))), error=F.col("error")))
+    out.append(_row(at("surface_fetch"), "auditor", F.concat("root", "path"), F.col("status"), F.col("body")))
+    out.append(_row(root, "auditor", F.concat(F.lit("http://"), "h", F.lit("/")), F.lit(200), F.lit(""), final_url=F.when(F.col("k") % 3 == 0, F.concat(F.lit("http://"), "h", F.lit("/"))).otherwise(F.concat("root", F.lit("/")))))
+    out.append(_row(root, "auditor", F.concat(F.lit("https://www."), "h", F.lit("/")), F.when(F.col("k") % 4 == 2, 404).otherwise(200), F.lit(""), final_url=F.when(F.col("k") % 4 == 1, F.concat(F.lit("https://www."), "h", F.lit("/"))).otherwise(F.concat("root", F.lit("/")))))
+    out.append(_row(at("lookup"), "lookup", F.concat(F.lit("https://entities.example/?q="), "name"), F.col("status"), F.lit("")))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 def robots_bodies(of: DataFrame) -> DataFrame:
     """(site_id, body) of the robots.txt files that answered, with their sitemap lines only."""
     return robots_names(of).select("site_id", F.concat(F.lit("User-agent: *\nDisallow:\n"), F.array_join(F.transform("names", lambda n: F.concat(F.lit("Sitemap: "), n)), "\n")).alias("body"))

@@ -382,5 +382,5 @@ def with_relations(sql: str, *names: str) -> str:
             out.append(f"{name} as (select p.page_id as site_id, l.* exclude (site_id) from pages p join literal_{name} l on l.site_id = p.page_id % {sites} + 1 where p.page_id is not null)")
     sql = sql.strip()
     recursive = sql.startswith("with recursive ")
-    sql = sql.replace("with recursive ", "with ", 1)
+    sql = sql.replace("with recursive ", "with ", 1) if recursive else sql
     return "with " + "recursive " * recursive + ",\n".join(out) + (",\n" + sql[5:] if sql.startswith("with ") else "\n" + sql)
