@@ -33,9 +33,9 @@ def _own(name: str, sql: str, relations: tuple[str, ...]) -> str:
     """The SQL of an operator over literal relations, each dealt by its own number of sites, with the robots bodies as the responses have them."""
     text = with_relations(sql, *relations)
     for r in relations:
-        dealt_ = re.search(rf"(?<![a-z_]){r} as \\(select p\\.page_id as site_id, l\\.\\* exclude \\(site_id\\) from pages p join literal_{r} l on l\\.site_id = p\\.page_id % \\d+ \\+ 1 where p\\.page_id is not null\\)", text)
+        dealt_ = re.search(rf"(?<![a-z_]){r} as \(select p\.page_id as site_id, l\.\* exclude \(site_id\) from pages p join literal_{r} l on l\.site_id = p\.page_id % \d+ \+ 1 where p\.page_id is not null\)", text)
         if dealt_:
-            plain = dealt_[0].replace(re.search(r"% \\d+ \\+ 1", dealt_[0])[0], f"% {sites_of(r)} + 1")
+            plain = dealt_[0].replace(re.search(r"% \d+ \+ 1", dealt_[0])[0], f"% {sites_of(r)} + 1")
             if r == "robots":
                 names = _turned_sql(_NAMED, "((abs(page_id) * 5) % 6)", False).replace("root ||", "'https://p' || page_id || '.' || coalesce(" + _HOST + ", 'none.example') ||")
                 plain = (
