@@ -52,7 +52,9 @@ def sites(pages: DataFrame) -> DataFrame:
     """(site_id, k, h, root, url, html): every page with a number as a site; of repeated numbers the one of least url and html."""
     rows = pages.where("page_id is not null").groupBy(F.col("page_id").alias("site_id")).agg(F.min(F.struct("url", "html")).alias("x"))
     own = F.concat(F.lit("p"), F.col("site_id").cast("string"), F.lit("."), F.coalesce(F.nullif(host(F.col("x.url")), F.lit("")), F.lit("none.example")))
-    return rows.select("site_id", F.abs("site_id").alias("k"), own.alias("h"), F.concat(F.lit("https://"), own).alias("root"), F.col("x.url").alias("url"), F.col("x.html").alias("html"))
+    out = rows.select("site_id", F.abs("site_id").alias("k"), own.alias("h"), F.concat(F.lit("https://"), own).alias("root"), F.col("x.url").alias("url"), F.col("x.html").alias("html"))
+    # few bytes a site make many: the documents are written by all tasks, however small the table
+    return out.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site_id")
 
 
 def sitemap_responses(of: DataFrame) -> DataFrame:
