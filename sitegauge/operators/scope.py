@@ -44,3 +44,16 @@ def probe_scopes(probes: DataFrame) -> DataFrame:
         rows = rows.withColumn(d, F.explode(yes))
     included = (F.col("scope") == "core") | ((F.col("scope") == "protocols") & F.col("protocols")) | ((F.col("scope") == "account_auth") & F.col("account_auth")) | ((F.col("scope") == "commerce") & F.col("commerce"))
     return rows.groupBy("protocols", "account_auth", "commerce", "category").agg(F.count_if(included).alias("included"), F.count("*").alias("all_probes"))
+
+
+def readiness_cube(scopes: DataFrame, passes: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probes asked for and passed over all combinations of a scope's three flags and the probes' category, with all their totals, as one plan of grouping sets.
+
+    ``level`` is the grouping id: a bit for each of protocols, account_auth, commerce and category that the row is a total over. Probes are a fixed dimension; a site
+    without a passed probe counts with none.
+    """
+    rows = scopes.join(F.broadcast(probes)).join(passes.distinct().withColumn("hit", F.lit(True)), ["site_id", "ordinal"], "left")
+    inside = (F.col("scope") == "core") | ((F.col("scope") == "protocols") & F.col("protocols")) | ((F.col("scope") == "account_auth") & F.col("account_auth")) | ((F.col("scope") == "commerce") & F.col("commerce"))
+    rows = rows.where(inside).select("protocols", "account_auth", "commerce", "category", F.coalesce("hit", F.lit(False)).cast("int").alias("hit"))
+    out = rows.cube("protocols", "account_auth", "commerce", "category").agg(F.grouping_id().alias("level"), F.count("*").alias("asked"), F.sum("hit").alias("passed"))
+    return out.withColumn("percent", F.bround(F.col("passed") / F.col("asked") * 100, 0).cast("long"))

@@ -137,6 +137,8 @@ select event_id, user_id, k from (select event_id, user_id, row_number() over (p
     "entity_cache_upsert": """
 select user_id, event_type, event_id, round(value, 6) as value, writes from (
   select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as k, count(*) over (partition by user_id, event_type) as writes from events) where k = 1""",
+    "stored_upsert": """
+select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, round(arg_max(value, (ts, event_id)), 6) as value from events group by 1, 2""",
     "ttl_cache_hits": """
 with recursive e as (select user_id, event_type, epoch_us(ts) as t from events where ts is not null),
 w as (
@@ -523,6 +525,13 @@ select c.*, no_self, (select count(*) from j where j.site_id = c.site_id and kno
   from check_row join rubric using (check_name) where state in ('fail', 'partial', 'warn')) where place <= 5""",
         "check_row", "rubric",
     ),
+    "readiness_cube": (
+        """with r as (select s.*, p.category, (x.ordinal is not null)::int as hit from site_scope s cross join probe p left join (select distinct * from probe_pass) x on x.site_id = s.site_id and x.ordinal = p.ordinal
+  where scope = 'core' or scope = 'protocols' and protocols or scope = 'account_auth' and account_auth or scope = 'commerce' and commerce),
+g as (select protocols, account_auth, commerce, category, grouping_id(protocols, account_auth, commerce, category)::bigint as level, count(*) as asked, sum(hit)::bigint as passed from r group by cube (protocols, account_auth, commerce, category))
+select *, round_even(passed / asked * 100, 0)::bigint as percent from g""",
+        "site_scope", "probe_pass", "probe",
+    ),
     "check_counts": (
         "select site_id, count(*) filter (state <> 'locked') as included, " + ", ".join(f"count(*) filter (state = '{s}') as n_{s}" for s in ("pass", "partial", "fail", "warn", "locked")) + " from check_row group by 1",
         "check_row",

@@ -159,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peer_nearest3": _against(scoring.nearest_peers),
     "scope_resolution": _of(scope.resolve, "scope_request", "preset", "override_key"),
     "probe_scope_matrix": _of(scope.probe_scopes, "probe"),
+    "readiness_cube": _of(scope.readiness_cube, "site_scope", "probe_pass", "probe"),
     "jsonld_types": _of(lambda j: markup.json_ld_nodes(j).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields"), "json_ld"),
     "jsonld_best_schema": _of(markup.json_ld_best, "json_ld", "ld_field"),
     "sitemap_lastmod_quality": _of(lambda r: markup.lastmod_quality(r, AS_OF), "lastmod"),
@@ -197,5 +198,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_window_admission": _on("events", limits.admissions),
     "rate_window_rows": _on("events", limits.admitted_rows),
     "entity_cache_upsert": _on("events", limits.latest),
+    "stored_upsert": _on("events", limits.stored),
     "ttl_cache_hits": _on("events", limits.fresh_lookups),
 }

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegauge.runtime import shared_dir
+from sitegauge.sources.stored import StoredTable
+
 PER_WINDOW, WINDOW = 3, "1 minute"
 
 
@@ -35,6 +40,16 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "event_type").agg(last.alias("x"), F.count("*").alias("writes")).select("user_id", "event_type", "x.event_id", F.round("x.value", 6).alias("value"), "writes")
 
 
+def stored(events: DataFrame) -> DataFrame:
+    """latest() by merges into a stored table in the shared folder, one for the events of even number and one for the others; the table's rows."""
+    spark = events.sparkSession
+    table = StoredTable(spark, f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}", "user_id long, event_type string, ts timestamp, event_id long, value double", ["user_id", "event_type"], ["ts", "event_id"])
+    rows = events.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
+    for odd in (0, 1):
+        table.merge(rows.where(F.pmod("event_id", F.lit(2)) == odd))
+    return table.read().select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
+
+
 def fresh_lookups(events: DataFrame, days: int = 30) -> DataFrame:
     """Lookups of each event_type that its cache answers: each (user_id, event_type) is written by a lookup that finds no entry younger than ``days``,
     and a hit leaves the entry as it is; an entry of just that age is none.
