@@ -29,7 +29,7 @@ union all select site_id, root || case f when 1 then '/sitemap.xml' else '/index
 }
 
 
-def _own(name: str, sql: str, relations: tuple[str, ...]) -> str:
+def _own(sql: str, relations: tuple[str, ...]) -> str:
     """The SQL of an operator over literal relations, each dealt by its own number of sites, with the robots bodies as the responses have them."""
     text = with_relations(sql, *relations)
     for r in relations:
@@ -50,7 +50,7 @@ def _own(name: str, sql: str, relations: tuple[str, ...]) -> str:
 
 def audit(raw: dict[str, str], pages: dict[str, str], literal: dict[str, tuple[str, ...]]) -> dict[str, str]:
     """The SQL of the whole audit from that of its checks: each over its own evidence, joined to the rubric with fallback rows."""
-    sub = {n: _own(n, sql, names) for n, (sql, *names) in literal.items()}
+    sub = {n: _own(sql, names) for n, (sql, *names) in literal.items()}
     up = f"abs(page_id) % {DOWN} <> {DOWN_AT}"
     on_page = {"html_structure": ("html_structure", "'inferred'"), "schema_ld": ("structured_data", "'inferred'"), "pagespeed": ("crawl_efficiency", "'inferred'"), "indexing": ("indexing_directives", "'inferred'"), "social": ("entity_coherence", "'verified'")}
     only_up = f"page_id is not null and {up}"
@@ -90,4 +90,12 @@ select s.site_id, pillar, r.check_name, coalesce(score, 0)::bigint as score, max
   select site_id, sum(score)::bigint as overall, count(*) filter (evidence = 'unknown') as unknown_checks, round_even(coalesce(sum(score) filter (evidence <> 'unknown') / sum(max_score) filter (evidence <> 'unknown') * 100, 0), 0)::bigint as percent from rows_ group by 1),
 c as (select percent, sum(count(*)) over (order by percent) / sum(count(*)) over () as upto from p group by 1)
 select site_id, overall, unknown_checks, p.percent, round_even(upto * 100, 0)::bigint as percentile from p join c using (percent)"""
-    return {"audit_rows": rows, "fetched_audit": scores}
+    ok = "count(*) filter (status between 200 and 399)"
+    asked = f"""with recursive {MAPS_SQL},
+parts as (
+  select bot as agent, {ok} as answers, 0 as moved from bot_page group by 1 union all select 'markdown', {ok}, 0 from text_fetch union all select 'lookup', {ok}, 0 from lookup
+  union all select 'auditor', {ok}, 0 from surface_fetch union all select 'auditor', count(llms), 0 from text_site
+  union all select 'auditor', count(*) filter (k % {DOWN} <> {DOWN_AT}) + count(*) filter (k % 12 <> 7) + count(*) + count(*) filter (k % 4 <> 2), count(*) filter (k % {DOWN} <> {DOWN_AT}) + count(*) filter (k % 3 <> 0) + count(*) filter (k % 4 in (0, 3)) from site
+  union all select 'auditor', count(*), count(*) filter (url <> final_url) from map where ok)
+select agent, sum(answers)::bigint as answers, sum(moved)::bigint as moved from parts group by 1 having sum(answers) > 0"""
+    return {"audit_rows": rows, "fetched_audit": scores, "recorded_responses": _own(asked, ("bot_page", "text_fetch", "lookup", "surface_fetch", "text_site"))}

@@ -316,7 +316,11 @@ h as (select page_id, url, {absolute(attr('a', 'href'))} as href from a where {a
 q as (select page_id, regexp_replace(regexp_extract(href, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') as path from h where {host('href')} = {host('url')})
 select distinct page_id, path from q where path in ('/blog', '/about', '/contact', '/privacy', '/returns', '/feed.xml', '/a.css')"""
 
+_in_sql = f"""{PAGE}, f as (select page_id, unnest(regexp_extract_all(b, '(?s)<form.*?</form>')) as f from d),
+i as (select page_id, f, regexp_extract_all(f, '<input[^>]*>') as i, len(regexp_extract_all(f, '<(?:select|textarea)[\\s>]')) as others, len(regexp_extract_all(f, '<button[\\s>]')) as buttons from f)
+select page_id, count(*) as forms, sum(others + len(list_filter(i, lambda x: not regexp_matches(x, 'type="(hidden|submit|button|reset|image)"'))))::bigint as fields, sum(buttons + len(list_filter(i, lambda x: regexp_matches(x, 'type="(submit|image)"'))))::bigint as submits from i group by 1"""
 SQL = {
+    "sql_structure": f"select page_id, h1, landmarks, links, forms from ({_structure})", "sql_form_fields": _in_sql, "sql_schema_types": f"{OBJECTS} select page_id, type, count(*) as objects from (select page_id, unnest(types) as type from o) group by 1, 2",
     "brand_names": _brands, "surface_hints": _hints, "surface_reach": _reach,
     "blurb_issues": _blurbs, "entity_coherence": _entities,
     "html_structure": _structure, "crawl_efficiency": _efficiency, "indexing_directives": _indexing, "structured_data": _structured(False), "structured_data_shop": _structured(True), "canonical_links": _canonical, "freshness_signals": _freshness,

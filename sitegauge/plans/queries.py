@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions import labels
 from sitegauge.operators import audit, crawl, documents, evidence, forms, markup, pages, robots, scope, scoring, site_checks, site_evidence, site_report, site_search, site_surfaces, sitemaps, texts
-from sitegauge.runtime import cut
-from sitegauge.sources import fetches
+from sitegauge.runtime import cut, shared_dir
+from sitegauge.sources import fetches, recorded, surface
 from sitegauge.sources import page_relations as found
 from sitegauge.sources.dom import dom
 from sitegauge.sources.evidence import dealt, evidence_pages
@@ -54,6 +55,25 @@ def _maps(f: Callable[[sitemaps.Maps], DataFrame]) -> Callable[[SparkSession, st
     return run
 
 
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Spark SQL over the table functions and a view of all pages with their planted markup."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return surface.register(spark, page=evidence_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))).sql(text)
+
+    return run
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The responses of all sites, written as WARC files and read back: answers and failures by agent, of those that were asked for on a site's root."""
+    recorded.register(spark)
+    folder = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    made = fetches.responses(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")).select("agent", "url", "final_url", "status", "headers", "body", "error", "elapsed_ms")
+    made.write.format("recorded").mode("append").save(folder)
+    rows = spark.read.format("recorded").load(folder).where("status >= 200 and status < 400")
+    return rows.groupBy("agent").agg(F.count("*").alias("answers"), F.count_if(F.size("redirects") > 0).alias("moved"))
+
+
 def _report(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """An operator over the rows of all thirteen checks of all sites, from the fetch relation that ``pages`` makes."""
 
@@ -78,6 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ssr_readability": _on("pages", pages.readability),
     "extraction_efficiency": _on("pages", lambda p: pages.text_metrics(p).drop("app_shell", "boilerplate_ratio", "navigation_ratio", "script_style_ratio", "html_text_ratio")),
     "html_structure": _page(site_checks.html_structure),
+    "sql_structure": _sql(surface.STRUCTURE),
+    "sql_form_fields": _sql(surface.FORM_FIELDS),
+    "sql_schema_types": _sql(surface.SCHEMA_TYPES),
+    "recorded_responses": _recorded,
     "crawl_efficiency": _page(site_checks.crawl_efficiency),
     "indexing_directives": _page(site_checks.indexing),
     "structured_data": _page(site_checks.structured_data, True),
