@@ -552,7 +552,9 @@ select *, case when percent >= upper_quartile then 'top' when percent >= median
 _LINES_SQL = LINES + "select * from lines"
 ON_RELATIONS |= evidence_oracles.sql(ACCESS + " select * from matrix", ON_RELATIONS["robots_access_score"][0], ON_RELATIONS["robots_quality"][0], ON_RELATIONS["content_signals"][0], _LINES_SQL)
 
-SQL: dict[str, str] = RAW | page_oracles.SQL | fetch_oracles.SQL | {name: with_relations(sql, *names) for name, (sql, *names) in ON_RELATIONS.items()}
+#: Relations that a query has at the size of the pages, by key.
+FED = {"peer_essentials": {"peer": "name"}, "peer_bars": {"peer": "name"}, "peer_validation": {"snapshot": "name"}, "agent_peers": {"peer_probe": "name"}, "probe_scope_matrix": {"probe": "label"}, "cached_lookups": {"cache": "cache_key"}}
+SQL: dict[str, str] = RAW | page_oracles.SQL | fetch_oracles.SQL | {name: with_relations(sql, *names, fed=FED.get(name)) for name, (sql, *names) in ON_RELATIONS.items()}
 #: The SQL of operators on pages' evidence: that on literal rows, over the whole table with its planted markup.
 ON_PAGES = ("trust_surfaces", "social_profiles", "form_affordances", "viewport_tokens", "jsonld_types")
 SQL |= {f"page_{name}": f"with {PAGES_SQL}, {r} as ({page_relations.SQL[r].replace('from pages', 'from evidence')}) select * from ({sql})" for name in ON_PAGES for sql, r in [ON_RELATIONS[name]]}

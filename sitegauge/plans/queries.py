@@ -14,7 +14,7 @@ from sitegauge.runtime import cut, shared_dir
 from sitegauge.sources import fetches, recorded, surface
 from sitegauge.sources import page_relations as found
 from sitegauge.sources.dom import dom
-from sitegauge.sources.evidence import dealt, evidence_pages
+from sitegauge.sources.evidence import dealt, evidence_pages, fed
 from sitegauge.sources.fixtures import relation, sites_of
 from sitegauge.streaming import limits
 
@@ -25,6 +25,20 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: The key of relations that have no site, by which each page brings one of their things.
+KEYS = {"peer": "name", "snapshot": "name", "peer_probe": "name", "probe": "label", "cache": "cache_key"}
+
+
+def _fed(f: Callable[..., DataFrame], *names: str, by: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    """An operator over literal relations, those of ``by`` at the size of the pages, those of sites dealt."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+        return f(*(fed(spark, ids, n, KEYS[n]) if n in by else dealt(spark, ids, n, sites_of(*names)) for n in names))
+
+    return run
+
+
 def _of(f: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
     """An operator over literal relations, those of sites dealt over all pages."""
 
@@ -159,7 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_feeds": _of(lambda f: site_evidence.json_feed(f, AS_OF), "json_feed"),
     "readiness_categories": _of(site_evidence.readiness_categories, "site_scope", "probe_pass", "probe"),
     "scope_keys": _of(site_evidence.scope_key, "site_scope"),
-    "agent_peers": _of(site_evidence.agent_peers, "peer_probe", "probe", "site_scope"),
+    "agent_peers": _fed(site_evidence.agent_peers, "peer_probe", "probe", "site_scope", by=("peer_probe",)),
     "agent_peer_position": _of(site_evidence.agent_position, "site_scope", "probe_pass", "probe", "peer_probe"),
     "scope_faults": _of(site_evidence.scope_faults, "scope_fault", "preset", "override_key"),
     "public_targets": _of(site_evidence.public_targets, "target"),
@@ -171,18 +185,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "robots_codes": _of(site_evidence.robots_codes, "robots"),
     "discovery_score": _of(site_search.discovery_score, "discovery"),
     "viewer_open_rows": _of(scoring.viewer_filter, "check_row", "rubric"),
-    "peer_bars": _of(lambda p, r: scoring.peer_bars(scoring.peer_scores(p, r), "corporate"), "peer", "rubric"),
+    "peer_bars": _fed(lambda p, r: scoring.peer_bars(scoring.peer_scores(p, r), "corporate"), "peer", "rubric", by=("peer",)),
     "metric_labels": _on("pages", lambda p: pages.text_metrics(p, "url").select("page_id", labels.percent(F.col("boilerplate_ratio")).alias("boilerplate"), labels.ratio(F.col("html_text_ratio")).alias("html_text"), labels.size(F.col("html_bytes")).alias("bytes"), labels.short_url(F.col("url")).alias("shown"), labels.root_url(F.col("url"), F.lit("robots.txt")).alias("robots"))),
     "pillar_scores": _of(scoring.pillar_scores, "check_row", "rubric", "pillar_cap"),
     "evidence_score": _of(scoring.evidence_score, "check_row", "rubric"),
     "action_order": _of(scoring.action_order, "check_row", "rubric"),
     "attention_top5": _of(scoring.attention, "check_row", "rubric"),
     "check_counts": _of(scoring.check_counts, "check_row"),
-    "peer_essentials": _of(scoring.peer_scores, "peer", "rubric"),
+    "peer_essentials": _fed(scoring.peer_scores, "peer", "rubric", by=("peer",)),
     "peer_position": _against(scoring.against_peers),
     "peer_nearest3": _against(scoring.nearest_peers),
     "scope_resolution": _of(scope.resolve, "scope_request", "preset", "override_key"),
-    "probe_scope_matrix": _of(scope.probe_scopes, "probe"),
+    "probe_scope_matrix": _fed(scope.probe_scopes, "probe", by=("probe",)),
     "readiness_cube": _of(scope.readiness_cube, "site_scope", "probe_pass", "probe"),
     "jsonld_types": _of(lambda j: markup.json_ld_nodes(j).selectExpr("site_id", "script_no", "array_join(types, ' ') as types", "cast(size(fields) as bigint) as n_fields"), "json_ld"),
     "jsonld_best_schema": _of(markup.json_ld_best, "json_ld", "ld_field"),
@@ -203,7 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "catalog_quality": _of(documents.catalogs, "catalog"),
     "orphan_surfaces": _of(documents.orphan_surfaces, "surface", "surface_link"),
     "agent_readiness": _of(documents.readiness, "probe_pass", "probe"),
-    "peer_validation": _of(scoring.snapshot_faults, "snapshot", "rubric"),
+    "peer_validation": _fed(scoring.snapshot_faults, "snapshot", "rubric", by=("snapshot",)),
     "viewer_pillars": _of(scoring.viewer, "check_row", "rubric"),
     "viewer_order": _of(scoring.viewer_order, "check_row", "rubric"),
     "report_summary": _of(scoring.summary, "check_row", "rubric", "pillar_cap"),
@@ -216,7 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dns_discovery": _of(evidence.dns_discovery, "dns"),
     "surface_validity": _of(evidence.surface_validity, "surface_body"),
     "commerce_mismatch": _of(evidence.commerce_mismatches, "commerce"),
-    "cached_lookups": _of(lambda c: evidence.cached(c, AS_OF), "cache"),
+    "cached_lookups": _fed(lambda c: evidence.cached(c, AS_OF), "cache", by=("cache",)),
     "report_checks_json": _of(evidence.report_json, "check_row", "rubric"),
     "top_gap_per_pillar": _of(evidence.best_per_pillar, "check_row", "rubric"),
     "rate_window_admission": _on("events", limits.admissions),

@@ -6,7 +6,7 @@ before its footer, and a response by its number; every page of the table is one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .fixtures import relation
@@ -88,3 +88,11 @@ def dealt(spark: SparkSession, pages: DataFrame, name: str, sites: int) -> DataF
         return rows
     ids = pages.where("page_id is not null").select(F.col("page_id").alias("own_site"), (F.pmod("page_id", F.lit(sites)) + 1).cast("long").alias("site_id"))
     return ids.join(F.broadcast(rows), "site_id").select(F.col("own_site").alias("site_id"), *[c for c in rows.columns if c != "site_id"])
+
+
+def fed(spark: SparkSession, pages: DataFrame, name: str, key: str) -> DataFrame:
+    """A literal relation of named things (peers, probes, cached keys) at the size of the pages: each page brings one of them, by its number, under a name of its own."""
+    rows = relation(spark, name)
+    numbered = rows.join(rows.select(key).distinct().withColumn("no_", F.row_number().over(Window.orderBy(key)) - 1), key)  # some dozens of rows
+    ids = pages.where("page_id is not null").select(F.col("page_id").alias("own_"), F.pmod("page_id", F.lit(rows.select(key).distinct().count())).cast("int").alias("no_"))
+    return ids.join(F.broadcast(numbered), "no_").select(*[F.concat_ws(" ", key, F.col("own_").cast("string")).alias(c) if c == key else F.col(c) for c in rows.columns])

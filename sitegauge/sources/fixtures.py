@@ -367,8 +367,8 @@ def sites_of(*names: str) -> int:
     return max((r[0] for n in names if RELATIONS[n][1].startswith("site_id ") for r in RELATIONS[n][0]), default=0)
 
 
-def with_relations(sql: str, *names: str) -> str:
-    """DuckDB SQL with the named relations as common table expressions before it, those with site_id dealt over all pages (see evidence.dealt)."""
+def with_relations(sql: str, *names: str, fed: dict[str, str] | None = None) -> str:
+    """DuckDB SQL with the named relations as common table expressions before it, those with site_id dealt over all pages (see evidence.dealt), those in ``fed`` by their key (evidence.fed)."""
     kinds = {"string": "varchar", "long": "bigint", "double": "double", "boolean": "boolean"}
     out = []
     for name in names:
@@ -377,9 +377,15 @@ def with_relations(sql: str, *names: str) -> str:
         values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
         cast = ", ".join(f"{c}::{kinds[k]} as {c}" for c, k in columns)
         sites = sites_of(name) and sites_of(*names)
-        out.append(f"{'literal_' * bool(sites)}{name} as (select {cast} from (values {values}) v({', '.join(c for c, _ in columns)}))")
+        key = (fed or {}).get(name)
+        out.append(f"{'literal_' * bool(sites or key)}{name} as (select {cast} from (values {values}) v({', '.join(c for c, _ in columns)}))")
         if sites:
             out.append(f"{name} as (select p.page_id as site_id, l.* exclude (site_id) from pages p join literal_{name} l on l.site_id = p.page_id % {sites} + 1 where p.page_id is not null)")
+        if key:
+            out.append(
+                f"{name} as (select l.* exclude ({key}, no_), l.{key} || ' ' || p.page_id as {key} from pages p join (select *, dense_rank() over (order by {key}) - 1 as no_ from literal_{name}) l "
+                f"on l.no_ = p.page_id % (select count(distinct {key}) from literal_{name}) where p.page_id is not null)"
+            )
     sql = sql.strip()
     recursive = sql.startswith("with recursive ")
     sql = sql.replace("with recursive ", "with ", 1) if recursive else sql
