@@ -6,7 +6,7 @@ rows has no row, and empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -69,31 +69,55 @@ def peer_scores(peers: DataFrame, rubric: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.bround(F.col("points") / F.col("most") * 100, 0).cast("long"))
 
 
+def histogram(peers: DataFrame, *by: str) -> DataFrame:
+    """The peers' percentages (of each group) as one array ``s`` of (percent, upto): how many peers have at most that. At most 101 values, however many peers."""
+    counts = peers.groupBy(*by, "percent").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by).orderBy("percent"))
+    return counts.select(*by, F.struct("percent", upto.alias("upto")).alias("x")).groupBy(*by).agg(F.sort_array(F.collect_list("x")).alias("s"))
+
+
+def peers_in_all() -> Column:
+    return F.element_at("s", -1)["upto"]
+
+
+def kth(k: Column) -> Column:
+    """The percentage of the k-th peer from below, from ``s``."""
+    return F.get(F.filter("s", lambda x: x["upto"] >= k), F.lit(0))["percent"]
+
+
+def standing(percent: Column) -> dict[str, Column]:
+    """Inclusive percentile, half-even median and quartiles by index, from ``s``."""
+    n = peers_in_all()
+    below = F.coalesce(F.array_max(F.transform(F.filter("s", lambda x: x["percent"] <= percent), lambda x: x["upto"])), F.lit(0))
+    middle = (kth(F.floor((n + 1) / 2)) + kth(F.floor(n / 2) + 1)) / 2
+    return {"percentile": F.bround(below / n * 100, 0).cast("long"), "median": F.bround(middle, 0).cast("long"), "lower_quartile": kth(F.floor(n / 4) + 1), "upper_quartile": kth(F.floor(n * 3 / 4) + 1)}
+
+
+def position(percent: Column) -> Column:
+    return F.when(percent >= F.col("upper_quartile"), "top").when(percent >= F.col("median"), "above middle").when(percent >= F.col("lower_quartile"), "within middle").otherwise("below most")
+
+
 def against_peers(sites: DataFrame, peers: DataFrame) -> DataFrame:
-    """Each site (site_id, percent) among the peers: inclusive percentile, half-even median, quartiles by index, position.
-
-    The peers become one row (a bounded snapshot), so every site is read once and nothing is multiplied.
-    """
-    one = peers.agg(F.sort_array(F.collect_list("percent")).alias("s"))
-    s, n = F.col("s"), F.size("s")
-    both = sites.join(F.broadcast(one))
-    below = F.size(F.filter(s, lambda x: x <= F.col("percent")))
-    middle = (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, (F.floor(n / 2) + 1).cast("int"))) / 2
-    out = both.select(
-        "site_id", "percent", F.bround(below / n * 100, 0).cast("long").alias("percentile"), F.bround(middle, 0).cast("long").alias("median"),
-        F.element_at(s, (F.floor(n / 4) + 1).cast("int")).alias("lower_quartile"), F.element_at(s, (F.floor(n * 3 / 4) + 1).cast("int")).alias("upper_quartile"),
-    )
-    place = F.when(F.col("percent") >= F.col("upper_quartile"), "top").when(F.col("percent") >= F.col("median"), "above middle").when(F.col("percent") >= F.col("lower_quartile"), "within middle").otherwise("below most")
-    return out.withColumn("position", place)
+    """Each site (site_id, percent) among the peers: inclusive percentile, half-even median, quartiles by index, position. The peers become one row of at most 101 counts."""
+    both = sites.join(F.broadcast(histogram(peers)))
+    own = F.col("percent")
+    return both.select("site_id", "percent", *[c.alias(n) for n, c in standing(own).items()]).withColumn("position", position(own))
+
+
+def first_names(peers: DataFrame, top: int, *by: str) -> DataFrame:
+    """The first ``top`` peers by name of every percentage (in each group), as one array ``p``: no other can be among the nearest ``top``."""
+    named = peers.withColumn("k", F.row_number().over(Window.partitionBy(*by, "percent").orderBy("name"))).where(F.col("k") <= top)
+    return named.groupBy(*by).agg(F.collect_list(F.struct("percent", "name")).alias("p"))
+
+
+def nearest(percent: Column, top: int) -> Column:
+    """From ``p`` the peers nearest to a percentage; ties by the higher percentage, then by name."""
+    return F.slice(F.array_sort(F.transform("p", lambda x: F.struct(F.abs(x["percent"] - percent).alias("away"), (-x["percent"]).alias("neg"), x["name"].alias("name")))), 1, top)
 
 
 def nearest_peers(sites: DataFrame, peers: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` peers nearest to each site's percentage; ties by the higher percentage, then by name."""
-    one = peers.agg(F.collect_list(F.struct("percent", "name")).alias("p"))
-    ranked = F.slice(
-        F.array_sort(F.transform("p", lambda x: F.struct(F.abs(x["percent"] - F.col("percent")).alias("away"), (-x["percent"]).alias("neg"), x["name"].alias("name")))), 1, top
-    )
-    out = sites.join(F.broadcast(one)).select("site_id", F.posexplode(ranked).alias("k", "x"))
+    out = sites.join(F.broadcast(first_names(peers, top))).select("site_id", F.posexplode(nearest(F.col("percent"), top)).alias("k", "x"))
     return out.select("site_id", (F.col("k") + 1).cast("long").alias("place"), F.col("x.name").alias("name"), (-F.col("x.neg")).alias("percent"))
 
 
@@ -142,6 +166,8 @@ def viewer_filter(rows: DataFrame, rubric: DataFrame, status: str = "open", text
 
 def peer_bars(peers: DataFrame, group: str) -> DataFrame:
     """The peers of a group as bars: share, and width in percent (two at least), by share and name."""
-    w = Window.orderBy(F.desc("percent"), "name")  # a snapshot of some dozens of peers
-    out = peers.where(F.col("grp") == group).select("name", "percent", F.greatest(F.least("percent", F.lit(100)), F.lit(2)).alias("width"))
-    return out.withColumn("place", F.row_number().over(w).cast("long"))
+    own = peers.where(F.col("grp") == group).select("name", "percent", F.greatest(F.least("percent", F.lit(100)), F.lit(2)).alias("width"))
+    # a peer's place is that within its percentage after all peers of higher ones, of which there are at most 101
+    above = own.groupBy("percent").agg(F.count("*").alias("n")).select("percent", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("percent")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    within = F.row_number().over(Window.partitionBy("percent").orderBy("name"))
+    return own.withColumn("k", within).join(F.broadcast(above), "percent").select("name", "percent", "width", (F.col("above") + F.col("k")).cast("long").alias("place"))

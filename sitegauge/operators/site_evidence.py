@@ -8,15 +8,14 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from sitegauge.functions import html as H
 from sitegauge.functions.urls import codes, hostname, joined, urljoin
 
 from . import robots as R
+from .scoring import first_names, histogram, nearest, position, standing
 
 #: Fixed values.
 BLOCK_SIGNATURES = ("just a moment", "checking your browser", "cf-chl", "cloudflare ray id", "verify you are human", "access denied", "datadome", "perimeterx", "akamai bot manager")
@@ -210,24 +209,21 @@ def agent_peers(peers: DataFrame, probes: DataFrame, scopes: DataFrame) -> DataF
     kinds = scopes.select("protocols", "account_auth", "commerce").distinct().join(F.broadcast(probes))
     kinds = kinds.withColumn("in", included(kinds)).where("in").select("protocols", "account_auth", "commerce", "label")
     names = peers.select("name").distinct()
-    rows = names.join(F.broadcast(kinds)).join(F.broadcast(peers.select("name", "label").distinct().withColumn("hit", F.lit(True))), ["name", "label"], "left")
+    # at most 8 scopes of some dozens of probes are broadcast; the peers are joined by name and label
+    rows = names.join(F.broadcast(kinds)).join(peers.select("name", "label").distinct().withColumn("hit", F.lit(True)), ["name", "label"], "left")
     out = rows.groupBy("protocols", "account_auth", "commerce", "name").agg(F.count_if(F.coalesce("hit", F.lit(False))).alias("earned"), F.count("*").alias("most"))
     return out.withColumn("percent", F.bround(F.col("earned") / F.col("most") * 100, 0).cast("long"))
 
 
 def agent_position(scopes: DataFrame, passes: DataFrame, probes: DataFrame, peers: DataFrame) -> DataFrame:
-    """Each site's share of its scope's probes among the peers in the same scope: percentile, median, position. The peers of a scope are one array (a snapshot of some dozens)."""
+    """Each site's share of its scope's probes among the peers in the same scope: percentile, median, position. The peers of a scope are at most 101 counts."""
     flags = ["protocols", "account_auth", "commerce"]
     rows = scopes.join(F.broadcast(probes)).withColumn("in", included(scopes)).where("in").join(passes.withColumn("hit", F.lit(1)), ["site_id", "ordinal"], "left")
     own = rows.groupBy("site_id", *flags).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("earned"), F.count("*").alias("most")).withColumn("score", F.bround(F.col("earned") / F.col("most") * 100, 0).cast("long"))
-    s = agent_peers(peers, probes, scopes).groupBy(*flags).agg(F.sort_array(F.collect_list("percent")).alias("s"))
-    n = F.size("s")
-    both = own.join(F.broadcast(s), flags)
-    middle = (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", (F.floor(n / 2) + 1).cast("int"))) / 2
-    low, high = F.element_at("s", (F.floor(n / 4) + 1).cast("int")), F.element_at("s", (F.floor(n * 3 / 4) + 1).cast("int"))
-    out = both.withColumns({"percentile": F.bround(F.size(F.filter("s", lambda x: x <= F.col("score"))) / n * 100, 0).cast("long"), "median": F.bround(middle, 0).cast("long")})
-    place = F.when(F.col("score") >= high, "top").when(F.col("score") >= F.col("median"), "above middle").when(F.col("score") >= low, "within middle").otherwise("below most")
-    return out.select("site_id", "score", "percentile", "median", place.alias("position"))
+    s = histogram(agent_peers(peers, probes, scopes), *flags)
+    score = F.col("score")
+    out = own.join(F.broadcast(s), flags).select("site_id", "score", *[c.alias(n) for n, c in standing(score).items()])
+    return out.select("site_id", "score", "percentile", "median", position(score).alias("position"))
 
 
 def scope_faults(requests: DataFrame, presets: DataFrame, keys: DataFrame) -> DataFrame:
@@ -249,24 +245,82 @@ def scope_faults(requests: DataFrame, presets: DataFrame, keys: DataFrame) -> Da
     return r.select("site_id", joined(found).alias("codes"))
 
 
-@F.pandas_udf(BooleanType())
-def is_public(addresses: pd.Series) -> pd.Series:
-    """Whether each address is a public one; mapped IPv4 counts as itself, and what is no address is not public."""
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is named once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def one(text) -> bool:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return ip.is_global and not ip.is_unspecified and not ip.is_multicast
 
-    return addresses.map(one)
+def _ipv4(text: Column) -> Column:
+    """An IPv4 address as a number; null for what is none."""
+    parts = F.transform(F.split(F.when(text.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$"), text), r"\."), lambda p: p.try_cast("long"))
+    return _let(parts, lambda p: F.when(~F.exists(p, lambda x: x > 255), F.aggregate(p, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)))
+
+
+def _in_ranges(number: Column, ranges: tuple[str, ...]) -> Column:
+    """Whether an IPv4 number lies in one of the networks."""
+    out = F.lit(False)
+    for r in ranges:
+        net = ipaddress.ip_network(r)
+        out = out | number.between(int(net.network_address), int(net.broadcast_address))
+    return out
+
+
+def _ipv6_groups(text: Column) -> Column:
+    """The eight groups of an IPv6 address as numbers (``::`` filled, a closing IPv4 address as two groups); null for what is none."""
+    hex_ = lambda n: F.lower(F.lpad(F.hex(n.cast("long")), 4, "0"))
+    closing = r"^(.*:)([0-9]+\.[0-9.]+)$"
+    flat = F.when(~text.rlike(closing), F.lower(text)).otherwise(_let(_ipv4(F.regexp_extract(text, closing, 2)), lambda n: F.concat(F.regexp_extract(F.lower(text), closing, 1), hex_(F.floor(n / 65536)), F.lit(":"), hex_(n % 65536))))
+    shape = r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$"
+    groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+    parted = _let(F.when(flat.rlike(shape), F.split(flat, "::")), lambda h: F.struct(F.size(h).alias("n"), groups(F.get(h, F.lit(0))).alias("left"), groups(F.coalesce(F.get(h, F.lit(1)), F.lit(""))).alias("right")))
+
+    def filled(p: Column) -> Column:
+        gap = 8 - F.size(p["left"]) - F.size(p["right"])
+        zeros = F.when(p["n"] == 2, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+        fits = F.when(p["n"] == 2, gap >= 1).otherwise(gap == 0)
+        return F.when(F.coalesce(fits, F.lit(False)), F.transform(F.concat(p["left"], zeros, p["right"]), lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return _let(parted, filled)
+
+
+#: IPv4 networks that are not public, those in them that are, and IPv6 networks by their leading groups (value, bits).
+PRIVATE_4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+PUBLIC_4 = ("192.0.0.9/32", "192.0.0.10/32")
+PRIVATE_6 = ("::/128", "::1/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "ff00::/8")
+PUBLIC_6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+
+def _in_nets(groups: Column, nets: tuple[str, ...]) -> Column:
+    """Whether the groups of an IPv6 address lie in one of the networks."""
+    out = F.lit(False)
+    for r in nets:
+        net = ipaddress.ip_network(r)
+        value, fits, bits = int(net.network_address), F.lit(True), net.prefixlen
+        for k in range(-(-bits // 16)):
+            used = min(16, bits - 16 * k)
+            fits = fits & (F.shiftright(F.get(groups, F.lit(k)), 16 - used) == (value >> (112 - 16 * k) & 0xFFFF) >> (16 - used))
+        out = out | fits
+    return out
+
+
+def is_public(address: Column) -> Column:
+    """Whether an address is a public one; mapped IPv4 counts as itself, and what is no address is not public. Ranges of numbers, all in built-in functions."""
+
+    def judged(x: Column) -> Column:
+        groups = x["groups"]
+        mapped = F.forall(F.slice(groups, 1, 5), lambda g: g == 0) & (F.get(groups, F.lit(5)) == 0xFFFF)
+        inner = F.get(groups, F.lit(6)).cast("long") * 65536 + F.get(groups, F.lit(7))
+        good_6 = ~_in_nets(groups, PRIVATE_6) | _in_nets(groups, PUBLIC_6)
+        return _let(F.coalesce(x["four"], F.when(mapped, inner)), lambda n: F.when(n.isNotNull(), ~_in_ranges(n, PRIVATE_4) | _in_ranges(n, PUBLIC_4)).when(groups.isNotNull(), good_6))
+
+    return F.coalesce(_let(F.struct(_ipv4(address).alias("four"), _let(F.regexp_replace(address, "%.*$", ""), lambda t: _ipv6_groups(F.when(F.contains(t, F.lit(":")), t))).alias("groups")), judged), F.lit(False))
 
 
 def public_targets(rows: DataFrame) -> DataFrame:
     """Whether each address (IPv4 or IPv6) may be fetched: global, and neither mapped, carrier-shared, unspecified nor multicast."""
-    return rows.select("site_id", "ip", is_public(F.coalesce("ip", F.lit(""))).alias("public"))
+    return rows.select("site_id", "ip", is_public(F.col("ip")).alias("public"))
 
 
 def bounded(rows: DataFrame, most_bytes: int) -> DataFrame:
@@ -304,18 +358,17 @@ def readiness_summary(scopes: DataFrame, passes: DataFrame, probes: DataFrame) -
 
 
 def agent_nearest(scopes: DataFrame, passes: DataFrame, probes: DataFrame, peers: DataFrame, top: int = 3) -> DataFrame:
-    """The ``top`` peers nearest to each site's share in its scope; ties by the higher share, then by name. The peers of a scope are one array."""
+    """The ``top`` peers nearest to each site's share in its scope; ties by the higher share, then by name. Of a scope's peers the first of each percentage are one array."""
     flags = ["protocols", "account_auth", "commerce"]
     own = readiness_summary(scopes, passes, probes).select("site_id", "score").join(scopes, "site_id")
-    near = agent_peers(peers, probes, scopes).groupBy(*flags).agg(F.collect_list(F.struct("percent", "name")).alias("p"))
-    ranked = F.slice(F.array_sort(F.transform("p", lambda x: F.struct(F.abs(x["percent"] - F.col("score")).alias("away"), (-x["percent"]).alias("neg"), x["name"].alias("name")))), 1, top)
-    out = own.join(F.broadcast(near), flags).select("site_id", F.posexplode(ranked).alias("k", "x"))
+    near = first_names(agent_peers(peers, probes, scopes), top, *flags)
+    out = own.join(F.broadcast(near), flags).select("site_id", F.posexplode(nearest(F.col("score"), top)).alias("k", "x"))
     return out.select("site_id", (F.col("k") + 1).cast("long").alias("place"), F.col("x.name").alias("name"), (-F.col("x.neg")).alias("percent"))
 
 
 def resolved_targets(rows: DataFrame) -> DataFrame:
     """Per host of a site (site_id, host, ordinal, ip) the address to fetch: the first IPv4 one, else the first; none where any address is not public."""
-    r = rows.withColumns({"public": is_public(F.coalesce("ip", F.lit(""))), "later": F.contains("ip", F.lit(":"))})
+    r = rows.withColumns({"public": is_public(F.col("ip")), "later": F.contains("ip", F.lit(":"))})
     out = r.groupBy("site_id", "host").agg(F.bool_and(F.coalesce("public", F.lit(False))).alias("public"), F.min_by("ip", F.struct("later", "ordinal")).alias("ip"))
     return out.select("site_id", "host", F.when(F.col("public"), F.col("ip")).alias("ip"))
 
