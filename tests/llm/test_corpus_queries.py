@@ -71,3 +71,81 @@ def test_passages(spark, documents):
     for places in where.values():
         if len({i for i, _ in places}) > 1:
             assert len({i for i, k in places if not covered[i] >= set(range(k, k + 50))}) <= 1
+
+
+def test_near_duplicates(spark, documents):
+    """Fingerprints by definition, groups by all pairs."""
+    from test_simhash import brute, plain
+
+    ids, fps = [i for i, _, _ in documents], [plain(t) for _, t, _ in documents]
+    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    roots = brute([fps[k] for k in order])
+    want = {(ids[k], f"{fps[k]:016x}", ids[order[r]]) for k, r in zip(order, roots, strict=True)}
+    got = queries.op6_simhash(spark, str(DATA)).collect()
+    assert len(got) == len(documents) and {(r.doc_id, r.fingerprint, r.component_id) for r in got} == want
+
+
+def test_leaks(spark, documents):
+    """Every document against every item by the plain table of edit distances, all items a step."""
+    import numpy as np
+
+    from sitegauge.llm.decontam import budget, fold
+
+    items = [(i, fold(t)) for i, t in duckdb.sql(f"select item_id, text from '{DATA}/benchmark.parquet'").fetchall()]
+    wide = max(len(t) for _, t in items)
+    pattern = np.array([[ord(c) for c in t] + [0] * (wide - len(t)) for _, t in items])
+    most, last, along = np.array([budget(t) for _, t in items]), np.array([len(t) for _, t in items]), np.arange(wide + 1, dtype=np.int32)
+    want = set()
+    for i, text, _ in documents:
+        row, found = np.tile(along, (len(items), 1)), np.zeros(len(items), bool)
+        differs = {c: (pattern != ord(c)).astype(np.int32) for c in set(fold(text or ""))}
+        for c in fold(text or ""):
+            new = np.empty_like(row)
+            new[:, 0] = 0
+            np.minimum(row[:, 1:] + 1, row[:, :-1] + differs[c], out=new[:, 1:])
+            row = np.minimum.accumulate(new - along, axis=1) + along
+            found |= row[np.arange(len(items)), last] <= most
+        want |= {(i, items[k][0]) for k in np.flatnonzero(found)}
+    got = {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, str(DATA)).collect()}
+    assert got == want and len(want) >= 3
+
+
+def test_shards(spark, documents, tmp_path, monkeypatch):
+    """Every sequence of the registered query lies at its slot, with the library's ids."""
+    from sitegauge.llm import shards
+
+    monkeypatch.setattr(shards, "default_folder", lambda spark: str(tmp_path / "shards"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = queries.op5_binary_shards(spark, str(DATA)).collect()
+    found = list(shards.read(str(tmp_path / "shards")))
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) == list(range(len(found)))
+    held = defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(found[r.slot].astype("<u4").tobytes()) == r.ids_crc32 and len(found[r.slot]) == r.n_ids
+        held[r.doc_id].append((r.piece, found[r.slot].tolist()))
+    for i, t, _ in documents:
+        assert [x for _, p in sorted(held[i]) for x in p][: len(t or "")] and [x for _, p in sorted(held[i]) for x in p][:-1] == library.encode(t or "", add_special_tokens=False).ids
+    by_slot = [r.doc_id for r in sorted(rows, key=lambda r: r.slot)]
+    assert by_slot != sorted(by_slot)
+
+
+def test_pages(spark):
+    """The registered query against plain induction over each host, and against the article as the pages' makers put it."""
+    import html
+    import re
+
+    from sitegauge.llm.wrapper import induce, main_text
+
+    pages = duckdb.sql(f"select page_id, url, html from '{DATA}/pages.parquet'").fetchall()
+    hosts = defaultdict(list)
+    for i, url, page in pages:
+        hosts[re.sub(r"^[a-z]+://([^/?#]*).*$", r"\1", url or "").lower()].append((i, page))
+    want = {}
+    for own in hosts.values():
+        keys, roots = induce([p for _, p in own])
+        want |= {i: main_text(p, frozenset(keys), roots) for i, p in own}
+    got = {r.page_id: r for r in queries.op10_html_extraction(spark, str(DATA)).collect()}
+    assert {i: r.text for i, r in got.items()} == want and all(r.n_chars == len(r.text) for r in got.values())
+    for i, _, page in pages:
+        body = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", page, re.S)[1])
+        assert got[i].text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
