@@ -3,8 +3,8 @@
 Method: urls that a rule allows or blocks are the accepted and the rejected sample, all of them. For each, an
 interpolated (Witten-Bell) Markov model of order two, one and zero is counted over ``ALPHABET``; the table of log ratios
 of the two models has 40^3 entries whatever the input. A url's score is its summed log ratio over its
-characters, divided by their number, in bins of a hundredth; the bin that separates the two samples with the least
-sum of error rates is the threshold. Only DataFrame functions are used: the counts are summed before the one
+characters, divided by their number, in bins of a hundredth; the models are counted on half of the samples, and the threshold is the
+middle of the bins that separate the other half with the least sum of error rates. Only DataFrame functions are used: the counts are summed before the one
 shuffle, the table (of fixed size) reaches the scan as a constant and the threshold as a scalar subquery.
 """
 
@@ -85,27 +85,33 @@ def ratio_table(labelled: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict, score_bin (null where a rule decides or nothing was learned).
 
-    A null url, or one without ``://``, has empty host and path. A url without a character to score, or any when one of
-    the samples is empty, is allowed. Null ids stay null, repeated rows give a row each and count each in the
+    The models are counted on the half of the rule-decided urls whose digest begins with an even digit, the threshold is that of the least sum of
+    both error rates on the other half. A null url, or one without ``://``, has empty host and path. A url without a character to score, or any when one of
+    the samples is empty in either half, is allowed. Null ids stay null, repeated rows give a row each and count each in the
     models; other columns play no part.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     rows = rows.withColumns({"host": host, "path": path})
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("label"), grams(F.col("host"), F.col("path")).alias("grams"))
-    table = ratio_table(rows.where("label is not null")).select(F.array_join("model", ",")).first()[0]  # 40^3 numbers
+    # equal urls are in one half, so what calibrates the threshold was not counted by the models
+    half = F.instr(F.lit("02468ace"), F.substring(F.md5(F.concat("host", "path")), 1, 1)) == 0
+    rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("label"), half.alias("held"), grams(F.col("host"), F.col("path")).alias("grams"))
+    table = ratio_table(rows.where("label is not null and not held")).select(F.array_join("model", ",")).first()[0]  # 40^3 numbers
     model = F.split(F.lit(table), ",").cast("array<bigint>")  # folded into one constant
     mean = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + F.element_at(model, g + 1)) / F.size("grams")
     bin_ = F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(mean / 10_000))).cast("int")
-    scored = rows.select("id", "host", "path", "rule", "label", F.when(F.size("grams") > 0, bin_).alias("bin"))
-    known = scored.where("label is not null and bin is not null").groupBy("bin").agg(
+    scored = rows.select("id", "host", "path", "rule", "label", "held", F.when(F.size("grams") > 0, bin_).alias("bin"))
+    known = scored.where("label is not null and held and bin is not null").groupBy("bin").agg(
         F.sum(F.when(F.col("label") == "allow", 1).otherwise(0)).alias("x"), F.sum(F.when(F.col("label") == "block", 1).otherwise(0)).alias("y")
     )
     below = Window.partitionBy().orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # over bins, not rows
     whole = Window.partitionBy()
     wrong = F.coalesce(F.sum("x").over(below), F.lit(0)) / F.sum("x").over(whole) + (F.sum("y").over(whole) - F.coalesce(F.sum("y").over(below), F.lit(0))) / F.sum("y").over(whole)
-    threshold = known.select("bin", F.round(wrong, 9).alias("wrong")).agg(F.min(F.struct("wrong", "bin"))["bin"].alias("t")).scalar()
+    # every threshold above the bin before and up to this one errs alike: the middle is taken
+    before = F.lag("bin").over(Window.partitionBy().orderBy("bin"))
+    middle = F.coalesce(F.floor((before + F.col("bin") + 1) / 2).cast("int"), F.col("bin"))
+    threshold = known.select("bin", F.round(wrong, 9).alias("wrong"), middle.alias("middle")).agg(F.min(F.struct("wrong", "bin", "middle"))["middle"].alias("t")).scalar()
     verdict = F.when(F.coalesce(F.col("bin") < threshold, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("label", verdict).alias("verdict"), F.when(F.col("label").isNull(), F.col("bin")).alias("score_bin")
@@ -132,11 +138,11 @@ with u as (
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 r as (
   select page_id, host, path, case {rule} end as rule, case {label} end as label,
-    '//' || regexp_replace(translate(host || path, '{_UPPER}', '{_LOWER}'), '[^a-z0-9/.\\-]', '~', 'gs') as s from u),
+    '//' || regexp_replace(translate(host || path, '{_UPPER}', '{_LOWER}'), '[^a-z0-9/.\\-]', '~', 'gs') as s, instr('02468ace', md5(host || path)[1]) = 0 as held from u),
 g as (
-  select page_id, host, path, rule, label, case when length(s) > 2 then list_transform(range(1, length(s) - 1), lambda i:
+  select page_id, host, path, rule, label, held, case when length(s) > 2 then list_transform(range(1, length(s) - 1), lambda i:
     (instr('{ALPHABET}', s[i]) - 1) * {SIZE**2} + (instr('{ALPHABET}', s[i + 1]) - 1) * {SIZE} + instr('{ALPHABET}', s[i + 2]) - 1) else [] end as grams from r),
-e as (select label, unnest(grams) as g from g where label is not null),
+e as (select label, unnest(grams) as g from g where label is not null and not held),
 counts as (select g, sum(case when label = 'allow' then 1 else 0 end) as x, sum(case when label = 'block' then 1 else 0 end) as y from e group by g),
 dense as (
   select i.g, i.g // {SIZE**2} as a, i.g // {SIZE} % {SIZE} as b, i.g % {SIZE} as c, coalesce(x, 0) as x, coalesce(y, 0) as y
@@ -145,14 +151,14 @@ dense2 as (select *, sum(x) over (partition by b, c) as x2, sum(y) over (partiti
 ratios as (select g, x, y, round(({log_model('x')} - {log_model('y')}) * 1000000)::bigint as d from dense2),
 model as (select case when sum(x) > 0 and sum(y) > 0 then list(d order by g) end as m from ratios),
 scored as (
-  select page_id, host, path, rule, label, case when len(grams) > 0 then
+  select page_id, host, path, rule, label, held, case when len(grams) > 0 then
     greatest(-{BINS}, least({BINS}, floor(list_sum(list_transform(grams, lambda k: m[k + 1]))::double / len(grams) / 10000)))::int end as bin from g, model),
 bins as (
   select bin, sum(case when label = 'allow' then 1 else 0 end) as x, sum(case when label = 'block' then 1 else 0 end) as y
-  from scored where label is not null and bin is not null group by bin),
+  from scored where label is not null and held and bin is not null group by bin),
 errors as (
-  select bin, round(coalesce(sum(x) over w, 0)::double / (sum(x) over ())::double + ((sum(y) over ()) - coalesce(sum(y) over w, 0))::double / (sum(y) over ())::double, 9) as wrong
+  select bin, round(coalesce(sum(x) over w, 0)::double / (sum(x) over ())::double + ((sum(y) over ()) - coalesce(sum(y) over w, 0))::double / (sum(y) over ())::double, 9) as wrong, coalesce(floor((lag(bin) over (order by bin) + bin + 1) / 2)::int, bin) as middle
   from bins window w as (order by bin rows between unbounded preceding and 1 preceding)),
-cut as (select (select bin from errors order by wrong, bin limit 1) as t)
+cut as (select (select middle from errors order by wrong, bin limit 1) as t)
 select page_id, host, path, rule, coalesce(label, case when coalesce(bin < t, false) then 'block' else 'allow' end) as verdict,
   case when label is null then bin end as score_bin from scored, cut"""

@@ -35,3 +35,17 @@ def test_against_sql(spark):
 def test_few(spark):
     compare(spark, [(1, "http://a.fr/x", "v"), (2, None, None)])
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_held_out_urls(spark):
+    """Hosts of two makes, each with its own rule: the urls that no rule decides get the verdict of their make, but for a few."""
+    prepare(spark)
+    rng = random.Random(4)
+    rows = []
+    for i in range(1500):
+        good = rng.random() < 0.5
+        host = "".join(rng.choice("aeioulmn" if good else "xzqkwvjy") for _ in range(8)) + (".net" if good else ".com")
+        rows.append((i, f"https://{host}/{rng.choice(['de', 'en', 'fr'])}/{''.join(rng.choice('aeioulmn' if good else 'xzqkwvjy') for _ in range(6))}", "v"))
+    got = judge(spark.createDataFrame(rows, "page_id long, url string, verdict string")).collect()
+    free = [r for r in got if r.rule is None]
+    assert len(free) > 700 and sum((r.verdict == "allow") == r.host.endswith(".net") for r in free) / len(free) > 0.97
