@@ -3,7 +3,7 @@
 Method. Coarse centroids, a scale for each list (its residuals' spread, so that dense lists are told apart as finely as wide ones), the codebooks of the residuals' parts
 and the number of lists to probe are fitted on a bounded sample of ``SAMPLE`` vectors, those of the least hash. Every vector is then given its list
 and its codes. Lists are parted into blocks of about ``BLOCK`` vectors (a long list over several, short ones together), queries into chunks of as many. A query is sent to
-the blocks of its nearest lists; there the codes of these lists are summed over its asymmetric distance tables, the best ``RERANK`` are measured exactly on the original vectors, and
+the blocks of its nearest lists (a dense list far off may hold nearer members than a wide one close by, so a list's spread counts, too); there the codes of these lists are summed over its asymmetric distance tables, the best ``RERANK`` are measured exactly on the original vectors, and
 the best ``k`` of each block meet by query. A block and a chunk are all that a task holds, whatever the length of a list or the number of queries.
 
 How many lists are probed is measured on the sample: so many that they hold ``TARGET`` of the sample's own nearest neighbours. Where the vectors have clusters
@@ -32,18 +32,25 @@ from .whitening import vectors
 SAMPLE, BLOCK, RERANK, TARGET = 16384, 8192, 200, 0.97
 #: Coarse centroids at most, codes of a vector, codewords of each, rounds of k-means, and sample rows that the number of probes is measured with.
 LISTS, PARTS, WORDS, ROUNDS, TRIALS = 1024, 16, 256, 10, 512
+#: Deviations below its mean at which a list's nearest members are looked for.
+NEAR = 2.5
 _AT_ONCE = 64
 
 
 class Index(NamedTuple):
-    """What is fitted: centroids, the scale of each list, where parts begin, their codewords, how many lists to probe."""
+    """What is fitted: centroids, the spread of each list, where parts begin, their codewords, how many lists to probe."""
 
     centroids: np.ndarray
-    scales: np.ndarray
+    spreads: np.ndarray
     cuts: list[int]
     words: list[np.ndarray]
     probes: int
 
+    @property
+    def scales(self) -> np.ndarray:
+        """What a list's residuals are divided by."""
+        return np.where(self.spreads > 0, self.spreads, 1.0)
+
     def parts(self) -> list[tuple[int, int]]:
         return list(zip(self.cuts[:-1], self.cuts[1:], strict=True))
 
@@ -60,6 +67,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(norms - 2 * x[a : a + 4096] @ centres.T).argmin(axis=1) for a in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
+def list_order(x: np.ndarray, centroids: np.ndarray, spreads: np.ndarray) -> np.ndarray:
+    """For each row the lists by how near their nearest members may be: by the squared distance that a member has on average, less ``NEAR`` deviations of it."""
+    apart = np.maximum((x**2).sum(axis=1)[:, None] + (centroids**2).sum(axis=1) - 2 * x @ centroids.T, 0.0)
+    return np.argsort(apart + spreads**2 - 2 * NEAR * np.sqrt(apart) * spreads / np.sqrt(x.shape[1]), axis=1, kind="stable")
+
+
 def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Lloyd's rounds from k different rows; a centre without rows stays where it is."""
     distinct = np.unique(x, axis=0)
@@ -81,9 +94,8 @@ def fit(sample: DataFrame, lists: int, dims: int) -> Index:
     own = nearest(x, centroids)
     rest = x - centroids[own]
     count = np.bincount(own, minlength=len(centroids))
-    scales = np.sqrt(np.bincount(own, (rest**2).sum(axis=1), len(centroids)) / np.maximum(count, 1))
-    scales[scales == 0] = 1.0
-    rest /= scales[own, None]
+    spreads = np.sqrt(np.bincount(own, (rest**2).sum(axis=1), len(centroids)) / np.maximum(count, 1))
+    rest /= np.where(spreads > 0, spreads, 1.0)[own, None]
     cuts = np.linspace(0, dims, min(PARTS, dims) + 1).astype(int).tolist()
 
     def codebook(part: pa.Table) -> pa.Table:
@@ -94,10 +106,10 @@ def fit(sample: DataFrame, lists: int, dims: int) -> Index:
     parts = [(j, np.ascontiguousarray(rest[:, a:b]).tobytes(), b - a) for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
     made = spark.createDataFrame(parts, "part int, data binary, width int").groupBy("part").applyInArrow(codebook, "part int, words binary").collect()
     words = [np.frombuffer(bytes(r.words)).reshape(-1, parts[r.part][2]) for r in sorted(made)]
-    return Index(centroids, scales, cuts, words, _probes(x, own, centroids))
+    return Index(centroids, spreads, cuts, words, _probes(x, own, centroids, spreads))
 
 
-def _probes(x: np.ndarray, own: np.ndarray, centroids: np.ndarray, k: int = 10) -> int:
+def _probes(x: np.ndarray, own: np.ndarray, centroids: np.ndarray, spreads: np.ndarray, k: int = 10) -> int:
     """So many of its nearest lists hold ``TARGET`` of a sampled row's ``k`` nearest sampled rows, on average."""
     trial = np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)
     norms, depth = (x**2).sum(axis=1), []
@@ -106,8 +118,7 @@ def _probes(x: np.ndarray, own: np.ndarray, centroids: np.ndarray, k: int = 10)
         apart = norms - 2 * x[q] @ x.T
         apart[np.arange(len(q)), q] = np.inf
         near = np.argpartition(apart, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > 1 else np.zeros((len(q), 0), int)
-        order = np.argsort((centroids**2).sum(axis=1) - 2 * x[q] @ centroids.T, axis=1)
-        rank = np.argsort(order, axis=1)
+        rank = np.argsort(list_order(x[q], centroids, spreads), axis=1)
         depth.append(np.take_along_axis(rank, own[near], axis=1).ravel())
     depth = np.concatenate(depth)
     return int(np.quantile(depth, TARGET, method="higher")) + 1 if len(depth) else 1
@@ -139,7 +150,8 @@ def _scan(index: Index, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         ids, own = (np.asarray(block.column(c)) for c in ("vec_id", "list"))
         x = next(vectors(block.column("embedding")))[1]
         codes = np.frombuffer(b"".join(block.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
-        decoded = np.concatenate([w[codes[:, j]] for j, w in enumerate(index.words)], axis=1) * index.scales[own, None]
+        scales = index.scales
+        decoded = np.concatenate([w[codes[:, j]] for j, w in enumerate(index.words)], axis=1) * scales[own, None]
         fixed = ((index.centroids[own] + decoded) ** 2).sum(axis=1) - (index.centroids[own] ** 2).sum(axis=1)
         order = np.argsort(own, kind="stable")
         here, starts = np.unique(own[order], return_index=True)
@@ -165,7 +177,7 @@ def _scan(index: Index, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 dot = np.zeros((len(r), len(rows)))
                 for j, t in enumerate(tables):
                     dot += t[r][:, codes[rows, j]]
-                guess[r[:, None], rows] = coarse[r, np.searchsorted(here, c)][:, None] + fixed[rows] - 2 * index.scales[c] * dot
+                guess[r[:, None], rows] = coarse[r, np.searchsorted(here, c)][:, None] + fixed[rows] - 2 * scales[c] * dot
             guess[ids[None, :] == query_ids[a : a + _AT_ONCE, None]] = np.inf
             for r in range(len(ys)):
                 chosen = np.argsort(guess[r], kind="stable")[:best] if best < len(x) else np.arange(len(x))
@@ -220,7 +232,7 @@ def search(df: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_id", ve
     def probe(batches):
         for batch in batches:
             for _, y in vectors(batch.column(2)):
-                order = np.argsort((index.centroids**2).sum(axis=1) - 2 * y @ index.centroids.T, axis=1, kind="stable")
+                order = list_order(y, index.centroids, index.spreads)
                 enough = (np.cumsum(counts[order], axis=1) <= RERANK).sum(axis=1) + 1
                 taken, to, lists = [], [], []
                 for r, n in enumerate(np.maximum(enough, index.probes).tolist()):
