@@ -53,11 +53,13 @@ def register(spark: SparkSession, **relations: DataFrame) -> SparkSession:
     return spark
 
 
-#: Checks as Spark SQL over a view ``page`` (page_id, url, html): they give what the DataFrame operators give.
+#: Checks as Spark SQL over a view ``page`` (page_id, url, html): they give what the DataFrame operators give. Pages without a node come by a row of their own: a left lateral
+#: join would be planned as a join of all nodes by their page's HTML.
 STRUCTURE = """
-select p.page_id, count_if(n.tag = 'h1') as h1, count(distinct case when n.tag in ('header', 'nav', 'main', 'article', 'section', 'footer', 'aside') then n.tag end) as landmarks,
-  count_if(n.tag = 'a' and map_contains_key(n.attrs, 'href')) as links, count_if(n.tag = 'form') as forms
-from page p left join lateral dom_nodes(p.html) n on true group by p.page_id"""
+with node as (select p.page_id, n.tag, n.attrs from page p, lateral dom_nodes(p.html) n union all select page_id, null, null from page)
+select page_id, count_if(tag = 'h1') as h1, count(distinct case when tag in ('header', 'nav', 'main', 'article', 'section', 'footer', 'aside') then tag end) as landmarks,
+  count_if(tag = 'a' and map_contains_key(attrs, 'href')) as links, count_if(tag = 'form') as forms
+from node group by page_id"""
 FORM_FIELDS = """
 with node as (select p.page_id, n.* from page p, lateral dom_nodes(p.html) n)
 select f.page_id, count(distinct f.pre) as forms, count_if(n.tag in ('select', 'textarea') or n.tag = 'input' and lower(coalesce(n.attrs['type'], 'text')) not in ('hidden', 'submit', 'button', 'reset', 'image')) as fields,

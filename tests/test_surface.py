@@ -27,6 +27,14 @@ def test_structure(spark, page):
     assert listed(spark.sql(surface.STRUCTURE)) == listed(site_checks.html_structure(dom(page)).select("page_id", "h1", "landmarks", "links", "forms"))
 
 
+def test_structure_joins_nothing(spark, page):
+    """No join by the HTML, which would be held whole by the driver; null and repeated numbers, and equal pages, are rows of their number."""
+    assert "Join" not in spark.sql(surface.STRUCTURE)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE), (3, ""), (None, BASE), (None, None)], "page_id long, html string")
+    got = spark.sql(surface.STRUCTURE.replace("from page p", "from {rows} p").replace("from page)", "from {rows})"), rows=rows)
+    assert listed(got) == [(1, 2, 3, 2, 0), (2, 1, 3, 1, 0), (3, 0, 0, 0, 0), (None, 1, 3, 1, 0)]
+
+
 def test_form_fields(spark, page):
     nodes = dom(page).select("page_id", "nodes", F.explode(tags("form")).alias("f"))
     kind = lambda n: F.lower(F.coalesce(n["attrs"]["type"], F.lit("text")))
