@@ -51,6 +51,14 @@ def test_anchors_end_anchors():
     assert [(n["tag"], n["text"]) for n in nodes] == [("a", "one"), ("a", "two"), ("button", "x"), ("button", "y")]
 
 
+def test_references_end_in_a_semicolon():
+    """Cut and unknown references are text, as the tables' cut titles have them; scripts are as they came, and a page may hold the mark."""
+    d = Dom('<title>A&amp;B &amp &amp;amp &ampx; &#38; &eacute;&copy</title><a href="/?a=1&copy=2&amp;b=\ue000" t&amp=1>\ue000&lt</a><script>a&&b&amp;c&lt</script>')
+    title, a, script = d.nodes
+    assert title["text"] == "A&B &amp &amp &ampx; & é&copy" and script["text"] == "a&&b&amp;c&lt" and script["bytes"] == len("<script>a&&b&amp;c&lt</script>")
+    assert dict(a["attrs"]) == {"href": "/?a=1&copy=2&b=\ue000", "t&amp": "1"} and a["text"] == "\ue000&lt" and d.words[-1] == "\ue000&lt"
+
+
 def test_texts_of_deep_elements():
     nodes = Dom("<label>w" * (NESTED + 5)).nodes
     assert [n["text"] == "" for n in nodes] == [False] * NESTED + [True] * 5
