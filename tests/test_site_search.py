@@ -1,5 +1,6 @@
 """Search and extraction operators over planted pages, against values worked out by hand."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,11 @@ def test_extraction(relation):
     assert shop[4].visible_missing == "image shipping_details" and shop[4].mismatches == "image return_details"
     assert shop[0].schema_missing == "Product" and shop[0].mismatches == "product_name"
     assert "variants" in shop[7].mismatches.split()
+
+
+def test_shares_round_as_sql_does(spark):
+    """41 of 640 words: half a millionth, that a million times the share is just below."""
+    html = "<html><body><nav>" + "w " * 41 + "</nav><main>" + "w " * 599 + "</main></body></html>"
+    d = dom(spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string"))
+    got = search.extraction_readiness(checks.with_json_ld(d)).collect()[0]
+    assert (got.words, got.main_words, got.boilerplate) == (640, 599, duckdb.sql("select round((640 - 599) / 640, 6)").fetchall()[0][0]) and got.boilerplate == 0.064062
