@@ -61,3 +61,38 @@ def test_files(source, tmp_path):
     (tmp_path / "none").mkdir()
     assert source.read.format("recorded").load(str(tmp_path / "none")).count() == 0
     assert list(rows(b"")) == list(rows(b"WARC/1.0\r\nContent-Length: x\r\n\r\n")) == []
+
+
+def test_a_file_is_a_stream():
+    """Records over the edges of reads, after rubbish, and broken off: as from the whole bytes, and no more is read ahead than a step."""
+    import io
+    import random
+
+    import sitegauge.sources.recorded as recorded
+
+    rng = random.Random(3)
+    raw = b""
+    for k in range(60):
+        raw += rng.choice([b"", b"WAR", b"\r\nWARC", b"x" * 50]) + recorded.record({"url": f"https://a.example/{k}", "status": 200, "headers": {}, "body": "b" * rng.choice([0, 10, 3000]) + "WARC/"})
+    raw += raw[: rng.randrange(200, 900)]
+
+    class Slow(io.BytesIO):
+        def read(self, size=-1):
+            return super().read(min(size, rng.choice([1, 7, 500])))
+
+    want = list(recorded.records(raw))
+    assert len(want) >= 60 and list(recorded.records(Slow(raw))) == want
+    large = io.BytesIO(raw * 400)
+    next(recorded.records(large))
+    assert large.tell() <= recorded.STEP_BYTES < len(raw) * 400 / 8
+    found = list(recorded.rows(raw * 400))
+    parts = list(recorded.batches(iter(found)))
+    assert sum(p.num_rows for p in parts) == len(found) and max(p.num_rows for p in parts) <= recorded.STEP_ROWS
+    assert [x for p in parts for x in p.column("url").to_pylist()] == [r[2] for r in found]
+
+
+def test_headers_of_arrow_rows(source, tmp_path):
+    """More rows than a step: maps, lists and nulls come through."""
+    path = str(tmp_path / "w")
+    source.createDataFrame(ROWS * 300, SCHEMA).coalesce(1).write.format("recorded").mode("append").save(path)
+    assert listed(source.read.format("recorded").load(path)) == sorted(ROWS * 300, key=str)
