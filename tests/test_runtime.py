@@ -54,3 +54,15 @@ def test_rows_are_whole(spark):
     rows = [(k, None if k % 7 == 0 else f'<p>{k}</p><script type="application/ld+json">{{"@type": "T{k}"}}</script>' * (k % 40)) for k in range(1200)]
     got = {r.page_id: (len(r.nodes), len(r.objects)) for r in site_checks.with_json_ld(D.dom(spark.createDataFrame(rows, "page_id long, html string").coalesce(1))).collect()}
     assert got == {k: (0, 0) if h is None else (2 * (k % 40), 2 * (k % 40)) for k, h in rows}
+
+
+def test_xml_columns_and_depth():
+    """The nodes as a column are the nodes as dicts; down to a depth they are those of that depth and above, with all their children named."""
+    bodies = ['<a xmlns="u"><b> t </b><c x="1">q<d><e>z</e></d></c><b/></a>', None, "", "<a>", "<a/>", '<s:a xmlns:s="v"><s:b><i:c xmlns:i="w">1</i:c></s:b></s:a>']
+    column = X.nodes_of(bodies)
+    assert column.equals(pa.array([X.parse(b) for b in bodies], column.type)) and X.nodes_of([]).type == column.type
+    bare = lambda nodes: [{k: v for k, v in n.items() if k not in ("pre", "parent")} for n in nodes]
+    for deepest in (0, 1, 2):
+        flat = X.nodes_of(bodies, deepest).to_pylist()
+        assert [bare(n) for n in flat] == [bare([x for x in n if x["depth"] <= deepest]) for n in column.to_pylist()]
+        assert all(n[x["parent"]]["depth"] == x["depth"] - 1 for n in flat for x in n[1:])
