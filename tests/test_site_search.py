@@ -96,3 +96,20 @@ def test_shares_round_as_sql_does(spark):
     d = dom(spark.createDataFrame([(1, "https://a.example/", html)], "page_id long, url string, html string"))
     got = search.extraction_readiness(checks.with_json_ld(d)).collect()[0]
     assert (got.words, got.main_words, got.boilerplate) == (640, 599, duckdb.sql("select round((640 - 599) / 640, 6)").fetchall()[0][0]) and got.boilerplate == 0.064062
+
+
+def test_product_facts_are_read_to_the_end(spark):
+    """Facts after a million characters of text count as those at its beginning, and long names are compared whole."""
+    facts = "In stock, $12.50 SKU: AB-123 refunds and delivery"
+    name = "N" * 150 + " " + "M" * 150
+    ld = '<script type="application/ld+json">{"@type": "Product", "name": "%s", "sku": "AB-123", "offers": {"price": "12.50", "availability": "InStock"}}</script>'
+    pages = [
+        (1, "<h1>A</h1>" + facts), (2, "<h1>A</h1>" + "word " * 200_000 + facts), (3, ld % name + f"<h1>{name}</h1>" + facts), (4, ld % (name + "X") + f"<h1>{name}</h1>" + facts),
+        (5, "<h1>A</h1>" + "word " * 200_000 + "$1" + ",111" * 100_000),
+    ]
+    d = checks.with_json_ld(dom(spark.createDataFrame([(k, "https://a.example/", h) for k, h in pages], "page_id long, url string, html string")))
+    got = by(search.extraction_readiness(d, ecommerce=True), "page_id")
+    assert got[1].visible_missing == got[2].visible_missing == "image" and got[1].mismatches == got[2].mismatches == "product_name price availability sku_or_gtin return_details shipping_details"
+    assert got[3].mismatches == "return_details shipping_details" and got[4].mismatches == "product_name return_details shipping_details"
+    assert got[5].visible_missing == "availability sku_or_gtin image return_details shipping_details"
+    assert by(search._visible_commerce(d), "page_id")[5].seen.price == "1" + ",111" * 100_000
