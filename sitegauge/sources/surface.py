@@ -23,7 +23,7 @@ class DomNodes:
     def eval(self, html: str):
         found, _ = dom._read(html)
         for n in found.nodes:
-            yield n["pre"], n["last"], n["parent"], n["form"], n["around"], n["tag"], dict(n["attrs"]), n["text"], n["words"], n["shown"], n["bytes"], n["pictured"], n["hidden"]
+            yield n["pre"], n["last"], n["parent"], n["form"], n["around"], n["tag"], dict(n["attrs"]), found.text(n), n["words"], n["shown"], n["bytes"], n["pictured"], n["hidden"]
 
 
 @udtf(returnType=_OBJECTS)

@@ -74,3 +74,28 @@ def test_many_fields_and_forms(spark):
     assert got.forms == 1001 and {"form_without_named_submit", "fields_without_label"} <= set(got.codes.split())
     site_search.extraction_readiness(site_checks.with_json_ld(d)).collect()
     assert time.time() - began < 60
+
+
+def test_no_text_is_lost(monkeypatch):
+    """Elements without a copy of their text have it by their place, as if all had copies."""
+    rng = random.Random(11)
+    for _ in range(100):
+        html = "".join(rng.choice(["<div data-k=é>", "<a href=x>", "<button>", "<h1>", "<label>", "<td>", "</div>", "</a>", "</h1>", " é日   two ", "word", "&amp;&lt x", " ", "<script>a<b</script>", "<br data-x>"]) for _ in range(80))
+        monkeypatch.setattr("sitegauge.sources.dom.NESTED", 10**9)
+        whole = [n["text"] for n in Dom(html).nodes]
+        monkeypatch.setattr("sitegauge.sources.dom.NESTED", 2)
+        d = Dom(html)
+        assert [d.text(n) for n in d.nodes] == whole
+
+
+def test_deep_elements_count_as_others(spark):
+    """What stands in more elements with attributes of their own than have copies of their text is read like what does not."""
+    own = "".join(f'<a href="/p{k}">Page number {k}</a> ' for k in range(9)) + '<a href="/x">About us, é</a><a href="/y"><b>Click</b> here</a><button>Buy</button><button> </button><h1>Chair</h1>'
+    own += '<title>T</title><script type="application/ld+json">{"@type": "Product", "name": "Chair"}</script><style>@media (min-width: 3em) {}</style><time>2024-05-01</time>'
+    pages = [(k, f"https://{k}.example/", f"<div {a}>" * (NESTED + 5) + own, 100, {}) for k, a in ((1, "class=c"), (2, "data-k=1"))]
+    d = site_checks.with_json_ld(dom(spark.createDataFrame(pages, "page_id long, url string, html string, elapsed_ms long, headers map<string,string>")))
+    for check in (site_checks.html_structure, site_checks.structured_data, site_checks.crawl_efficiency, site_search.freshness, lambda x: site_search.extraction_readiness(x, True).drop("script_share", "html_ratio"), site_search.blurbs, site_search.trust_pages):
+        flat, deep = ([str(v).replace("2.example", "1.example") for v in r[1:]] for r in sorted(check(d).collect()))
+        assert flat == deep
+    got = {r.page_id: r for r in site_checks.html_structure(d).collect()}[2]
+    assert (got.links, got.vague_links) == (11, 1) and "no_title" not in got.codes and "controls_without_name" in got.codes
